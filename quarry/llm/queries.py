@@ -23,6 +23,12 @@ def op8_shard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_documents(docs)
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op9_mix_sources": op9_mix_sources, "op8_shard": op8_shard}
+def op2_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quarry.llm.fingerprint import fingerprints
+
+    return fingerprints(common.read_table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op9_mix_sources": op9_mix_sources, "op8_shard": op8_shard, "op2_fingerprint": op2_fingerprint}
 
 ORACLES: dict[str, str] = {}
