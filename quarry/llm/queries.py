@@ -29,6 +29,23 @@ def op2_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints(common.read_table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op9_mix_sources": op9_mix_sources, "op8_shard": op8_shard, "op2_fingerprint": op2_fingerprint}
+def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from quarry.llm.bpe import digests
+
+    return digests(common.read_table(spark, sf_dir, "documents").select("doc_id", "text"), public_tokenizers.path("word_bpe_49k.json"))
+
+
+def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from quarry.llm import tokenfiles
+
+    docs = common.read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    return tokenfiles.read(*tokenfiles.write(docs, public_tokenizers.path("byte_bpe_50k.json"), end_id=2))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op9_mix_sources": op9_mix_sources, "op8_shard": op8_shard, "op2_fingerprint": op2_fingerprint, "op5_bpe": op5_bpe, "op6_token_files": op6_token_files}
 
 ORACLES: dict[str, str] = {}
