@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from quarry.llm import common
 
@@ -46,6 +47,22 @@ def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenfiles.read(*tokenfiles.write(docs, public_tokenizers.path("byte_bpe_50k.json"), end_id=2))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op9_mix_sources": op9_mix_sources, "op8_shard": op8_shard, "op2_fingerprint": op2_fingerprint, "op5_bpe": op5_bpe, "op6_token_files": op6_token_files}
+def op10_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quarry.llm.topk import topk
 
-ORACLES: dict[str, str] = {}
+    return topk(common.read_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op9_mix_sources": op9_mix_sources, "op8_shard": op8_shard, "op2_fingerprint": op2_fingerprint, "op5_bpe": op5_bpe, "op6_token_files": op6_token_files, "op10_topk": op10_topk}
+
+ORACLES: dict[str, str] = {
+    "op10_topk": """
+        WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(64 * x::DOUBLE)) AS e FROM embeddings
+                   WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
+                     AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+             s AS (SELECT q.vec_id AS query_id, c.vec_id, list_dot_product(q.e, c.e)::BIGINT AS score
+                   FROM v q, v c WHERE q.vec_id % 20 = 0 AND c.vec_id <> q.vec_id),
+             r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INT AS rank FROM s)
+        SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 20
+    """,
+}
