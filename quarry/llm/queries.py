@@ -53,7 +53,15 @@ def op10_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk(common.read_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op9_mix_sources": op9_mix_sources, "op8_shard": op8_shard, "op2_fingerprint": op2_fingerprint, "op5_bpe": op5_bpe, "op6_token_files": op6_token_files, "op10_topk": op10_topk}
+def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quarry.llm import quality
+
+    docs = common.read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = quality.fit(docs, common.read_table(spark, sf_dir, "labels"), ~quality.held_out())
+    return quality.score(docs, model).select("doc_id", F.coalesce(quality.held_out(), F.lit(False)).alias("held_out"), "score", "predicted")
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op9_mix_sources": op9_mix_sources, "op8_shard": op8_shard, "op2_fingerprint": op2_fingerprint, "op5_bpe": op5_bpe, "op6_token_files": op6_token_files, "op10_topk": op10_topk, "op1_quality": op1_quality}
 
 ORACLES: dict[str, str] = {
     "op10_topk": """
