@@ -61,7 +61,13 @@ def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score(docs, model).select("doc_id", F.coalesce(quality.held_out(), F.lit(False)).alias("held_out"), "score", "predicted")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op9_mix_sources": op9_mix_sources, "op8_shard": op8_shard, "op2_fingerprint": op2_fingerprint, "op5_bpe": op5_bpe, "op6_token_files": op6_token_files, "op10_topk": op10_topk, "op1_quality": op1_quality}
+def op3_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quarry.llm.neardup import near_duplicates
+
+    return near_duplicates(common.read_table(spark, sf_dir, "documents").select("doc_id", "text"), width=2).select("doc_id", "n_shingles", "component_id", "kept")
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op9_mix_sources": op9_mix_sources, "op8_shard": op8_shard, "op2_fingerprint": op2_fingerprint, "op5_bpe": op5_bpe, "op6_token_files": op6_token_files, "op10_topk": op10_topk, "op1_quality": op1_quality, "op3_near_dedup": op3_near_dedup}
 
 ORACLES: dict[str, str] = {
     "op10_topk": """
