@@ -8,6 +8,7 @@ leaves at most, each in logarithmic time, and the word is done when the root hol
 from __future__ import annotations
 
 import json
+import re
 from array import array
 from collections.abc import Iterable, Iterator
 from functools import partial
@@ -22,13 +23,28 @@ from quarry.llm.common import others
 
 NEVER = 1 << 62
 #: Words whose ids a Python worker remembers at once; beyond that it starts over, which costs time only.
-MEMORY = 400_000
+MEMORY = 600_000
 #: Text with none of these characters needs no Unicode normal form, and its classes are as old as every Unicode table.
 UNUSUAL = regex.compile(r"[^\x00-\x1b\x20-ɏ]")
 #: The split patterns of byte-level vocabularies (as the vocabulary files' pre-tokenizers use them).
 BYTE_LEVEL = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
 
+def usual(pattern: str):
+    """findall of a split pattern for texts without UNUSUAL characters: \\p{L}, \\p{N} and \\s are spelled out up to
+    U+024F, so that the standard library's engine can be used, which is more than twice as fast here."""
+    spelled = {}
+    for kind in (r"\p{L}", r"\p{N}", r"\s"):
+        points = [c for c in range(0x250) if regex.match(kind, chr(c))]
+        starts = [c for c in points if c - 1 not in points]
+        ends = [c for c in points if c + 1 not in points]
+        spelled[kind] = "".join(f"\\u{a:04x}" + (f"-\\u{b:04x}" if b > a else "") for a, b in zip(starts, ends, strict=True))
+    kinds = regex.compile(r"\\p\{[LN]\}|\\s")
+    inside = regex.compile(r"\[(\^?)((?:\\p\{[LN]\}|\\s)+)\]")
+    pattern = inside.sub(lambda m: f"[{m[1]}" + kinds.sub(lambda k: spelled[k[0]], m[2]) + "]", pattern)
+    return re.compile(regex.sub(r"\\p\{[LN]\}", lambda k: f"[{spelled[k[0]]}]", pattern)).findall
+
+
 def byte_letters() -> list[str]:
     """The letter that stands for each byte in byte-level vocabularies: printable Latin-1 for itself, others from U+0100 on."""
     own = {b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or b >= 174}
@@ -128,7 +144,7 @@ class Bpe:
             pattern = BYTE_LEVEL
         else:
             raise ValueError("an unknown pre-tokenizer")
-        self.words = regex.compile(pattern).findall
+        self.words = usual(pattern)
         self.letters = byte_letters()
         self.bytes_of = {c: b for b, c in enumerate(self.letters)}
         self.path, self._library = path, None

@@ -17,13 +17,12 @@ from functools import partial
 import numpy as np
 import pyarrow as pa
 import pyarrow.fs as pafs
-import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from quarry.llm.bpe import BYTE_LEVEL, UNUSUAL, Memory
+from quarry.llm.bpe import BYTE_LEVEL, UNUSUAL, Memory, usual
 from quarry.llm.common import cut, shared_dir
 
 PART_IDS = 1 << 22
@@ -51,7 +50,7 @@ class Encoder:
         self.code = {"uint16": "H", "uint32": "I"}[dtype]
         pre = self.library.pre_tokenizer
         plain = self.library.normalizer is None and type(pre).__name__ == "ByteLevel" and not pre.add_prefix_space
-        self.words = regex.compile(BYTE_LEVEL).findall if plain else None
+        self.words = usual(BYTE_LEVEL) if plain else None
         self.added = [t.content for t in self.library.get_added_tokens_decoder().values()]
         self.known = Memory(self.whole)
 
@@ -64,6 +63,16 @@ class Encoder:
         return b"".join(map(self.known.__getitem__, self.words(text)))
 
 
+_loaded: dict[tuple[str, str], Encoder] = {}
+
+
+def loaded(path: str, dtype: str) -> Encoder:
+    """The encoder and what it remembers, once in each Python process."""
+    if (path, dtype) not in _loaded:
+        _loaded[path, dtype] = Encoder(path, dtype)
+    return _loaded[path, dtype]
+
+
 def id_type(path: str, end_id: int) -> str:
     from tokenizers import Tokenizer
 
@@ -74,7 +83,7 @@ def id_type(path: str, end_id: int) -> str:
 def _write(batches: Iterator[pa.RecordBatch], path: str, folder: str, dtype: str, end_id: int) -> Iterator[pa.RecordBatch]:
     """Writes this partition's part. A second attempt writes the same bytes; files appear whole, by a rename."""
     fs, base = store(folder)
-    encoder = Encoder(path, dtype)
+    encoder = loaded(path, dtype)
     end = np.array([end_id], dtype).tobytes()
     width = np.dtype(dtype).itemsize
     task = TaskContext.get()
