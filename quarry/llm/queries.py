@@ -67,7 +67,14 @@ def op3_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(common.read_table(spark, sf_dir, "documents").select("doc_id", "text"), width=2).select("doc_id", "n_shingles", "component_id", "kept")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op9_mix_sources": op9_mix_sources, "op8_shard": op8_shard, "op2_fingerprint": op2_fingerprint, "op5_bpe": op5_bpe, "op6_token_files": op6_token_files, "op10_topk": op10_topk, "op1_quality": op1_quality, "op3_near_dedup": op3_near_dedup}
+def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quarry.llm import pii
+
+    docs = common.read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    return pii.find(docs, pii.fit(docs))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op9_mix_sources": op9_mix_sources, "op8_shard": op8_shard, "op2_fingerprint": op2_fingerprint, "op5_bpe": op5_bpe, "op6_token_files": op6_token_files, "op10_topk": op10_topk, "op1_quality": op1_quality, "op3_near_dedup": op3_near_dedup, "op4_pii": op4_pii}
 
 ORACLES: dict[str, str] = {
     "op10_topk": """
