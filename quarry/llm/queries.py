@@ -74,7 +74,18 @@ def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.find(docs, pii.fit(docs))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op9_mix_sources": op9_mix_sources, "op8_shard": op8_shard, "op2_fingerprint": op2_fingerprint, "op5_bpe": op5_bpe, "op6_token_files": op6_token_files, "op10_topk": op10_topk, "op1_quality": op1_quality, "op3_near_dedup": op3_near_dedup, "op4_pii": op4_pii}
+def op7_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The target is what is labelled of good quality and not toxic."""
+    from quarry.llm import lmscore
+
+    docs = common.read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    good = common.read_table(spark, sf_dir, "labels").where("quality = 1 and toxic = 0").select(F.col("doc_id").alias("good")).distinct()
+    marked = docs.join(common.small_side(common.cut(good), rows=2_000_000), F.col("doc_id") == F.col("good"), "left")
+    target = F.col("good").isNotNull()
+    return lmscore.score(marked, target, *lmscore.fit(marked, target)).drop("good")
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op9_mix_sources": op9_mix_sources, "op8_shard": op8_shard, "op2_fingerprint": op2_fingerprint, "op5_bpe": op5_bpe, "op6_token_files": op6_token_files, "op10_topk": op10_topk, "op1_quality": op1_quality, "op3_near_dedup": op3_near_dedup, "op4_pii": op4_pii, "op7_lm_score": op7_lm_score}
 
 ORACLES: dict[str, str] = {
     "op10_topk": """
