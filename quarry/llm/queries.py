@@ -85,7 +85,15 @@ def op7_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lmscore.score(marked, target, *lmscore.fit(marked, target)).drop("good")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op9_mix_sources": op9_mix_sources, "op8_shard": op8_shard, "op2_fingerprint": op2_fingerprint, "op5_bpe": op5_bpe, "op6_token_files": op6_token_files, "op10_topk": op10_topk, "op1_quality": op1_quality, "op3_near_dedup": op3_near_dedup, "op4_pii": op4_pii, "op7_lm_score": op7_lm_score}
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
+_ALL = (op1_quality, op2_fingerprint, op3_near_dedup, op4_pii, op5_bpe, op6_token_files, op7_lm_score, op8_shard, op9_mix_sources, op10_topk, pipeline)
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in _ALL}
 
 ORACLES: dict[str, str] = {
     "op10_topk": """
