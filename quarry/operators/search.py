@@ -3,10 +3,16 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from dataclasses import dataclass
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quarry.schemas import RECORD_TYPES
+
+DEFAULT_K = 10
+HIT = ("repository_name", "branch", "commit_sha", "file_path", "line_start", "line_end", "symbol_name", "record_type", "summary", "code_snippet")
+
 
 def cosine(vector: Column, query: Sequence[float]) -> Column:
     """Cosine similarity to a constant vector, in double; null for a null or zero vector."""
@@ -19,3 +25,68 @@ def cosine(vector: Column, query: Sequence[float]) -> Column:
     dot = total(F.zip_with(vector, q, lambda a, b: a.cast("double") * b))
     own = F.sqrt(total(F.transform(vector, lambda a: a.cast("double") * a.cast("double"))))
     return F.try_divide(dot, own * F.lit(norm))
+
+
+@dataclass(frozen=True)
+class SearchQuery:
+    """What is asked for. Lists and names that are empty don't restrict. k below 1 means the default."""
+
+    vector: Sequence[float]
+    model: str | None = None
+    repositories: Sequence[str] = ()
+    branch: str | None = None
+    record_types: Sequence[str] = ()
+    k: int = DEFAULT_K
+    min_score: float | None = None
+    include_stale: bool = False
+    include_other_models: bool = False
+
+    def __post_init__(self):
+        unknown = [t for t in self.record_types if t not in RECORD_TYPES]
+        if unknown:
+            raise ValueError(f"unknown record type: {unknown[0]}")
+
+
+def nearest(rows: DataFrame, score: Column, tie: str, k: int = DEFAULT_K, min_score: float | None = None) -> DataFrame:
+    """The k rows with the largest score, ties by `tie`; rows without a score are left out. min_score is applied to those k."""
+    best = rows.withColumn("score", score).where("score is not null").orderBy(F.col("score").desc(), tie).limit(k if k > 0 else DEFAULT_K)
+    return best if min_score is None else best.where(F.col("score") >= min_score)
+
+
+def search(records: DataFrame, embeddings: DataFrame, q: SearchQuery) -> DataFrame:
+    """The hits of a query, best first: HIT columns and score.
+
+    Predicates are put on each side before the join, so they reach the scans; a record with several embeddings can be
+    several hits, one without any is none. The k best are found as a bounded heap in each task.
+    """
+    left = records if q.include_stale else records.where(~F.col("is_stale"))
+    if q.repositories:
+        left = left.where(F.col("repository_name").isin(*q.repositories))
+    if q.branch:
+        left = left.where(F.col("branch") == q.branch)
+    if q.record_types:
+        left = left.where(F.col("record_type").isin(*q.record_types))
+    right = embeddings if q.include_other_models or not q.model else embeddings.where(F.col("embedding_model") == q.model)
+    scored = right.select("code_record_id", cosine(F.col("embedding_vector"), q.vector).alias("s")).where("s is not null")
+    rows = left.select("id", *HIT).join(scored, F.col("id") == F.col("code_record_id"))
+    return nearest(rows, F.col("s"), "id", q.k, q.min_score).orderBy(F.col("score").desc(), "id").select(*HIT, "score")
+
+
+def unit_vectors(embeddings: DataFrame, column: str = "embedding_vector") -> DataFrame:
+    """Embeddings with vectors of length one, so that a dot product is the cosine; zero vectors become null."""
+    norm = F.sqrt(F.aggregate(F.transform(column, lambda a: a.cast("double") * a.cast("double")), F.lit(0.0), lambda a, x: a + x))
+    return embeddings.withColumn("__n", F.nullif(norm, F.lit(0.0))).withColumn(column, F.when(F.col("__n").isNotNull(), F.transform(column, lambda a: (a / F.col("__n")).cast("float")))).drop("__n")
+
+
+def approximate(embeddings: DataFrame, vector: Sequence[float], key: str, column: str, k: int = DEFAULT_K, tables: int = 8, width: float = 0.5, seed: int = 17) -> DataFrame:
+    """(key, score): the k best among the rows that share a bucket with the query in one of some random projections.
+    The exact search is `nearest`; this one reads fewer vectors and can miss some."""
+    from pyspark.ml.feature import BucketedRandomProjectionLSH
+    from pyspark.ml.functions import array_to_vector
+    from pyspark.ml.linalg import Vectors
+
+    unit = unit_vectors(embeddings.select(key, column), column).where(F.col(column).isNotNull()).withColumn("v", array_to_vector(column))
+    model = BucketedRandomProjectionLSH(inputCol="v", outputCol="h", bucketLength=width, numHashTables=tables, seed=seed).fit(unit)
+    length = sum(x * x for x in vector) ** 0.5 or 1.0
+    found = model.approxNearestNeighbors(unit, Vectors.dense([x / length for x in vector]), k, distCol="d")
+    return found.select(key, (1 - F.col("d") * F.col("d") / 2).alias("score"))
