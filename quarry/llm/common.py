@@ -3,12 +3,16 @@
 from __future__ import annotations
 
 import tempfile
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir, or a new local one where that is unset (tests)."""
@@ -20,10 +24,30 @@ def shared_dir(spark: SparkSession) -> str:
     return found
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """df, computed once and kept in the shared folder, so that a lost executor costs a reread and not the lineage."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+@contextmanager
+def settings(spark: SparkSession, **values: str) -> Iterator[None]:
+    """Session settings for the actions inside; they are put back afterwards."""
+    names = {"cleanup": CLEANUP, "batch": BATCH}
+    before = {names[k]: spark.conf.get(names[k], None) for k in values}
+    for k, v in values.items():
+        spark.conf.set(names[k], v)
+    try:
+        yield
+    finally:
+        for name, value in before.items():
+            spark.conf.unset(name) if value is None else spark.conf.set(name, value)
+
+
+def cut(df: DataFrame, batch: int | None = None) -> DataFrame:
+    """df, computed once and kept in the shared folder, so that a lost executor costs a reread and not the lineage.
+
+    Once the rows are kept, the shuffles that made them only take up disks and are removed. With `batch`, Python gets so many
+    rows at once at most, which bounds its memory where rows are large.
+    """
+    spark = df.sparkSession
+    shared_dir(spark)
+    with settings(spark, cleanup="true", **({"batch": str(batch)} if batch else {})):
+        return df.select("*").checkpoint(eager=True)
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quarry.llm import textscan
-from quarry.llm.common import cut, others
+from quarry.llm.common import cut, others, settings
 from quarry.llm.components import components
 
 SYMBOLS, WIDTH = 64, 4
@@ -37,8 +37,10 @@ LIMIT = 2 * CHUNKS - 1
 STARS = 2
 #: Counters of shingles, by hash, for the order of the exact test. Equal counts are ordered by the hash, so any size gives right results.
 COUNTERS = 1 << 17
-#: Ids of at most so many documents are broadcast to pick their texts; beyond that the join is shuffled.
-PICKED = 500_000
+#: At most so many ids, or pairs of ids, are broadcast to pick texts and sets; beyond that the join is shuffled.
+PICKED = 1_000_000
+#: Texts and sets, which can be large, that a Python worker gets at once.
+TEXTS, SETS = 1000, 32
 
 OUT = ("n_shingles", "component_id", "kept")
 _seeds = np.random.Generator(np.random.PCG64(11)).integers(1, 1 << 62, SYMBOLS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -124,6 +126,14 @@ def _members(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.Recor
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(raw, pa.binary())], names=["rep", "members"])
 
 
+def _within(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of (a, b, symbols of a, symbols of b) the pairs (a, b) within LIMIT."""
+    for batch in batches:
+        x, y = (np.frombuffer(b"".join(batch.column(i).to_pylist()), np.uint16).reshape(-1, SYMBOLS) for i in (2, 3))
+        near = (x != y).sum(axis=1) <= LIMIT
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(near))
+
+
 def _linked(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         keep = np.zeros(batch.num_rows, bool)
@@ -146,8 +156,11 @@ def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _rarest(held: DataFrame, percent: int) -> DataFrame:
-    """held (rep, members, component) as (shingle, place, rep, n, component): of each set the rarest shingles, of which similar sets share one."""
-    sums = held.select("rep", "members").mapInArrow(_counts, "counter int, count bigint").groupBy("counter").agg(F.sum("count").alias("count")).toArrow()  # COUNTERS rows at most
+    """held (rep, members, component) as (shingle, last, other, place, rep, n, component): of each set the rarest shingles, of which
+    similar sets share one, each with the two before it."""
+    sums = held.select("rep", "members").mapInArrow(_counts, "counter int, count bigint").groupBy("counter").agg(F.sum("count").alias("count"))
+    with settings(held.sparkSession, batch=str(SETS)):
+        sums = sums.toArrow()  # COUNTERS rows at most
     table = np.zeros(COUNTERS, np.int64)
     table[sums["counter"].to_numpy()] = sums["count"].to_numpy()
     shared = held.sparkSession.sparkContext.broadcast(table)
@@ -156,17 +169,20 @@ def _rarest(held: DataFrame, percent: int) -> DataFrame:
         for whole in batches:
             for i in range(0, whole.num_rows, 256):
                 batch = whole.slice(i, 256)
-                parts = []
+                parts, last, other = [], [], []
                 for x in batch.column(1):
                     h = np.frombuffer(x.as_buffer(), np.uint64)
                     order = np.lexsort((h, shared.value[(h & np.uint64(COUNTERS - 1)).astype(np.int64)]))
-                    parts.append(h[order[: len(h) - (percent * len(h) + 99) // 100 + 1]].view(np.int64))
+                    rare = h[order[: len(h) - (percent * len(h) + 99) // 100 + 1]].view(np.int64)
+                    parts.append(rare)
+                    last.append(rare[[0, *range(len(rare) - 1)]])
+                    other.append(rare[[0, 0, *range(len(rare) - 2)][: len(rare)]])
                 times = [len(x) for x in parts]
                 n = np.array([len(x.as_buffer()) // 8 for x in batch.column(1)], np.int64)
-                columns = [np.concatenate(parts), np.concatenate([np.arange(t) for t in times]), *(np.repeat(c, times) for c in (batch.column(0).to_numpy(), n, batch.column(2).to_numpy()))]
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["shingle", "place", "rep", "n", "component"])
+                columns = [np.concatenate(parts), np.concatenate(last), np.concatenate(other), np.concatenate([np.arange(t) for t in times]), *(np.repeat(c, times) for c in (batch.column(0).to_numpy(), n, batch.column(2).to_numpy()))]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["shingle", "last", "other", "place", "rep", "n", "component"])
 
-    return held.select("rep", "members", "component").mapInArrow(rows, "shingle bigint, place bigint, rep bigint, n bigint, component bigint")
+    return held.select("rep", "members", "component").mapInArrow(rows, "shingle bigint, last bigint, other bigint, place bigint, rep bigint, n bigint, component bigint")
 
 
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
@@ -180,7 +196,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     """
     kept = others(docs, OUT)
     texts = docs.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    signed = cut(texts.mapInArrow(partial(_signed, width=width), "doc_id bigint, n bigint, f1 bigint, f2 bigint, symbols binary"))
+    signed = cut(texts.mapInArrow(partial(_signed, width=width), "doc_id bigint, n bigint, f1 bigint, f2 bigint, symbols binary"), batch=TEXTS)
     classes = cut(signed.where("n > 0").groupBy("n", "f1", "f2").agg(F.min("doc_id").alias("rep"), F.first("symbols").alias("symbols")))
     found = classes.select("rep", F.col("rep").alias("component"))
     links = _links(texts, classes, width, percent)
@@ -207,7 +223,8 @@ def _links(texts: DataFrame, classes: DataFrame, width: int, percent: int) -> Da
         return None
     wanted = need.select(F.col("rep").alias("id"))
     picked = texts.join(F.broadcast(wanted) if n_need <= PICKED else wanted, F.col("doc_id") == F.col("id")).select("doc_id", "text")
-    held = cut(picked.mapInArrow(partial(_members, width=width), "rep bigint, members binary"))
+    held = cut(picked.mapInArrow(partial(_members, width=width), "rep bigint, members binary"), batch=TEXTS)
+    signs = cut(need.select(F.col("rep").alias("r")).join(classes.select("rep", "symbols"), F.col("r") == F.col("rep")).select("rep", "symbols"))
     ranked = cut(at.join(need.withColumnRenamed("rep", "r"), F.col("rep") == F.col("r")).select("key", "rep", "n", "degree"))
     near = (F.lit(100) * F.least("n", "m") >= F.lit(percent) * F.greatest("n", "m"))
     links = tested = None
@@ -217,7 +234,8 @@ def _links(texts: DataFrame, classes: DataFrame, width: int, percent: int) -> Da
             now = ranked.withColumn("component", F.col("rep"))
         else:
             now = ranked.join(labels.withColumnRenamed("node", "v"), F.col("rep") == F.col("v"), "left").select("key", "rep", "n", "degree", F.coalesce("component", "rep").alias("component"))
-            open_keys = now.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select(F.col("key").alias("k"))
+            # a key of two documents was done with its first star
+            open_keys = now.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count(F.lit(1)).alias("rows")).where("lo < hi and rows > 2").select(F.col("key").alias("k"))
             ranked = now = cut(now.join(open_keys, F.col("key") == F.col("k"), "left_semi"))
             ranked = ranked.drop("component")
         if star < STARS:
@@ -226,24 +244,31 @@ def _links(texts: DataFrame, classes: DataFrame, width: int, percent: int) -> Da
             pairs = now.join(centres, F.col("key") == F.col("k")).where((F.col("component") != F.col("c")) & near).select(F.least("rep", "centre").alias("a"), F.greatest("rep", "centre").alias("b"))
         else:
             left = now.select("rep", "component").distinct()
-            left = cut(_rarest(left.join(held.withColumnRenamed("rep", "r"), F.col("rep") == F.col("r")).select("rep", "members", "component"), percent))
-            right = left.select(F.col("shingle").alias("k"), F.col("rep").alias("centre"), F.col("n").alias("m"), F.col("place").alias("q"), F.col("component").alias("c"))
+            left = cut(_rarest(left.join(held.withColumnRenamed("rep", "r"), F.col("rep") == F.col("r")).select("rep", "members", "component"), percent), batch=SETS)
+            right = left.select(F.col("shingle").alias("k"), F.col("rep").alias("centre"), F.col("n").alias("m"), F.col("place").alias("q"), F.col("component").alias("c"), F.col("last").alias("l2"), F.col("other").alias("o2"))
+            # where one of the two shingles before is shared too, the pair comes from that one: the first shared is never left out
+            later = (F.col("place") > 0) & (F.col("q") > 0) & (F.col("last").isin(F.col("l2"), F.col("o2")) | F.col("other").isin(F.col("l2"), F.col("o2")))
             enough = F.lit(100 + percent) * F.least(F.col("n") - F.col("place"), F.col("m") - F.col("q")) >= F.lit(percent) * (F.col("n") + F.col("m"))
-            pairs = left.join(right, (F.col("shingle") == F.col("k")) & (F.col("rep") < F.col("centre")) & (F.col("component") != F.col("c")) & near & enough).select(F.col("rep").alias("a"), F.col("centre").alias("b"))
+            pairs = left.join(right, (F.col("shingle") == F.col("k")) & (F.col("rep") < F.col("centre")) & (F.col("component") != F.col("c")) & near & enough & ~later).select(F.col("rep").alias("a"), F.col("centre").alias("b"))
         pairs = pairs.distinct()
         if tested is not None:
             pairs = pairs.join(tested.select(F.col("a").alias("a2"), F.col("b").alias("b2")), (F.col("a") == F.col("a2")) & (F.col("b") == F.col("b2")), "left_anti")
-        pairs = cut(pairs)
-        if pairs.isEmpty():
+        signed = (
+            pairs.join(signs.select(F.col("rep").alias("ra"), F.col("symbols").alias("x")), F.col("a") == F.col("ra"))
+            .join(signs.select(F.col("rep").alias("rb"), F.col("symbols").alias("y")), F.col("b") == F.col("rb"))
+            .select("a", "b", "x", "y")
+        )
+        pairs = cut(signed.mapInArrow(_within, "a bigint, b bigint"))
+        n_pairs = pairs.count()
+        if not n_pairs:
             if star == STARS or now.isEmpty():
                 break
             continue
-        both = (
-            pairs.join(held.select(F.col("rep").alias("ra"), F.col("members").alias("x")), F.col("a") == F.col("ra"))
-            .join(held.select(F.col("rep").alias("rb"), F.col("members").alias("y")), F.col("b") == F.col("rb"))
-            .select("a", "b", "x", "y")
-        )
-        new = cut(both.mapInArrow(partial(_linked, percent=percent), "a bigint, b bigint"))
+        small = F.broadcast if n_pairs <= PICKED else (lambda rows: rows)
+        one = held.join(small(pairs), F.col("rep") == F.col("b")).select("a", "b", F.col("members").alias("y"))
+        other = held.join(small(pairs.select("a").distinct()), F.col("rep") == F.col("a")).select(F.col("rep").alias("ra"), F.col("members").alias("x"))
+        both = one.join(other, F.col("a") == F.col("ra")).select("a", "b", "x", "y")
+        new = cut(both.mapInArrow(partial(_linked, percent=percent), "a bigint, b bigint"), batch=SETS)
         links = new if links is None else cut(links.unionByName(new))
         if star == STARS:
             break
