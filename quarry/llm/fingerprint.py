@@ -77,12 +77,17 @@ def _lanes(fingerprint: Column, start: int, count: int, digits: int) -> Column:
     return F.transform(cutter, lambda i: F.conv(F.substring(text, F.lit(start + 1) + i * digits, F.lit(digits)), 16, 10).cast("long"))
 
 
+def _summed(x: Column, y: Column, sign: int, digits: int) -> Column:
+    """Lanes of so many hexadecimal digits, added or taken off modulo their size, as text."""
+    sums = F.zip_with(x, y, lambda a, b: F.pmod(a + F.lit(sign) * b, F.lit(16**digits)))
+    return F.array_join(F.transform(sums, lambda v: F.lpad(F.hex(v), digits, "0")), "")
+
+
 def _combined(x: Column, y: Column, sign: int) -> Column:
     groups = ((0, EQUAL + 1, 8), (8 * (EQUAL + 1), LIKE, 4))
     parts = []
     for start, count, digits in groups:
-        sums = F.zip_with(_lanes(x, start, count, digits), _lanes(y, start, count, digits), lambda a, b, m=16**digits: F.pmod(a + F.lit(sign) * b, F.lit(m)))
-        parts.append(F.array_join(F.transform(sums, lambda v, d=digits: F.lpad(F.hex(v), d, "0")), ""))
+        parts.append(_summed(_lanes(x, start, count, digits), _lanes(y, start, count, digits), sign, digits))
     return F.translate(F.base64(F.unhex(F.concat(*parts))), "\r\n", "")
 
 
