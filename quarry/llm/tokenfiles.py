@@ -156,7 +156,8 @@ def _read(batches: Iterator[pa.RecordBatch], folder: str, dtype: str) -> Iterato
 
 def read(folder: str, dtype: str, parts: DataFrame) -> DataFrame:
     """(doc_id, start, n_tokens, ids_crc32) of every document, from the files. start counts from the first part's first id."""
-    spread = parts.select("part", "base").repartition(F.col("part"))
+    spread = parts.select("part", "base")
+    spread = spread.repartition(max(1, spread.count()), "part")
     return spread.mapInArrow(partial(_read, folder=folder, dtype=dtype), "doc_id bigint, start bigint, n_tokens bigint, ids_crc32 bigint")
 
 
