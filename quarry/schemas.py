@@ -14,7 +14,7 @@ SCAN_STATES = ("running", "completed", "failed")
 
 def _struct(spec: str) -> T.StructType:
     """Fields as `name type`, with ! where null is not allowed."""
-    kinds = {"string": T.StringType(), "int": T.IntegerType(), "boolean": T.BooleanType(), "timestamp": T.TimestampType(), "vector": T.ArrayType(T.FloatType(), False)}
+    kinds = {"string": T.StringType(), "int": T.IntegerType(), "boolean": T.BooleanType(), "timestamp": T.TimestampType(), "vector": T.ArrayType(T.FloatType())}
     fields = []
     for item in spec.split(","):
         name, kind = item.split()

@@ -17,22 +17,54 @@ from quarry.functions.text import slashes
 FILES = "path string, length bigint, content string"
 
 
+def _hidden(fs, base: str, hadoop_path, ignore: Sequence[str], max_bytes: int) -> list[tuple[str, int]]:
+    """(path, length) of files that Spark's readers leave out: those whose name, or a folder's on the way, starts with . or _."""
+    wanted, found, depth = {p.strip(" /").lower() for p in ignore}, [], 1
+    safe = re.sub(r"([\[\]{}*?\\])", r"\\\1", base)
+    while len(fs.globStatus(hadoop_path(safe + "/*" * depth)) or ()):
+        for up in range(depth):
+            pattern = safe + "/*" * up + "/[._]*" + "/[!._]*" * (depth - 1 - up)
+            for status in fs.globStatus(hadoop_path(pattern)) or ():
+                path = status.getPath().toString()
+                parts = {x.lower() for x in path[len(base) :].split("/")}
+                if status.isFile() and status.getLen() <= max_bytes and not parts & wanted:
+                    found.append((path, status.getLen()))
+        depth += 1
+    return sorted(set(found))
+
+
+def _read_hidden(frames):
+    import pyarrow.fs as pafs
+
+    for frame in frames:
+        data = []
+        for path in frame["path"]:
+            fs, at = pafs.FileSystem.from_uri(path if "://" in path else "file://" + path.removeprefix("file:"))
+            with fs.open_input_stream(at) as f:
+                data.append(f.read())
+        yield frame.assign(content=data)
+
+
 def scan_files(spark: SparkSession, root: str, ignore: Sequence[str] = IGNORED, max_kb: int = 512) -> DataFrame:
     """(path, length, content) of the files below root that aren't ignored and have max_kb * 1024 bytes at most.
 
     Paths are relative with forward slashes. Sizes are compared while files are listed, and ignored paths are left out before
     any content is decoded. Text is UTF-8, a byte order mark is dropped, and a file that isn't UTF-8 has null content.
-    A missing root gives no rows.
+    A missing root gives no rows. Names that start with . or _, which Spark's readers leave out, are listed by their file system.
     """
-    fs_path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(root)
-    if not fs_path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(fs_path):
+    hadoop_path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    fs = hadoop_path(root).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not fs.exists(hadoop_path(root)):
         return spark.createDataFrame([], FILES)
-    base = fs_path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(fs_path).toString().rstrip("/") + "/"
+    base = fs.makeQualified(hadoop_path(root)).toString().rstrip("/")
     raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("ignoreMissingFiles", "true").load(root)
-    at = F.regexp_replace(slashes(F.col("path")), "^" + re.sub("/+", "/+", re.escape(base)), "")
-    found = raw.where(F.col("length") <= max_kb * 1024).select(at.alias("path"), "length", "content")
+    found = raw.where(F.col("length") <= max_kb * 1024).select("path", "length", "content")
+    hidden = _hidden(fs, base, hadoop_path, ignore, max_kb * 1024)
+    if hidden:
+        found = found.unionByName(spark.createDataFrame(hidden, "path string, length bigint").mapInPandas(_read_hidden, "path string, length bigint, content binary"))
+    at = F.regexp_replace(slashes(F.col("path")), "^" + re.sub("/+", "/+", re.escape(base)) + "/+", "")
     bytes_ = F.when(F.hex(F.substring("content", 1, 3)) == "EFBBBF", F.expr("substring(content, 4)")).otherwise(F.col("content"))
-    kept = found.where(~is_ignored(F.col("path"), ignore))
+    kept = found.withColumn("path", at).where(~is_ignored(F.col("path"), ignore))
     return kept.withColumn("content", F.try_validate_utf8(bytes_.cast("string")))
 
 
