@@ -19,11 +19,12 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
+from quarry.llm import textscan
 from quarry.llm.common import others
 
 NEVER = 1 << 62
 #: Words whose ids a Python worker remembers at once; beyond that it starts over, which costs time only.
-MEMORY = 600_000
+MEMORY = 300_000
 #: Text with none of these characters needs no Unicode normal form, and its classes are as old as every Unicode table.
 UNUSUAL = regex.compile(r"[^\x00-\x1b\x20-ɏ]")
 #: The split patterns of byte-level vocabularies (as the vocabulary files' pre-tokenizers use them).
@@ -245,38 +246,48 @@ DIGEST = ("n_tokens", "ids_sha256", "decoded_sha256")
 FULL = ("ids", "decoded")
 
 
-def _batches(batches: Iterator[pa.RecordBatch], path: str, full: bool) -> Iterator[pa.RecordBatch]:
+def _batches(batches: Iterator[pa.RecordBatch], path: str, at: int, kind: str) -> Iterator[pa.RecordBatch]:
+    """kind: digests (in place of text), ids (in place of text), or ids and decoded (beside it)."""
     bpe = loaded(path)
-    for batch in batches:
-        at = batch.schema.get_field_index("text")
-        n, ids_out, text_out = [], [], []
-        for value in batch.column(at):
-            ids, decoded = bpe.round_trip(value.as_py() or "")
-            n.append(len(ids) // 4)
-            ids_out.append(ids if full else sha256(ids).hexdigest())
-            text_out.append(decoded if full else sha256(decoded.encode("utf-8")).hexdigest())
-        rest = [batch.column(i) for i in range(batch.num_columns) if full or i != at]
-        names = [f for i, f in enumerate(batch.schema.names) if full or i != at]
-        if full:
-            flat = pa.array(memoryview(b"".join(ids_out)).cast("I"), pa.uint32()).cast(pa.int32())
-            offsets = pa.array([0, *accumulate(n)], pa.int32())
-            added = [pa.ListArray.from_arrays(offsets, flat), pa.array(text_out, pa.string())]
-            yield pa.RecordBatch.from_arrays([*rest, *added], names=[*names, *FULL])
-        else:
-            added = [pa.array(n, pa.int64()), pa.array(ids_out, pa.string()), pa.array(text_out, pa.string())]
-            yield pa.RecordBatch.from_arrays([*rest, *added], names=[*names, *DIGEST])
+    for whole in batches:
+        for batch in textscan.pieces(whole, at):
+            n, ids_out, text_out = [], [], []
+            for value in batch.column(at):
+                text = value.as_py() or ""
+                ids, decoded = (bpe.encode(text), "") if kind == "ids" else bpe.round_trip(text)
+                n.append(len(ids) // 4)
+                ids_out.append(sha256(ids).hexdigest() if kind == "digests" else ids)
+                text_out.append(sha256(decoded.encode("utf-8")).hexdigest() if kind == "digests" else decoded)
+            keep = [i for i in range(batch.num_columns) if kind == "both" or i != at]
+            rest, names = [batch.column(i) for i in keep], [batch.schema.names[i] for i in keep]
+            if kind == "digests":
+                added = dict(zip(DIGEST, [pa.array(n, pa.int64()), pa.array(ids_out, pa.string()), pa.array(text_out, pa.string())], strict=True))
+            else:
+                flat = pa.Array.from_buffers(pa.int32(), sum(n), [None, pa.py_buffer(b"".join(ids_out))])
+                added = {"ids": pa.ListArray.from_arrays(pa.array([0, *accumulate(n)], pa.int32()), flat)}
+                if kind == "both":
+                    added["decoded"] = pa.array(text_out, pa.string())
+            yield pa.RecordBatch.from_arrays([*rest, *added.values()], names=[*names, *added])
+
+
+def _mapped(docs: DataFrame, path: str, own: tuple[str, ...], kind: str, added: str) -> DataFrame:
+    rows = docs.select(*others(docs, own))
+    at = rows.columns.index("text")
+    names = [f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields if kind == "both" or f.name != "text"]
+    return rows.mapInArrow(partial(_batches, path=path, at=at, kind=kind), ", ".join([*names, added]))
 
 
 def encode(docs: DataFrame, path: str) -> DataFrame:
     """docs (text, ...) with ids (array<int>) and decoded (string). Null texts count as empty: no ids, empty text.
     Rows stay where they are; nothing is shuffled. Other columns pass through."""
-    rows = docs.select(*others(docs, FULL))
-    names = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields)
-    return rows.mapInArrow(partial(_batches, path=path, full=True), f"{names}, ids array<int>, decoded string")
+    return _mapped(docs, path, FULL, "both", "ids array<int>, decoded string")
+
+
+def encode_only(docs: DataFrame, path: str) -> DataFrame:
+    """docs without text, with ids (array<int>)."""
+    return _mapped(docs, path, FULL, "ids", "ids array<int>")
 
 
 def digests(docs: DataFrame, path: str) -> DataFrame:
     """docs without text, with n_tokens and the SHA-256 of the ids (unsigned 32-bit, little-endian) and of the decoded text."""
-    rows = docs.select(*others(docs, DIGEST))
-    names = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields if f.name != "text")
-    return rows.mapInArrow(partial(_batches, path=path, full=False), f"{names}, n_tokens bigint, ids_sha256 string, decoded_sha256 string")
+    return _mapped(docs, path, DIGEST, "digests", "n_tokens bigint, ids_sha256 string, decoded_sha256 string")
