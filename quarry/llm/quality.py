@@ -17,23 +17,32 @@ from quarry.llm.common import others
 BUCKETS = 1 << 20
 #: Labelled rows that training reads at most: those with the smallest hash of their id.
 SAMPLE = 6000
+#: How far back a word's repetition is looked for.
+AGAIN = 8
+#: A text's n-grams weigh this in all.
+SCALE = 10.0
 
 OUT = ("score", "predicted")
 
 
 def features(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """Buckets of all words and word pairs of the texts, and n + 1 bounds."""
-    hashes, bounds = textscan.words(*textscan.text_bytes(column))
+    """Buckets of the texts' n-grams, and n + 1 bounds. These are all words (marks are words of their own), all pairs of words, and
+    for a word that stands up to AGAIN words before too, the gram that says how far, whatever the word."""
+    hashes, bounds = textscan.words(*textscan.text_bytes(column), marks=True)
     if len(hashes) == 0:
         return np.zeros(0, np.int64), np.zeros(len(bounds), np.int64)
-    both = np.empty(2 * len(hashes), np.uint64)  # a word, then its pair with the next word
-    both[0::2] = hashes
-    both[1:-1:2] = textscan.pairs(hashes)
-    keep = np.ones(len(both), bool)
-    last = bounds[1:][np.diff(bounds) > 0] - 1  # a text's last word has no next one
-    keep[2 * last + 1] = False
-    counts = np.concatenate([[0], np.cumsum(keep)])
-    return (both[keep] & np.uint64(BUCKETS - 1)).astype(np.int64), counts[2 * bounds]
+    n = len(hashes)
+    grams, keep = np.zeros((n, 3), np.uint64), np.ones((n, 3), bool)  # a word, its pair with the next one, its repetition
+    grams[:, 0] = hashes
+    grams[:-1, 1] = textscan.pairs(hashes)
+    keep[bounds[1:][np.diff(bounds) > 0] - 1, 1] = False  # a text's last word has no next one
+    text = np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))
+    for lag in range(AGAIN, 0, -1):
+        again = np.flatnonzero((hashes[lag:] == hashes[:-lag]) & (text[lag:] == text[:-lag])) + lag
+        grams[again, 2] = textscan.mix(np.array([lag], np.uint64))[0]
+    keep[:, 2] = grams[:, 2] > 0
+    counts = np.concatenate([[0], np.cumsum(keep.ravel())])
+    return (grams[keep] & np.uint64(BUCKETS - 1)).astype(np.int64), counts[3 * bounds]
 
 
 @dataclass
@@ -42,31 +51,33 @@ class Model:
     bias: float
 
     def scores(self, column: pa.Array) -> np.ndarray:
-        """Sparse dot products through the logistic function: n-gram counts over the root of their number. Empty: the bias alone."""
+        """Sparse dot products through the logistic function: SCALE times the n-grams' shares of the text. Empty: the bias alone."""
         buckets, bounds = features(column)
         run = np.concatenate([[0.0], np.cumsum(self.weights[buckets], dtype=np.float64)])
-        z = (run[bounds[1:]] - run[bounds[:-1]]) / np.sqrt(np.maximum(np.diff(bounds), 1)) + self.bias
+        z = SCALE * (run[bounds[1:]] - run[bounds[:-1]]) / np.maximum(np.diff(bounds), 1) + self.bias
         return 1.0 / (1.0 + np.exp(-np.clip(z, -35.0, 35.0)))
 
 
-def train(examples: list[tuple[int, np.ndarray, np.ndarray]], alpha: float = 0.2, beta: float = 1.0, l1: float = 0.05, l2: float = 1.0, epochs: int = 4) -> Model:
+def train(examples: list[tuple[int, np.ndarray, np.ndarray]], alpha: float = 10.0, beta: float = 1.0, l1: float = 0.01, l2: float = 0.1, epochs: int = 4) -> Model:
     """examples: (label, distinct buckets, values). One FTRL-proximal update for each in turn; without examples every score is 0.5."""
     z, n = np.zeros(BUCKETS + 1), np.zeros(BUCKETS + 1)  # the last is the bias, with value 1
 
-    def weights(i: np.ndarray) -> np.ndarray:
-        return np.where(np.abs(z[i]) <= l1, 0.0, -(z[i] - np.sign(z[i]) * l1) / ((beta + np.sqrt(n[i])) / alpha + l2))
+    def weights(z: np.ndarray, n: np.ndarray) -> np.ndarray:
+        return np.where(np.abs(z) <= l1, 0.0, -(z - np.sign(z) * l1) / ((beta + np.sqrt(n)) / alpha + l2))
 
     for epoch in range(epochs):
         for k in np.random.Generator(np.random.PCG64(epoch)).permutation(len(examples)):
-            label, i, x = examples[k]
-            w = weights(i)
+            label, buckets, values = examples[k]
+            i, x = np.append(buckets, BUCKETS), np.append(values, 1.0)
+            old_z, old_n = z[i], n[i]
+            w = weights(old_z, old_n)
             p = 1.0 / (1.0 + np.exp(-np.clip(w @ x, -35.0, 35.0)))
             g = (p - label) * x
-            step = (np.sqrt(n[i] + g * g) - np.sqrt(n[i])) / alpha
-            z[i] += g - step * w
-            n[i] += g * g
-    w = weights(np.arange(BUCKETS + 1))
-    return Model(w[:-1].astype(np.float32), float(w[-1]))
+            new_n = old_n + g * g
+            z[i] = old_z + g - (np.sqrt(new_n) - np.sqrt(old_n)) / alpha * w
+            n[i] = new_n
+    bias = float(weights(z[-1:], n[-1:])[0])
+    return Model(weights(z[:-1], n[:-1]).astype(np.float32), bias)
 
 
 def _examples(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -77,7 +88,7 @@ def _examples(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for a, b in zip(bounds[:-1], bounds[1:], strict=True):
                 i, c = np.unique(buckets[a:b], return_counts=True)
                 idx.append(i.astype("<i4").tobytes())
-                val.append((c / np.sqrt(max(b - a, 1))).astype("<f4").tobytes())
+                val.append((SCALE * c / max(b - a, 1)).astype("<f4").tobytes())
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(idx, pa.binary()), pa.array(val, pa.binary())], names=["doc_id", "label", "idx", "val"])
 
 
@@ -91,9 +102,9 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column, target: str = "qualit
     rows = rows.orderBy(F.xxhash64("__id"), "__id", "label").limit(sample)
     joined = docs.select("doc_id", "text").join(F.broadcast(rows), F.col("doc_id") == F.col("__id"))  # at most `sample` pairs of numbers
     table = joined.select(F.col("doc_id").cast("long").alias("doc_id"), "label", "text").mapInArrow(_examples, "doc_id bigint, label int, idx binary, val binary").toArrow()
-    found = sorted(zip(table["doc_id"].to_pylist(), table["label"].to_pylist(), table["idx"].to_pylist(), table["val"].to_pylist(), strict=True))
-    bias_i, bias_x = np.array([BUCKETS], np.int64), np.array([1.0])
-    return train([(y, np.concatenate([np.frombuffer(i, "<i4").astype(np.int64), bias_i]), np.concatenate([np.frombuffer(x, "<f4").astype(np.float64), bias_x])) for _, y, i, x in found])
+    order = table.select(["doc_id", "label"]).append_column("row", pa.array(range(table.num_rows), pa.int64())).sort_by([("doc_id", "ascending"), ("label", "ascending"), ("row", "ascending")])
+    parts = list(zip(*([x.as_buffer() for chunk in table[c].chunks for x in chunk] for c in ("idx", "val")), strict=True))  # views into the table
+    return train([(y, np.frombuffer(parts[r][0], "<i4"), np.frombuffer(parts[r][1], "<f4")) for y, r in zip(order["label"].to_pylist(), order["row"].to_pylist(), strict=True)])
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:

@@ -17,6 +17,9 @@ BASE = np.uint64(0x9E3779B97F4A7C15)
 
 _spaces = np.zeros(256, bool)
 _spaces[[0x20, *range(0x09, 0x0E)]] = True
+_kinds = np.full(256, 2, np.uint8)  # 0 white space, 1 letters, digits and all beyond ASCII, 2 marks
+_kinds[_spaces] = 0
+_kinds[[*range(0x30, 0x3A), *range(0x41, 0x5B), *range(0x61, 0x7B), *range(0x80, 0x100)]] = 1
 _values = np.random.Generator(np.random.PCG64(7)).integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _values[0x41:0x5B] = _values[0x61:0x7B]
 _powers: list[np.ndarray] = []
@@ -53,20 +56,22 @@ def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return whole[at[0] : at[-1]], at - at[0]
 
 
-def words(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of all words of the texts, and n + 1 bounds: text i has the words bounds[i] to bounds[i + 1]."""
+def words(data: np.ndarray, at: np.ndarray, marks: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of all words of the texts, and n + 1 bounds: text i has the words bounds[i] to bounds[i + 1].
+
+    With `marks`, runs of marks and runs of letters and digits are words of their own.
+    """
     n = len(data)
     if n == 0:
         return np.zeros(0, np.uint64), np.zeros(len(at), np.int64)
     space = _spaces[data]
-    edge = np.empty(n + 1, bool)  # no word goes on across position i
-    edge[0] = edge[n] = True
-    edge[1:n] = space[:-1]
-    edge[at] = True
-    starts = np.flatnonzero(~space & edge[:-1])
-    edge[:n] = space
-    edge[at] = True
-    ends = np.flatnonzero(~space & edge[1:]) + 1
+    kind = _kinds[data] if marks else space
+    change = np.empty(n + 1, bool)  # no word goes on across position i
+    change[1:n] = kind[1:] != kind[:-1]
+    change[0] = change[n] = True
+    change[at] = True
+    starts = np.flatnonzero(~space & change[:-1])
+    ends = np.flatnonzero(~space & change[1:]) + 1
     hashes = np.empty(len(starts), np.uint64)
     i = 0
     with np.errstate(over="ignore"):

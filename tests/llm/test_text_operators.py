@@ -36,6 +36,14 @@ def test_words(texts):
     assert len(set(seen.values())) == len(seen)
 
 
+@settings(max_examples=100, deadline=None)
+@given(st.text(alphabet="aB1 é.!-\n", max_size=40), st.text(alphabet="aB1 é.!-\n", max_size=40))
+def test_words_and_marks(one, two):
+    hashes, bounds = textscan.words(*textscan.text_bytes(pa.array([one, two])), marks=True)
+    plain, at = textscan.words(*textscan.text_bytes(pa.array([" ".join(re.findall(r"[a-zA-Z0-9é]+|[^a-zA-Z0-9é\s]+", t)) for t in (one, two)])))
+    assert hashes.tolist() == plain.tolist() and bounds.tolist() == at.tolist()
+
+
 def test_words_over_several_spans(monkeypatch):
     texts = pa.array(["ab " * 50 + "c" * 40, "ab", None, "c" * 40])
     whole, bounds = textscan.words(*textscan.text_bytes(texts))
@@ -65,7 +73,7 @@ def test_quality(spark):
     assert quality.score(empty(spark), quality.fit(empty(spark), labels, F.lit(True))).count() == 0 and quality.train([]).scores(pa.array(["a"]))[0] == 0.5
     # a score is the sparse dot product
     buckets, bounds = quality.features(pa.array(["a b a"]))
-    assert bounds.tolist() == [0, 5] and quality.Model(model.weights, 0.5).scores(pa.array(["a b a"]))[0] == pytest.approx(1 / (1 + math.exp(-(model.weights[buckets].sum() / math.sqrt(5) + 0.5))))
+    assert bounds.tolist() == [0, 6] and quality.Model(model.weights, 0.5).scores(pa.array(["a b a"]))[0] == pytest.approx(1 / (1 + math.exp(-(quality.SCALE * model.weights[buckets].mean() + 0.5))))
 
 
 def brute_spans(text):
