@@ -100,7 +100,7 @@ def _signed(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.Record
                 f1, f2 = ((x[bounds[1:]] - x[bounds[:-1]]).view(np.int64) for x in sums)
             rows = iter(signatures(members, bounds))
             symbols = [next(rows).tobytes() if x else None for x in n.tolist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n), pa.array(f1), pa.array(f2), pa.array(symbols, pa.binary())], names=["doc_id", "n", "f1", "f2", "symbols"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(n), pa.array(f1), pa.array(f2), pa.array(symbols, pa.binary())], names=["doc_id", "h", "n", "f1", "f2", "symbols"])
 
 
 def _keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -196,7 +196,8 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     """
     kept = others(docs, OUT)
     texts = docs.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    signed = cut(texts.mapInArrow(partial(_signed, width=width), "doc_id bigint, n bigint, f1 bigint, f2 bigint, symbols binary"), batch=TEXTS)
+    hashed = texts.select("doc_id", "text", F.xxhash64("text").alias("h"))
+    signed = cut(hashed.mapInArrow(partial(_signed, width=width), "doc_id bigint, h bigint, n bigint, f1 bigint, f2 bigint, symbols binary"), batch=TEXTS)
     classes = cut(signed.where("n > 0").groupBy("n", "f1", "f2").agg(F.min("doc_id").alias("rep"), F.first("symbols").alias("symbols")))
     found = classes.select("rep", F.col("rep").alias("component"))
     links = _links(texts, classes, width, percent)
@@ -204,12 +205,10 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
         joined = components(links)
         found = classes.select("rep").join(joined, F.col("rep") == F.col("node"), "left").select("rep", F.coalesce("component", "rep").alias("component"))
     named = classes.select("n", "f1", "f2", F.col("rep").alias("r")).join(found, F.col("r") == F.col("rep")).select(F.col("n").alias("n2"), F.col("f1").alias("g1"), F.col("f2").alias("g2"), "component")
-    rows = signed.select("doc_id", "n", "f1", "f2").join(named, (F.col("n") == F.col("n2")) & (F.col("f1") == F.col("g1")) & (F.col("f2") == F.col("g2")), "left")
-    result = rows.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id")).withColumn("kept", F.col("doc_id") == F.col("component_id"))
-    if [c.lower() for c in kept] == ["doc_id"]:
-        return result
-    by = result.dropDuplicates(["doc_id"]).withColumnRenamed("doc_id", "__id")
-    return docs.select(*kept).join(by, F.col("doc_id") == F.col("__id"), "left").select(*kept, "n_shingles", "component_id", F.coalesce("kept", F.lit(True)).alias("kept"))
+    rows = signed.select("doc_id", "h", "n", "f1", "f2").join(named, (F.col("n") == F.col("n2")) & (F.col("f1") == F.col("g1")) & (F.col("f2") == F.col("g2")), "left")
+    by = rows.select(F.col("doc_id").alias("__id"), F.col("h").alias("__h"), F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id")).dropDuplicates(["__id", "__h"])
+    joined = docs.select(*kept).join(by, (F.col("doc_id") == F.col("__id")) & (F.xxhash64("text") == F.col("__h")), "left")
+    return joined.select(*kept, "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"))
 
 
 def _links(texts: DataFrame, classes: DataFrame, width: int, percent: int) -> DataFrame | None:
