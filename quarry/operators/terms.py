@@ -11,6 +11,19 @@ from quarry.functions.classify import identifier_match, word_match
 from quarry.functions.text import lines
 
 
+def _in_words(term: str):
+    """Whether a line has the term between word boundaries; most lines are left out before the pattern is tried."""
+    return lambda r: F.lower(r).contains(term.lower()) & word_match(r, F.lit(term))
+
+
+def _as_name(term: str):
+    return lambda r: r.contains(term) & identifier_match(r, F.lit(term))
+
+
+def _holding(term: str):
+    return lambda r: r.contains(term)
+
+
 def term_tallies(files: DataFrame, terms: Sequence[str]) -> DataFrame:
     """(path, term, match_kind, hit_count, first_line) from files (path, content).
 
@@ -18,18 +31,18 @@ def term_tallies(files: DataFrame, terms: Sequence[str]) -> DataFrame:
     boundaries in any case, and as identifier where it stands as an identifier in the same case. first_line is the first
     line that holds the term as it is written, else 1. Counts are taken within each file's own lines, so nothing is shuffled.
     """
-    words = F.array(*[F.lit(t) for t in dict.fromkeys(terms)]) if terms else F.array().cast("array<string>")
-    rows = files.select("path", lines(F.col("content")).alias("rows"), F.explode(words).alias("term"))
-    term = F.col("term")
-    hits = F.filter("rows", lambda r: word_match(r, term))
-    doc = F.size(F.filter(hits, lambda r: F.ltrim(r).startswith("///")))
-    found = F.array_position(F.transform("rows", lambda r: r.contains(term)), True)
+    held = files.select("path", lines(F.col("content")).alias("rows"))
+    parts = []
+    for term in dict.fromkeys(terms):
+        word = F.lit(term)
+        in_words = F.size(F.filter("rows", _in_words(term)))
+        in_docs = F.size(F.filter(F.filter("rows", lambda r: F.ltrim(r).startswith("///")), _in_words(term)))
+        as_name = F.size(F.filter("rows", _as_name(term)))
+        first = F.greatest(F.array_position(F.transform("rows", _holding(term)), True), F.lit(1)).cast("int")
+        parts.append(F.struct(word.alias("term"), first.alias("first_line"), in_words.alias("words"), in_docs.alias("docs"), as_name.alias("names")))
+    if not parts:
+        parts = [F.lit(None).cast("struct<term:string,first_line:int,words:int,docs:int,names:int>")]
+    found = held.select("path", F.inline(F.array(*parts)))
     tally = lambda kind, n: F.struct(F.lit(kind).alias("match_kind"), n.alias("hit_count"))
-    counted = rows.select(
-        "path", "term", F.greatest(found, F.lit(1)).cast("int").alias("first_line"),
-        F.inline(F.array(
-            tally("string_literal", F.size(hits)), tally("comment", F.size(hits) - doc), tally("xml_doc", doc),
-            tally("identifier", F.size(F.filter("rows", lambda r: identifier_match(r, term)))),
-        )),
-    )
-    return counted.where("hit_count > 0").select("path", "term", "match_kind", "hit_count", "first_line")
+    kinds = F.array(tally("string_literal", F.col("words")), tally("comment", F.col("words") - F.col("docs")), tally("xml_doc", F.col("docs")), tally("identifier", F.col("names")))
+    return found.select("path", "term", "first_line", F.inline(kinds)).where("hit_count > 0").select("path", "term", "match_kind", "hit_count", "first_line")
