@@ -207,7 +207,8 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     named = classes.select("n", "f1", "f2", F.col("rep").alias("r")).join(found, F.col("r") == F.col("rep")).select(F.col("n").alias("n2"), F.col("f1").alias("g1"), F.col("f2").alias("g2"), "component")
     rows = signed.select("doc_id", "h", "n", "f1", "f2").join(named, (F.col("n") == F.col("n2")) & (F.col("f1") == F.col("g1")) & (F.col("f2") == F.col("g2")), "left")
     by = rows.select(F.col("doc_id").alias("__id"), F.col("h").alias("__h"), F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id")).dropDuplicates(["__id", "__h"])
-    joined = docs.select(*kept).join(by, (F.col("doc_id") == F.col("__id")) & (F.xxhash64("text") == F.col("__h")), "left")
+    told = docs.select(*kept, F.xxhash64("text").alias("__of"))  # before the join, so that a text that isn't asked for isn't shuffled
+    joined = told.join(by, (F.col("doc_id") == F.col("__id")) & (F.col("__of") == F.col("__h")), "left")
     return joined.select(*kept, "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"))
 
 
@@ -242,8 +243,9 @@ def _links(texts: DataFrame, classes: DataFrame, width: int, percent: int) -> Da
             centres = now.groupBy("key").agg(F.max(F.struct(turn.alias("t"), F.col("degree"), (-F.col("rep")).alias("neg"), F.col("n").alias("m"), F.col("component").alias("c"))).alias("z")).select(F.col("key").alias("k"), (-F.col("z.neg")).alias("centre"), "z.m", "z.c")
             pairs = now.join(centres, F.col("key") == F.col("k")).where((F.col("component") != F.col("c")) & near).select(F.least("rep", "centre").alias("a"), F.greatest("rep", "centre").alias("b"))
         else:
-            left = now.select("rep", "component").distinct()
-            left = cut(_rarest(left.join(held.withColumnRenamed("rep", "r"), F.col("rep") == F.col("r")).select("rep", "members", "component"), percent), batch=SETS)
+            left = cut(now.select(F.col("rep").alias("r"), "component").distinct())
+            left = F.broadcast(left) if left.count() <= PICKED else left
+            left = cut(_rarest(held.join(left, F.col("rep") == F.col("r")).select("rep", "members", "component"), percent), batch=SETS)
             right = left.select(F.col("shingle").alias("k"), F.col("rep").alias("centre"), F.col("n").alias("m"), F.col("place").alias("q"), F.col("component").alias("c"), F.col("last").alias("l2"), F.col("other").alias("o2"))
             # where one of the two shingles before is shared too, the pair comes from that one: the first shared is never left out
             later = (F.col("place") > 0) & (F.col("q") > 0) & (F.col("last").isin(F.col("l2"), F.col("o2")) | F.col("other").isin(F.col("l2"), F.col("o2")))
