@@ -284,7 +284,7 @@ def test_fingerprints(spark):
 
 def test_fingerprints_over_many_ranges(spark, monkeypatch):
     monkeypatch.setattr(fingerprint, "RANGE_ROWS", 3)
-    rows, docs = corpus(spark)
+    _, docs = corpus(spark)
     small = {(r.doc_id, r.fingerprint, r.edited_sha256, round(r.near_next, 9)) for r in fingerprint.fingerprints(docs).collect()}
     monkeypatch.setattr(fingerprint, "RANGE_ROWS", 100_000)
     assert small == {(r.doc_id, r.fingerprint, r.edited_sha256, round(r.near_next, 9)) for r in fingerprint.fingerprints(docs).collect()}
