@@ -45,9 +45,11 @@ def propagate(linked: DataFrame, shards: int, quota: float, rounds: int) -> Data
             .groupBy("group").agg(F.max(F.struct(F.when(F.col("room") > 0, F.col("n")).otherwise(0).alias("gain"), F.xxhash64("group", "shard").alias("t"), F.col("shard").alias("to"), "room")).alias("b"))
             .select(F.col("group").alias("__g"), "b.gain", "b.to", "b.room")
         )
-        sure = linked.join(held.select(F.col("group").alias("__g2"), F.col("shard").alias("__s2"), "n"), (F.col("group") == F.col("__g2")) & (F.col("shard") == F.col("__s2")))
-        asked = sure.join(best, F.col("group") == F.col("__g")).withColumn("__b", F.when((F.col("gain") > 0) & (F.col("gain") >= F.col("n")) & (F.col("to") != F.col("shard")), F.col("to")))
-        asked = cut(asked.select("doc_id", "__h", "size", "group", "shard", "gain", "room", F.col("__b").alias("to")))
+        # a row for each group and shard that holds some of it; only then the documents, by both keys
+        wish = held.join(best, F.col("group") == F.col("__g")).select(F.col("group").alias("__g2"), F.col("shard").alias("__s2"), "n", "gain", "to", "room")
+        moves = (F.col("gain") > 0) & (F.col("gain") >= F.col("n")) & (F.col("to") != F.col("shard"))
+        asked = linked.join(wish, (F.col("group") == F.col("__g2")) & (F.col("shard") == F.col("__s2")))
+        asked = cut(asked.select("doc_id", "__h", "size", "group", "shard", "gain", "room", F.when(moves, F.col("to")).alias("to")))
         # bins put larger gains first: equal gains share a band of bins
         band = F.lit(40) - F.least(F.floor(F.log2(F.col("gain") + 1)), F.lit(40))
         moving = prefix_sums(asked.where("`to` is not null").withColumn("__bin", band * BINS + _bin(i)), ["to"], "__bin", [F.col("gain").desc(), "group", "__h", "doc_id"], F.col("size"), "__before")
@@ -63,14 +65,14 @@ def fill(rows: DataFrame, gaps: DataFrame) -> DataFrame:
     need = rows.agg(F.sum("size")).first()[0] or 0
     scale = need / total if total > 0 else 0.0
     w = Window.orderBy("shard")
-    ends = gaps.withColumn("hi", F.sum("gap").over(w) * F.lit(scale)).withColumn("lo", F.col("hi") - F.col("gap") * F.lit(scale)).where("gap > 0")
-    bounds = [(r["lo"], r["hi"], r["shard"]) for r in ends.orderBy("shard").collect()]  # as many as shards
+    ends = gaps.withColumn("hi", F.sum("gap").over(w) * F.lit(scale)).where("gap > 0")
+    bounds = [(r["hi"], r["shard"]) for r in ends.orderBy("shard").collect()]  # as many as shards
     laid = prefix_sums(rows.withColumn("__bin", _bin(77)), [], "__bin", ["__h", "doc_id"], F.col("size"), "__before")
     if not bounds:
         return rows.withColumn("shard", F.lit(0))
     at = F.col("__before") + F.col("size") / 2
-    shard = F.lit(bounds[-1][2])
-    for lo, hi, s in reversed(bounds[:-1]):
+    shard = F.lit(bounds[-1][1])
+    for hi, s in reversed(bounds[:-1]):
         shard = F.when(at < F.lit(hi), F.lit(s)).otherwise(shard)
     return laid.withColumn("shard", shard).drop("__before", "__bin")
 
