@@ -103,11 +103,11 @@ def merge(symbols: list[str], ranks: dict[tuple[str, str], int]) -> list[str]:
 class Memory(dict):
     """What a word makes, remembered."""
 
-    def __init__(self, make):
-        self.make = make
+    def __init__(self, make, most: int = MEMORY):
+        self.make, self.most = make, most
 
     def __missing__(self, word):
-        if len(self) >= MEMORY:
+        if len(self) >= self.most:
             self.clear()
         self[word] = value = self.make(word)
         return value

@@ -25,7 +25,8 @@ from pyspark.sql.window import Window
 from quarry.llm.bpe import BYTE_LEVEL, UNUSUAL, Memory, usual
 from quarry.llm.common import cut, shared_dir
 
-PART_IDS = 1 << 22
+#: Ids of documents that are read at once, words that a process remembers, and texts that it gets at once.
+PART_IDS, KNOWN, TEXTS = 1 << 22, 500_000, 500
 
 
 def store(folder: str) -> tuple[pafs.FileSystem, str]:
@@ -52,7 +53,7 @@ class Encoder:
         plain = self.library.normalizer is None and type(pre).__name__ == "ByteLevel" and not pre.add_prefix_space
         self.words = usual(BYTE_LEVEL) if plain else None
         self.added = [t.content for t in self.library.get_added_tokens_decoder().values()]
-        self.known = Memory(self.whole)
+        self.known = Memory(self.whole, KNOWN)
 
     def whole(self, text: str) -> bytes:
         return array(self.code, self.library.encode(text, add_special_tokens=False).ids).tobytes()
@@ -119,7 +120,7 @@ def write(docs: DataFrame, path: str, end_id: int, folder: str | None = None) ->
     dtype = id_type(path, end_id)
     order = [F.col("doc_id").asc_nulls_last(), F.xxhash64("text")]
     dealt = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").repartitionByRange(*order).sortWithinPartitions(*order)
-    parts = cut(dealt.mapInArrow(partial(_write, path=path, folder=folder, dtype=dtype, end_id=end_id), "part int, n_docs bigint, n_ids bigint"))
+    parts = cut(dealt.mapInArrow(partial(_write, path=path, folder=folder, dtype=dtype, end_id=end_id), "part int, n_docs bigint, n_ids bigint"), batch=TEXTS)
     w = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # a row for each part
     return folder, dtype, parts.where("n_docs > 0").withColumn("base", F.coalesce(F.sum("n_ids").over(w), F.lit(0)))
 
