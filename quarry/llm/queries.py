@@ -82,7 +82,7 @@ def op7_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     good = common.read_table(spark, sf_dir, "labels").where("quality = 1 and toxic = 0").select(F.col("doc_id").alias("good")).distinct()
     marked = docs.join(common.small_side(common.cut(good), rows=2_000_000), F.col("doc_id") == F.col("good"), "left")
     target = F.col("good").isNotNull()
-    return lmscore.score(marked, target, *lmscore.fit(marked, target)).drop("good")
+    return lmscore.scores(marked, target).drop("good")
 
 
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:

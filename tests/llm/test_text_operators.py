@@ -1,5 +1,6 @@
 """Operators on single texts against brute force: quality, personal data, BPE, token files, fingerprints, LM scores."""
 
+import collections
 import hashlib
 import math
 import random
@@ -323,3 +324,46 @@ def test_lm_scores(spark):
         total = np.mean(losses) - total
     assert got[0].lm_score == pytest.approx(-total)
     assert lmscore.score(empty(spark), F.lit(False), *lmscore.fit(empty(spark), F.lit(False))).count() == 0
+
+
+def test_lm_scores_count_every_word_and_pair(spark, monkeypatch):
+    monkeypatch.setattr(lmscore, "CHUNK", 300)  # many chunks and parts
+    monkeypatch.setattr(lmscore, "PART", 2000)
+    rng = random.Random(6)
+    pool = [f"w{rng.randrange(10**9)}" for _ in range(300)]
+    texts = [" ".join(rng.choice(pool[: 8 + i % 290]) for _ in range(rng.randint(1, 60))) for i in range(150)]
+    rows = [(i, t, [True, False, None][i % 3]) for i, t in enumerate(texts)] + [(200, None, True), (201, " \n", False), (None, texts[0], True), (7, texts[7], False)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, good boolean").repartition(3)
+    got = sorted((str(r.doc_id), r.n_words, r.target_loss, r.background_loss, r.lm_score, r.mine) for r in lmscore.scores(crowded(docs), F.col("good")).collect())
+
+    def counts(ts):
+        words = [(t or "").split() for t in ts]
+        return [collections.Counter(w for ws in words for w in ws), collections.Counter(h for ws in words for h in ["", *ws[:-1]] if ws), collections.Counter(p for ws in words for p in zip(["", *ws[:-1]], ws, strict=False))]
+
+    models = [counts([t for _, t, g in rows if g]), counts([t for _, t, _ in rows])]
+    size = len(models[1][0])
+    want = []
+    for i, t, g in rows:
+        ws, means = (t or "").split(), []
+        for model, part in zip(models, (bool(g), True), strict=True):
+            (w, h, p), (ow, oh, op) = model, counts([t] if part else [])
+            n = w.total() - ow.total() + lmscore.ADDED * size
+            each = [math.log(h[a] - oh[a] + lmscore.STRENGTH) - math.log(p[a, b] - op[a, b] + lmscore.STRENGTH * (w[b] - ow[b] + lmscore.ADDED) / n) for a, b in zip(["", *ws[:-1]], ws, strict=False)]
+            means.append(sum(each) / len(ws) if ws else None)
+        want.append((str(i), len(ws), *means, means[0] - means[1] if ws else None, 7))
+    assert len(got) == len(want)
+    for x, y in zip(got, sorted(want, key=lambda r: (r[0], r[1], r[2] or 0)), strict=True):
+        assert x[:2] == y[:2] and x[2:] == (pytest.approx(y[2:]) if y[1] else y[2:])
+    assert lmscore.scores(empty(spark), F.lit(False)).count() == 0
+
+
+def test_lm_scores_beyond_the_buckets(spark):
+    # more different pairs than PAIRS: a pair seen nowhere else has no counts but its own
+    wide = " ".join(f"a{i}" for i in range(lmscore.PAIRS + lmscore.PAIRS // 2))
+    docs = spark.createDataFrame([(1, wide, True), (2, "never seen before here", False)], "doc_id long, text string, good boolean")
+    r = lmscore.scores(docs, F.col("good")).where("doc_id = 2").first()
+    n = lmscore.PAIRS + lmscore.PAIRS // 2
+    share = lmscore.STRENGTH * lmscore.ADDED / (n + lmscore.ADDED * (n + 4))
+    first = math.log(1 + lmscore.STRENGTH)  # the other text's start
+    assert r.background_loss == pytest.approx((first + 3 * math.log(lmscore.STRENGTH)) / 4 - math.log(share))
+    assert r.target_loss == pytest.approx(r.background_loss)
