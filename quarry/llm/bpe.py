@@ -244,10 +244,11 @@ def loaded(path: str) -> Bpe:
 
 DIGEST = ("n_tokens", "ids_sha256", "decoded_sha256")
 FULL = ("ids", "decoded")
+CHECKED = ("ids", "decoded_sha256")
 
 
 def _batches(batches: Iterator[pa.RecordBatch], path: str, at: int, kind: str) -> Iterator[pa.RecordBatch]:
-    """kind: digests (in place of text), ids (in place of text), or ids and decoded (beside it)."""
+    """kind: digests (in place of text), ids (in place of text), checked (ids and a digest of the decoded text, in place of text), or both (ids and decoded, beside it)."""
     bpe = loaded(path)
     for whole in batches:
         for batch in textscan.pieces(whole, at):
@@ -257,7 +258,7 @@ def _batches(batches: Iterator[pa.RecordBatch], path: str, at: int, kind: str) -
                 ids, decoded = (bpe.encode(text), "") if kind == "ids" else bpe.round_trip(text)
                 n.append(len(ids) // 4)
                 ids_out.append(sha256(ids).hexdigest() if kind == "digests" else ids)
-                text_out.append(sha256(decoded.encode("utf-8")).hexdigest() if kind == "digests" else decoded)
+                text_out.append(decoded if kind == "both" else sha256(decoded.encode("utf-8")).hexdigest())
             keep = [i for i in range(batch.num_columns) if kind == "both" or i != at]
             rest, names = [batch.column(i) for i in keep], [batch.schema.names[i] for i in keep]
             if kind == "digests":
@@ -265,8 +266,8 @@ def _batches(batches: Iterator[pa.RecordBatch], path: str, at: int, kind: str) -
             else:
                 flat = pa.Array.from_buffers(pa.int32(), sum(n), [None, pa.py_buffer(b"".join(ids_out))])
                 added = {"ids": pa.ListArray.from_arrays(pa.array([0, *accumulate(n)], pa.int32()), flat)}
-                if kind == "both":
-                    added["decoded"] = pa.array(text_out, pa.string())
+                if kind != "ids":
+                    added["decoded" if kind == "both" else "decoded_sha256"] = pa.array(text_out, pa.string())
             yield pa.RecordBatch.from_arrays([*rest, *added.values()], names=[*names, *added])
 
 
@@ -288,6 +289,11 @@ def encode_only(docs: DataFrame, path: str) -> DataFrame:
     return _mapped(docs, path, FULL, "ids", "ids array<int>")
 
 
+def encode_checked(docs: DataFrame, path: str) -> DataFrame:
+    """docs without text, with ids (array<int>) and the SHA-256 of the text that they decode to."""
+    return _mapped(docs, path, CHECKED, "checked", "ids array<int>, decoded_sha256 string")
+
+
 def digests(docs: DataFrame, path: str) -> DataFrame:
     """docs without text, with n_tokens and the SHA-256 of the ids (unsigned 32-bit, little-endian) and of the decoded text."""
     return _mapped(docs, path, DIGEST, "digests", "n_tokens bigint, ids_sha256 string, decoded_sha256 string")

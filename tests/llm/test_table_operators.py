@@ -1,5 +1,6 @@
 """Operators on whole tables against brute force: near-duplicates, sharding, mixing, search, and the pipeline."""
 
+import hashlib
 import random
 import re
 from collections import Counter, defaultdict
@@ -261,3 +262,18 @@ def test_pipeline(spark, tmp_path):
     assert four.columns == docs.columns and Counter(r.doc_id for r in four.collect()) == Counter({i: c for i, c in copies.items() if c})
     last = corpus_pipeline.run(spark, str(tmp_path)).collect()
     assert {r.doc_id for r in last} <= kept - {1} and all(r.n_tokens == len(r.ids) for r in last) and len(corpus_pipeline.STAGES) == 5
+
+
+def test_pipeline_decodes_every_document(spark, tmp_path):
+    import corpus_pipeline
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    _, docs = corpus(spark)
+    library = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    got, texts = corpus_pipeline.encode_tokens(spark, docs, str(tmp_path)).collect(), Counter(r.text or "" for r in docs.collect())
+    want = Counter()
+    for t, n in texts.items():
+        ids = library.encode(t, add_special_tokens=False).ids
+        want[tuple(ids), hashlib.sha256(library.decode(ids, skip_special_tokens=False).encode()).hexdigest()] += n
+    assert Counter((tuple(r.ids), r.decoded_sha256) for r in got) == want
