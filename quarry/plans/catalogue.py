@@ -469,8 +469,9 @@ def scan_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quarry.plans.scan import ScanContext, extracted, records
 
     d = table(spark, sf_dir, "documents")
-    name = F.regexp_replace(F.substring("text", 1, 40), "[^A-Za-z]", "")
-    code = F.concat(F.lit("namespace Docs { public class C"), F.col("doc_id").cast("string"), F.lit(" { public string "), name, F.lit('() { return Make("'), F.regexp_replace(F.substring("text", 1, 200), r'["\\\r\n]', " "), F.lit('"); } } }'))
+    name = F.concat(F.lit("M"), F.md5("text"))
+    whole = F.regexp_replace("text", '"', '""')  # of a verbatim literal, which keeps the text's lines
+    code = F.concat(F.lit("namespace Docs { public class C"), F.col("doc_id").cast("string"), F.lit(" { public string "), name, F.lit('() { return Make(@"'), whole, F.lit('"); } } }'))
     files = d.select(F.concat(F.lit("src/"), F.col("source"), F.lit("/"), F.col("doc_id").cast("string"), F.lit(".cs")).alias("path"), F.length(code).cast("long").alias("length"), code.alias("content"))
     rows = records(extracted(files, ["the"]), ScanContext("r", "j", "docs", "main", "0000000"))
     return rows.groupBy("record_type").agg(F.count(F.lit(1)).alias("n"))

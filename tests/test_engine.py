@@ -244,3 +244,18 @@ def test_git_head(tmp_path):
         F_.load_path(str(tmp_path / "no"))
     with pytest.raises(ValueError, match="path or a url"):
         F_.load()
+
+
+def test_scan_of_documents_reads_whole_texts(spark, tmp_path):
+    import re
+
+    from quarry.plans.catalogue import scan_documents
+
+    far = "lorem ipsum dolor \n" * 400
+    texts = ["short", far + "at last The end", far, 'He said "no" \\ the way\r\nhome', far + "path C:\\x\\ \"quoted\nand the rest\"", far + "theory and bathe", "", None, "}} /* the", far + "} class X { public void Y() { } } // the"]
+    spark.createDataFrame([(i, t, "en", "ab"[i % 2], 0) for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r.record_type: r.n for r in scan_documents(spark, str(tmp_path)).collect()}
+    known = [t for t in texts if t is not None]
+    holding = sum(bool(re.search(r"\bthe\b", t, re.IGNORECASE)) for t in known)
+    assert holding == 5
+    assert got == {"file_summary": len(known), "class_summary": len(known), "method_summary": len(known), "search_term_match": holding}
