@@ -55,10 +55,12 @@ def threshold_topk(ids: np.ndarray, rows: np.ndarray, query_ids: np.ndarray, que
             kth = np.full(len(still), -np.inf, scores.dtype)
             for j, q in enumerate(still.tolist()):
                 s, i = scores[j], ids[new]
+                if s.dtype != object:
+                    s = np.where(i == query_ids[q], -np.inf, s)  # rows of its own id, however many, take no place
                 if len(best[q][1]) >= k:
                     fit = np.flatnonzero(s >= best[q][1][k - 1])
                 elif len(s) > 4 * k and scores.dtype != object:
-                    fit = np.flatnonzero(s >= np.partition(s, len(s) - k - 1)[len(s) - k - 1])  # one more: its own row may be among them
+                    fit = np.flatnonzero(s >= np.partition(s, len(s) - k)[len(s) - k])
                 else:
                     fit = np.arange(len(s))
                 fit = fit[i[fit] != query_ids[q]]

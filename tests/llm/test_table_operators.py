@@ -277,3 +277,14 @@ def test_pipeline_decodes_every_document(spark, tmp_path):
         ids = library.encode(t, add_special_tokens=False).ids
         want[tuple(ids), hashlib.sha256(library.decode(ids, skip_special_tokens=False).encode()).hexdigest()] += n
     assert Counter((tuple(r.ids), r.decoded_sha256) for r in got) == want
+
+
+def test_threshold_algorithm_with_repeated_query_rows():
+    rng = np.random.default_rng(5)
+    for copies in (2, 30, 300):
+        rows = np.concatenate([rng.integers(-9, 10, (400, 6)), np.full((copies, 6), 40)]).astype(np.int64)
+        ids = np.concatenate([np.arange(400), np.full(copies, 1000)])
+        got = topk.threshold_topk(ids, rows, np.array([1000]), rows[-1:], 20)[0]
+        scores = rows[:400] @ rows[-1]
+        best = np.lexsort((np.arange(400), -scores))[:20]
+        assert got[0].tolist() == best.tolist() and got[1].tolist() == scores[best].tolist()
