@@ -1,19 +1,21 @@
 """Personal data: fixed patterns, and a character-level bidirectional LSTM with CRF transitions that adds spans.
 
 The network is trained in numpy on labelled spans: those the patterns find in a bounded sample of windows, and written
-variants placed into such windows. Scoring cuts every text into overlapping windows, decodes each by Viterbi, and takes
-of all windows' spans the set without overlaps that has the largest total score over the whole text. Spans that can't be of
-their kind (`plausible`) or touch a pattern's span are left out. As every kind needs a digit or an @, windows without
-either can add nothing, and the network isn't run on them; the result is the same.
+variants placed into such windows. Scoring finds every place of a text where a span of its kind (`plausible`) can lie, which
+is around an @ or in a run of digits, decodes a window around it by Viterbi, and takes of all windows' spans the set without
+overlaps that has the largest total score over the whole text. Windows are laid by what the text holds, so a span is
+whole in one wherever it stands. Spans that can't be of their kind or touch a pattern's span are left out.
 """
 
 from __future__ import annotations
 
 import random
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
 from dataclasses import dataclass
 from hashlib import sha256
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -353,8 +355,53 @@ def _choose(found: list[tuple[float, int, int, int]]) -> list[Span]:
     return out
 
 
+#: What can stand on the right of an @, and a run of digits and what may stand between those of a span.
+_DOMAIN = re.compile(r"\s?[A-Za-z0-9-]{1,63}(?:\s?\.\s?[A-Za-z0-9-]{1,63}){1,8}")
+_RUN = re.compile(r"\(?[0-9](?:[0-9\s.()\[\]-]*[0-9])?")
+#: Characters that a window shows on either side of its place, and more than any span without an @ has (19 digits, 18 marks).
+BESIDE, NUMBER = 32, 48
+
+
+def windows_of(text: str, base: list[Span]) -> list[tuple[int, int, int, int]]:
+    """(first, end, low, high): windows first to end, each for spans from low to high, so that every plausible span that no base
+    span touches is whole in one, and touches none of its inner edges. They depend on the text around a place only."""
+    out, taken = [], sorted((a, b) for _, a, b in base)
+    starts = [a for a, _ in taken]
+    tops = list(accumulate((b for _, b in taken), max))
+
+    def covered(a: int, b: int) -> bool:
+        k = bisect_right(starts, a)
+        return k > 0 and tops[k - 1] >= b
+
+    def window(middle: int, size: int, low: int, high: int) -> None:
+        first = max(0, min(middle - size // 2, len(text) - size))
+        end = min(len(text), first + size)
+        out.append((first, end, max(low, first + (first > 0)), min(high, end - (end < len(text)))))
+
+    at = text.find("@")
+    while at >= 0:
+        start = stop = at - (at > 0 and text[at - 1].isspace())
+        while start > 0 and stop - start < 64 and text[start - 1] in _LOCAL:
+            start -= 1
+        domain = _DOMAIN.match(text, at + 1) if start < stop and not covered(at, at + 1) else None
+        if domain:
+            high = domain.end()
+            window((start + high) // 2, max(WINDOW, high - start + 2 * BESIDE), start, high)
+        at = text.find("@", at + 1)
+    for m in _RUN.finditer(text):
+        low, high = m.span()
+        if len(_DIGIT.findall(m[0])) < 4 or covered(low, high):
+            continue
+        if high - low <= NUMBER:
+            window((low + high) // 2, WINDOW, low, high)
+        else:
+            for middle in range(low + WINDOW // 2 - BESIDE, high + WINDOW // 2 - BESIDE, BESIDE):
+                window(middle, WINDOW, low, high)
+    return list(dict.fromkeys(out))
+
+
 def _spans_of(tags: np.ndarray, margin: np.ndarray, first: int, size: int) -> list[tuple[float, int, int, int]]:
-    """Spans of one window of `size` characters that starts at `first`; what touches an inner edge is whole in a neighbour."""
+    """Spans of one window of `size` characters that starts at `first`."""
     out, t = [], 0
     while t < size:
         tag = int(tags[t])
@@ -380,31 +427,30 @@ class Finder:
         found: list[list[tuple[float, int, int, int]]] = [[] for _ in texts]
         windows, owners = [], []
 
-        def flush() -> None:
-            if not windows:
-                return
-            x = np.zeros((len(windows), WINDOW), np.int64)
-            for r, w in enumerate(windows):
+        def decode(some: list[np.ndarray], of: list[tuple[int, int, int, int]], length: int) -> None:
+            x = np.zeros((len(some), length), np.int64)
+            for r, w in enumerate(some):
                 x[r, : len(w)] = w
             tags, margin = self.tagger.decode(x)
             for r in np.flatnonzero(tags.any(axis=1)).tolist():
-                k, first = owners[r]
-                found[k] += _spans_of(tags[r], margin[r], first, len(windows[r]))
-            windows.clear()
-            owners.clear()
-
-        for k, text in enumerate(texts):
-            if not _PLACE.search(text):
-                continue
-            c = codes(text)
-            able = np.concatenate([[0], np.cumsum(((c >= 19) & (c <= 28)) | (c == 35))])  # digits and @
-            for first in range(0, max(1, len(c) - WINDOW + STRIDE), STRIDE):
-                if able[min(first + WINDOW, len(c))] > able[first]:
-                    windows.append(c[first : first + WINDOW])
-                    owners.append((k, first))
-                    if len(windows) >= DECODED_AT_ONCE:
-                        flush()
-        flush()
+                k, first, low, high = of[r]
+                found[k] += [s for s in _spans_of(tags[r], margin[r], first, len(some[r])) if low <= s[2] and s[3] <= high]
+            some.clear()
+            of.clear()
+
+        for k, (text, spans) in enumerate(zip(texts, base, strict=True)):
+            places = windows_of(text, spans) if _PLACE.search(text) else []
+            c = codes(text) if places else None
+            for first, end, low, high in places:
+                if end - first > WINDOW:  # a long address, by itself: its tags don't hang on other windows
+                    decode([c[first:end]], [(k, first, low, high)], end - first)
+                    continue
+                windows.append(c[first:end])
+                owners.append((k, first, low, high))
+                if len(windows) >= DECODED_AT_ONCE:
+                    decode(windows, owners, WINDOW)
+        if windows:
+            decode(windows, owners, WINDOW)
         out = []
         for text, spans, mine in zip(texts, base, found, strict=True):
             fit = [s for s in mine if s[0] > 0 and plausible(s[1], text[s[2] : s[3]]) and not any(a < s[3] and s[2] < b for _, a, b in spans)]

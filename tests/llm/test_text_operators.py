@@ -367,3 +367,42 @@ def test_lm_scores_beyond_the_buckets(spark):
     first = math.log(1 + lmscore.STRENGTH)  # the other text's start
     assert r.background_loss == pytest.approx((first + 3 * math.log(lmscore.STRENGTH)) / 4 - math.log(share))
     assert r.target_loss == pytest.approx(r.background_loss)
+
+
+class _Marks:
+    """A tagger that takes every run of characters other than ~ for a span, as far as a window shows it."""
+
+    def __init__(self, kind):
+        self.kind = kind
+
+    def decode(self, x):
+        on = (x != pii.codes("~")[0]) & (x > 0)
+        begins = on & ~np.concatenate([np.zeros((len(x), 1), bool), on[:, :-1]], axis=1)
+        return np.where(begins, 1 + 2 * self.kind, np.where(on, 2 + 2 * self.kind, 0)), on.astype(float)
+
+
+@pytest.mark.parametrize(
+    ("kind", "item"),
+    [
+        (0, "first.last @ mail.some-company.example"), (0, "a@ b . c"), (0, "x" * 64 + " @ " + " . ".join(["y" * 63] * 9)), (0, "first.middle.last-name @ " + "department." * 4 + "example"),
+        (1, "10 . 20 [.] 30 . 40"), (2, "4 1 1 1 1 1 1 1 1 1 1 1 1 1 1 1"), (2, " ".join("4111111111111111110")), (3, "(0415) 555-0134"), (3, "0123-4567-8901-234"),
+    ],
+)
+def test_added_spans_are_whole_at_every_offset(kind, item):
+    assert pii.plausible(kind, item)
+    for before in range(64):
+        for start, after in ((200, 300), (0, 0), (64, 5)):
+            at = start + before
+            text = "~" * at + item + "~" * (after + 64 - before)
+            assert pii.Finder(_Marks(kind)).added([text], [[]]) == [[(kind, at, at + len(item))]]
+
+
+def test_tagger_does_not_depend_on_offsets():
+    tagger = pii.train(pii.written_examples(["word and more words " * 6], 400), epochs=3)
+    filler = "word and more words of a text " * 40
+    for item in ("first.last @ mail.some-company.example", "(415) 555-0134", "1.2 [.] 3 . 4", "12 " * 60):
+        found = set()
+        for before in range(64):
+            text = filler[-500 - before :] + item + " " + filler
+            found.add(tuple((k, a - before, b - before) for k, a, b in pii.Finder(tagger).added([text], [[]])[0]))
+        assert len(found) == 1
