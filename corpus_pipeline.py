@@ -27,10 +27,23 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group linked by shingles of five words and a similarity of 0.8: the one with the smallest doc_id."""
-    found = neardup.near_duplicates(docs.select("doc_id", "text"))
-    gone = small_side(cut(found.where("not kept").select(F.col("doc_id").alias("__id"))), rows=2_000_000)
-    return docs.join(gone, F.col("doc_id") == F.col("__id"), "left_anti").select(docs.columns)
+    """One row of each group linked by shingles of five words and a similarity of 0.8: one with the smallest doc_id.
+
+    Rows are told apart by doc_id and text, and rows that share both are one document. Rows without a doc_id or words all stay.
+    """
+    row = F.xxhash64("doc_id", "text")
+    known = docs.where("doc_id is not null").select(row.alias("doc_id"), F.col("doc_id").alias("own"), "text")
+    found = cut(neardup.near_duplicates(known).where("n_shingles > 0").select("doc_id", "own", "component_id"))
+    first = found.groupBy("component_id").agg(F.min(F.struct("own", "doc_id")).alias("first")).select(F.col("component_id").alias("c"), "first.doc_id").withColumnRenamed("doc_id", "stays")
+    gone = found.join(first, F.col("component_id") == F.col("c")).where("doc_id <> stays").select(F.col("doc_id").alias("__gone")).distinct()
+    again = cut(found.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(F.col("doc_id").alias("__again")))
+    named = docs.withColumn("__row", F.when(F.col("doc_id").isNotNull(), row))
+    left = named.join(small_side(cut(gone), rows=2_000_000), F.col("__row") == F.col("__gone"), "left_anti")
+    if not again.isEmpty():
+        again = small_side(again, rows=2_000_000)
+        once = left.join(again, F.col("__row") == F.col("__again"), "left_semi").dropDuplicates(["__row"])
+        left = left.join(again, F.col("__row") == F.col("__again"), "left_anti").unionByName(once)
+    return left.select(docs.columns)
 
 
 def redact_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

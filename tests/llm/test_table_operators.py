@@ -279,6 +279,19 @@ def test_pipeline_decodes_every_document(spark, tmp_path):
     assert Counter((tuple(r.ids), r.decoded_sha256) for r in got) == want
 
 
+def test_pipeline_drops_near_duplicates_by_row(spark, tmp_path):
+    import corpus_pipeline
+
+    rng = random.Random(8)
+    say = lambda: " ".join(f"w{rng.randrange(5000)}" for _ in range(40))
+    a, b, c, d = say(), say(), say(), say()
+    rows = [(1, a), (1, a), (1, a), (2, a + " end"), (2, b), (3, c), (3, c + " end"), (4, d), (None, a), (None, a), (5, None), (5, None), (6, " ")]
+    docs = spark.createDataFrame([(i, t, "en", "a", None) for i, t in rows], SCHEMA).repartition(4)
+    got = Counter((r.doc_id, r.text) for r in corpus_pipeline.drop_near_duplicates(spark, docs, str(tmp_path)).collect())
+    three = next(t for i, t in got if i == 3)
+    assert three in (c, c + " end") and got == Counter([(1, a), (2, b), (3, three), (4, d), (None, a), (None, a), (5, None), (5, None), (6, " ")])
+
+
 def test_threshold_algorithm_with_repeated_query_rows():
     rng = np.random.default_rng(5)
     for copies in (2, 30, 300):
