@@ -1,16 +1,19 @@
 """Document fingerprints by a homomorphic multiset hash. DataFrame functions only.
 
-A text's fingerprint is a sum, modulo powers of two, of wide vectors hashed from its paragraphs. It has two
-parts:
-
-* EQUAL lanes of 32 bits add hashes of whole paragraphs (lines), modulo 2**32. Two texts have the same ones if
-  they have the same paragraphs in any order, and else only by a chance of about 2**-128.
-* LIKE lanes of 16 bits add the bits of a hash of each short piece of a paragraph, modulo 2**16. Pieces end at
-  white space after a character that is not in n-z, 5-9 or a comma, so an insertion moves no later piece. With n pieces,
-  a lane l stands for the sum 2 * l - n of random signs, and the cosine of two such vectors estimates the cosine
-  of the multisets of pieces.
-
-Both are sums, so `added` and `removed` insert or delete paragraphs without the rest of the text.
+A text is the multiset of its paragraphs, the parts between line feeds (so an empty text is one empty paragraph). Each
+paragraph is hashed to a wide vector, and the text's fingerprint is the sum of its paragraphs' vectors, lane by lane
+modulo 2**32. Nothing else of a text enters it: texts with the same paragraphs in any order have equal fingerprints, and
+`added` and `removed` insert or delete paragraphs without the rest of the text. fp(x + "\\n" + y) = fp(x) + fp(y) for
+all texts x and y.
+
+A paragraph's vector has two parts, side by side:
+
+* EQUAL lanes are the eight 32-bit words of the paragraph's SHA-256. Texts whose multisets differ have different sums
+  but by chance; lanes this few are no defence against texts that are made to collide.
+* LIKE lanes are sums of signs: each short piece of the paragraph is hashed to one sign a lane. Pieces end at white space
+  after a character that is not in n-z, 5-9 or a comma, so an insertion moves no later piece. They make fingerprints
+  comparable: a lane, read as a signed number, is a random projection of the multiset of pieces, so the cosine of two
+  fingerprints' LIKE lanes estimates the cosine of the multisets.
 """
 
 from __future__ import annotations
@@ -23,8 +26,10 @@ from pyspark.sql.window import Window
 
 from quarry.llm.common import cut, others, small_side
 
-EQUAL, LIKE = 4, 96
-PIECE = r"(?<=[^n-zN-Z5-9,\s])\s+|\n"
+EQUAL, LIKE = 8, 96
+#: A lane's size, and its hexadecimal digits in a fingerprint.
+MODULUS, DIGITS = 1 << 32, 8
+PIECE = r"(?<=[^n-zN-Z5-9,\s])\s+"
 OUT = ("n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next")
 
 #: Two lanes to a long: bits j and j + 32 of a hash.
@@ -34,83 +39,68 @@ RANGE_ROWS, RANGES = 256, 65536
 
 
 def paragraphs(text: Column) -> Column:
-    """Lines of the text; none for null or empty."""
-    return F.when(F.length(text) > 0, F.split(text, "\n")).otherwise(F.array().cast("array<string>"))
+    """The parts between line feeds, one at least; null is empty."""
+    return F.split(F.coalesce(text, F.lit("")), "\n", -1)
 
 
 def pieces(text: Column) -> Column:
-    return F.when(F.length(text) > 0, F.filter(F.split(text, PIECE), lambda p: p != "")).otherwise(F.array().cast("array<string>"))
+    """The pieces of all paragraphs; each comes from one paragraph alone."""
+    return F.flatten(F.transform(paragraphs(text), lambda p: F.filter(F.split(p, PIECE), lambda x: x != "")))
 
 
 def equal_lanes(text: Column) -> Column:
-    """array<long> of EQUAL sums modulo 2**32 over the paragraphs."""
-    low = F.lit((1 << 32) - 1)
-    hashes = F.transform(paragraphs(text), lambda p: F.struct(F.xxhash64(p, F.lit(11)).alias("a"), F.xxhash64(p, F.lit(12)).alias("b")))
+    """array<long> of EQUAL sums over the paragraphs' SHA-256, modulo MODULUS."""
+    words = lambda p: F.transform(F.sequence(F.lit(0), F.lit(EQUAL - 1)), lambda i: F.conv(F.substring(p, i * DIGITS + 1, F.lit(DIGITS)), 16, 10).cast("long"))
+    vectors = F.transform(paragraphs(text), lambda p: words(F.sha2(p.cast("binary"), 256)))
     zero = F.array(*[F.lit(0).cast("long")] * EQUAL)
-    return F.aggregate(
-        hashes, zero,
-        lambda s, h: F.array(
-            (s[0] + h["a"].bitwiseAND(low)).bitwiseAND(low), (s[1] + F.shiftrightunsigned(h["a"], 32)).bitwiseAND(low),
-            (s[2] + h["b"].bitwiseAND(low)).bitwiseAND(low), (s[3] + F.shiftrightunsigned(h["b"], 32)).bitwiseAND(low),
-        ),
-    )
+    return F.aggregate(vectors, zero, lambda s, v: F.zip_with(s, v, lambda x, y: (x + y) % MODULUS))
 
 
 def like_sums(a: Column, b: Column) -> list[Column]:
-    """Aggregates over the hashes a and b of pieces: LIKE / 2 longs of two counts each."""
+    """Aggregates over the hashes a and b of pieces: LIKE / 2 longs, each of two counts of signs that are positive."""
     shifts = [(a, j) for j in range(32)] + [(b, j) for j in range(LIKE // 2 - 32)]
     return [F.coalesce(F.sum(F.shiftrightunsigned(h, j).bitwiseAND(F.lit(PAIR))), F.lit(0)) for h, j in shifts]
 
 
-def rendered(equal: Column, n: Column, like: Column) -> Column:
-    """The fingerprint as text: base64 of the equal lanes, the number of pieces modulo 2**32 and the like lanes."""
-    word = lambda x: F.lpad(F.hex(x), 8, "0")
-    low = F.lit(65535)
-    pair = F.transform(like, lambda x: word(F.shiftleft(F.shiftrightunsigned(x, 32).bitwiseAND(low), 16).bitwiseOR(x.bitwiseAND(low))))
-    text = F.concat(F.array_join(F.transform(equal, word), ""), word(n.bitwiseAND(F.lit((1 << 32) - 1))), F.array_join(pair, ""))
-    return F.translate(F.base64(F.unhex(text)), "\r\n", "")
+def like_lanes(n: Column, packed: Column) -> Column:
+    """array<long> of LIKE sums of signs, modulo MODULUS, from n pieces' counts: of n signs, k positive ones sum to 2 * k - n."""
+    halves = F.transform(packed, lambda v: F.array(v.bitwiseAND(F.lit(MODULUS - 1)), F.shiftrightunsigned(v, 32)))
+    return F.transform(F.flatten(halves), lambda k: F.pmod(k * 2 - n, F.lit(MODULUS)))
 
 
-def _lanes(fingerprint: Column, start: int, count: int, digits: int) -> Column:
-    text = F.hex(F.unbase64(fingerprint))
-    cutter = F.sequence(F.lit(0), F.lit(count - 1))
-    return F.transform(cutter, lambda i: F.conv(F.substring(text, F.lit(start + 1) + i * digits, F.lit(digits)), 16, 10).cast("long"))
-
-
-def _summed(x: Column, y: Column, sign: int, digits: int) -> Column:
-    """Lanes of so many hexadecimal digits, added or taken off modulo their size, as text."""
-    sums = F.zip_with(x, y, lambda a, b: F.pmod(a + F.lit(sign) * b, F.lit(16**digits)))
-    return F.array_join(F.transform(sums, lambda v: F.lpad(F.hex(v), digits, "0")), "")
+def rendered(lanes: Column) -> Column:
+    """Lanes as text: base64 of all of them, 32 bits each, the first byte highest."""
+    text = F.array_join(F.transform(lanes, lambda x: F.lpad(F.hex(x), DIGITS, "0")), "")
+    return F.translate(F.base64(F.unhex(text)), "\r\n", "")
 
 
-def _combined(x: Column, y: Column, sign: int) -> Column:
-    groups = ((0, EQUAL + 1, 8), (8 * (EQUAL + 1), LIKE, 4))
-    parts = []
-    for start, count, digits in groups:
-        parts.append(_summed(_lanes(x, start, count, digits), _lanes(y, start, count, digits), sign, digits))
-    return F.translate(F.base64(F.unhex(F.concat(*parts))), "\r\n", "")
+def lanes(fingerprint: Column) -> Column:
+    """array<long> of a fingerprint's lanes."""
+    text = F.hex(F.unbase64(fingerprint))
+    return F.transform(F.sequence(F.lit(0), F.lit(EQUAL + LIKE - 1)), lambda i: F.conv(F.substring(text, i * DIGITS + 1, F.lit(DIGITS)), 16, 10).cast("long"))
 
 
 def added(fingerprint: Column, more: Column) -> Column:
-    """The fingerprint of a text to which whole paragraphs with the fingerprint `more` are added."""
-    return _combined(fingerprint, more, 1)
+    """The fingerprint of a text to which the paragraphs of the text with the fingerprint `more` are added."""
+    return rendered(F.zip_with(lanes(fingerprint), lanes(more), lambda x, y: (x + y) % MODULUS))
 
 
 def removed(fingerprint: Column, less: Column) -> Column:
-    """The fingerprint of a text from which whole paragraphs with the fingerprint `less` are taken."""
-    return _combined(fingerprint, less, -1)
+    """The fingerprint of a text from which the paragraphs of the text with the fingerprint `less` are taken."""
+    return rendered(F.zip_with(lanes(fingerprint), lanes(less), lambda x, y: F.pmod(x - y, F.lit(MODULUS))))
 
 
-def likeness(n: Column, x: Column, m: Column, y: Column) -> Column:
-    """Cosine of two sign vectors (n pieces with packed counts x; m with y), held to 0..1. Two empty texts: 1."""
+def likeness(x: Column, y: Column) -> Column:
+    """Cosine of two fingerprints' LIKE lanes, given as lanes (array<long>), held to 0..1. Equal fingerprints: 1."""
 
-    def signed(count: Column, packed: Column) -> Column:
-        return F.flatten(F.transform(packed, lambda v: F.array((v.bitwiseAND(F.lit((1 << 32) - 1)) * 2 - count).cast("double"), (F.shiftrightunsigned(v, 32) * 2 - count).cast("double"))))
+    def signed(v: Column) -> Column:
+        own = F.slice(v, EQUAL + 1, LIKE)
+        return F.transform(own, lambda k: (k - F.when(k >= MODULUS // 2, F.lit(MODULUS)).otherwise(F.lit(0))).cast("double"))
 
-    dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda p, q: p * q), F.lit(0.0), lambda s, v: s + v)
-    a, b = signed(n, x), signed(m, y)
-    cosine = F.coalesce(F.try_divide(dot(a, b), F.sqrt(dot(a, a) * dot(b, b))), F.lit(0.0))
-    return F.when((n == m) & (x == y), F.lit(1.0)).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), cosine)))
+    dot = lambda p, q: F.aggregate(F.zip_with(p, q, lambda i, j: i * j), F.lit(0.0), lambda s, v: s + v)
+    a, b = signed(x), signed(y)
+    cosine = F.coalesce(F.try_divide(dot(a, b), F.sqrt(dot(a, a)) * F.sqrt(dot(b, b))), F.lit(0.0))
+    return F.when(x == y, F.lit(1.0)).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), cosine)))
 
 
 def _ranges(docs: DataFrame) -> tuple[Column, int]:
@@ -137,8 +127,9 @@ def fingerprints(docs: DataFrame) -> DataFrame:
 
     The edited text: the last floor(n_chars / 3) code points are replaced by the first as many (or all) of the
     next document, in descending doc_id; after the last comes the first. Null texts count as empty. Null ids come last;
-    rows of the same id are ordered by a hash of their text. A table of one row is next to itself, an empty one
-    gives no rows. Other columns pass through.
+    rows of the same id are ordered by a hash of their text, and equal rows have equal results. A table of one row is next
+    to itself, an empty one gives no rows. Very long texts are read whole. Other columns pass through, but for those named
+    like the results (in any case). Likenesses are those of the fingerprints that are returned.
 
     Texts are shuffled once, by ranges of doc_id; the first document of each range is also dealt to the range
     before, so that what follows a document is always found in its own partition.
@@ -176,14 +167,11 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     rows = rows.select(*keys, *facts, F.when(F.col("p").isNotNull(), F.xxhash64("p")).alias("a"), F.when(F.col("p").isNotNull(), F.xxhash64("p", F.lit(1))).alias("b"))
     sums = like_sums(F.col("a"), F.col("b"))
     summed = rows.groupBy(*keys, *facts).agg(F.count("a").alias("__n"), *[s.alias(f"l{i}") for i, s in enumerate(sums)])
-    packed = summed.select(*keys, *facts, "__n", F.array(*[f"l{i}" for i in range(len(sums))]).alias("__l"))
-    packed = packed.withColumn("__f", rendered(F.col("__equal"), F.col("__n"), F.col("__l")))
+    packed = summed.select(*keys, *facts, F.concat("__equal", like_lanes(F.col("__n"), F.array(*[f"l{i}" for i in range(len(sums))]))).alias("__v"))
     along = Window.partitionBy("__range").orderBy("__head", "__i", "__which")
-    seen = F.struct("__n", "__l", "__f")
-    joined = packed.withColumn("__e", F.lead(seen, 1).over(along)).withColumn("__x", F.lead(seen, 2).over(along)).where("__head = 0 and __which = 0")
+    joined = packed.withColumn("__e", F.lead("__v", 1).over(along)).withColumn("__x", F.lead("__v", 2).over(along)).where("__head = 0 and __which = 0")
     return joined.select(
         "doc_id", *[F.col(f"__kept.`{c}`").alias(c) for c in kept], "n_chars", "edited_sha256",
-        F.col("__f").alias("fingerprint"), F.col("__e.__f").alias("edited_fingerprint"),
-        likeness(F.col("__n"), F.col("__l"), F.col("__e.__n"), F.col("__e.__l")).alias("near_edited"),
-        likeness(F.col("__n"), F.col("__l"), F.col("__x.__n"), F.col("__x.__l")).alias("near_next"),
+        rendered(F.col("__v")).alias("fingerprint"), rendered(F.col("__e")).alias("edited_fingerprint"),
+        likeness(F.col("__v"), F.col("__e")).alias("near_edited"), likeness(F.col("__v"), F.col("__x")).alias("near_next"),
     )

@@ -1,5 +1,6 @@
 """Operators on single texts against brute force: quality, personal data, BPE, token files, fingerprints, LM scores."""
 
+import base64
 import collections
 import hashlib
 import math
@@ -11,6 +12,7 @@ import numpy as np
 import pyarrow as pa
 import public_tokenizers
 import pytest
+import xxhash
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
@@ -291,13 +293,69 @@ def test_fingerprints_over_many_ranges(spark, monkeypatch):
     assert small == {(r.doc_id, r.fingerprint, r.edited_sha256, round(r.near_next, 9)) for r in fingerprint.fingerprints(docs).collect()}
 
 
-def test_fingerprints_add_and_remove(spark):
-    def of(text):
-        return fingerprint.fingerprints(spark.createDataFrame([(1, text)], "doc_id long, text string")).first().fingerprint
+def brute_print(text):
+    """The lanes of a text's fingerprint, paragraph by paragraph."""
+    sums = np.zeros(fingerprint.EQUAL + fingerprint.LIKE, object)
+    for p in text.split("\n"):
+        digest = hashlib.sha256(p.encode()).digest()
+        sums[: fingerprint.EQUAL] += [int.from_bytes(digest[i : i + 4], "big") for i in range(0, 32, 4)]
+        for piece in filter(None, re.split(r"(?<=[^n-zN-Z5-9, \t\n\x0b\f\r])[ \t\n\x0b\f\r]+", p)):
+            a = xxhash.xxh64_intdigest(piece.encode(), 42)
+            b = xxhash.xxh64_intdigest((1).to_bytes(4, "little"), a)
+            bits = [h >> j + k & 1 for h, count in ((a, 32), (b, fingerprint.LIKE // 2 - 32)) for j in range(count) for k in (0, 32)]
+            sums[fingerprint.EQUAL :] += [2 * x - 1 for x in bits]
+    return [int(x) % (1 << 32) for x in sums]
+
+
+def brute_rendered(lanes):
+    return base64.b64encode(b"".join(x.to_bytes(4, "big") for x in lanes)).decode()
+
 
-    a, b, both = of("first line of it\nsecond"), of("third; a\nsecond"), of("second\nthird; a\nfirst line of it\nsecond")
-    row = spark.createDataFrame([(a, b, both)], "a string, b string, c string").select(fingerprint.added(F.col("a"), F.col("b")), fingerprint.removed(F.col("c"), F.col("b")), fingerprint.removed(F.col("a"), F.col("a"))).first()
-    assert tuple(row) == (both, a, of(""))
+def brute_likeness(x, y):
+    a, b = (np.array(v[fingerprint.EQUAL :], np.uint32).view(np.int32).astype(float) for v in (x, y))
+    norm = math.sqrt(a @ a) * math.sqrt(b @ b)
+    return 1.0 if x == y else max(0.0, min(1.0, a @ b / norm)) if norm else 0.0
+
+
+def test_fingerprints_equal_brute_force(spark):
+    rng = random.Random(12)
+    texts = ["", "\n", " ", "a", "end.\n next line here.", " next line here.\nend.", "x y, z\n\n\ttab a b.  c\n", "é ß 日本. \x0b z", "one line " * 700]
+    texts += ["\n".join("".join(rng.choice("ab nz59,. é\t") for _ in range(rng.randint(0, 40))) for _ in range(rng.randint(1, 6))) for _ in range(40)]
+    got = {r.doc_id: r for r in fingerprint.fingerprints(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    for i, t in enumerate(texts):
+        after = texts[(i - 1) % len(texts)]
+        k = len(t) // 3
+        own, edited, near = brute_print(t), brute_print(t[: len(t) - k] + after[:k]), brute_print(after)
+        r = got[i]
+        assert (r.fingerprint, r.edited_fingerprint) == (brute_rendered(own), brute_rendered(edited))
+        assert r.near_edited == pytest.approx(brute_likeness(own, edited)) and r.near_next == pytest.approx(brute_likeness(own, near))
+
+
+PARAGRAPH = st.text(alphabet="ab n5,.é\t", max_size=12)
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(PARAGRAPH, min_size=1, max_size=6), st.randoms())
+def test_brute_fingerprints_have_no_order(paragraphs, rng):
+    mixed = list(paragraphs)
+    rng.shuffle(mixed)
+    assert brute_print("\n".join(mixed)) == brute_print("\n".join(paragraphs))
+    assert [sum(x) % (1 << 32) for x in zip(*map(brute_print, paragraphs), strict=True)] == brute_print("\n".join(paragraphs))
+
+
+def test_fingerprints_add_and_remove(spark):
+    rng = random.Random(13)
+    cases = []
+    for _ in range(60):
+        x, y = ([rng.choice(["", " ", " a b. c", "end.", "n z, 5", "\t"]) for _ in range(rng.randint(1, 4))] for _ in range(2))
+        both = [*x, *y]
+        rng.shuffle(both)
+        cases.append(("\n".join(x), "\n".join(y), "\n".join(both)))
+    flat = [t for c in cases for t in c]
+    prints = {r.doc_id: r.fingerprint for r in fingerprint.fingerprints(spark.createDataFrame(list(enumerate(flat)), "doc_id long, text string")).collect()}
+    table = spark.createDataFrame([tuple(prints[3 * i + k] for k in range(3)) for i in range(len(cases))], "a string, b string, c string")
+    for r in table.select("a", "c", fingerprint.added(F.col("a"), F.col("b")).alias("sum"), fingerprint.removed(F.col("c"), F.col("b")).alias("rest"), fingerprint.removed(F.col("a"), F.col("a")).alias("none")).collect():
+        assert r["sum"] == r.c and r.rest == r.a and r.none == brute_rendered([0] * (fingerprint.EQUAL + fingerprint.LIKE))
 
 
 def test_lm_scores(spark):
