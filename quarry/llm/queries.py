@@ -14,7 +14,7 @@ def op9_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quarry.llm.mixing import pareto_mix
 
     docs = common.read_table(spark, sf_dir, "documents").select("doc_id", "text", "source")
-    return pareto_mix(docs).select("doc_id", "size", "source_size", "target", "taken", "copies")
+    return pareto_mix(docs).select("doc_id", "size", "source_size", "target", "taken", "copies", "inclusion")
 
 
 def op8_shard(spark: SparkSession, sf_dir: str) -> DataFrame:

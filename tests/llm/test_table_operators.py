@@ -1,6 +1,7 @@
 """Operators on whole tables against brute force: near-duplicates, sharding, mixing, search, and the pipeline."""
 
 import hashlib
+import math
 import random
 import re
 from collections import Counter, defaultdict
@@ -8,6 +9,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import pyarrow as pa
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 from quarry.llm import components, mixing, neardup, sharding, topk
@@ -193,6 +195,66 @@ def test_mixing(spark):
     assert mixing.pareto_mix(docs.where("doc_id = 9000")).first().taken == 0
 
 
+def brute_mix(rows, targets, seed, power=0.5, most=2.0):
+    """Copies and expected copies of each (doc_id, text, source), by Pareto sampling of all of a source's documents at once."""
+    out = {}
+    for source, target in targets.items():
+        own = [(i, t, len(SPLIT.findall(t or ""))) for i, t, s in rows if s == source]
+        weight = {i: 2.0 ** (math.floor(math.log2(max(1, n)) * 4) / 4 * power) for i, _, n in own}
+        full, rate = set(), 0.0
+        while True:  # more and more documents are held at `most`
+            open_ = sum(n * weight[i] for i, _, n in own if i not in full)
+            rate = (target - sum(most * n for i, _, n in own if i in full)) / open_ if open_ else 0.0
+            over = {i for i, _, _ in own if i not in full and rate * weight[i] > most}
+            if not over:
+                break
+            full |= over
+        expected = {i: most if i in full else rate * weight[i] for i, _, _ in own}
+        whole = {i: min(int(most), math.floor(x + 1e-12)) for i, x in expected.items()}
+        left, ranked = target - sum(whole[i] * n for i, _, n in own), []
+        for i, t, n in own:
+            p = expected[i] - whole[i]
+            h = xxhash.xxh64_intdigest(i.to_bytes(8, "little"), 42)
+            h = xxhash.xxh64_intdigest(t.encode(), h) if t is not None else h
+            h = xxhash.xxh64_intdigest(seed.to_bytes(4, "little"), h)
+            u = ((h >> 11) + 0.5) / 2**53
+            if n and p > 0:
+                ranked.append((u / (1 - u) * (1 - p) / p, h, i, n))
+        for _, _, i, n in sorted(ranked):
+            if n / 2 <= left:
+                whole[i] += 1
+            left -= n
+        out |= {i: (whole[i], expected[i]) for i, _, _ in own}
+    return out
+
+
+def test_mixing_equals_brute_force(spark):
+    rng = random.Random(18)
+    rows = [(i, " ".join("w" * (rng.randint(1, 9) if i % 3 else rng.randint(50, 400))), "abc"[min(i % 7, 2)]) for i in range(900)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    for seed in (1, 2):
+        got = mixing.pareto_mix(docs, seed=seed).collect()
+        targets = {r.source: r.target for r in got}
+        want = brute_mix(rows, targets, seed)
+        assert {r.doc_id: r.copies for r in got} == {i: c for i, (c, _) in want.items()}
+        assert all(r.inclusion == pytest.approx(want[r.doc_id][1]) for r in got)
+        assert len({round(r.inclusion, 6) for r in got if r.source == "c"}) > 5  # odds differ within a source
+
+
+def test_mixing_takes_documents_as_often_as_expected():
+    rng = random.Random(19)
+    rows = [(i, " ".join("w" * rng.choice([1, 3, 10, 30, 100])), "a") for i in range(400)]
+    words = sum(len(t.split()) for _, t, _ in rows)
+    drawn, times = Counter(), 300
+    for seed in range(times):
+        found = brute_mix(rows, {"a": 0.8 * words}, seed)
+        drawn.update({i: c for i, (c, _) in found.items()})
+    for size in (1, 3, 10, 30, 100):  # by class, as all documents of a size have the same odds
+        own = [i for i, t, _ in rows if len(t.split()) == size]
+        expected = found[own[0]][1]
+        assert sum(drawn[i] for i in own) / times / len(own) == pytest.approx(expected, abs=0.03)
+
+
 def brute_topk(rows, k, every):
     sound = [(i, [int(np.floor(64.0 * x)) for x in v]) for i, v in rows if i is not None and v is not None and all(x is not None and np.isfinite(x) for x in v)]
     out = set()
