@@ -11,75 +11,86 @@ from pyspark.sql.window import Window
 from quarry.llm.common import cut
 
 #: Rows of a block of candidates and of queries. A task holds one of each.
-CANDIDATES, QUERIES = 8192, 2048
-FIRST_DEPTH = 32
+CANDIDATES, QUERIES = 8192, 8192
+#: How deep a query's longest walk along a list goes at first, what it is multiplied by, and the share of a block's rows that
+#: walks may read; beyond it the rest is scored at once. Queries whose scores are made at once.
+FIRST_DEPTH, DEEPER, WALK, AT_ONCE = 4, 4, 0.25, 256
 EXACT = float(1 << 53)
 LONG = (1 << 63) - 1
 
+Best = tuple[np.ndarray, np.ndarray]  # ids and scores
 
-def threshold_topk(ids: np.ndarray, rows: np.ndarray, query_ids: np.ndarray, queries: np.ndarray, k: int) -> list[tuple[np.ndarray, np.ndarray]]:
-    """For each query the (ids, scores) of its k best rows, ties to the smaller id, rows of its own id left out.
 
-    Each dimension's list is read from both ends, as a query wants its largest values or, where it is negative, its
-    smallest. A round goes on to twice the depth and scores, for all queries still open, the rows that some list has
-    shown since. No row still unseen can score above the sum of the lists' next values; a query is closed when that
-    sum is below its kth score. (An equal sum keeps it open, for ties.)
+def _best(ids: np.ndarray, scores: np.ndarray, k: int) -> Best:
+    """The k largest scores, ties to the smaller id."""
+    if len(ids) > 4 * k and scores.dtype != object:
+        fit = np.flatnonzero(scores >= np.partition(scores, len(scores) - k)[len(scores) - k])
+        ids, scores = ids[fit], scores[fit]
+    top = np.lexsort((ids, -scores)) if scores.dtype != object else np.array(sorted(range(len(ids)), key=lambda x: (-scores[x], ids[x])), np.int64)
+    return ids[top[:k]], scores[top[:k]]
+
+
+def threshold_topk(ids: np.ndarray, rows: np.ndarray, query_ids: np.ndarray, queries: np.ndarray, k: int, floors: np.ndarray | None = None) -> tuple[list[Best], np.ndarray]:
+    """For each query the (ids, scores) of its k best rows, ties to the smaller id, rows of its own id left out; and how many
+    rows were scored for it. `floors` has for each query a score that k other rows are known to reach: rows below it may be
+    left out of the results.
+
+    Each dimension has one sorted list, which a query reads from the end where it finds its largest products: the upper end
+    where it is positive, the lower end where it is negative. It goes down all lists at once, in each as deep as its
+    component is large against its largest one, and scores the rows that it meets in full. No row still unseen can score
+    above the sum of the products with the lists' next values, so the query is closed when that sum is below its kth
+    score, or its floor (an equal sum keeps it open, for ties). A query that has read WALK times the block's rows and is
+    still open, as many dimensions of like size make it, scores the block's rows at once.
     """
     n, d = rows.shape
-    none = (np.zeros(0, np.int64), np.zeros(0, object))
+    best: list[Best] = [(np.zeros(0, np.int64), np.zeros(0, object))] * len(queries)
+    scored = np.zeros(len(queries), np.int64)
     if n == 0 or len(queries) == 0:
-        return [none] * len(queries)
+        return best, scored
     most = float(np.abs(rows).max(initial=0)) * float(np.abs(queries).max(initial=0)) * max(d, 1)
-    if most < EXACT:  # sums of integers below 2**53 are exact in doubles
-        rows, queries = rows.astype(np.float64), queries.astype(np.float64)
-    else:
-        rows, queries = rows.astype(object), queries.astype(object)
-    by_id = np.argsort(ids, kind="stable")
-    ids, rows = ids[by_id], rows[by_id]
-    if d:
-        order = np.argsort(rows, axis=0, kind="stable")
-        lists = np.take_along_axis(rows, order, axis=0)
-        rank = np.empty((n, d), np.int64)
-        np.put_along_axis(rank, order, np.arange(n)[:, None], axis=0)
-        shown = np.minimum(rank, n - 1 - rank).min(axis=1)  # the depth at which a row is first seen
-        up, down = np.maximum(queries, 0), np.minimum(queries, 0)
-    else:
-        shown = np.zeros(n, np.int64)
-    best: list[tuple[np.ndarray, np.ndarray]] = [none] * len(queries)
-    still = np.arange(len(queries))
-    low, high = 0, FIRST_DEPTH
-    while len(still):
-        new = np.flatnonzero((shown >= low) & (shown < high))
-        if len(new):
-            scores = queries[still] @ rows[new].T
-            kth = np.full(len(still), -np.inf, scores.dtype)
-            for j, q in enumerate(still.tolist()):
-                s, i = scores[j], ids[new]
-                if s.dtype != object:
-                    s = np.where(i == query_ids[q], -np.inf, s)  # rows of its own id, however many, take no place
-                if len(best[q][1]) >= k:
-                    fit = np.flatnonzero(s >= best[q][1][k - 1])
-                elif len(s) > 4 * k and scores.dtype != object:
-                    fit = np.flatnonzero(s >= np.partition(s, len(s) - k)[len(s) - k])
-                else:
-                    fit = np.arange(len(s))
-                fit = fit[i[fit] != query_ids[q]]
-                if len(fit):
-                    i, s = np.concatenate([best[q][0], i[fit]]), np.concatenate([best[q][1].astype(scores.dtype), s[fit]])
-                    top = np.lexsort((i, -s)) if s.dtype != object else np.array(sorted(range(len(s)), key=lambda x: (-s[x], i[x])), np.int64)
-                    best[q] = i[top[:k]], s[top[:k]]
-                if len(best[q][1]) >= k:
-                    kth[j] = best[q][1][k - 1]
-        else:
-            kth = np.array([best[q][1][k - 1] if len(best[q][1]) >= k else -np.inf for q in still.tolist()])
-        if 2 * high >= n + 1 or d == 0:
-            break
-        bound = up[still] @ lists[n - 1 - high] + down[still] @ lists[high]
-        still = still[bound >= kth]
-        low, high = high, 2 * high
-        if 2 * high >= n + 1:
-            high = n  # both ends have met: what is left is seen now
-    return best
+    kind = np.float64 if most < EXACT else object  # sums of integers below 2**53 are exact in doubles
+    rows, queries = rows.astype(kind), queries.astype(kind)
+    low = np.full(len(queries), -np.inf, kind) if floors is None else np.asarray(floors).astype(kind)
+
+    def meet(q: int, some: np.ndarray, scores: np.ndarray) -> None:
+        keep = np.flatnonzero((ids[some] != query_ids[q]) & (scores >= low[q]))
+        if len(keep):
+            best[q] = _best(np.concatenate([best[q][0], ids[some[keep]]]), np.concatenate([best[q][1].astype(kind), scores[keep]]), k)
+        if len(best[q][0]) >= k:
+            low[q] = max(low[q], best[q][1][k - 1])
+
+    order = np.argsort(rows, axis=0, kind="stable")
+    lists = np.take_along_axis(rows, order, axis=0)
+    size = np.abs(queries).astype(np.float64)
+    share = size / np.maximum(size.max(axis=1, initial=0), 1e-300)[:, None]
+    depth = np.zeros(queries.shape, np.int64)
+    seen: dict[int, np.ndarray] = {}
+    open_, whole, high = np.arange(len(queries)), [], FIRST_DEPTH
+    while len(open_):
+        place = np.where(queries[open_] > 0, n - 1 - depth[open_], depth[open_])
+        bound = (queries[open_] * lists[place, np.arange(d)]).sum(axis=1)
+        open_ = open_[bound >= low[open_]]
+        deeper = np.ceil(high * share[open_]).astype(np.int64)
+        walks = (deeper.sum(axis=1) <= WALK * n) & (deeper.max(axis=1, initial=0) < n) & (deeper > depth[open_]).any(axis=1)
+        whole += open_[~walks].tolist()
+        open_, deeper = open_[walks], deeper[walks]
+        for q, ends in zip(open_.tolist(), deeper, strict=True):
+            parts = [order[n - b : n - a, j] if queries[q, j] > 0 else order[a:b, j] for j, (a, b) in enumerate(zip(depth[q].tolist(), ends.tolist(), strict=True)) if a < b]
+            known = seen.get(q, np.zeros(0, np.int64))
+            new = np.setdiff1d(np.concatenate(parts), known)
+            seen[q] = np.concatenate([known, new])
+            depth[q] = ends
+            meet(q, new, rows[new] @ queries[q])
+            scored[q] += len(new)
+        high *= DEEPER
+    for i in range(0, len(whole), AT_ONCE):
+        some = whole[i : i + AT_ONCE]
+        scores = queries[some] @ rows.T
+        for q, s in zip(some, scores, strict=True):
+            left = np.setdiff1d(np.arange(n), seen[q]) if q in seen else np.arange(n)
+            meet(q, left, s[left])
+            scored[q] = n
+    return best, scored
 
 
 def _matrix(vectors: pd.Series, d: int) -> np.ndarray:
@@ -91,7 +102,10 @@ def _cell(queries: pd.DataFrame, rows: pd.DataFrame, k: int) -> pd.DataFrame:
     out = []
     for d, part in queries.groupby("d"):
         there = rows[rows["d"] == d]
-        found = threshold_topk(there["vec_id"].to_numpy(np.int64), _matrix(there["v"], int(d)), part["vec_id"].to_numpy(np.int64), _matrix(part["v"], int(d)), k)
+        floors = None
+        if "floor" in part:
+            floors = np.array([-np.inf if pd.isna(x) else int(x) for x in part["floor"]], object)
+        found, _ = threshold_topk(there["vec_id"].to_numpy(np.int64), _matrix(there["v"], int(d)), part["vec_id"].to_numpy(np.int64), _matrix(part["v"], int(d)), k, floors)
         for q, h, (ids, scores) in zip(part["vec_id"], part["h"], found, strict=True):
             out += [(q, h, int(i), max(-LONG - 1, min(LONG, int(s)))) for i, s in zip(ids, scores, strict=True)]
     return pd.DataFrame(out, columns=["query_id", "h", "vec_id", "score"])
@@ -112,21 +126,28 @@ def topk(vectors: DataFrame, is_query: Column, k: int = 20) -> DataFrame:
     not compared. Repeated rows count as candidates each time and as one query. Scores beyond 64 bits are held to
     its ends. An empty table gives no rows; other columns are not read.
 
-    Candidates and queries are dealt to blocks by hash; each pair of blocks is one group, whose exact k best by the
-    threshold algorithm meet again in a ranking per query.
+    Candidates and queries are dealt to blocks by hash, equal rows too. Each block of queries first meets one block of
+    candidates, its home; the kth score there is a floor under the query's kth score of all, with which it starts in all
+    other blocks. Each pair of blocks is one group, whose exact best by the threshold algorithm meet again in a ranking per
+    query. Candidates are shuffled once for each QUERIES queries.
     """
     sound = F.col("vec_id").isNotNull() & F.col("embedding").isNotNull() & F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x.cast("double")) & (F.abs(x.cast("double")) < float("inf")))
     base = vectors.where(sound).select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("v"), is_query.alias("asks"))
-    base = cut(base.withColumn("d", F.size("v")).withColumn("h", F.xxhash64("v")))
+    base = cut(base.withColumn("d", F.size("v")).withColumn("h", F.xxhash64("v")).withColumn("r", F.monotonically_increasing_id()))
     sizes = base.agg(F.count(F.lit(1)).alias("n"), F.count_if("asks").alias("q")).first()
     blocks, asking = max(1, -(-sizes["n"] // CANDIDATES)), max(1, -(-sizes["q"] // QUERIES))
-    rows = base.withColumn("cb", F.pmod(F.xxhash64("vec_id", "h"), F.lit(blocks))).withColumn("qb", F.explode(F.sequence(F.lit(0), F.lit(asking - 1))))
-    asks = base.where("asks").dropDuplicates(["vec_id", "h"]).withColumn("qb", F.pmod(F.xxhash64("vec_id", "h", F.lit(1)), F.lit(asking)).cast("int"))
-    asks = asks.withColumn("cb", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))))
-    columns = ["qb", "cb", "vec_id", "h", "d", "v"]
-    keys = ["qb", "cb"]
-    found = asks.select(columns).groupBy(keys).cogroup(rows.select(columns).groupBy(keys)).applyInPandas(
-        _cell_function(k), "query_id bigint, h bigint, vec_id bigint, score bigint"
-    )
+    rows = base.withColumn("cb", F.pmod(F.xxhash64("vec_id", "h", "r"), F.lit(blocks)).cast("int")).select("cb", "vec_id", "h", "d", "v")
+    rows = rows.toDF(*rows.columns)  # columns of its own, as both sides of the groups come from one table
+    asks = base.where("asks").dropDuplicates(["vec_id", "h"]).withColumn("qb", F.pmod(F.xxhash64("vec_id", "h", F.lit(1)), F.lit(asking)).cast("int")).select("qb", "vec_id", "h", "d", "v")
+    schema = "query_id bigint, h bigint, vec_id bigint, score bigint"
+    home = F.col("qb") % blocks
+    found = cut(asks.withColumn("cb", home).groupBy("cb").cogroup(rows.where(F.col("cb") < asking).groupBy("cb")).applyInPandas(_cell_function(k), schema))
     w = Window.partitionBy("query_id", "h").orderBy(F.col("score").desc(), "vec_id")
+    if blocks > 1:
+        kth = found.withColumn("n", F.row_number().over(w)).where(F.col("n") == k).select(F.col("query_id").alias("q"), F.col("h").alias("g"), F.col("score").alias("floor"))
+        known = asks.join(kth, (F.col("vec_id") == F.col("q")) & (F.col("h") == F.col("g")), "left").select("qb", "vec_id", "h", "d", "v", "floor")
+        known = known.withColumn("cb", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).where(F.col("cb") != home)
+        there = rows.withColumn("qb", F.explode(F.sequence(F.lit(0), F.lit(asking - 1)))).where(F.col("cb") != home)
+        keys = ["qb", "cb"]
+        found = found.unionByName(known.groupBy(keys).cogroup(there.groupBy(keys)).applyInPandas(_cell_function(k), schema))
     return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

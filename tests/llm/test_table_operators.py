@@ -281,14 +281,34 @@ def test_topk(spark, monkeypatch, block):
     assert topk.topk(df.where("false"), F.col("vec_id") % 20 == 0).count() == 0
 
 
-def test_threshold_algorithm_with_outliers():
+def test_threshold_algorithm_stops():
     rng = np.random.default_rng(4)
     rows = np.concatenate([rng.integers(-5, 6, (4000, 8)), np.full((30, 8), 60)]).astype(np.int64)
     queries = np.ones((1, 8), np.int64)
-    plain = topk.threshold_topk(np.arange(4030), rows, np.array([-1]), queries, 20)[0]
-    assert plain[0].tolist() == list(range(4000, 4020)) and set(plain[1].tolist()) == {480.0}
-    one = topk.threshold_topk(np.arange(4030), rows, np.array([4000]), queries, 20)[0]
+    (plain,), scored = topk.threshold_topk(np.arange(4030), rows, np.array([-1]), queries, 20)
+    assert plain[0].tolist() == list(range(4000, 4020)) and set(plain[1].tolist()) == {480.0} and scored[0] < 400
+    (one,), _ = topk.threshold_topk(np.arange(4030), rows, np.array([4000]), queries, 20)
     assert one[0].tolist() == list(range(4001, 4021))
+    # with a floor that no row reaches, nothing is read; with one that some reach, those are found
+    (nothing,), scored = topk.threshold_topk(np.arange(4000), rows[:4000], np.array([-1]), queries, 20, np.array([41]))
+    assert len(nothing[0]) == 0 and scored[0] == 0
+    (some,), _ = topk.threshold_topk(np.arange(4030), rows, np.array([-1]), queries, 20, np.array([480]))
+    assert some[0].tolist() == list(range(4000, 4020))
+
+
+def test_threshold_algorithm_against_all_scores():
+    rng = np.random.default_rng(9)
+    for case in range(40):
+        n, d = int(rng.integers(1, 900)), int(rng.integers(1, 30))
+        sparse = case % 2 == 0  # few components that count: the walks stop early
+        rows = rng.integers(-60, 61, (n, d)) * (rng.random((n, d)) < (0.1 if sparse else 1.0))
+        queries = rng.integers(-60, 61, (5, d)) * (rng.random((5, d)) < (0.3 if sparse else 1.0))
+        ids = rng.permutation(n)
+        found, scored = topk.threshold_topk(ids, rows, np.arange(5), queries, 7)
+        for q in range(5):
+            s = rows @ queries[q]
+            want = sorted((-s[i], ids[i]) for i in range(n) if ids[i] != q)[:7]
+            assert [(-x, i) for i, x in zip(*found[q], strict=True)] == want and scored[q] <= n
 
 
 def test_pipeline(spark, tmp_path):
@@ -359,7 +379,7 @@ def test_threshold_algorithm_with_repeated_query_rows():
     for copies in (2, 30, 300):
         rows = np.concatenate([rng.integers(-9, 10, (400, 6)), np.full((copies, 6), 40)]).astype(np.int64)
         ids = np.concatenate([np.arange(400), np.full(copies, 1000)])
-        got = topk.threshold_topk(ids, rows, np.array([1000]), rows[-1:], 20)[0]
+        (got,), _ = topk.threshold_topk(ids, rows, np.array([1000]), rows[-1:], 20)
         scores = rows[:400] @ rows[-1]
         best = np.lexsort((np.arange(400), -scores))[:20]
         assert got[0].tolist() == best.tolist() and got[1].tolist() == scores[best].tolist()
