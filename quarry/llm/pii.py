@@ -2,9 +2,11 @@
 
 The network is trained in numpy on labelled spans: those the patterns find in a bounded sample of windows, and written
 variants placed into such windows. Scoring finds every place of a text where a span of its kind (`plausible`) can lie, which
-is around an @ or in a run of digits, decodes a window around it by Viterbi, and takes of all windows' spans the set without
-overlaps that has the largest total score over the whole text. Windows are laid by what the text holds, so a span is
-whole in one wherever it stands. Spans that can't be of their kind or touch a pattern's span are left out.
+is around an @ or in a run of digits, and decodes overlapping windows around it by Viterbi. Windows are laid by what the
+text holds, so a span is whole in one wherever it stands; where no span of a kind can lie, no window is laid, as what isn't
+plausible is left out in the end anyway. A decoded span is settled to the ends of its place's words, so none is broken, and
+weighs its log odds against no span there. Of all windows' spans the set without overlaps that has the largest total weight
+over the whole text is taken. Spans that can't be of their kind or touch a pattern's span are left out.
 """
 
 from __future__ import annotations
@@ -27,11 +29,13 @@ from quarry.llm.common import others
 
 KINDS = ("email", "ip", "card", "phone")
 TAGS = 1 + 2 * len(KINDS)  # outside; for each kind begin, inside
-WINDOW, STRIDE = 96, 64
-HIDDEN = 12
+WINDOW = 96
+HIDDEN = 16
 #: Bounds of training: documents, those with the smallest hash of their id; windows of each, and written windows.
-DOCUMENTS, WINDOWS_EACH, WRITTEN = 400, 4, 1400
-EPOCHS, BATCH = 7, 64
+DOCUMENTS, WINDOWS_EACH, WRITTEN = 400, 4, 3000
+EPOCHS, BATCH = 9, 64
+#: Added to the log odds that a span begins, as what can't be of its kind is left out afterwards.
+LEAN = 3.0
 DECODED_AT_ONCE = 2048
 
 _HOST = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -167,20 +171,26 @@ class Tagger:
         return both @ self.p["o"] + self.p["c"], both
 
     def decode(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Best tags (rows, time) by Viterbi, and how much better each place's tag scores than outside."""
+        """Best tags (rows, time) by Viterbi, and how much each place adds to the log odds of its tag against outside all along:
+        the scores of its tag and of the step to it, less those of outside."""
         e, _ = self.emissions(x)
         length, n, _ = e.shape
-        score, back = e[0] + self.p["s"], np.empty((length, n, TAGS), np.int8)
+        trans, start = self.p["t"].copy(), self.p["s"].copy()
+        trans[0, 1::2] += LEAN
+        start[1::2] += LEAN
+        score, back = e[0] + start, np.empty((length, n, TAGS), np.int8)
         for t in range(1, length):
-            step = score[:, :, None] + self.p["t"]
+            step = score[:, :, None] + trans
             back[t] = step.argmax(axis=1)
             score = np.take_along_axis(step, back[t][:, None, :].astype(np.int64), axis=1)[:, 0] + e[t]
         tags, rows = np.empty((n, length), np.int8), np.arange(n)
         tags[:, -1] = score.argmax(axis=1)
         for t in range(length - 1, 0, -1):
             tags[:, t - 1] = back[t][rows, tags[:, t]]
-        e = e.transpose(1, 0, 2)
-        margin = np.take_along_axis(e, tags[:, :, None].astype(np.int64), axis=2)[:, :, 0] - e[:, :, 0]
+        e, at = e.transpose(1, 0, 2), tags.astype(np.int64)
+        margin = np.take_along_axis(e, at[:, :, None], axis=2)[:, :, 0] - e[:, :, 0]
+        margin[:, 1:] += trans[at[:, :-1], at[:, 1:]] - trans[0, 0]
+        margin[:, 0] += start[at[:, 0]] - start[0]
         return tags, margin
 
     def gradients(self, x: np.ndarray, y: np.ndarray) -> tuple[float, dict[str, np.ndarray]]:
@@ -190,24 +200,26 @@ class Tagger:
         length, n, _ = e.shape
         trans, rows = self.p["t"], np.arange(n)
 
-        def added(v: np.ndarray, axis: int) -> np.ndarray:
-            top = v.max(axis=axis, keepdims=True)
-            return np.log(np.exp(v - top).sum(axis=axis)) + top.squeeze(axis)
+        steps = np.exp(trans)
+
+        def summed(v: np.ndarray, table: np.ndarray) -> np.ndarray:
+            """log(exp(v) @ table) of rows of scores."""
+            top = v.max(axis=1, keepdims=True)
+            return np.log(np.exp(v - top) @ table) + top
 
         alpha, beta = np.empty_like(e), np.zeros_like(e)
         alpha[0] = e[0] + self.p["s"]
         for t in range(1, length):
-            alpha[t] = added(alpha[t - 1][:, :, None] + trans, 1) + e[t]
+            alpha[t] = summed(alpha[t - 1], steps) + e[t]
         for t in range(length - 2, -1, -1):
-            beta[t] = added(trans + (e[t + 1] + beta[t + 1])[:, None, :], 2)
-        z = added(alpha[-1], 1)
+            beta[t] = summed(e[t + 1] + beta[t + 1], steps.T)
+        z = summed(alpha[-1], np.ones((TAGS, 1), e.dtype))[:, 0]
         d_e = np.exp(alpha + beta - z[None, :, None])
-        g = {"s": d_e[0].sum(axis=0), "t": np.zeros_like(trans)}
-        gold = self.p["s"][y[:, 0]] + sum(e[t][rows, y[:, t]] for t in range(length))
-        for t in range(1, length):
-            g["t"] += np.exp(alpha[t - 1][:, :, None] + trans + (e[t] + beta[t] - z[:, None])[:, None, :]).sum(axis=0)
-            np.add.at(g["t"], (y[:, t - 1], y[:, t]), -1)
-            gold = gold + trans[y[:, t - 1], y[:, t]]
+        top = alpha[:-1].max(axis=2, keepdims=True)
+        left, right = np.exp(alpha[:-1] - top), np.exp(e[1:] + beta[1:] - z[None, :, None] + top)
+        g = {"s": d_e[0].sum(axis=0), "t": steps * (left.reshape(-1, TAGS).T @ right.reshape(-1, TAGS))}
+        g["t"] -= np.bincount((y[:, :-1] * TAGS + y[:, 1:]).ravel(), minlength=TAGS * TAGS).reshape(TAGS, TAGS)
+        gold = self.p["s"][y[:, 0]] + sum(e[t][rows, y[:, t]] for t in range(length)) + trans[y[:, :-1], y[:, 1:]].sum(axis=1)
         for t in range(length):
             d_e[t][rows, y[:, t]] -= 1
         np.add.at(g["s"], y[:, 0], -1)
@@ -215,18 +227,22 @@ class Tagger:
         g["o"], g["c"] = both.reshape(-1, 2 * HIDDEN).T @ flat, flat.sum(axis=0)
         d_both = d_e @ self.p["o"].T
         h = HIDDEN
+        places = np.argsort(x.T, axis=None, kind="stable")  # of `every`, code by code
+        used, starts = np.unique(x.T.ravel()[places], return_index=True)
         for k, way in enumerate("fb"):
             u = self.p["u" + way]
-            gx, gu = np.zeros_like(self.p["x" + way]), np.zeros_like(u)
+            every, gu = np.empty((length, n, 4 * h), e.dtype), np.zeros_like(u)
             d_state, d_cell = np.zeros((n, h), np.float32), np.zeros((n, h), np.float32)
             for t, before, old, gates, new, wide in reversed(keep[k]):
                 ds = d_state + d_both[t][:, k * h : (k + 1) * h]
                 i, f, o = gates[:, :h], gates[:, h : 2 * h], gates[:, 2 * h :]
                 dc = d_cell + ds * o * (1 - wide * wide)
                 dz = np.concatenate([dc * new * i * (1 - i), dc * old * f * (1 - f), ds * wide * o * (1 - o), dc * i * (1 - new * new)], axis=1)
-                np.add.at(gx, x[:, t], dz)
+                every[t] = dz
                 gu += before.T @ dz
                 d_state, d_cell = dz @ u.T, dc * f
+            gx = np.zeros_like(self.p["x" + way])
+            gx[used] = np.add.reduceat(every.reshape(-1, 4 * h)[places], starts)
             g["x" + way], g["u" + way] = gx, gu
         return float((z - gold).mean()), {k: v / n for k, v in g.items()}
 
@@ -269,25 +285,37 @@ def _card_number(rng: random.Random, n: int) -> str:
 
 
 def _written(rng: random.Random, kind: int) -> str:
-    """A made-up item of a kind, or for kind -1 a number that is none."""
-    d = lambda n: "".join(rng.choice("0123456789") for _ in range(n))
-    w = lambda: "".join(rng.choice("abcdefghiklmnoprstuvw") for _ in range(rng.randint(2, 8)))
+    """A made-up item of a kind, in a form drawn from the kind's list, or for kind -1 something that is none."""
+
+    def d(n: int) -> str:
+        return "".join(rng.choice("0123456789") for _ in range(n))
+
+    def w(least: int = 2, most: int = 9) -> str:
+        return "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rng.randint(least, most)))
+
     if kind == 0:
-        at = rng.choice(["@", "@", " @ ", "@ ", " @"])
-        return rng.choice([w(), f"{w()}.{w()}", f"{w()}{d(2)}", f"{w()}_{w()}"]) + at + rng.choice([f"{w()}.{w()}", f"{w()}{d(1)}.{w()}.com", f"{w()}.org", f"{w()} . com"])
+        name = rng.choice([w(1, 3), w(1, 4), w(), w(6, 16), f"{w()}.{w()}", f"{w()}{d(2)}", f"{w()}_{w()}", f"{w()}.{w()}_{d(2)}", f"{w(4)}.{w(4, 14)}_{d(2)}", f"{w(4)}.{w(8, 20)}-{w()}", f"{w(1, 1)}.{w()}+{w()}"])
+        top = rng.choice(["com", "org", "net", "example", "co.uk", "info", w(2, 3), w(2, 3), w(2, 5)])
+        host = rng.choice([w(2, 4), w(), w(3, 14), f"{w()}.{w()}", f"mail.{w()}-{w()}", f"{w()}-{w()}", f"{w()}{d(1)}", f"{w()}.{w(5, 14)}-{w(4)}"])
+        at, dot = rng.choice([(" @ ", "."), (" @ ", "."), ("@ ", "."), ("@ ", "."), (" @", "."), (" @", "."), ("@", "."), (" @ ", " . ")])
+        return name + at + host + dot + top
     if kind == 1:
         parts = [str(rng.randint(0, 255)) for _ in range(4)]
-        return rng.choice([".", ".", "[.]", " . "]).join(parts)
+        return rng.choice([".", "[.]", "[.]", " . ", " [.] "]).join(parts)
     if kind == 2:
-        n = rng.choice([13, 14, 15, 15, 16, 16, 16, 16, 17, 18, 19])
-        c, sep = _card_number(rng, n), rng.choice(["", "", " ", "-", "."])
+        n = rng.choice([13, 14, 15, 15, 16, 16, 16, 17, 18, 19])
+        c, sep = _card_number(rng, n), rng.choice(["", "", " ", "-", "-", ".", "."])
         return sep.join(c[i : i + 4] for i in range(0, n, 4))
     if kind == 3:
         s = rng.choice(" -.")
-        return rng.choice([f"+{d(1)} ({d(3)}) {d(3)}-{d(4)}", f"+{d(2)}{s}{d(3)}{s}{d(4)}{s}{d(3)}", f"({d(3)}) {d(3)}-{d(4)}", f"{d(3)}{s}{d(3)}{s}{d(4)}", f"0{d(3)}{s}{d(3)}{s}{d(4)}", f"00{d(2)}{s}{d(3)}{s}{d(4)}"])
+        return rng.choice([
+            f"({d(3)}) {d(3)}-{d(4)}", f"({d(3)}) {d(3)}{s}{d(4)}", f"{d(3)}{s}{d(3)}{s}{d(4)}", f"{d(3)}{s}{d(3)}{s}{d(4)}", f"{d(3)}{s}{d(3)}{s}{d(4)}", f"{d(3)}.{d(3)}.{d(4)}",
+            f"0{d(3)}{s}{d(3)}{s}{d(4)}", f"00{d(2)}{s}{d(3)}{s}{d(4)}", f"+{d(1)} ({d(3)}) {d(3)}-{d(4)}", f"{d(2)}{s}{d(4)}{s}{d(4)}",
+        ])
     return rng.choice([
         d(rng.randint(1, 9)), d(16), d(20), d(40), f"{d(4)}-{d(2)}-{d(2)}", f"{d(2)}:{d(2)}:{d(2)}", f"{d(2)}.{d(2)}.{d(4)}", f"{d(1)}.{d(2)}", f"{d(1)},{d(3)},{d(3)}", f"v{d(1)}.{d(1)}.{d(2)}",
         f"{d(1)}.{d(1)}.{d(2)}", f"{d(3)}-{d(2)}", f"{rng.randint(256, 999)}.{d(3)}.{d(2)}.{d(3)}", f"{w()}@", f"@{w()}", f"#{d(5)}", f"{d(4)} {d(4)}", f"{d(2)}/{d(2)}/{d(4)}", f"[{d(2)}]", "".join(rng.choice("0123456789abcdef") for _ in range(24)),
+        f"{w()} @ {w()} {w()}", f"{w()} @ {w()}. {w().capitalize()} {w()}", f"@ {w()}.", f"{w()} @ {d(2)}.{d(2)}", f"{d(4)}-{d(4)}", f"{d(3)} {d(3)}",
     ])
 
 
@@ -300,12 +328,12 @@ def written_examples(contexts: list[str], count: int = WRITTEN, seed: int = 9) -
         text = context[: rng.randint(0, 40)]
         spans = base_spans(text)
         for _ in range(rng.randint(1, 2)):
-            kind = (-1, 0, 1, 2, 3)[k % 5] if rng.random() < 0.7 else rng.randrange(-1, 4)
+            kind = (-1, 0, 0, 0, 1, 2, 3, 3)[k % 8] if rng.random() < 0.8 else rng.randrange(-1, 4)
             item = _written(rng, kind)
-            text += rng.choice([" ", " ", " (", "\n", ", ", ": ", " | ", "="])
+            text += rng.choice([" ", " ", " ", " (", "\n", ", ", ": ", " | ", "="])
             if kind >= 0:
                 spans.append((kind, len(text), len(text) + len(item)))
-            text += item + rng.choice([" ", " ", ". ", ") ", ", ", "\n", " | "])
+            text += item + rng.choice([" ", " ", " ", ". ", ") ", ", ", "\n", " | "])
         text += context[40 : 40 + max(0, WINDOW - len(text))]
         known = set(spans)
         clear = [s for s in base_spans(text) if not any(s[1] < b and a < s[2] for _, a, b in known)]
@@ -401,7 +429,7 @@ def windows_of(text: str, base: list[Span]) -> list[tuple[int, int, int, int]]:
 
 
 def _spans_of(tags: np.ndarray, margin: np.ndarray, first: int, size: int) -> list[tuple[float, int, int, int]]:
-    """Spans of one window of `size` characters that starts at `first`."""
+    """Spans of one window of `size` characters that starts at `first`, with their log odds against no span there."""
     out, t = [], 0
     while t < size:
         tag = int(tags[t])
@@ -409,13 +437,38 @@ def _spans_of(tags: np.ndarray, margin: np.ndarray, first: int, size: int) -> li
             kind, end = (tag - 1) // 2, t + 1
             while end < size and tags[end] == 2 + 2 * kind:
                 end += 1
-            out.append((float(margin[t:end].mean()), kind, first + t, first + end))
+            leave = float(margin[end]) if end < size and tags[end] == 0 else 0.0
+            out.append((float(margin[t:end].sum()) + leave, kind, first + t, first + end))
             t = end
         else:
             t += 1
     return out
 
 
+_HOST_END = re.compile(r"(?:[A-Za-z0-9-]|\.(?=[A-Za-z0-9-]))*")
+_LEAST = re.compile(r"\s?@\s?(?:[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+|[A-Za-z0-9-]+\s?\.\s?[A-Za-z0-9-]+)")
+
+
+def settled(kind: int, text: str, start: int, end: int, low: int, high: int) -> tuple[int, int]:
+    """The ends of a span that was decoded around the place from low to high, so that no span begins or ends within a word.
+
+    An address found in any part of its place is all of it: the name before the @ begins it, and it ends where the tagger
+    ends it, but not before its least host (one with a dot). A number goes on to whole runs of digits, and its bracket.
+    """
+    if kind == 0:
+        least = next((m for m in _LEAST.finditer(text, low, high) if m.start() > low), None)
+        if least is None or end <= low or start >= high:
+            return start, end
+        return low, min(high, max(least.end(), _HOST_END.match(text, end).end()))
+    while start > 0 and text[start - 1] in "0123456789":
+        start -= 1
+    while end < len(text) and text[end] in "0123456789":
+        end += 1
+    if kind == 3 and start > 0 and text[start - 1] == "(" and ")" in text[start:end]:
+        start -= 1
+    return start, end
+
+
 class Finder:
     """Spans of texts: patterns and tagger."""
 
@@ -434,7 +487,10 @@ class Finder:
             tags, margin = self.tagger.decode(x)
             for r in np.flatnonzero(tags.any(axis=1)).tolist():
                 k, first, low, high = of[r]
-                found[k] += [s for s in _spans_of(tags[r], margin[r], first, len(some[r])) if low <= s[2] and s[3] <= high]
+                for odds, kind, a, b in _spans_of(tags[r], margin[r], first, len(some[r])):
+                    a, b = settled(kind, texts[k], a, b, low, high)
+                    if low <= a and b <= high:
+                        found[k].append((odds, kind, a, b))
             some.clear()
             of.clear()
 
@@ -506,10 +562,13 @@ def _apply(docs: DataFrame, tagger: Tagger, redact: bool) -> DataFrame:
 
 def find(docs: DataFrame, tagger: Tagger) -> DataFrame:
     """docs without text, with counts of base spans by kind, the SHA-256 of the base spans, and all spans (kind:start:end,
-    by kind and start, code points). Null texts count as empty: counts of 0 and no spans. Rows stay where they are."""
+    by kind and start, code points). Null texts count as empty: counts of 0 and no spans. Rows stay where they are; equal
+    texts have equal spans, very long texts are read whole, an empty table gives no rows, and other columns pass through,
+    but for those named like the results (in any case)."""
     return _apply(docs, tagger, redact=False)
 
 
 def redact(docs: DataFrame, tagger: Tagger) -> DataFrame:
-    """docs with every span in text replaced by its kind in brackets; a null text stays null."""
+    """docs with every span in text replaced by its kind in brackets; a null text stays null. Of overlapping spans the first
+    names the kind. Repeated rows stay repeated, an empty table stays empty, and all other columns are as they were."""
     return _apply(docs, tagger, redact=True)
