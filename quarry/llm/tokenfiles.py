@@ -22,11 +22,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from quarry.llm.bpe import BYTE_LEVEL, UNUSUAL, Memory, usual
-from quarry.llm.common import cut, shared_dir
+from quarry.llm.bpe import BYTE_LEVEL, UNUSUAL, byte_letters, usual
+from quarry.llm.common import cut, shared_dir, uncollected
 
-#: Ids of documents that are read at once, words that a process remembers, and texts that it gets at once.
-PART_IDS, KNOWN, TEXTS = 1 << 22, 500_000, 500
+#: Ids of documents that are read at once, words in a generation of a process's memory, and texts that it gets at once.
+PART_IDS, KNOWN, TEXTS = 1 << 22, 250_000, 500
 
 
 def store(folder: str) -> tuple[pafs.FileSystem, str]:
@@ -35,11 +35,30 @@ def store(folder: str) -> tuple[pafs.FileSystem, str]:
     return pafs.LocalFileSystem(), folder
 
 
+class Recent(dict):
+    """What a key makes, remembered in two generations: when the newer one is full it becomes the older one, and what is
+    asked for again moves on. So frequent keys are never forgotten, and the cost of a miss does not grow with the input."""
+
+    def __init__(self, make, most: int):
+        self.make, self.most, self.older = make, most, {}
+
+    def __missing__(self, key):
+        value = self.older.get(key)
+        if value is None:
+            value = self.make(key)
+        if len(self) >= self.most:
+            self.older = dict(self)
+            self.clear()
+        self[key] = value
+        return value
+
+
 class Encoder:
-    """The library's encode(text, add_special_tokens=False), a word at a time: equal words are encoded once.
+    """The library's encode(text, add_special_tokens=False), a word at a time: words met lately are not encoded again.
 
-    Texts with added tokens or unusual characters, and vocabularies with a normalizer or another pre-tokenizer
-    than byte-level without a prefix space, go through the library whole.
+    A word goes to the library's model, in the letters that stand for its bytes. Texts with added tokens or unusual
+    characters, and vocabularies with a normalizer or another pre-tokenizer than byte-level without a prefix space, go
+    through the library whole.
     """
 
     def __init__(self, path: str, dtype: str):
@@ -53,11 +72,20 @@ class Encoder:
         plain = self.library.normalizer is None and type(pre).__name__ == "ByteLevel" and not pre.add_prefix_space
         self.words = usual(BYTE_LEVEL) if plain else None
         self.added = [t.content for t in self.library.get_added_tokens_decoder().values()]
-        self.known = Memory(self.whole, KNOWN)
+        self.letters = dict(enumerate(byte_letters()))
+        self.tokenize = self.library.model.tokenize
+        self.known = Recent(self.word, KNOWN)
 
     def whole(self, text: str) -> bytes:
         return array(self.code, self.library.encode(text, add_special_tokens=False).ids).tobytes()
 
+    def word(self, word: str) -> bytes:
+        if word.isascii() and word.isprintable():  # these letters stand for themselves, but for the space
+            spelled = word.replace(" ", self.letters[32])
+        else:
+            spelled = word.encode().decode("latin-1").translate(self.letters)
+        return array(self.code, [t.id for t in self.tokenize(spelled)]).tobytes()
+
     def encode(self, text: str) -> bytes:
         if self.words is None or UNUSUAL.search(text) or any(t in text for t in self.added):
             return self.whole(text)
@@ -91,7 +119,7 @@ def _write(batches: Iterator[pa.RecordBatch], path: str, folder: str, dtype: str
     part = task.partitionId()
     temp = f"{base}/.{part}-{task.taskAttemptId()}"
     offsets, ids, nulls = array("q", [0]), array("q"), bytearray()
-    with fs.open_output_stream(temp + ".bin") as out:
+    with fs.open_output_stream(temp + ".bin") as out, uncollected():
         for batch in batches:
             for key, text in zip(batch.column(0), batch.column(1), strict=True):
                 data = encoder.encode(text.as_py() or "") + end
@@ -121,18 +149,29 @@ def write(docs: DataFrame, path: str, end_id: int, folder: str | None = None) ->
     order = [F.col("doc_id").asc_nulls_last(), F.xxhash64("text")]
     dealt = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").repartitionByRange(*order).sortWithinPartitions(*order)
     parts = cut(dealt.mapInArrow(partial(_write, path=path, folder=folder, dtype=dtype, end_id=end_id), "part int, n_docs bigint, n_ids bigint"), batch=TEXTS)
+    for left in fs.get_file_info(pafs.FileSelector(base)):  # of attempts that failed; a part has three files
+        if left.base_name.startswith("."):
+            fs.delete_file(left.path)
     w = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # a row for each part
     return folder, dtype, parts.where("n_docs > 0").withColumn("base", F.coalesce(F.sum("n_ids").over(w), F.lit(0)))
 
 
-def mapped(fs: pafs.FileSystem, path: str, dtype: str) -> np.ndarray:
-    """The file as an array: memory-mapped where it is local, else read."""
-    if fs.get_file_info(path).size == 0:
-        return np.zeros(0, dtype)
-    if isinstance(fs, pafs.LocalFileSystem):
-        return np.memmap(path, dtype, "r")
-    with fs.open_input_stream(path) as f:
-        return np.frombuffer(f.read(), dtype)
+class Flat:
+    """A flat file of integers: memory-mapped where it is local; elsewhere only the ranges that are asked for are read."""
+
+    def __init__(self, fs: pafs.FileSystem, path: str, dtype: str):
+        self.fs, self.path, self.dtype = fs, path, np.dtype(dtype)
+        self.size = fs.get_file_info(path).size // self.dtype.itemsize
+        local = isinstance(fs, pafs.LocalFileSystem) and self.size > 0
+        self.map = np.memmap(path, self.dtype, "r", shape=(self.size,)) if local else None
+
+    def __getitem__(self, at: slice) -> np.ndarray:
+        first, last, _ = at.indices(self.size)
+        if self.map is not None or last <= first:
+            return self.map[first:last] if self.map is not None else np.zeros(0, self.dtype)
+        with self.fs.open_input_file(self.path) as f:
+            width = self.dtype.itemsize
+            return np.frombuffer(f.read_at((last - first) * width, first * width), self.dtype)
 
 
 def _read(batches: Iterator[pa.RecordBatch], folder: str, dtype: str) -> Iterator[pa.RecordBatch]:
@@ -140,14 +179,15 @@ def _read(batches: Iterator[pa.RecordBatch], folder: str, dtype: str) -> Iterato
     for batch in batches:
         for part, base in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
             name = f"{top}/part-{part:06d}"
-            tokens, offsets, docs = mapped(fs, name + ".bin", dtype), mapped(fs, name + ".idx", "<i8"), mapped(fs, name + ".doc", "u1")
+            tokens, offsets, docs = Flat(fs, name + ".bin", dtype), Flat(fs, name + ".idx", "<i8")[:], Flat(fs, name + ".doc", "u1")[:]
             n = len(offsets) - 1
             ids, nulls = np.frombuffer(docs[: 8 * n].tobytes(), "<i8"), docs[8 * n :].astype(bool)
             first = 0
             while first < n:  # as many documents at once as hold some millions of ids, one at least
                 last = max(first + 1, int(np.searchsorted(offsets, offsets[first] + PART_IDS, "right")) - 1)
                 at = offsets[first : last + 1]
-                crc = [zlib.crc32(tokens[a:b].astype("<u4").tobytes()) for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
+                held = tokens[int(at[0]) : int(at[-1])]
+                crc = [zlib.crc32(held[a:b].astype("<u4").tobytes()) for a, b in zip((at[:-1] - at[0]).tolist(), (at[1:] - at[0]).tolist(), strict=True)]
                 yield pa.RecordBatch.from_pydict({
                     "doc_id": pa.array(ids[first:last], mask=np.asarray(nulls[first:last])), "start": pa.array(at[:-1] + base),
                     "n_tokens": pa.array(np.diff(at)), "ids_crc32": pa.array(crc, pa.int64()),
@@ -163,8 +203,8 @@ def read(folder: str, dtype: str, parts: DataFrame) -> DataFrame:
 
 
 def slice_ids(folder: str, dtype: str, part: int, document: int) -> np.ndarray:
-    """The ids of one document of a part, without reading the rest."""
+    """The ids of one document of a part; only its two offsets and its ids are read."""
     fs, top = store(os.fspath(folder))
     name = f"{top}/part-{part:06d}"
-    a, b = mapped(fs, name + ".idx", "<i8")[document : document + 2]
-    return np.asarray(mapped(fs, name + ".bin", dtype)[a:b])
+    a, b = Flat(fs, name + ".idx", "<i8")[document : document + 2].tolist()
+    return np.asarray(Flat(fs, name + ".bin", dtype)[a:b])
