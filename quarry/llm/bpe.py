@@ -20,7 +20,7 @@ import regex
 from pyspark.sql import DataFrame
 
 from quarry.llm import textscan
-from quarry.llm.common import others
+from quarry.llm.common import others, uncollected
 
 NEVER = 1 << 62
 #: Words whose ids a Python worker remembers at once; beyond that it starts over, which costs time only.
@@ -186,7 +186,7 @@ class Bpe:
 
     def pieces(self, text: str) -> Iterator[tuple[str | None, list[str]]]:
         """(added token or None, words) along the text."""
-        if self.apart and "<|" in text:
+        if any(t in text for t in self.added):
             for k, part in enumerate(self.apart.split(text)):
                 if k % 2:
                     yield part, []
@@ -247,18 +247,20 @@ FULL = ("ids", "decoded")
 CHECKED = ("ids", "decoded_sha256")
 
 
+def _ids_and_text(bpe: Bpe, text: str, kind: str) -> tuple[int, bytes | str, str]:
+    """The number of ids, the ids or their digest, and the decoded text or its digest."""
+    ids, decoded = (bpe.encode(text), "") if kind == "ids" else bpe.round_trip(text)
+    return len(ids) // 4, sha256(ids).hexdigest() if kind == "digests" else ids, decoded if kind == "both" else sha256(decoded.encode("utf-8")).hexdigest()
+
+
 def _batches(batches: Iterator[pa.RecordBatch], path: str, at: int, kind: str) -> Iterator[pa.RecordBatch]:
     """kind: digests (in place of text), ids (in place of text), checked (ids and a digest of the decoded text, in place of text), or both (ids and decoded, beside it)."""
     bpe = loaded(path)
     for whole in batches:
         for batch in textscan.pieces(whole, at):
-            n, ids_out, text_out = [], [], []
-            for value in batch.column(at):
-                text = value.as_py() or ""
-                ids, decoded = (bpe.encode(text), "") if kind == "ids" else bpe.round_trip(text)
-                n.append(len(ids) // 4)
-                ids_out.append(sha256(ids).hexdigest() if kind == "digests" else ids)
-                text_out.append(decoded if kind == "both" else sha256(decoded.encode("utf-8")).hexdigest())
+            with uncollected():
+                rows = [_ids_and_text(bpe, value.as_py() or "", kind) for value in batch.column(at)]
+            n, ids_out, text_out = ([row[k] for row in rows] for k in range(3))
             keep = [i for i in range(batch.num_columns) if kind == "both" or i != at]
             rest, names = [batch.column(i) for i in keep], [batch.schema.names[i] for i in keep]
             if kind == "digests":
