@@ -39,8 +39,10 @@ def threshold_topk(ids: np.ndarray, rows: np.ndarray, query_ids: np.ndarray, que
     where it is positive, the lower end where it is negative. It goes down all lists at once, in each as deep as its
     component is large against its largest one, and scores the rows that it meets in full. No row still unseen can score
     above the sum of the products with the lists' next values, so the query is closed when that sum is below its kth
-    score, or its floor (an equal sum keeps it open, for ties). A query that has read WALK times the block's rows and is
-    still open, as many dimensions of like size make it, scores the block's rows at once.
+    score, or its floor (an equal sum keeps it open, for ties). Each round goes DEEPER times as deep, until WALK times the
+    block's rows are read. What the sum will be there can be told from the lists beforehand: where that is not below the
+    best score met so far, as in many dimensions of like size, going on would cost more than it saves, and the query
+    scores the block's rows at once.
     """
     n, d = rows.shape
     best: list[Best] = [(np.zeros(0, np.int64), np.zeros(0, object))] * len(queries)
@@ -66,12 +68,19 @@ def threshold_topk(ids: np.ndarray, rows: np.ndarray, query_ids: np.ndarray, que
     depth = np.zeros(queries.shape, np.int64)
     seen: dict[int, np.ndarray] = {}
     open_, whole, high = np.arange(len(queries)), [], FIRST_DEPTH
+
+    def unseen(some: np.ndarray, depth: np.ndarray) -> np.ndarray:
+        """The sum of the lists' next values at these depths, for some queries."""
+        place = np.where(queries[some] > 0, n - 1 - depth, depth)
+        return (queries[some] * lists[place, np.arange(d)]).sum(axis=1)
+
+    last = np.minimum(share * (WALK * n / np.maximum(share.sum(axis=1), 1e-300))[:, None], n - 1).astype(np.int64)
+    at_last = unseen(open_, last)
     while len(open_):
-        place = np.where(queries[open_] > 0, n - 1 - depth[open_], depth[open_])
-        bound = (queries[open_] * lists[place, np.arange(d)]).sum(axis=1)
-        open_ = open_[bound >= low[open_]]
+        open_ = open_[unseen(open_, depth[open_]) >= low[open_]]
         deeper = np.ceil(high * share[open_]).astype(np.int64)
         walks = (deeper.sum(axis=1) <= WALK * n) & (deeper.max(axis=1, initial=0) < n) & (deeper > depth[open_]).any(axis=1)
+        walks &= np.array([q not in seen or len(best[q][0]) < k or at_last[q] < best[q][1][0] for q in open_.tolist()], bool)
         whole += open_[~walks].tolist()
         open_, deeper = open_[walks], deeper[walks]
         for q, ends in zip(open_.tolist(), deeper, strict=True):
@@ -87,8 +96,9 @@ def threshold_topk(ids: np.ndarray, rows: np.ndarray, query_ids: np.ndarray, que
         some = whole[i : i + AT_ONCE]
         scores = queries[some] @ rows.T
         for q, s in zip(some, scores, strict=True):
-            left = np.setdiff1d(np.arange(n), seen[q]) if q in seen else np.arange(n)
-            meet(q, left, s[left])
+            best[q] = best[q][0][:0], best[q][1][:0]  # what it has met is met again
+            fit = np.flatnonzero(s >= low[q])
+            meet(q, fit, s[fit])
             scored[q] = n
     return best, scored
 
