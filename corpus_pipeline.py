@@ -1,7 +1,9 @@
 """A corpus pipeline over `documents`: quality, near-duplicates, personal data, mixing, token ids.
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written as Parquet and reread as the next
-stage's docs. All but the last return the columns of documents. Stages take all rows that their predecessor kept.
+stage's docs. All but the last return the columns of documents. Stages take all rows that their predecessor kept, read
+whole texts however long, and give an empty table for an empty one. Near-duplicates are over shingles of five words, the
+default for stages on word shingles; the query over documents alone, op3_near_dedup, has two by its contract.
 """
 
 from __future__ import annotations
@@ -13,15 +15,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarry.llm import bpe, mixing, neardup, pii, quality
-from quarry.llm.common import BATCH, cut, read_table, shared_dir, small_side
-
-#: Texts that a Python worker gets at once. Stages are written after they return, so this is set for the session.
-TEXTS = "500"
+from quarry.llm.common import cut, read_table, remove, shared_dir, small_side
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier accepts; it learns from labels outside the held-out third."""
-    spark.conf.set(BATCH, TEXTS)
+    """Documents that the classifier accepts; it learns from labels outside the held-out third. Null and empty texts have the
+    model's prior; rows without a doc_id and repeated rows are judged by their text like others."""
     model = quality.fit(docs, read_table(spark, sf_dir, "labels"), ~quality.held_out())
     return quality.score(docs, model).where("predicted = 1").select(docs.columns)
 
@@ -47,21 +46,21 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def redact_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Personal data replaced by its kind in brackets; n_chars follows the text."""
-    spark.conf.set(BATCH, TEXTS)
+    """Personal data replaced by its kind in brackets; n_chars follows the text. A null text stays null."""
     clean = pii.redact(docs, pii.fit(docs))
     return clean.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(docs.columns)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as many times as the mix takes it."""
+    """Each document as many times as the mix takes it, which is two times at most. Equal rows are taken alike; texts
+    without words take none of the target."""
     mixed = mixing.pareto_mix(docs)
     return mixed.where("copies > 0").withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).select(docs.columns)
 
 
 def encode_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """(doc_id, source, lang, n_tokens, ids, decoded_sha256) of every document: its ids, and the SHA-256 of what they decode to."""
-    spark.conf.set(BATCH, TEXTS)
+    """(doc_id, source, lang, n_tokens, ids, decoded_sha256) of every document: its ids, and the SHA-256 of what they decode to.
+    A null text is empty and has no ids."""
     encoded = bpe.encode_checked(docs.select("doc_id", "source", "lang", "text"), public_tokenizers.path("word_bpe_49k.json"))
     return encoded.select("doc_id", "source", "lang", F.size("ids").cast("long").alias("n_tokens"), "ids", "decoded_sha256")
 
@@ -79,7 +78,7 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents; what lies between them is kept in the shared folder."""
+    """All stages over documents; what lies between them is kept in the shared folder, until the next stage is written."""
     folder = f"{shared_dir(spark)}/pipeline-{uuid.uuid4().hex}"
     docs = read_table(spark, sf_dir, "documents")
     for k, (_, stage) in enumerate(STAGES):
@@ -87,4 +86,6 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         if k < len(STAGES) - 1:
             docs.write.parquet(f"{folder}/{k}")
             docs = spark.read.parquet(f"{folder}/{k}")
+            if k:
+                remove(spark, f"{folder}/{k - 1}")
     return docs
