@@ -24,14 +24,14 @@ def _holding(term: str):
     return lambda r: r.contains(term)
 
 
-def term_tallies(files: DataFrame, terms: Sequence[str]) -> DataFrame:
-    """(path, term, match_kind, hit_count, first_line) from files (path, content).
+def term_tallies(files: DataFrame, terms: Sequence[str], keep: Sequence[str] = ()) -> DataFrame:
+    """(path, term, match_kind, hit_count, first_line) from files (path, content); columns in `keep` pass through.
 
     A line counts as string_literal and as comment (xml_doc, if it starts with ///) where the term stands between word
     boundaries in any case, and as identifier where it stands as an identifier in the same case. first_line is the first
     line that holds the term as it is written, else 1. Counts are taken within each file's own lines, so nothing is shuffled.
     """
-    held = files.select("path", lines(F.col("content")).alias("rows"))
+    held = files.select("path", *keep, lines(F.col("content")).alias("rows"))
     parts = []
     for term in dict.fromkeys(terms):
         word = F.lit(term)
@@ -42,7 +42,7 @@ def term_tallies(files: DataFrame, terms: Sequence[str]) -> DataFrame:
         parts.append(F.struct(word.alias("term"), first.alias("first_line"), in_words.alias("words"), in_docs.alias("docs"), as_name.alias("names")))
     if not parts:
         parts = [F.lit(None).cast("struct<term:string,first_line:int,words:int,docs:int,names:int>")]
-    found = held.select("path", F.inline(F.array(*parts)))
+    found = held.select("path", *keep, F.inline(F.array(*parts)))
     tally = lambda kind, n: F.struct(F.lit(kind).alias("match_kind"), n.alias("hit_count"))
     kinds = F.array(tally("string_literal", F.col("words")), tally("comment", F.col("words") - F.col("docs")), tally("xml_doc", F.col("docs")), tally("identifier", F.col("names")))
-    return found.select("path", "term", "first_line", F.inline(kinds)).where("hit_count > 0").select("path", "term", "match_kind", "hit_count", "first_line")
+    return found.select("path", *keep, "term", "first_line", F.inline(kinds)).where("hit_count > 0").select("path", "term", "match_kind", "hit_count", "first_line", *keep)

@@ -41,9 +41,9 @@ class _CSharp:
             "loc": found.line_count, "top_level_types": found.top_level_types, "uses_unsafe": "unsafe" in (content or ""), "using_directives": found.usings, "external_types": found.external_types,
         }
         n = len(found.top_level_types)
-        yield 0, "file_summary", path, "File", None, None, None, 1, max(1, found.line_count), f"File {path} with {n} top-level type(s)", "", json.dumps(about, ensure_ascii=False), found.namespaces, found.top_level_types
+        yield 0, "file_summary", path, "File", None, None, None, 1, max(1, found.line_count), f"File {path} with {n} top-level type(s)", "", json.dumps(about, ensure_ascii=False), found.namespaces, found.top_level_types, found.failed
         for i, s in enumerate(found.symbols, 1):
-            yield i, s.record_type, s.symbol_name, s.symbol_kind, s.namespace, s.class_name, s.method_name, s.line_start, s.line_end, s.summary, s.code_snippet, metadata_json(s), None, None
+            yield i, s.record_type, s.symbol_name, s.symbol_kind, s.namespace, s.class_name, s.method_name, s.line_start, s.line_end, s.summary, s.code_snippet, metadata_json(s), None, None, False
 
 
 def _json(**parts: Column) -> Column:
@@ -55,27 +55,28 @@ def _none(kind: str = "string") -> Column:
 
 
 def csharp_rows(files: DataFrame, terms: Sequence[str]) -> DataFrame:
-    """(path, ordinal, *COLUMNS) of C# files: the file, its symbols, and for each method-like symbol of a test file a reference."""
+    """(path, ordinal, *COLUMNS, unread) of C# files: the file, its symbols, and for each method-like symbol of a test file a
+    reference. Each file is read once; unread says of its first row that its text was beyond the reader."""
     hits = F.filter(F.array(*[F.lit(t) for t in terms]), lambda t: F.col("content").contains(t)) if terms else F.array().cast("array<string>")
     source = files.select("path", "content", (F.col("kind") == "test").alias("is_test"), hits.alias("hits"), test_framework(F.col("content")).alias("framework"))
-    call = F.udtf(_CSharp, returnType=f"{EXTRACTED}, namespaces array<string>, types array<string>")
+    call = F.udtf(_CSharp, returnType=f"{EXTRACTED}, namespaces array<string>, types array<string>, unread boolean")
     rows = source.lateralJoin(call(F.col("path").outer(), F.col("content").outer()))
     snippet = F.when(F.col("record_type") == "file_summary", file_summary(F.col("path"), F.col("namespaces"), F.col("types"), F.col("hits"))).otherwise(F.col("code_snippet"))
-    own = rows.select("path", (F.col("ordinal") * 2).alias("ordinal"), *COLUMNS[:9], snippet.alias("code_snippet"), "metadata_json", F.col("is_test").alias("is_test_code"), "framework")
+    own = F.struct((F.col("ordinal") * 2).alias("ordinal"), *[F.col(c) for c in COLUMNS[:9]], snippet.alias("code_snippet"), F.col("metadata_json"), F.col("is_test").alias("is_test_code"))
     about = _json(test_framework=F.col("framework"), test_attributes=F.array().cast("array<string>"), subjects=F.array().cast("array<string>"))
-    tests = own.where(F.col("is_test_code") & (F.col("record_type") == "method_summary")).select(
-        "path", (F.col("ordinal") + 1).alias("ordinal"), F.lit("test_reference").alias("record_type"), "symbol_name", F.lit("Method").alias("symbol_kind"), "namespace", "class_name", "method_name",
-        "line_start", "line_end", F.concat(F.lit("test "), "symbol_name").alias("summary"), "code_snippet", about.alias("metadata_json"), F.lit(True).alias("is_test_code"),
+    test = F.struct(
+        (F.col("ordinal") * 2 + 1).alias("ordinal"), F.lit("test_reference").alias("record_type"), F.col("symbol_name"), F.lit("Method").alias("symbol_kind"), F.col("namespace"), F.col("class_name"), F.col("method_name"),
+        F.col("line_start"), F.col("line_end"), F.concat(F.lit("test "), "symbol_name").alias("summary"), F.col("code_snippet"), about.alias("metadata_json"), F.lit(True).alias("is_test_code"),
     )
-    return own.drop("framework").unionByName(tests)
+    both = F.when(F.col("is_test") & (F.col("record_type") == "method_summary"), F.array(own, test)).otherwise(F.array(own))
+    return rows.select("path", "unread", F.inline(both)).select("path", "ordinal", *COLUMNS, "unread")
 
 
 def term_rows(files: DataFrame, terms: Sequence[str]) -> DataFrame:
-    """(path, ordinal, *COLUMNS) of search terms found in C# files."""
-    found = term_tallies(files, terms).withColumnRenamed("path", "p")
+    """(path, ordinal, *COLUMNS) of search terms found in C# files; a file's rows come from its own text, without a join."""
+    rows = term_tallies(files.withColumn("is_test_code", F.col("kind") == "test"), terms, keep=("content", "is_test_code"))
     place = F.create_map(*[x for i, t in enumerate(dict.fromkeys(terms)) for x in (F.lit(t), F.lit(i))])
     kinds = F.create_map(*[x for i, t in enumerate(("string_literal", "comment", "xml_doc", "identifier")) for x in (F.lit(t), F.lit(i))])
-    rows = files.select("path", "content", (F.col("kind") == "test").alias("is_test_code")).join(found, F.col("path") == F.col("p"))
     summary = F.format_string("search term '%s' matched as %s (%dx)", "term", "match_kind", "hit_count")
     return rows.select(
         "path", (place[F.col("term")] * 4 + kinds[F.col("match_kind")]).alias("ordinal"), F.lit("search_term_match").alias("record_type"), F.col("term").alias("symbol_name"), F.lit("None").alias("symbol_kind"),
@@ -119,9 +120,10 @@ def solution_records(files: DataFrame) -> DataFrame:
 
 
 def extracted(files: DataFrame, terms: Sequence[str] = ()) -> DataFrame:
-    """(path, section, ordinal, *COLUMNS, redaction) of files (path, length, content): every record, its snippet redacted.
+    """(path, section, ordinal, *COLUMNS, unread, redaction) of files (path, length, content): every record, its snippet redacted.
 
-    redaction is no_match, redacted or failed; records that failed must not be kept. Generated files and unreadable ones give
+    redaction is no_match, redacted or failed; records that failed must not be kept. unread marks the row of a file whose
+    text was beyond its reader, so that it counts as failed. Generated files and unreadable ones give
     none, and a file is read by the first that fits: project, solution, configuration, C#.
     """
     named = classified(files.where("content is not null and trim(path) <> ''")).where("kind <> 'generated'")
@@ -133,17 +135,21 @@ def extracted(files: DataFrame, terms: Sequence[str] = ()) -> DataFrame:
         parts.append(term_rows(source, terms))
     rows = None
     for i, part in enumerate(parts):
-        part = part.select("path", F.lit(i).alias("section"), "ordinal", *COLUMNS)
+        unread = F.col("unread") if "unread" in part.columns else F.lit(False)
+        part = part.select("path", F.lit(i).alias("section"), "ordinal", *COLUMNS, unread.alias("unread"))
         rows = part if rows is None else rows.unionByName(part)
     safe = rows.withColumn("r", redact(F.col("code_snippet")))
     return safe.withColumn("code_snippet", F.col("r.text")).withColumn("redaction", F.col("r.status")).drop("r")
 
 
 def counters(files: DataFrame, rows: DataFrame) -> DataFrame:
-    """One row: files_scanned, records_created, records_failed, redaction_failed of one scan."""
+    """One row: files_scanned, records_created, records_failed (files that couldn't be read) and redaction_failed of one scan."""
     scanned = files.agg(F.count(F.lit(1)).alias("files_scanned"), F.count_if(F.col("content").isNull()).alias("records_failed"))
-    made = rows.agg(F.count_if(F.col("redaction") != "failed").alias("records_created"), F.count_if(F.col("redaction") == "failed").alias("redaction_failed"))
-    return scanned.join(F.broadcast(made)).select("files_scanned", "records_created", "records_failed", "redaction_failed")  # one row each
+    made = rows.agg(
+        F.count_if(F.col("redaction") != "failed").alias("records_created"), F.count_if(F.col("redaction") == "failed").alias("redaction_failed"), F.count_if("unread").alias("unread")
+    )
+    both = scanned.join(F.broadcast(made))  # one row each
+    return both.select("files_scanned", "records_created", (F.col("records_failed") + F.col("unread")).alias("records_failed"), "redaction_failed")
 
 
 def first_of_key(rows: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:

@@ -187,6 +187,7 @@ class Extraction:
     symbols: list[Symbol] = field(default_factory=list)
     usings: list[str] = field(default_factory=list)
     external_types: list[str] = field(default_factory=list)
+    failed: bool = False
 
 
 @dataclass
@@ -954,11 +955,11 @@ class Extractor:
 
 
 def extract(source: str) -> Extraction:
-    """Records of a C# source text; never raises for any text."""
+    """Records of a C# source text; never raises for any text. One that is beyond the reader has no symbols and is marked failed."""
     try:
         return Extractor(source).run()
     except (IndexError, RecursionError, ValueError):
-        return Extraction(len(source.replace("\r\n", "\n").replace("\r", "\n").split("\n")), [""])
+        return Extraction(len(source.replace("\r\n", "\n").replace("\r", "\n").split("\n")), [""], failed=True)
 
 
 def metadata_json(symbol: Symbol) -> str:
