@@ -5,8 +5,8 @@ two documents agree with the chance of their sets' similarity. The distance of t
 symbols. A signature is split into CHUNKS chunks of WIDTH symbols. If two differ in LIMIT = 2 * CHUNKS - 1 symbols at
 most, some chunk has one error at most (pigeonhole), so for each chunk and each of its places the other WIDTH - 1
 symbols are a key: equal keys are all candidates, and no pair within LIMIT is missed. At similarity 0.8 the distance
-is 12.8 on average with a deviation of 3.2, and above 31 for 1 pair in some millions; even then a candidate is
-only missed if every chunk has two errors. Candidates are confirmed on the full sets.
+is 12.8 on average with a deviation of 3.2, and above 31 for some 8 pairs in 100 millions: such a pair is no link, as
+candidates beyond LIMIT are left out, those of the exact test below included. The others are confirmed on the full sets.
 
 Keys can be shared by a third of all documents, so no task sees a key's documents together and not all their pairs are
 made. Rows of a key are compared with one of them, its centre, the one that shares most keys with others; what is

@@ -453,16 +453,17 @@ def settled(kind: int, text: str, start: int, end: int, low: int, high: int) ->
     """The ends of a span that was decoded around the place from low to high, so that no span begins or ends within a word.
 
     An address found in any part of its place is all of it: the name before the @ begins it, and it ends where the tagger
-    ends it, but not before its least host (one with a dot). A number goes on to whole runs of digits, and its bracket.
+    ends it, but not before its least host (one with a dot). A number goes on to whole runs of digits, and its bracket; one
+    that goes on beyond its place is none, however far.
     """
     if kind == 0:
         least = next((m for m in _LEAST.finditer(text, low, high) if m.start() > low), None)
         if least is None or end <= low or start >= high:
             return start, end
         return low, min(high, max(least.end(), _HOST_END.match(text, end).end()))
-    while start > 0 and text[start - 1] in "0123456789":
+    while start > 0 and start >= low and text[start - 1] in "0123456789":
         start -= 1
-    while end < len(text) and text[end] in "0123456789":
+    while end < len(text) and end <= high and text[end] in "0123456789":
         end += 1
     if kind == 3 and start > 0 and text[start - 1] == "(" and ")" in text[start:end]:
         start -= 1
@@ -478,7 +479,7 @@ class Finder:
     def added(self, texts: list[str], base: list[list[Span]]) -> list[list[Span]]:
         """For each text the spans that the tagger adds to the base spans."""
         found: list[list[tuple[float, int, int, int]]] = [[] for _ in texts]
-        windows, owners = [], []
+        laid: dict[int, tuple[list[np.ndarray], list[tuple[int, int, int, int]]]] = {}  # by length, so that none is filled up for another
 
         def decode(some: list[np.ndarray], of: list[tuple[int, int, int, int]], length: int) -> None:
             x = np.zeros((len(some), length), np.int64)
@@ -498,15 +499,15 @@ class Finder:
             places = windows_of(text, spans) if _PLACE.search(text) else []
             c = codes(text) if places else None
             for first, end, low, high in places:
-                if end - first > WINDOW:  # a long address, by itself: its tags don't hang on other windows
-                    decode([c[first:end]], [(k, first, low, high)], end - first)
-                    continue
+                length = max(WINDOW, end - first)  # a long address has a longer window
+                windows, owners = laid.setdefault(length, ([], []))
                 windows.append(c[first:end])
                 owners.append((k, first, low, high))
-                if len(windows) >= DECODED_AT_ONCE:
-                    decode(windows, owners, WINDOW)
-        if windows:
-            decode(windows, owners, WINDOW)
+                if len(windows) * length >= DECODED_AT_ONCE * WINDOW:
+                    decode(windows, owners, length)
+        for length, (windows, owners) in laid.items():
+            if windows:
+                decode(windows, owners, length)
         out = []
         for text, spans, mine in zip(texts, base, found, strict=True):
             fit = [s for s in mine if s[0] > 0 and plausible(s[1], text[s[2] : s[3]]) and not any(a < s[3] and s[2] < b for _, a, b in spans)]
