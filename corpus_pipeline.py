@@ -33,8 +33,9 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     row = F.xxhash64("doc_id", "text")
     known = docs.where("doc_id is not null").select(row.alias("doc_id"), F.col("doc_id").alias("own"), "text")
     found = cut(neardup.near_duplicates(known).where("n_shingles > 0").select("doc_id", "own", "component_id"))
-    first = found.groupBy("component_id").agg(F.min(F.struct("own", "doc_id")).alias("first")).select(F.col("component_id").alias("c"), "first.doc_id").withColumnRenamed("doc_id", "stays")
-    gone = found.join(first, F.col("component_id") == F.col("c")).where("doc_id <> stays").select(F.col("doc_id").alias("__gone")).distinct()
+    first = found.groupBy("component_id").agg(F.min(F.struct("own", "doc_id")).alias("first")).select(F.col("first.doc_id").alias("stays"))
+    # by row and not by component, of which one can hold a third of all rows
+    gone = found.select(F.col("doc_id").alias("__gone")).distinct().join(first, F.col("__gone") == F.col("stays"), "left_anti")
     again = cut(found.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(F.col("doc_id").alias("__again")))
     named = docs.withColumn("__row", F.when(F.col("doc_id").isNotNull(), row))
     left = named.join(small_side(cut(gone), rows=2_000_000), F.col("__row") == F.col("__gone"), "left_anti")
