@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarry.llm import common
@@ -85,13 +85,45 @@ def op7_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lmscore.scores(marked, target).drop("good")
 
 
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Runs of words, of 6 words and 4 periods at least, of each document as `edited_words` changes it. Null texts have no runs
+    and an empty collapsed text; a null doc_id leaves its text as it is."""
+    from quarry.llm.periodic import find_runs
+
+    docs = common.read_table(spark, sf_dir, "documents").select("doc_id", edited_words(F.col("doc_id"), F.col("text")).alias("text"))
+    first = F.array_max(F.transform("runs", lambda r: F.struct(r["length"].alias("length"), (-r["start"]).alias("start"), (-r["period"]).alias("period"))))
+    lines = F.array_join(F.transform("runs", lambda r: F.concat(F.concat_ws(",", r["start"], r["length"], r["period"]), F.lit("\n"))), "")
+    found = find_runs(docs, least=6, exponent=4).withColumn("first", first)
+    return found.select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), (-F.col("first.start")).alias("start"), F.col("first.length").alias("length"), (-F.col("first.period")).alias("period"),
+        F.expr("1000 * first.length div -first.period").alias("exponent_milli"), F.sha2(lines, 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"), "n_words",
+    )
+
+
+def edited_words(doc_id: Column, text: Column) -> Column:
+    """The text; if its id's CRC-32 ends in 0 and it has words, these joined by spaces and repeating from one on."""
+    h = F.crc32(doc_id.cast("string"))
+    g = F.floor(h / 10)
+
+    def repeating(w: Column) -> Column:
+        n = F.size(w)
+        a = (g % n).cast("int")
+        p = (F.lit(1) + F.floor((n - a) / (F.lit(3) + g % 8))).cast("int")
+        times = F.ceil((n - a) / p).cast("int")
+        again = F.slice(F.flatten(F.array_repeat(F.slice(w, a + 1, p), times)), F.lit(1), n - a)
+        return F.when(n > 0, F.array_join(F.concat(F.slice(w, F.lit(1), a), again), " "))
+
+    words = F.regexp_extract_all(text, F.lit(r"[^\x20\x09-\x0D]+"), F.lit(0))
+    return F.when(h % 10 == 0, F.coalesce(F.transform(F.array(words), repeating)[0], text)).otherwise(text)
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
     return corpus_pipeline.run(spark, sf_dir)
 
 
-_ALL = (op1_quality, op2_fingerprint, op3_near_dedup, op4_pii, op5_bpe, op6_token_files, op7_lm_score, op8_shard, op9_mix_sources, op10_topk, pipeline)
+_ALL = (op1_quality, op2_fingerprint, op3_near_dedup, op4_pii, op5_bpe, op6_token_files, op7_lm_score, op8_shard, op9_mix_sources, op10_topk, op11_periodic_runs, pipeline)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in _ALL}
 

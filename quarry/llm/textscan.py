@@ -56,14 +56,11 @@ def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return whole[at[0] : at[-1]], at - at[0]
 
 
-def words(data: np.ndarray, at: np.ndarray, marks: bool = False) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of all words of the texts, and n + 1 bounds: text i has the words bounds[i] to bounds[i + 1].
-
-    With `marks`, runs of marks and runs of letters and digits are words of their own.
-    """
+def word_places(data: np.ndarray, at: np.ndarray, marks: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts and ends of all words of the texts, and n + 1 bounds: text i has the words bounds[i] to bounds[i + 1]."""
     n = len(data)
     if n == 0:
-        return np.zeros(0, np.uint64), np.zeros(len(at), np.int64)
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(len(at), np.int64)
     space = _spaces[data]
     kind = _kinds[data] if marks else space
     change = np.empty(n + 1, bool)  # no word goes on across position i
@@ -71,7 +68,17 @@ def words(data: np.ndarray, at: np.ndarray, marks: bool = False) -> tuple[np.nda
     change[0] = change[n] = True
     change[at] = True
     starts = np.flatnonzero(~space & change[:-1])
-    ends = np.flatnonzero(~space & change[1:]) + 1
+    return starts, np.flatnonzero(~space & change[1:]) + 1, np.searchsorted(starts, at)
+
+
+def words(data: np.ndarray, at: np.ndarray, marks: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of all words of the texts, and n + 1 bounds: text i has the words bounds[i] to bounds[i + 1].
+
+    With `marks`, runs of marks and runs of letters and digits are words of their own.
+    """
+    starts, ends, bounds = word_places(data, at, marks)
+    if len(starts) == 0:
+        return np.zeros(0, np.uint64), bounds
     hashes = np.empty(len(starts), np.uint64)
     i = 0
     with np.errstate(over="ignore"):
@@ -85,7 +92,7 @@ def words(data: np.ndarray, at: np.ndarray, marks: bool = False) -> tuple[np.nda
             np.cumsum(_values[data[s:e]] * up[: e - s], out=run[1:])
             hashes[i:j] = mix((run[ends[i:j] - s] - run[starts[i:j] - s]) * down[starts[i:j] - s])
             i = j
-    return hashes, np.searchsorted(starts, at)
+    return hashes, bounds
 
 
 def pairs(hashes: np.ndarray) -> np.ndarray:
