@@ -117,17 +117,37 @@ def edited_words(doc_id: Column, text: Column) -> Column:
     return F.when(h % 10 == 0, F.coalesce(F.transform(F.array(words), repeating)[0], text)).otherwise(text)
 
 
+def op12_near_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links between all embeddings of a label at a cosine of 0.98. What takes no part has no links and is kept."""
+    from quarry.llm.vecdedup import near_vectors
+
+    return near_vectors(common.read_table(spark, sf_dir, "embeddings").select("vec_id", "embedding", "label"), cosine=0.98).select("vec_id", "n_links", "component_id", "kept")
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
     return corpus_pipeline.run(spark, sf_dir)
 
 
-_ALL = (op1_quality, op2_fingerprint, op3_near_dedup, op4_pii, op5_bpe, op6_token_files, op7_lm_score, op8_shard, op9_mix_sources, op10_topk, op11_periodic_runs, pipeline)
+_ALL = (op1_quality, op2_fingerprint, op3_near_dedup, op4_pii, op5_bpe, op6_token_files, op7_lm_score, op8_shard, op9_mix_sources, op10_topk, op11_periodic_runs, op12_near_vectors, pipeline)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in _ALL}
 
 ORACLES: dict[str, str] = {
+    "op12_near_vectors": """
+        WITH RECURSIVE v AS (SELECT vec_id, label, list_transform(embedding, lambda x: x::DOUBLE) AS e FROM embeddings
+                             WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL
+                               AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+             n AS (SELECT *, sqrt(list_dot_product(e, e)) AS size FROM v),
+             l AS (SELECT a.vec_id AS x, b.vec_id AS y FROM n a JOIN n b ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.e) = len(b.e)
+                   WHERE list_dot_product(a.e, b.e) / (a.size * b.size) >= 0.98),
+             c AS (SELECT x, count(*) AS n_links FROM l GROUP BY x),
+             r AS (SELECT vec_id, vec_id AS near FROM embeddings UNION SELECT r.vec_id, l.y FROM r JOIN l ON r.near = l.x),
+             m AS (SELECT vec_id, min(near) AS component_id FROM r GROUP BY vec_id)
+        SELECT e.vec_id, coalesce(c.n_links, 0) AS n_links, m.component_id, coalesce(e.vec_id = m.component_id, FALSE) AS kept
+        FROM embeddings e LEFT JOIN c ON c.x = e.vec_id LEFT JOIN m ON m.vec_id = e.vec_id
+    """,
     "op3_near_dedup": r"""
         WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
         s AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) < 2 THEN w ELSE list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]) END) AS s FROM w),
