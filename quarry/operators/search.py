@@ -70,23 +70,3 @@ def search(records: DataFrame, embeddings: DataFrame, q: SearchQuery) -> DataFra
     scored = right.select("code_record_id", cosine(F.col("embedding_vector"), q.vector).alias("s")).where("s is not null")
     rows = left.select("id", *HIT).join(scored, F.col("id") == F.col("code_record_id"))
     return nearest(rows, F.col("s"), "id", q.k, q.min_score).orderBy(F.col("score").desc(), "id").select(*HIT, "score")
-
-
-def unit_vectors(embeddings: DataFrame, column: str = "embedding_vector") -> DataFrame:
-    """Embeddings with vectors of length one, so that a dot product is the cosine; zero vectors become null."""
-    norm = F.sqrt(F.aggregate(F.transform(column, lambda a: a.cast("double") * a.cast("double")), F.lit(0.0), lambda a, x: a + x))
-    return embeddings.withColumn("__n", F.nullif(norm, F.lit(0.0))).withColumn(column, F.when(F.col("__n").isNotNull(), F.transform(column, lambda a: (a / F.col("__n")).cast("float")))).drop("__n")
-
-
-def approximate(embeddings: DataFrame, vector: Sequence[float], key: str, column: str, k: int = DEFAULT_K, tables: int = 8, width: float = 0.5, seed: int = 17) -> DataFrame:
-    """(key, score): the k best among the rows that share a bucket with the query in one of some random projections.
-    The exact search is `nearest`; this one reads fewer vectors and can miss some."""
-    from pyspark.ml.feature import BucketedRandomProjectionLSH
-    from pyspark.ml.functions import array_to_vector
-    from pyspark.ml.linalg import Vectors
-
-    unit = unit_vectors(embeddings.select(key, column), column).where(F.col(column).isNotNull()).withColumn("v", array_to_vector(column))
-    model = BucketedRandomProjectionLSH(inputCol="v", outputCol="h", bucketLength=width, numHashTables=tables, seed=seed).fit(unit)
-    length = sum(x * x for x in vector) ** 0.5 or 1.0
-    found = model.approxNearestNeighbors(unit, Vectors.dense([x / length for x in vector]), k, distCol="d")
-    return found.select(key, (1 - F.col("d") * F.col("d") / 2).alias("score"))

@@ -16,6 +16,7 @@ from quarry.functions import classify, text, tokens
 from quarry.functions.redact import redact
 from quarry.operators import changes, search
 from quarry.operators.terms import term_tallies
+from quarry.operators.vector_index import VectorIndex
 from quarry.sources import config_files
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -103,10 +104,48 @@ def search_fanout(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search.search(r, twice, q).select("file_path", F.round("score", 6).alias("score"))
 
 
+def _index(spark: SparkSession, sf_dir: str) -> tuple[VectorIndex, DataFrame]:
+    """An index of all embeddings, and the queries asked of it: the rows whose vec_id is divisible by 20."""
+    e = table(spark, sf_dir, "embeddings")
+    return VectorIndex.build(e, "vec_id", "embedding"), e.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector"))
+
+
 @query()
 def vector_topk_approximate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = table(spark, sf_dir, "embeddings")
-    return search.approximate(e, _question(e), "vec_id", "embedding").select("vec_id", F.round("score", 6).alias("score"))
+    """The ten rows nearest to row 0 by a kept index."""
+    index, asks = _index(spark, sf_dir)
+    return index.search(asks.where("query_id = 0")).select(F.col("key").alias("vec_id"), F.round("score", 6).alias("score"))
+
+
+@query()
+def vector_index_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten nearest of every row whose vec_id is divisible by 20, by a kept index."""
+    index, asks = _index(spark, sf_dir)
+    return index.search(asks).select("query_id", "rank", F.col("key").alias("vec_id"), F.round("score", 6).alias("score"))
+
+
+@query("SELECT count(*) FILTER (len(list_filter(embedding, lambda x: x <> 0)) > 0) AS indexed, count(*) FILTER (vec_id % 20 = 0) AS queries, true AS recall_reached FROM embeddings")
+def vector_index_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether every row is in the lists, and searches of a reopened index find 0.9 or more of the ten nearest by all vectors."""
+    index, asks = _index(spark, sf_dir)
+    index = VectorIndex.open(spark, index.folder)
+    reached = index.recall(asks) >= 0.9
+    counts = asks.agg(F.count(F.lit(1)).alias("queries"))
+    return index.lists().agg(F.count(F.lit(1)).alias("indexed")).join(F.broadcast(counts)).select("indexed", "queries", F.lit(reached).alias("recall_reached"))
+
+
+@query(
+    """
+    WITH v AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings)
+    SELECT q.vec_id AS query_id, row_number() OVER (PARTITION BY q.vec_id ORDER BY list_cosine_similarity(q.e, v.e) DESC, v.vec_id)::INT AS rank, v.vec_id
+    FROM v q JOIN v ON q.vec_id % 100 = 0 QUALIFY rank <= 5
+    """
+)
+def vector_index_exhaustive(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five nearest of each hundredth row where every list is probed and every row reranked, which is exact."""
+    index, asks = _index(spark, sf_dir)
+    n = len(index.quantisers.centres)
+    return index.search(asks.where("query_id % 100 = 0"), 5, probes=n, rerank=1_000_000_000).select("query_id", "rank", F.col("key").alias("vec_id"))
 
 
 def _secret(key: Column) -> Column:
