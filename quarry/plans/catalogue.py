@@ -15,7 +15,7 @@ from pyspark.sql.window import Window
 from quarry.functions import classify, text, tokens
 from quarry.functions.redact import redact
 from quarry.operators import changes, search
-from quarry.operators.terms import term_tallies
+from quarry.operators.terms import term_tallies, with_term_hits
 from quarry.operators.vector_index import VectorIndex
 from quarry.sources import config_files
 
@@ -197,14 +197,18 @@ def redact_drop_count(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 TERMS = ("the", "und", "de", "Thth")
+_LINES = r"l AS (SELECT doc_id, unnest(string_split(regexp_replace(text, '\r\n?', chr(10), 'g'), chr(10))) AS line FROM documents)"
 
 
 @query(
-    r"""
-    WITH l AS (SELECT doc_id, t.term, u.line FROM documents, (VALUES ('the'), ('und'), ('de'), ('Thth')) t(term),
-                      unnest(string_split(regexp_replace(text, '\r\n?', chr(10), 'g'), chr(10))) u(line)),
-    h AS (SELECT doc_id, term, regexp_matches(line, '(?i)(^|[^\p{L}\p{N}_])' || term || '([^\p{L}\p{N}_]|$)') AS w, ltrim(line) LIKE '///%' AS doc,
-                 regexp_matches(line, '(^|[^\p{L}\p{Nd}_])' || term || '([^\p{L}\p{Nd}_]|$)') AS i FROM l),
+    f"WITH {_LINES}, h AS ("
+    + " UNION ALL ".join(  # a pattern of its own for each term, so that each is compiled once
+        rf"""
+        SELECT doc_id, '{t}' AS term, regexp_matches(line, '(?i)(^|[^\p{{L}}\p{{N}}_]){t}([^\p{{L}}\p{{N}}_]|$)') AS w, ltrim(line) LIKE '///%' AS doc,
+               contains(line, '{t}') AND regexp_matches(line, '(^|[^\p{{L}}\p{{Nd}}_]){t}([^\p{{L}}\p{{Nd}}_]|$)') AS i FROM l WHERE contains(lower(line), '{t.lower()}')"""
+        for t in TERMS
+    )
+    + """),
     k AS (SELECT doc_id, term, 'string_literal' AS match_kind FROM h WHERE w UNION ALL SELECT doc_id, term, 'comment' FROM h WHERE w AND NOT doc
           UNION ALL SELECT doc_id, term, 'xml_doc' FROM h WHERE w AND doc UNION ALL SELECT doc_id, term, 'identifier' FROM h WHERE i)
     SELECT doc_id, term, match_kind, count(*)::INT AS hit_count FROM k GROUP BY ALL
@@ -215,6 +219,26 @@ def term_tally(spark: SparkSession, sf_dir: str) -> DataFrame:
     return term_tallies(files, TERMS).select(F.col("path").alias("doc_id"), "term", "match_kind", "hit_count")
 
 
+#: Parts whose pairs are 1,024 terms.
+PARTS = tuple("the and ing tion ed er on re st en at nd ti es or th an ble is it by in of nt ha sh wh ea ou ly le to".split())
+
+
+@query(
+    f"WITH {_LINES}, p AS (SELECT unnest({list(PARTS)}) AS p), t AS (SELECT a.p || b.p AS term FROM p a, p b),"
+    + r"""
+    w AS (SELECT doc_id, row_number() OVER () AS line, regexp_extract_all(line, '[\p{L}\p{Nd}_]+') AS names FROM l),
+    u AS (SELECT DISTINCT doc_id, line, unnest(names) AS name FROM w), v AS (SELECT DISTINCT doc_id, line, lower(name) AS name FROM u)
+    SELECT doc_id, term, coalesce(words, 0)::INT AS words, coalesce(names, 0)::INT AS names
+    FROM (SELECT doc_id, name AS term, count(*) AS words FROM v WHERE name IN (SELECT term FROM t) GROUP BY ALL)
+    FULL JOIN (SELECT doc_id, name AS term, count(*) AS names FROM u WHERE name IN (SELECT term FROM t) GROUP BY ALL) USING (doc_id, term)
+    """
+)
+def many_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines by word and by name of 1,024 terms in every document, in one pass."""
+    files = table(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("content"))
+    return with_term_hits(files, [a + b for a in PARTS for b in PARTS]).select("doc_id", F.inline("hits")).select("doc_id", "term", "words", "names")
+
+
 @query(
     """
     WITH l AS (SELECT doc_id, string_split(text, chr(10)) AS rows FROM documents)

@@ -57,7 +57,7 @@ def _none(kind: str = "string") -> Column:
 def csharp_rows(files: DataFrame, terms: Sequence[str]) -> DataFrame:
     """(path, ordinal, *COLUMNS, unread) of C# files: the file, its symbols, and for each method-like symbol of a test file a
     reference. Each file is read once; unread says of its first row that its text was beyond the reader."""
-    hits = F.filter(F.array(*[F.lit(t) for t in terms]), lambda t: F.col("content").contains(t)) if terms else F.array().cast("array<string>")
+    hits = F.filter(F.lit(list(terms)), lambda t: F.col("content").contains(t)) if terms else F.array().cast("array<string>")
     source = files.select("path", "content", (F.col("kind") == "test").alias("is_test"), hits.alias("hits"), test_framework(F.col("content")).alias("framework"))
     call = F.udtf(_CSharp, returnType=f"{EXTRACTED}, namespaces array<string>, types array<string>, unread boolean")
     rows = source.lateralJoin(call(F.col("path").outer(), F.col("content").outer()))
@@ -75,11 +75,10 @@ def csharp_rows(files: DataFrame, terms: Sequence[str]) -> DataFrame:
 def term_rows(files: DataFrame, terms: Sequence[str]) -> DataFrame:
     """(path, ordinal, *COLUMNS) of search terms found in C# files; a file's rows come from its own text, without a join."""
     rows = term_tallies(files.withColumn("is_test_code", F.col("kind") == "test"), terms, keep=("content", "is_test_code"))
-    place = F.create_map(*[x for i, t in enumerate(dict.fromkeys(terms)) for x in (F.lit(t), F.lit(i))])
     kinds = F.create_map(*[x for i, t in enumerate(("string_literal", "comment", "xml_doc", "identifier")) for x in (F.lit(t), F.lit(i))])
     summary = F.format_string("search term '%s' matched as %s (%dx)", "term", "match_kind", "hit_count")
     return rows.select(
-        "path", (place[F.col("term")] * 4 + kinds[F.col("match_kind")]).alias("ordinal"), F.lit("search_term_match").alias("record_type"), F.col("term").alias("symbol_name"), F.lit("None").alias("symbol_kind"),
+        "path", (F.col("ordinal") * 4 + kinds[F.col("match_kind")]).alias("ordinal"), F.lit("search_term_match").alias("record_type"), F.col("term").alias("symbol_name"), F.lit("None").alias("symbol_kind"),
         _none().alias("namespace"), _none().alias("class_name"), _none().alias("method_name"), F.col("first_line").alias("line_start"), F.col("first_line").alias("line_end"), summary.alias("summary"),
         around_line(F.col("content"), F.col("first_line")).alias("code_snippet"), _json(term=F.col("term"), match_kind=F.col("match_kind"), hit_count=F.col("hit_count")).alias("metadata_json"), "is_test_code",
     )
