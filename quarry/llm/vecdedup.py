@@ -139,14 +139,14 @@ def near_vectors(vectors: DataFrame, cosine: float = 0.98) -> DataFrame:
     fit = F.col("vec_id").isNotNull() & F.col("label").isNotNull() & sound_vector(F.col("__v")) & F.exists("__v", lambda x: x != 0)
     own = own.withColumn("__label", F.when(fit, F.col("label"))).withColumn("__v", F.when(fit, F.col("__v")))
     classes = own.where("__label is not null").groupBy("__label", "__v").agg(F.min("vec_id").alias("least"), F.count(F.lit(1)).alias("weight"))
-    classes = cut(classes.select(F.col("__label").alias("label"), F.col("__v").alias("v"), "least", "weight").withColumn("node", F.monotonically_increasing_id()))
-
     largest = F.array_max(F.transform("v", F.abs))
     sign = lambda i: F.pmod(F.xxhash64(i), F.lit(2)) * 2 - 1
     lying = F.aggregate(F.transform("v", lambda x, i: x / largest * sign(i)), F.lit(0.0), lambda s, x: s + x)
     length = F.sqrt(F.aggregate(F.transform("v", lambda x: x / largest * (x / largest)), F.lit(0.0), lambda s, x: s + x))
     place = lying / (length * F.sqrt(F.size("v").cast("double")))
-    placed = classes.select("node", "v", "weight", "label", F.size("v").alias("d"), F.floor(place / distance(cosine)).alias("cell"))
+    classes = classes.select(F.col("__label").alias("label"), F.col("__v").alias("v"), "least", "weight", F.monotonically_increasing_id().alias("node"))
+    classes = cut(classes.withColumn("d", F.size("v")).withColumn("cell", F.floor(place / distance(cosine))))
+    placed = classes.select("node", "v", "weight", "label", "d", "cell")
     keys = ["label", "d", "cell"]
     sizes = placed.groupBy(*keys).agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
     after = sizes.select("label", "d", (F.col("cell") - 1).alias("cell"), F.col("blocks").alias("next"))
