@@ -21,7 +21,7 @@ from quarry.llm.common import cut
 from quarry.llm.vecdedup import sound_vector
 
 #: Rows of a partition, anchors that meet it at once, and rows of a leaf.
-PARTITION, ANCHORS, LEAF = 8192, 4096, 32
+PARTITION, ANCHORS, LEAF = 8192, 4096, 128
 EXACT = float(1 << 53)
 LONG = (1 << 63) - 1
 
@@ -36,13 +36,30 @@ class Query:
     high: int | None = None
     found: list[tuple[int, int, int]] = field(default_factory=list)  # a heap of (score, -id, row): the worst is first
 
+    def floor(self) -> float:
+        """A score below which no row is taken any more."""
+        low = -np.inf if self.low is None else float(self.low)
+        return max(low, float(self.found[0][0])) if len(self.found) == self.k else low
+
+    def takes(self, item: tuple[int, int, int]) -> bool:
+        if (self.low is not None and item[0] < self.low) or (self.high is not None and item[0] > self.high) or not self.fits[item[2]]:
+            return False
+        return len(self.found) < self.k or item[:2] > self.found[0][:2]
+
+    def take(self, item: tuple[int, int, int]) -> None:
+        if len(self.found) < self.k:
+            heapq.heappush(self.found, item)
+        else:
+            heapq.heapreplace(self.found, item)
+
 
 class BallTree:
     """Integer vectors and their ids, halved along the axis from a far row to the one farthest from it."""
 
     def __init__(self, ids: np.ndarray, rows: np.ndarray):
-        self.exact = float(np.abs(rows).max(initial=0)) ** 2 * max(1, rows.shape[1]) < EXACT
         self.ids, self.rows, self.floats = ids, rows, rows.astype(np.float64)
+        self.most = float(np.abs(self.floats).max(initial=0))
+        self.exact = self.most**2 * max(1, rows.shape[1]) < EXACT  # sums of integers below 2**53 are exact in doubles
         self.leaves: dict[int, np.ndarray] = {}
         self.children: dict[int, tuple[int, int]] = {}
         centres, radii = [], []
@@ -80,8 +97,9 @@ class BallTree:
         """Fills each query's `found` with its best rows, ties to the smaller id; how many rows were scored."""
         if not len(self.ids):
             return 0
-        exact = self.exact and float(np.abs(q).max(initial=0)) * float(np.abs(self.floats).max(initial=0)) * len(q) < EXACT
-        lower, upper = self.bounds(q.astype(np.float64))
+        point = q.astype(np.float64)
+        exact = self.exact and float(np.abs(point).max(initial=0)) * self.most * len(q) < EXACT
+        lower, upper = self.bounds(point)
         lower, upper = lower.tolist(), upper.tolist()
         heap, scored = [(-upper[0], 0)], 0
 
@@ -102,21 +120,14 @@ class BallTree:
                 continue
             some = self.leaves[node]
             scored += len(some)
-            scores = (self.floats[some] @ q.astype(np.float64)).astype(np.int64) if exact else self.rows[some].astype(object) @ q.astype(object)
-            for x in asking:
-                fit = x.fits[some]
-                if x.low is not None:
-                    fit = fit & (scores >= x.low).astype(bool)
-                if x.high is not None:
-                    fit = fit & (scores <= x.high).astype(bool)
-                if len(x.found) == x.k:
-                    fit = fit & (scores >= x.found[0][0]).astype(bool)
-                for i in np.flatnonzero(fit).tolist():
-                    item = (int(scores[i]), -int(self.ids[some[i]]), int(some[i]))
-                    if len(x.found) < x.k:
-                        heapq.heappush(x.found, item)
-                    elif item[:2] > x.found[0][:2]:
-                        heapq.heapreplace(x.found, item)
+            scores = self.floats[some] @ point if exact else self.rows[some].astype(object) @ q.astype(object)
+            near = scores if exact else scores.astype(np.float64)  # only to leave out, so a little beyond each end
+            low, high = min(x.floor() for x in asking), max(np.inf if x.high is None else float(x.high) for x in asking)
+            for i in np.flatnonzero((near >= low - abs(low) * 1e-9) & (near <= high + abs(high) * 1e-9)).tolist():
+                item = (int(scores[i]), -int(self.ids[some[i]]), int(some[i]))
+                for x in asking:
+                    if x.takes(item):
+                        x.take(item)
         return scored
 
 

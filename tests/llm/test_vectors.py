@@ -126,7 +126,8 @@ def test_window_of_scores():
         assert negatives.window(s) == ((fit[0], fit[-1]) if fit else None)
 
 
-def test_trees_bound_and_prune():
+def test_trees_bound_and_prune(monkeypatch):
+    monkeypatch.setattr(negatives, "LEAF", 32)
     rng = np.random.Generator(np.random.PCG64(6))
     rows = (rng.standard_normal((30, 5))[rng.integers(0, 30, 3000)] * 400 + rng.standard_normal((3000, 5)) * 9).astype(np.int64)
     tree = negatives.BallTree(np.arange(3000), rows)
