@@ -1,19 +1,19 @@
 """Personal data: fixed patterns, and a character-level bidirectional LSTM with CRF transitions that adds spans.
 
 The network is trained in numpy on labelled spans: those the patterns find in a bounded sample of windows, and written
-variants placed into such windows. Scoring finds every place of a text where a span of its kind (`plausible`) can lie, which
-is around an @ or in a run of digits, and decodes overlapping windows around it by Viterbi. Windows are laid by what the
-text holds, so a span is whole in one wherever it stands; where no span of a kind can lie, no window is laid, as what isn't
-plausible is left out in the end anyway. A decoded span is settled to the ends of its place's words, so none is broken, and
-weighs its log odds against no span there. Of all windows' spans the set without overlaps that has the largest total weight
-over the whole text is taken. Spans that can't be of their kind or touch a pattern's span are left out.
+variants placed into such windows. When texts are scored it reads every character of every line: a line is one window, or
+windows of WINDOW characters that overlap by OVERLAP, more than the longest span that it is trained on. Each window is
+decoded by Viterbi; windows that are equal are decoded once, and where a bound shows that no span can win, the tags are
+outside without it. A decoded span is widened to the ends of the words that it cuts, and weighs its log odds against no span
+there. Of all windows' spans the set without overlaps that has the largest total weight over the whole text is taken. Spans that
+touch a pattern's span, or that `plausible` vetoes, are left out.
 """
 
 from __future__ import annotations
 
 import random
 import re
-from bisect import bisect_right
+from bisect import bisect_left
 from collections.abc import Iterator
 from dataclasses import dataclass
 from hashlib import sha256
@@ -29,14 +29,18 @@ from quarry.llm.common import others
 
 KINDS = ("email", "ip", "card", "phone")
 TAGS = 1 + 2 * len(KINDS)  # outside; for each kind begin, inside
-WINDOW = 96
-HIDDEN = 16
+#: Characters of a window of training; of a window of scoring, and of the overlap of two.
+TRAINED, WINDOW, OVERLAP = 128, 1024, 128
+HIDDEN = 10
 #: Bounds of training: documents, those with the smallest hash of their id; windows of each, and written windows.
-DOCUMENTS, WINDOWS_EACH, WRITTEN = 400, 4, 3000
-EPOCHS, BATCH = 9, 64
+DOCUMENTS, WINDOWS_EACH, WRITTEN = 400, 3, 4500
+EPOCHS, BATCH = 12, 40
 #: Added to the log odds that a span begins, as what can't be of its kind is left out afterwards.
-LEAN = 3.0
-DECODED_AT_ONCE = 2048
+LEAN = 2.5
+#: Characters, padding too, that are decoded at once; the fewest that a span has (a@b.c).
+AT_ONCE, LEAST = 1 << 19, 5
+#: How far a decoded span is widened to the ends of its words.
+REACH = 80
 
 _HOST = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -44,7 +48,6 @@ _IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")
 _CARD = re.compile(r"[0-9](?:[ -]?[0-9])++")
 _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 _DIGIT = re.compile(r"[0-9]")
-_PLACE = re.compile(r"[0-9@]")
 
 Span = tuple[int, int, int]  # kind, start, end
 
@@ -91,14 +94,18 @@ def base_spans(text: str) -> list[Span]:
     return out
 
 
-_MAIL = re.compile(r"[A-Za-z0-9._%+-]{1,64}\s?@\s?[A-Za-z0-9-]{1,63}(?:\s?\.\s?[A-Za-z0-9-]{1,63}){1,8}")
-_DOTTED = re.compile(r"[0-9]{1,3}(?:\s?(?:\.|\[\.\])\s?[0-9]{1,3}){3}")
-_NUMBER = re.compile(r"[0-9](?:[ .-]?[0-9]){12,18}")
-_CALL = re.compile(r"(?:\([0-9]{2,4}\) ?|[0-9]{2,4}[ .-])(?:[0-9]{2,4}[ .-]){1,3}[0-9]{2,5}")
+_LABELS, _MARKED = r"[A-Za-z0-9-]{1,63}", r"\s?[\[(]\s?{}\s?[\])]\s?"
+_MAIL = re.compile(
+    rf"[A-Za-z0-9._%+-]{{1,64}}(?:\s?@\s?|{_MARKED.format('at')}){_LABELS}(?:(?:\s?\.\s?|{_MARKED.format('(?:dot|[.])')}){_LABELS}){{1,8}}|[A-Za-z0-9._%+-]{{1,64}}\sat\s{_LABELS}(?:\sdot\s{_LABELS}){{1,8}}"
+)
+_DOTTED = re.compile(rf"[0-9]{{1,3}}(?:(?:\s?\.\s?|{_MARKED.format('(?:dot|[.])')})[0-9]{{1,3}}){{3}}")
+_NUMBER = re.compile(r"[0-9](?:(?:  |[ ./\u00a0-])?[0-9]){12,18}")
+_CALL = re.compile(r"(?:\([0-9]{2,4}\) ?|[0-9]{2,4}[ .-])(?:[0-9]{2,4}[ .-]){1,3}[0-9]{3,5}")
 
 
 def plausible(kind: int, text: str) -> bool:
-    """Whether a span can be of the kind: an @ between names with a domain; four parts up to 255; 13 to 19 digits that pass Luhn; 9 to 15 digits in groups."""
+    """A veto on decoded spans: an address has an @ (or at) between names, with a domain; four parts are up to 255; 13 to 19 digits
+    pass Luhn; a number to call has 9 to 15 digits in groups."""
     if kind == 0:
         return bool(_MAIL.fullmatch(text))
     if kind == 1:
@@ -170,14 +177,60 @@ class Tagger:
         both = np.concatenate([self._run(x, "f", keep and keep[0]), self._run(x, "b", keep and keep[1])], axis=2)
         return both @ self.p["o"] + self.p["c"], both
 
-    def decode(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Best tags (rows, time) by Viterbi, and how much each place adds to the log odds of its tag against outside all along:
-        the scores of its tag and of the step to it, less those of outside."""
-        e, _ = self.emissions(x)
-        length, n, _ = e.shape
+    def fast_emissions(self, x: np.ndarray) -> np.ndarray:
+        """The emissions of codes x (rows, time), as (TAGS, time, rows). Gates are tanh with the halves put into the weights."""
+        n, length = x.shape
+        h, kind, at = HIDDEN, self.p["o"].dtype, np.ascontiguousarray(x.T)
+        out = np.empty((length * n, h), kind)
+        e = np.repeat(self.p["c"][:, None], length * n, axis=1)
+        for k, way in enumerate("fb"):
+            table, u = self.p["x" + way].copy(), self.p["u" + way].copy()
+            table[:, : 3 * h] *= 0.5
+            u[:, : 3 * h] *= 0.5
+            state, cell, wide = np.zeros((n, h), kind), np.zeros((n, h), kind), np.empty((n, h), kind)
+            z, looked = np.empty((n, 4 * h), kind), np.empty((n, 4 * h), kind)
+            for t in range(length) if way == "f" else range(length - 1, -1, -1):
+                np.matmul(state, u, out=z)
+                np.take(table, at[t], axis=0, out=looked, mode="clip")
+                z += looked
+                np.tanh(z, out=z)
+                gates = z[:, : 3 * h]
+                gates *= 0.5
+                gates += 0.5
+                cell *= gates[:, h : 2 * h]
+                cell += gates[:, :h] * z[:, 3 * h :]
+                np.tanh(cell, out=wide)
+                np.multiply(wide, gates[:, 2 * h :], out=state)
+                out[t * n : (t + 1) * n] = state
+            e += self.p["o"][k * h : (k + 1) * h].T @ out.T
+        return e.reshape(TAGS, length, n)
+
+    def leaning(self) -> tuple[np.ndarray, np.ndarray]:
+        """Scores of the steps between tags and of the first tag, with LEAN."""
         trans, start = self.p["t"].copy(), self.p["s"].copy()
         trans[0, 1::2] += LEAN
         start[1::2] += LEAN
+        return trans, start
+
+    def can_win(self, e: np.ndarray) -> np.ndarray:
+        """Which rows of emissions (TAGS, time, rows) may have a best path other than outside all along: no segment of other tags
+        gains anything in the others, even with the best tag at each place and the best steps of all."""
+        trans, start = self.leaning()
+        gain = e[1:].max(axis=0) - e[0]
+        first, enter, inside, leave = start[1:].max() - start[0], *(x.max() - trans[0, 0] for x in (trans[0, 1:], trans[1:, 1:], trans[1:, 0]))
+        v = first + gain[0]
+        best = v + leave
+        for g in gain[1:]:
+            np.maximum(v + inside, enter, out=v)
+            v += g
+            np.maximum(best, v + leave, out=best)
+        return np.maximum(best, v) > -1e-3
+
+    def viterbi(self, e: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Best tags (rows, time) for emissions (time, rows, TAGS), and how much each place adds to the log odds of its tag against
+        outside all along: the scores of its tag and of the step to it, less those of outside."""
+        length, n, _ = e.shape
+        trans, start = self.leaning()
         score, back = e[0] + start, np.empty((length, n, TAGS), np.int8)
         for t in range(1, length):
             step = score[:, :, None] + trans
@@ -193,6 +246,14 @@ class Tagger:
         margin[:, 0] += start[at[:, 0]] - start[0]
         return tags, margin
 
+    def decode(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(rows, tags, margins) of `viterbi` for the rows of codes x (rows, time) whose best path is not outside all along."""
+        e = self.fast_emissions(x)
+        rows = np.flatnonzero(self.can_win(e))
+        tags, margin = self.viterbi(e[:, :, rows].transpose(1, 2, 0))
+        some = tags.any(axis=1)
+        return rows[some], tags[some], margin[some]
+
     def gradients(self, x: np.ndarray, y: np.ndarray) -> tuple[float, dict[str, np.ndarray]]:
         """Mean negative log likelihood of tags y (rows, time) for codes x, and its gradients."""
         keep: tuple[list, list] = ([], [])
@@ -252,13 +313,13 @@ def train(examples: list[tuple[str, list[Span]]], epochs: int = EPOCHS) -> Tagge
     tagger = Tagger.new()
     if not examples:
         return tagger
-    x, y = np.zeros((len(examples), WINDOW), np.int64), np.zeros((len(examples), WINDOW), np.int64)
+    x, y = np.zeros((len(examples), TRAINED), np.int64), np.zeros((len(examples), TRAINED), np.int64)
     for r, (text, spans) in enumerate(examples):
-        c = codes(text[:WINDOW])
+        c = codes(text[:TRAINED])
         x[r, : len(c)] = c
         for kind, a, b in spans:
             y[r, a:b] = 2 + 2 * kind
-            if a < WINDOW:
+            if a < TRAINED:
                 y[r, a] = 1 + 2 * kind
     mean = {k: np.zeros_like(v) for k, v in tagger.p.items()}
     square = {k: np.zeros_like(v) for k, v in tagger.p.items()}
@@ -297,14 +358,16 @@ def _written(rng: random.Random, kind: int) -> str:
         name = rng.choice([w(1, 3), w(1, 4), w(), w(6, 16), f"{w()}.{w()}", f"{w()}{d(2)}", f"{w()}_{w()}", f"{w()}.{w()}_{d(2)}", f"{w(4)}.{w(4, 14)}_{d(2)}", f"{w(4)}.{w(8, 20)}-{w()}", f"{w(1, 1)}.{w()}+{w()}"])
         top = rng.choice(["com", "org", "net", "example", "co.uk", "info", w(2, 3), w(2, 3), w(2, 5)])
         host = rng.choice([w(2, 4), w(), w(3, 14), f"{w()}.{w()}", f"mail.{w()}-{w()}", f"{w()}-{w()}", f"{w()}{d(1)}", f"{w()}.{w(5, 14)}-{w(4)}"])
-        at, dot = rng.choice([(" @ ", "."), (" @ ", "."), ("@ ", "."), ("@ ", "."), (" @", "."), (" @", "."), ("@", "."), (" @ ", " . ")])
-        return name + at + host + dot + top
+        if rng.random() < 0.3:
+            name, host, top = w(1, 4), w(2, 6), w(2, 3)
+        at, dot = rng.choice([(" @ ", "."), (" @", "."), (" @ ", "."), (" @ ", "."), ("@ ", "."), ("@ ", "."), (" @", "."), (" @", "."), ("@", "."), (" @ ", " . "), (" [at] ", "."), ("[at]", "."), (" (at) ", "."), (" at ", " dot "), (" at ", " dot "), (" [at] ", " [dot] "), ("(at)", "(dot)")])
+        return name + at + (host if dot == "." else host.replace(".", dot)) + dot + (top if dot == "." else top.replace(".", dot))
     if kind == 1:
         parts = [str(rng.randint(0, 255)) for _ in range(4)]
-        return rng.choice([".", "[.]", "[.]", " . ", " [.] "]).join(parts)
+        return rng.choice([".", "[.]", "[.]", " . ", " [.] ", "[dot]", "(dot)", " [dot] "]).join(parts)
     if kind == 2:
         n = rng.choice([13, 14, 15, 15, 16, 16, 16, 17, 18, 19])
-        c, sep = _card_number(rng, n), rng.choice(["", "", " ", "-", "-", ".", "."])
+        c, sep = _card_number(rng, n), rng.choice(["", "", " ", "-", "-", ".", ".", ".", "/", "  ", "\u00a0"])
         return sep.join(c[i : i + 4] for i in range(0, n, 4))
     if kind == 3:
         s = rng.choice(" -.")
@@ -315,6 +378,7 @@ def _written(rng: random.Random, kind: int) -> str:
     return rng.choice([
         d(rng.randint(1, 9)), d(16), d(20), d(40), f"{d(4)}-{d(2)}-{d(2)}", f"{d(2)}:{d(2)}:{d(2)}", f"{d(2)}.{d(2)}.{d(4)}", f"{d(1)}.{d(2)}", f"{d(1)},{d(3)},{d(3)}", f"v{d(1)}.{d(1)}.{d(2)}",
         f"{d(1)}.{d(1)}.{d(2)}", f"{d(3)}-{d(2)}", f"{rng.randint(256, 999)}.{d(3)}.{d(2)}.{d(3)}", f"{w()}@", f"@{w()}", f"#{d(5)}", f"{d(4)} {d(4)}", f"{d(2)}/{d(2)}/{d(4)}", f"[{d(2)}]", "".join(rng.choice("0123456789abcdef") for _ in range(24)),
+        f"{d(2)} {d(3)} {d(3)} {d(2)}", f"{d(1)} {d(3)} {d(3)}", f"{d(3)} {d(3)} {d(3)} {d(3)}", f"978-{d(1)}-{d(2)}-{d(6)}-{d(1)}", f"{d(4)}-{d(2)}-{d(2)} {d(2)}:{d(2)}", f"{w()} at {w()}.{w(2, 3)}", f"{w()} at {w()} dot", f"{w()} at {w()} {w()}", f"{d(2)} {d(2)} {d(2)} {d(2)} {d(2)}", f"{d(8)}", f"{d(10)}",
         f"{w()} @ {w()} {w()}", f"{w()} @ {w()}. {w().capitalize()} {w()}", f"@ {w()}.", f"{w()} @ {d(2)}.{d(2)}", f"{d(4)}-{d(4)}", f"{d(3)} {d(3)}",
     ])
 
@@ -325,7 +389,7 @@ def written_examples(contexts: list[str], count: int = WRITTEN, seed: int = 9) -
     out = []
     for k in range(count):
         context = contexts[rng.randrange(len(contexts))] if contexts else "the of and it was " * 6
-        text = context[: rng.randint(0, 40)]
+        text = context[: rng.randint(0, 60)]
         spans = base_spans(text)
         for _ in range(rng.randint(1, 2)):
             kind = (-1, 0, 0, 0, 1, 2, 3, 3)[k % 8] if rng.random() < 0.8 else rng.randrange(-1, 4)
@@ -334,10 +398,10 @@ def written_examples(contexts: list[str], count: int = WRITTEN, seed: int = 9) -
             if kind >= 0:
                 spans.append((kind, len(text), len(text) + len(item)))
             text += item + rng.choice([" ", " ", " ", ". ", ") ", ", ", "\n", " | "])
-        text += context[40 : 40 + max(0, WINDOW - len(text))]
+        text += context[60 : 60 + max(0, TRAINED - len(text))]
         known = set(spans)
         clear = [s for s in base_spans(text) if not any(s[1] < b and a < s[2] for _, a, b in known)]
-        out.append((text[:WINDOW], [(q, a, min(b, WINDOW)) for q, a, b in [*spans, *clear] if a < WINDOW]))
+        out.append((text[:TRAINED], [(q, a, min(b, TRAINED)) for q, a, b in [*spans, *clear] if a < TRAINED]))
     return out
 
 
@@ -348,8 +412,8 @@ def _sampled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for key, value in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
             text, rng = value or "", random.Random(key or 0)
             near = [max(0, s - rng.randint(0, 60)) for _, s, _ in base_spans(text)[: WINDOWS_EACH - 1]]
-            starts = near + [rng.randrange(max(1, len(text) - WINDOW)) for _ in range(WINDOWS_EACH - len(near))]
-            out += [text[s : s + WINDOW] for s in starts]
+            starts = near + [rng.randrange(max(1, len(text) - TRAINED)) for _ in range(WINDOWS_EACH - len(near))]
+            out += [text[s : s + TRAINED] for s in starts]
         yield pa.RecordBatch.from_pydict({"window": pa.array(out, pa.string())})
 
 
@@ -383,49 +447,23 @@ def _choose(found: list[tuple[float, int, int, int]]) -> list[Span]:
     return out
 
 
-#: What can stand on the right of an @, and a run of digits and what may stand between those of a span.
-_DOMAIN = re.compile(r"\s?[A-Za-z0-9-]{1,63}(?:\s?\.\s?[A-Za-z0-9-]{1,63}){1,8}")
-_RUN = re.compile(r"\(?[0-9](?:[0-9\s.()\[\]-]*[0-9])?")
-#: Characters that a window shows on either side of its place, and more than any span without an @ has (19 digits, 18 marks).
-BESIDE, NUMBER = 32, 48
-
-
-def windows_of(text: str, base: list[Span]) -> list[tuple[int, int, int, int]]:
-    """(first, end, low, high): windows first to end, each for spans from low to high, so that every plausible span that no base
-    span touches is whole in one, and touches none of its inner edges. They depend on the text around a place only."""
-    out, taken = [], sorted((a, b) for _, a, b in base)
-    starts = [a for a, _ in taken]
-    tops = list(accumulate((b for _, b in taken), max))
-
-    def covered(a: int, b: int) -> bool:
-        k = bisect_right(starts, a)
-        return k > 0 and tops[k - 1] >= b
-
-    def window(middle: int, size: int, low: int, high: int) -> None:
-        first = max(0, min(middle - size // 2, len(text) - size))
-        end = min(len(text), first + size)
-        out.append((first, end, max(low, first + (first > 0)), min(high, end - (end < len(text)))))
-
-    at = text.find("@")
-    while at >= 0:
-        start = stop = at - (at > 0 and text[at - 1].isspace())
-        while start > 0 and stop - start < 64 and text[start - 1] in _LOCAL:
-            start -= 1
-        domain = _DOMAIN.match(text, at + 1) if start < stop and not covered(at, at + 1) else None
-        if domain:
-            high = domain.end()
-            window((start + high) // 2, max(WINDOW, high - start + 2 * BESIDE), start, high)
-        at = text.find("@", at + 1)
-    for m in _RUN.finditer(text):
-        low, high = m.span()
-        if len(_DIGIT.findall(m[0])) < 4 or covered(low, high):
-            continue
-        if high - low <= NUMBER:
-            window((low + high) // 2, WINDOW, low, high)
-        else:
-            for middle in range(low + WINDOW // 2 - BESIDE, high + WINDOW // 2 - BESIDE, BESIDE):
-                window(middle, WINDOW, low, high)
-    return list(dict.fromkeys(out))
+def windows_of(text: str) -> Iterator[tuple[int, int, bool, bool]]:
+    """(first, end, cut before, cut after) of all windows: each line, or equal parts of it that overlap by OVERLAP, WINDOW characters
+    at most. Only lines too short for any span have none."""
+    first = 0
+    while first <= len(text):
+        end = text.find("\n", first)
+        end = len(text) if end < 0 else end
+        size = end - first
+        if size > WINDOW:
+            k = -(-(size - OVERLAP) // (WINDOW - OVERLAP))
+            length = -(-(size + OVERLAP * (k - 1)) // k)
+            for i in range(k):
+                a = min(first + i * (length - OVERLAP), end - length)
+                yield a, a + length, i > 0, i < k - 1
+        elif size >= LEAST:
+            yield first, end, False, False
+        first = end + 1
 
 
 def _spans_of(tags: np.ndarray, margin: np.ndarray, first: int, size: int) -> list[tuple[float, int, int, int]]:
@@ -445,29 +483,27 @@ def _spans_of(tags: np.ndarray, margin: np.ndarray, first: int, size: int) -> li
     return out
 
 
-_HOST_END = re.compile(r"(?:[A-Za-z0-9-]|\.(?=[A-Za-z0-9-]))*")
-_LEAST = re.compile(r"\s?@\s?(?:[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+|[A-Za-z0-9-]+\s?\.\s?[A-Za-z0-9-]+)")
-
-
-def settled(kind: int, text: str, start: int, end: int, low: int, high: int) -> tuple[int, int]:
-    """The ends of a span that was decoded around the place from low to high, so that no span begins or ends within a word.
-
-    An address found in any part of its place is all of it: the name before the @ begins it, and it ends where the tagger
-    ends it, but not before its least host (one with a dot). A number goes on to whole runs of digits, and its bracket; one
-    that goes on beyond its place is none, however far.
-    """
-    if kind == 0:
-        least = next((m for m in _LEAST.finditer(text, low, high) if m.start() > low), None)
-        if least is None or end <= low or start >= high:
-            return start, end
-        return low, min(high, max(least.end(), _HOST_END.match(text, end).end()))
-    while start > 0 and start >= low and text[start - 1] in "0123456789":
-        start -= 1
-    while end < len(text) and end <= high and text[end] in "0123456789":
-        end += 1
-    if kind == 3 and start > 0 and text[start - 1] == "(" and ")" in text[start:end]:
-        start -= 1
-    return start, end
+def settled(kind: int, text: str, start: int, end: int) -> tuple[int, int]:
+    """The ends of a decoded span, widened to those of the words that it cuts (of an address: of its name and host) and
+    without white space and marks around it. One that would be widened by more than REACH is left as it is."""
+    low, high = start, end
+    while low < high and text[low] not in (_LOCAL if kind == 0 else "0123456789(+"):
+        low += 1
+    while high > low and not (text[high - 1].isalnum() if kind == 0 else text[high - 1] in "0123456789"):
+        high -= 1
+    if low == high:
+        return start, end
+    inside = _LOCAL if kind == 0 else "0123456789"
+    if text[low] in inside:
+        while low > 0 and start - low < REACH and text[low - 1] in inside:
+            low -= 1
+    while high < len(text) and high - end < REACH:
+        if not (text[high] in inside and text[high] not in "._%+") and not (kind == 0 and text[high] == "." and text[high + 1 : high + 2].isalnum()):
+            break
+        high += 1
+    if kind == 3 and low > 0 and text[low - 1] == "(" and ")" in text[low:high]:
+        low -= 1
+    return (low, high) if start - low < REACH and high - end < REACH else (start, end)
 
 
 class Finder:
@@ -475,42 +511,58 @@ class Finder:
 
     def __init__(self, tagger: Tagger):
         self.tagger = tagger
+        self.vetoed = 0
+
+    def decoded(self, texts: list[str]) -> list[list[tuple[float, int, int, int]]]:
+        """For each text (log odds, kind, start, end) of the spans decoded in its windows. Equal windows are decoded once, and
+        windows of about the same length together."""
+        places: dict[str, list[tuple[int, int, bool, bool]]] = {}
+        for k, text in enumerate(texts):
+            for first, end, before, after in windows_of(text):
+                places.setdefault(text[first:end], []).append((k, first, before, after))
+        found: list[list[tuple[float, int, int, int]]] = [[] for _ in texts]
+        windows = sorted(places, key=len)
+        i = 0
+        while i < len(windows):
+            # all that fit, by the longest of them
+            j = i + 1
+            while j < len(windows) and (j + 1 - i) * len(windows[j]) <= AT_ONCE and len(windows[j]) <= len(windows[i]) + 64:
+                j += 1
+            some, length = windows[i:j], len(windows[j - 1])
+            x = np.zeros((len(some), length), np.int16)
+            at = np.cumsum([0, *map(len, some)])
+            flat = codes("".join(some))
+            for r, w in enumerate(some):
+                x[r, : len(w)] = flat[at[r] : at[r + 1]]
+            rows, tags, margin = self.tagger.decode(x)
+            for r, t, m in zip(rows.tolist(), tags, margin, strict=True):
+                size = len(some[r])
+                spans = _spans_of(t, m, 0, size)
+                for k, first, before, after in places[some[r]]:
+                    # one that touches an inner edge is whole in the neighbour
+                    found[k] += [(odds, kind, first + a, first + b) for odds, kind, a, b in spans if not (before and a == 0) and not (after and b == size)]
+            i = j
+        return found
 
     def added(self, texts: list[str], base: list[list[Span]]) -> list[list[Span]]:
         """For each text the spans that the tagger adds to the base spans."""
-        found: list[list[tuple[float, int, int, int]]] = [[] for _ in texts]
-        laid: dict[int, tuple[list[np.ndarray], list[tuple[int, int, int, int]]]] = {}  # by length, so that none is filled up for another
-
-        def decode(some: list[np.ndarray], of: list[tuple[int, int, int, int]], length: int) -> None:
-            x = np.zeros((len(some), length), np.int64)
-            for r, w in enumerate(some):
-                x[r, : len(w)] = w
-            tags, margin = self.tagger.decode(x)
-            for r in np.flatnonzero(tags.any(axis=1)).tolist():
-                k, first, low, high = of[r]
-                for odds, kind, a, b in _spans_of(tags[r], margin[r], first, len(some[r])):
-                    a, b = settled(kind, texts[k], a, b, low, high)
-                    if low <= a and b <= high:
-                        found[k].append((odds, kind, a, b))
-            some.clear()
-            of.clear()
-
-        for k, (text, spans) in enumerate(zip(texts, base, strict=True)):
-            places = windows_of(text, spans) if _PLACE.search(text) else []
-            c = codes(text) if places else None
-            for first, end, low, high in places:
-                length = max(WINDOW, end - first)  # a long address has a longer window
-                windows, owners = laid.setdefault(length, ([], []))
-                windows.append(c[first:end])
-                owners.append((k, first, low, high))
-                if len(windows) * length >= DECODED_AT_ONCE * WINDOW:
-                    decode(windows, owners, length)
-        for length, (windows, owners) in laid.items():
-            if windows:
-                decode(windows, owners, length)
         out = []
-        for text, spans, mine in zip(texts, base, found, strict=True):
-            fit = [s for s in mine if s[0] > 0 and plausible(s[1], text[s[2] : s[3]]) and not any(a < s[3] and s[2] < b for _, a, b in spans)]
+        for text, spans, found in zip(texts, base, self.decoded(texts), strict=True):
+            if not found:
+                out.append([])
+                continue
+            taken = sorted((a, b) for _, a, b in spans)
+            starts, tops = [a for a, _ in taken], list(accumulate((b for _, b in taken), max))
+            fit = []
+            for odds, kind, a, b in found:
+                a, b = settled(kind, text, a, b)
+                before = bisect_left(starts, b)
+                if odds <= 0 or (before and tops[before - 1] > a):
+                    continue
+                if plausible(kind, text[a:b]):
+                    fit.append((odds, kind, a, b))
+                else:
+                    self.vetoed += 1
             out.append(_choose(fit) if fit else [])
         return out
 

@@ -120,13 +120,51 @@ def test_tagger_gradients_and_decoding():
 
     x = x[:1, :3]
     e, _ = t.emissions(x)
+    assert np.allclose(t.fast_emissions(x).transpose(1, 2, 0), e)
     lean = lambda a, b: pii.LEAN * (a == 0 and b % 2)  # a span begins
     total = lambda s: t.p["s"][s[0]] + lean(0, s[0]) + sum(e[i][0][s[i]] for i in range(3)) + sum(t.p["t"][s[i], s[i + 1]] + lean(s[i], s[i + 1]) for i in range(2))
     best = max(itertools.product(range(pii.TAGS), repeat=3), key=total)
-    tags, margin = t.decode(x)
+    tags, margin = t.viterbi(e)
     assert tuple(tags[0]) == best and margin[0].sum() == pytest.approx(total(best) - total((0, 0, 0)))
 
 
+def test_windows_left_undecoded_have_no_span():
+    rng = np.random.default_rng(5)
+    left_out = 0
+    for _ in range(60):
+        t = pii.Tagger.new(int(rng.integers(1000)))
+        t.p["c"][0] += rng.uniform(0, 6)
+        x = rng.integers(0, pii.CODES, (40, 12))
+        e = t.fast_emissions(x)
+        tags, _ = t.viterbi(e.transpose(1, 2, 0))
+        wins = t.can_win(e)
+        assert not tags[~wins].any()
+        left_out += int((~wins).sum())
+        rows, some, _ = t.decode(x)
+        assert rows.tolist() == np.flatnonzero(tags.any(axis=1)).tolist() and (some == tags[rows]).all()
+    assert left_out > 100
+
+
+def test_every_character_is_in_a_window(monkeypatch):
+    rng = random.Random(3)
+    for size, overlap in ((768, 128), (50, 20)):
+        monkeypatch.setattr(pii, "WINDOW", size)
+        monkeypatch.setattr(pii, "OVERLAP", overlap)
+        for _ in range(200):
+            text = "".join(rng.choice(["word ", "\n", "x" * rng.randint(1, 300)]) for _ in range(rng.randint(0, 9)))
+            seen, lines, at = list(pii.windows_of(text)), [], 0
+            for line in text.split("\n"):
+                lines.append((at, at + len(line)))
+                at += len(line) + 1
+            for a, b in lines:
+                mine = [w for w in seen if a <= w[0] and w[1] <= b]
+                if b - a < pii.LEAST:
+                    assert not mine
+                    continue
+                assert mine[0][0] == a and mine[-1][1] == b and all(w[1] - w[0] <= size for w in mine)
+                assert all(x[1] - y[0] >= overlap and x[3] and y[2] for x, y in zip(mine, mine[1:], strict=False)) and not mine[0][2] and not mine[-1][3]
+
+
 def test_spans_without_overlap():
     assert sorted(pii._choose([(1.0, 0, 0, 5), (3.0, 1, 4, 9), (1.5, 2, 9, 12), (1.0, 0, 0, 5)])) == [(1, 4, 9), (2, 9, 12)]
     assert sorted(pii._choose([(2.0, 0, 0, 5), (3.0, 1, 4, 9), (1.5, 2, 5, 9)])) == [(0, 0, 5), (2, 5, 9)]
@@ -155,7 +193,7 @@ def test_personal_data(spark):
     hit = miss = wrong = 0
     for text, spans in held:
         base, added = finder.spans([text])
-        want = {s for s in spans if s[2] < pii.WINDOW and pii.plausible(s[0], text[s[1] : s[2]])} | set(base[0])
+        want = {s for s in spans if s[2] < pii.TRAINED and pii.plausible(s[0], text[s[1] : s[2]])} | set(base[0])
         mine = set(base[0]) | set(added[0])
         hit, miss, wrong = hit + len(want & mine), miss + len(want - mine), wrong + len(mine - want)
     assert hit / (hit + miss) > 0.8 and wrong / (hit + wrong) < 0.05
@@ -165,12 +203,14 @@ def test_personal_data(spark):
 
 
 def test_settled_ends():
-    text = "so write to jo.smith @ mail.example.com now (415) 555-0134x"
-    low, high = text.index("jo"), text.index(" now")
-    assert {pii.settled(0, text, a, b, low, high) for a, b in ((low + 3, high - 2), (low, low + 2), (high - 2, high + 9), (0, high))} == {(low, high)}
-    assert pii.settled(0, text, 0, 2, low, high) == (0, 2)  # not of this place
+    text = "so write to jo.smith@ mail.example.co.uk. Now (415) 555-0134x, 10.1 [.] 2.33"
+    low, high = text.index("jo"), text.index(". Now")
+    assert {pii.settled(0, text, a, b) for a, b in ((low + 3, high - 2), (low, high - 6), (low - 1, high - 3), (low, high + 1))} == {(low, high)}
     at = text.index("415")
-    assert pii.settled(3, text, at + 1, at + 10, at - 1, at + 13) == (at - 1, at + 13)
+    assert pii.settled(3, text, at + 1, at + 10) == pii.settled(3, text, at - 1, at + 14) == (at - 1, at + 13)
+    at = text.index("10.1")
+    assert pii.settled(1, text, at + 1, len(text) - 1) == (at, len(text))
+    assert pii.settled(0, "a" * 500, 200, 300) == (200, 300)  # a word without end
     weights = pii._choose([(8.0, 0, 0, 5), (8.0, 0, 6, 12), (17.0, 0, 0, 12)])
     assert weights == [(0, 0, 12)]
 
@@ -180,7 +220,7 @@ def tagger():
     rng = random.Random(21)
     words = ["".join(rng.choice("abcdeéfghinorstu") for _ in range(rng.randint(2, 9))) for _ in range(400)]
     contexts = [" ".join(rng.choice(words) + rng.choice(["", "", "", ".", ","]) for _ in range(30)) for _ in range(300)]
-    return contexts, pii.train([(c[: pii.WINDOW], []) for c in contexts] + pii.written_examples(contexts))
+    return contexts, pii.train([(c[: pii.TRAINED], []) for c in contexts] + pii.written_examples(contexts))
 
 
 def _digits(rng, pattern):
@@ -202,7 +242,8 @@ FORMS = {
     "name@ host": (0, lambda r: f"{_name(r, 1)}.{_name(r, 5)}@ {_name(r, 7)}.org"), "80 characters": (0, lambda r: f"{_name(r, 10)}.{_name(r, 15)}_{r.randint(10, 99)} @ mail.{_name(r, 8)}-{_name(r, 10)}.{_name(r, 10)}-{_name(r, 6)}.co.uk"),
     "[.]": (1, lambda r: "[.]".join(str(r.randint(0, 255)) for _ in range(4))), "spaced": (1, lambda r: " . ".join(str(r.randint(0, 255)) for _ in range(4))),
     "15 digits": (2, lambda r: _grouped(r, [15], "")), "dots": (2, lambda r: _grouped(r, [4, 4, 4, 4], ".")), "ddd.ddd.dddd": (3, lambda r: _digits(r, "000.000.0000")), "ddd-ddd-dddd": (3, lambda r: _digits(r, "000-000-0000")), "(ddd) ddd-dddd": (3, lambda r: _digits(r, "(000) 000-0000")),
-    "4-6-5, not trained on": (2, lambda r: _grouped(r, [4, 6, 5], " ")), "(dd) dddd dddd, not trained on": (3, lambda r: _digits(r, "(00) 0000 0000")), "(ddd)ddd.dddd, not trained on": (3, lambda r: _digits(r, "(000)000.0000")),
+    "[at]": (0, lambda r: f"{_name(r, 5)} [at] {_name(r, 7)}.org"), "at dot": (0, lambda r: f"{_name(r, 6)} at {_name(r, 7)} dot com"), "[dot]": (1, lambda r: "[dot]".join(str(r.randint(0, 255)) for _ in range(4))), "slashes": (2, lambda r: _grouped(r, [4, 4, 4, 4], "/")),
+    "{at}, not trained on": (0, lambda r: f"{_name(r, 5)}.{_name(r, 3)} ( at ) {_name(r, 7)}.org"), "4-6-5, not trained on": (2, lambda r: _grouped(r, [4, 6, 5], " ")), "(dd) dddd dddd, not trained on": (3, lambda r: _digits(r, "(00) 0000 0000")), "(ddd)ddd.dddd, not trained on": (3, lambda r: _digits(r, "(000)000.0000")),
 }
 
 
@@ -218,7 +259,8 @@ def test_added_items_come_out_whole(tagger, form):
         texts.append(before + item + " " + " ".join(rng.sample(contexts, 2)))
         want.append((kind, len(before), len(before) + len(item)))
     found = pii.Finder(own).added(texts, [pii.base_spans(t) for t in texts])
-    assert sum(w in f for f, w in zip(found, want, strict=True)) >= 0.95 * 128
+    least = {"at dot": 0.5, "{at}, not trained on": 0.7}.get(form, 0.95)  # the two are hard to tell from words around
+    assert sum(w in f for f, w in zip(found, want, strict=True)) >= least * 128
     assert not any(s != w and s[1] < w[2] and w[1] < s[2] for f, w in zip(found, want, strict=True) for s in f)  # none is broken
 
 
@@ -475,31 +517,65 @@ class _Marks:
     def decode(self, x):
         on = (x != pii.codes("~")[0]) & (x > 0)
         begins = on & ~np.concatenate([np.zeros((len(x), 1), bool), on[:, :-1]], axis=1)
-        return np.where(begins, 1 + 2 * self.kind, np.where(on, 2 + 2 * self.kind, 0)), on.astype(float)
+        rows = np.flatnonzero(on.any(axis=1))
+        return rows, np.where(begins, 1 + 2 * self.kind, np.where(on, 2 + 2 * self.kind, 0))[rows], on.astype(float)[rows]
 
 
 @pytest.mark.parametrize(
     ("kind", "item"),
     [
-        (0, "first.last @ mail.some-company.example"), (0, "a@ b . c"), (0, "x" * 64 + " @ " + " . ".join(["y" * 63] * 9)), (0, "first.middle.last-name @ " + "department." * 4 + "example"),
+        (0, "first.last @ mail.some-company.example"), (0, "a@ b . c"), (0, "x" * 34 + " @ " + " . ".join(["y" * 27] * 3)), (0, "first.middle.last-name @ " + "department." * 4 + "example"), (0, "a [at] b [dot] c"), (0, "me at here dot com"),
         (1, "10 . 20 [.] 30 . 40"), (2, "4 1 1 1 1 1 1 1 1 1 1 1 1 1 1 1"), (2, " ".join("4111111111111111110")), (3, "(0415) 555-0134"), (3, "0123-4567-8901-234"),
     ],
 )
 def test_added_spans_are_whole_at_every_offset(kind, item):
-    assert pii.plausible(kind, item)
-    for before in range(64):
-        for start, after in ((200, 300), (0, 0), (64, 5)):
+    assert pii.plausible(kind, item) and len(item) < pii.OVERLAP
+    for before in range(0, 700, 7):
+        for start, after in ((200, 1300), (0, 0), (64, 5)):
             at = start + before
-            text = "~" * at + item + "~" * (after + 64 - before)
+            text = "~" * at + item + "~" * (after + 700 - before)
             assert pii.Finder(_Marks(kind)).added([text], [[]]) == [[(kind, at, at + len(item))]]
 
 
-def test_tagger_does_not_depend_on_offsets():
-    tagger = pii.train(pii.written_examples(["word and more words " * 6], 400), epochs=3)
-    filler = "word and more words of a text " * 40
-    for item in ("first.last @ mail.some-company.example", "(415) 555-0134", "1.2 [.] 3 . 4", "12 " * 60):
-        found = set()
-        for before in range(64):
-            text = filler[-500 - before :] + item + " " + filler
-            found.add(tuple((k, a - before, b - before) for k, a, b in pii.Finder(tagger).added([text], [[]])[0]))
-        assert len(found) == 1
+def test_windows_agree_with_whole_lines(monkeypatch, tagger):
+    """What overlapping windows give, against one Viterbi over each whole line."""
+    contexts, own = tagger
+    rng, texts = random.Random(31), []
+    for _ in range(80):
+        parts = [rng.choice(contexts)[: rng.randint(10, 120)] for _ in range(8)]
+        texts.append(" ".join(p + " " + FORMS[rng.choice(list(FORMS))][1](rng) for p in parts))
+    whole = pii.Finder(own).added(texts, [[] for _ in texts])
+    monkeypatch.setattr(pii, "WINDOW", 320)
+    windows = pii.Finder(own).added(texts, [[] for _ in texts])
+    both, apart = sum(len(set(a) & set(b)) for a, b in zip(whole, windows, strict=True)), sum(len(set(a) ^ set(b)) for a, b in zip(whole, windows, strict=True))
+    assert both > 500 and apart <= 0.03 * both
+
+
+def test_equal_windows_are_decoded_once(tagger):
+    contexts, own = tagger
+    seen = []
+
+    class Counting:
+        def decode(self, x):
+            seen.append(len(x))
+            return own.decode(x)
+
+    texts = [f"{contexts[0][:50]} (415) 555-0134 {contexts[1][:50]}\nand more"] * 50
+    found = pii.Finder(Counting()).added(texts, [[] for _ in texts])
+    assert sum(seen) == 2 and len(set(map(tuple, found))) == 1 and found[0]
+
+
+NOTHING = {
+    "dates": lambda r: f"{r.randint(1900, 2099)}-{r.randint(1, 12):02}-{r.randint(1, 28):02}", "times": lambda r: f"{r.randint(1900, 2099)}-{r.randint(1, 12):02}-{r.randint(1, 28):02} {r.randint(0, 23):02}:{r.randint(0, 59):02}",
+    "sums": lambda r: f"{r.randint(1, 99)} {r.randint(100, 999)} {r.randint(100, 999)}", "grouped": lambda r: _digits(r, "00 000 000 00"), "ISBN": lambda r: _digits(r, "978-0-00-000000-0"), "versions": lambda r: f"v{r.randint(1, 9)}.{r.randint(0, 30)}.{r.randint(0, 99)}",
+    "places": lambda r: f"{_name(r, 5)} at {_name(r, 6)}.{_name(r, 7)}", "marks": lambda r: f"{_name(r, 5)} @ {_name(r, 6)} {_name(r, 7)}", "ratios": lambda r: _digits(r, "0.00.0000"), "long": lambda r: _digits(r, "0" * 24),
+}
+
+
+@pytest.mark.parametrize("form", NOTHING)
+def test_other_numbers_are_left_alone(tagger, form):
+    contexts, own = tagger
+    rng, texts = random.Random(41), []
+    for offset in range(128):
+        texts.append(" ".join(rng.sample(contexts, 2))[:offset].rstrip() + " " + NOTHING[form](rng) + " " + " ".join(rng.sample(contexts, 2)))
+    assert sum(map(bool, pii.Finder(own).added(texts, [[] for _ in texts]))) <= 0.05 * 128
