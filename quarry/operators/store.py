@@ -61,6 +61,15 @@ class Store:
         rows.select(*[F.col(f.name).cast(f.dataType) for f in TABLES[name].fields]).write.parquet(f"{self.root}/{name}/{folder}")
         self._publish(name, {**self._ledger(name), part: folder})
 
+    def staged(self, job: str, name: str, rows: DataFrame) -> DataFrame:
+        """Rows as they are once written to the job's own folder, so that what made them runs once, whatever is lost later."""
+        folder = f"{self.root}/_staged/{job}/{name}"
+        rows.write.mode("overwrite").parquet(folder)
+        return self.spark.read.schema(rows.schema).parquet(folder)
+
+    def unstage(self, job: str) -> None:
+        self._fs.delete(self._path(f"{self.root}/_staged/{job}"), True)
+
     @staticmethod
     def part(repository: str, branch: str) -> str:
         return f"{repository}\u001f{branch}"

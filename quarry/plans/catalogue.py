@@ -526,7 +526,12 @@ def repository_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "customer").select("c_custkey", name(url).alias("a"), name(F.lit("https://host/org/repo/")).alias("b"), name(F.lit("")).alias("c"))
 
 
-@query()
+@query(
+    r"""
+    SELECT u.record_type, count(*) AS n FROM documents, (VALUES ('file_summary'), ('class_summary'), ('method_summary'), ('search_term_match')) u(record_type)
+    WHERE text IS NOT NULL AND (u.record_type <> 'search_term_match' OR regexp_matches(text, '(?i)(^|[^\p{L}\p{N}_])the([^\p{L}\p{N}_]|$)')) GROUP BY ALL
+    """
+)
 def scan_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The whole scan over files made from the documents: records by type, after redaction and the first of each key."""
     from quarry.plans.scan import ScanContext, extracted, records

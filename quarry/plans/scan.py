@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -13,10 +13,10 @@ from quarry.functions.classify import extension, test_framework
 from quarry.functions.redact import MARK, redact
 from quarry.functions.text import around_line, file_summary, line_count
 from quarry.functions.tokens import file_stem
-from quarry.operators.terms import term_tallies
-from quarry.schemas import CODE_RECORD, EXTRACTED, RECORD_KEY
-from quarry.sources.config_files import env_rows, json_rows, project_rows, project_snippet, solution_projects
+from quarry.schemas import CODE_RECORD, RECORD_KEY
+from quarry.sources.config_files import env_keys, project_snippet, solution_projects
 from quarry.sources.files import classified
+from quarry.sources.readers import FOUND, read
 
 COLUMNS = ("record_type", "symbol_name", "symbol_kind", "namespace", "class_name", "method_name", "line_start", "line_end", "summary", "code_snippet", "metadata_json", "is_test_code")
 
@@ -30,22 +30,6 @@ class ScanContext:
     commit_sha: str
 
 
-class _CSharp:
-    def eval(self, path: str, content: str) -> Iterator[tuple]:
-        import json
-
-        from quarry.sources.csharp import extract, metadata_json
-
-        found = extract(content or "")
-        about = {
-            "loc": found.line_count, "top_level_types": found.top_level_types, "uses_unsafe": "unsafe" in (content or ""), "using_directives": found.usings, "external_types": found.external_types,
-        }
-        n = len(found.top_level_types)
-        yield 0, "file_summary", path, "File", None, None, None, 1, max(1, found.line_count), f"File {path} with {n} top-level type(s)", "", json.dumps(about, ensure_ascii=False), found.namespaces, found.top_level_types, found.failed
-        for i, s in enumerate(found.symbols, 1):
-            yield i, s.record_type, s.symbol_name, s.symbol_kind, s.namespace, s.class_name, s.method_name, s.line_start, s.line_end, s.summary, s.code_snippet, metadata_json(s), None, None, False
-
-
 def _json(**parts: Column) -> Column:
     return F.to_json(F.struct(*[c.alias(n) for n, c in parts.items()]), {"ignoreNullFields": "false"})
 
@@ -54,101 +38,138 @@ def _none(kind: str = "string") -> Column:
     return F.lit(None).cast(kind)
 
 
-def csharp_rows(files: DataFrame, terms: Sequence[str]) -> DataFrame:
-    """(path, ordinal, *COLUMNS, unread) of C# files: the file, its symbols, and for each method-like symbol of a test file a
-    reference. Each file is read once; unread says of its first row that its text was beyond the reader."""
-    hits = F.filter(F.lit(list(terms)), lambda t: F.col("content").contains(t)) if terms else F.array().cast("array<string>")
-    source = files.select("path", "content", (F.col("kind") == "test").alias("is_test"), hits.alias("hits"), test_framework(F.col("content")).alias("framework"))
-    call = F.udtf(_CSharp, returnType=f"{EXTRACTED}, namespaces array<string>, types array<string>, unread boolean")
-    rows = source.lateralJoin(call(F.col("path").outer(), F.col("content").outer()))
-    snippet = F.when(F.col("record_type") == "file_summary", file_summary(F.col("path"), F.col("namespaces"), F.col("types"), F.col("hits"))).otherwise(F.col("code_snippet"))
-    own = F.struct((F.col("ordinal") * 2).alias("ordinal"), *[F.col(c) for c in COLUMNS[:9]], snippet.alias("code_snippet"), F.col("metadata_json"), F.col("is_test").alias("is_test_code"))
-    about = _json(test_framework=F.col("framework"), test_attributes=F.array().cast("array<string>"), subjects=F.array().cast("array<string>"))
-    test = F.struct(
-        (F.col("ordinal") * 2 + 1).alias("ordinal"), F.lit("test_reference").alias("record_type"), F.col("symbol_name"), F.lit("Method").alias("symbol_kind"), F.col("namespace"), F.col("class_name"), F.col("method_name"),
-        F.col("line_start"), F.col("line_end"), F.concat(F.lit("test "), "symbol_name").alias("summary"), F.col("code_snippet"), about.alias("metadata_json"), F.lit(True).alias("is_test_code"),
-    )
-    both = F.when(F.col("is_test") & (F.col("record_type") == "method_summary"), F.array(own, test)).otherwise(F.array(own))
-    return rows.select("path", "unread", F.inline(both)).select("path", "ordinal", *COLUMNS, "unread")
+#: Sections of a scan, by what reads them, and what an item of each holds.
+PROJECT_FILE, SOLUTION, CONFIGURATION, CSHARP, TERM = range(5)
+_ITEM = {
+    "project": FOUND["project"], "solution": "array<string>", "config": FOUND["keys"][6:-1], "symbol": FOUND["symbols"][6:-1], "is_test": "boolean",
+    "hit": "struct<ordinal:int,term:string,first_line:int,words:int,docs:int,names:int,snippet:string>", "match_kind": "string", "hit_count": "int",
+}
 
 
-def term_rows(files: DataFrame, terms: Sequence[str]) -> DataFrame:
-    """(path, ordinal, *COLUMNS) of search terms found in C# files; a file's rows come from its own text, without a join."""
-    rows = term_tallies(files.withColumn("is_test_code", F.col("kind") == "test"), terms, keep=("content", "is_test_code"))
-    kinds = F.create_map(*[x for i, t in enumerate(("string_literal", "comment", "xml_doc", "identifier")) for x in (F.lit(t), F.lit(i))])
-    summary = F.format_string("search term '%s' matched as %s (%dx)", "term", "match_kind", "hit_count")
-    return rows.select(
-        "path", (F.col("ordinal") * 4 + kinds[F.col("match_kind")]).alias("ordinal"), F.lit("search_term_match").alias("record_type"), F.col("term").alias("symbol_name"), F.lit("None").alias("symbol_kind"),
-        _none().alias("namespace"), _none().alias("class_name"), _none().alias("method_name"), F.col("first_line").alias("line_start"), F.col("first_line").alias("line_end"), summary.alias("summary"),
-        around_line(F.col("content"), F.col("first_line")).alias("code_snippet"), _json(term=F.col("term"), match_kind=F.col("match_kind"), hit_count=F.col("hit_count")).alias("metadata_json"), "is_test_code",
-    )
+def _item(section: int, ordinal: Column, **held: Column) -> Column:
+    return F.struct(F.lit(section).alias("section"), ordinal.cast("int").alias("ordinal"), *[held.get(n, F.lit(None)).cast(t).alias(n) for n, t in _ITEM.items()])
 
 
-def config_rows(files: DataFrame, terms: Sequence[str]) -> DataFrame:
-    """(path, ordinal, *COLUMNS) of configuration keys."""
-    found = env_rows(files, terms).unionByName(json_rows(files, terms).drop("content"))
-    shown = F.concat(F.col("key"), F.lit("="), F.when(F.col("value_redacted"), MARK).otherwise(F.col("value")))
-    hidden = F.col("value_redacted") | (redact(shown)["status"] == "redacted")
-    return found.select(
-        "path", "ordinal", F.lit("configuration_reference").alias("record_type"), F.col("key").alias("symbol_name"), F.lit("None").alias("symbol_kind"), _none().alias("namespace"), _none().alias("class_name"),
-        _none().alias("method_name"), "line_start", "line_end", F.format_string("config key '%s' in %s", "key", "path").alias("summary"), shown.alias("code_snippet"),
-        _json(file_format=F.col("file_format"), json_path=F.col("json_path"), value_redacted=hidden).alias("metadata_json"), F.lit(False).alias("is_test_code"),
+def _items(files: DataFrame, terms: Sequence[str]) -> DataFrame:
+    """(path, loc, in_test, framework, term_hits, section, ordinal, *_ITEM): what each file (path, content, kind) holds, read once."""
+    end, path, text = extension(F.col("path")), F.col("path"), F.col("content")
+    plain = ~end.isin("csproj", "sln")
+    configuration = plain & (F.col("kind") == "configuration")
+    reader = F.when(end == "csproj", "project").when(configuration & (end == "json"), "json").when(plain & ~configuration & (end == "cs"), "csharp")
+    held = read(files.select("path", "content", "kind", reader.alias("reader")), terms)
+    shown = F.filter(F.lit(list(terms)), lambda t: text.contains(t)) if terms else F.array().cast("array<string>")
+    csharp = F.col("reader") == "csharp"
+    held = held.select(
+        "path", line_count(text).alias("loc"), (F.col("kind") == "test").alias("in_test"), F.when(csharp, test_framework(text)).alias("framework"), F.when(csharp, shown).alias("term_hits"), "project", "keys", "symbols",
+        F.when(F.lower("path").endswith(".sln"), solution_projects(text)).alias("solution"), F.when(configuration & (end == "env"), env_keys(text, terms)).alias("env"),
+        F.transform("hits", lambda h: F.struct(*[h[n] for n in ("ordinal", "term", "first_line", "words", "docs", "names")], around_line(text, h["first_line"]).alias("snippet"))).alias("hits"),
     )
 
+    def symbols(s: Column) -> Column:
+        own = _item(CSHARP, s["ordinal"] * 2, symbol=s, is_test=F.lit(False))
+        test = _item(CSHARP, s["ordinal"] * 2 + 1, symbol=s, is_test=F.lit(True))
+        return F.when(F.col("in_test") & (s["record_type"] == "method_summary"), F.array(own, test)).otherwise(F.array(own))
+
+    def tallies(h: Column) -> Column:
+        counts = (("string_literal", h["words"]), ("comment", h["words"] - h["docs"]), ("xml_doc", h["docs"]), ("identifier", h["names"]))
+        return F.filter(F.array(*[_item(TERM, h["ordinal"] * 4 + i, hit=h, match_kind=F.lit(kind), hit_count=n) for i, (kind, n) in enumerate(counts)]), lambda x: x["hit_count"] > 0)
+
+    none = F.array().cast(f"array<struct<section int, ordinal int, {', '.join(f'{n} {t}' for n, t in _ITEM.items())}>>")
+    parts = [
+        F.when(F.col("project").isNotNull(), F.array(_item(PROJECT_FILE, F.lit(0), project=F.col("project")))), F.when(F.col("solution").isNotNull(), F.array(_item(SOLUTION, F.lit(0), solution=F.col("solution")))),
+        F.transform("env", lambda k: _item(CONFIGURATION, k["ordinal"], config=k)), F.transform("keys", lambda k: _item(CONFIGURATION, k["ordinal"], config=k)),
+        F.flatten(F.transform("symbols", symbols)), F.flatten(F.transform("hits", tallies)),
+    ]
+    return held.select("path", "loc", "in_test", "framework", "term_hits", F.inline(F.concat(*[F.coalesce(p, none) for p in parts])))
+
+
+def _shown() -> dict[int, dict[str, Column]]:
+    """The columns of each section's rows, from what an item holds."""
+    path, p, name = F.col("path"), "project.", F.coalesce("project.assembly_name", file_stem(F.col("path")))
+    about = ("sdk", "target_frameworks", "root_namespace", "assembly_name", "lang_version", "nullable", "implicit_usings", "package_references", "project_references")
+    file = {"record_type": F.lit("file_summary"), "symbol_kind": F.lit("File"), "line_start": F.lit(1), "line_end": F.col("loc"), "is_test_code": F.lit(False)}
+    summary = F.format_string("Project %s (%s) — %d package ref(s), %d project ref(s)", name, F.array_join("project.target_frameworks", ", "), F.size("project.package_references"), F.size("project.project_references"))
+    project = file | {"symbol_name": name, "namespace": F.col("project.root_namespace"), "summary": summary, "code_snippet": project_snippet(name, p), "metadata_json": _json(kind=F.lit("project"), **{k: F.col(p + k) for k in about})}
+    stem = file_stem(path)
+    listed = F.concat(F.lit("Solution: "), stem, F.lit("\nProjects:\n"), F.array_join(F.transform("solution", lambda x: F.concat(F.lit("  - "), x)), "\n"))
+    solution = file | {"symbol_name": stem, "summary": F.format_string("Solution %s with %d project(s)", stem, F.size("solution")), "code_snippet": listed, "metadata_json": _json(kind=F.lit("solution"), projects=F.col("solution"))}
+    key = F.concat(F.col("config.key"), F.lit("="), F.when(F.col("config.value_redacted"), MARK).otherwise(F.col("config.value")))
+    hidden = F.col("config.value_redacted") | (redact(key)["status"] == "redacted")
+    config = {
+        "record_type": F.lit("configuration_reference"), "symbol_name": F.col("config.key"), "symbol_kind": F.lit("None"), "line_start": F.col("config.line_start"), "line_end": F.col("config.line_end"),
+        "summary": F.format_string("config key '%s' in %s", "config.key", "path"), "code_snippet": key, "metadata_json": _json(file_format=F.col("config.file_format"), json_path=F.col("config.json_path"), value_redacted=hidden), "is_test_code": F.lit(False),
+    }
+    test, symbol = F.col("is_test"), F.col("symbol.symbol_name")
+    whole = F.when(F.col("symbol.record_type") == "file_summary", file_summary(path, F.col("symbol.namespaces"), F.col("symbol.types"), F.col("term_hits"))).otherwise(F.col("symbol.code_snippet"))
+    tested = _json(test_framework=F.col("framework"), test_attributes=F.array().cast("array<string>"), subjects=F.array().cast("array<string>"))
+    csharp = {c: F.col(f"symbol.{c}") for c in COLUMNS if c not in ("is_test_code", "code_snippet")} | {
+        "record_type": F.when(test, "test_reference").otherwise(F.col("symbol.record_type")), "symbol_kind": F.when(test, "Method").otherwise(F.col("symbol.symbol_kind")), "code_snippet": whole,
+        "summary": F.when(test, F.concat(F.lit("test "), symbol)).otherwise(F.col("symbol.summary")), "metadata_json": F.when(test, tested).otherwise(F.col("symbol.metadata_json")), "is_test_code": F.col("in_test"),
+    }
+    term = {
+        "record_type": F.lit("search_term_match"), "symbol_name": F.col("hit.term"), "symbol_kind": F.lit("None"), "line_start": F.col("hit.first_line"), "line_end": F.col("hit.first_line"), "code_snippet": F.col("hit.snippet"),
+        "summary": F.format_string("search term '%s' matched as %s (%dx)", "hit.term", "match_kind", "hit_count"), "metadata_json": _json(term=F.col("hit.term"), match_kind=F.col("match_kind"), hit_count=F.col("hit_count")), "is_test_code": F.col("in_test"),
+    }
+    return {PROJECT_FILE: project, SOLUTION: solution, CONFIGURATION: config, CSHARP: csharp, TERM: term}
+
+
+def found_rows(files: DataFrame, terms: Sequence[str] = ()) -> DataFrame:
+    """(path, section, ordinal, *COLUMNS, unread) of files (path, content, kind): all records as they stand in the files, before redaction.
+
+    The files are read once for all kinds. A file is read by the first that fits: project, solution, configuration, C#; search terms
+    are met in C# files. For each method-like symbol of a test file there is a reference more. unread says of a C# file's first
+    row that its text was beyond the reader.
+    """
+    shown = _shown()
+
+    def column(name: str) -> Column:
+        out = F.lit(None)
+        for section, columns in shown.items():
+            if name in columns:
+                out = F.when(F.col("section") == section, columns[name]).otherwise(out)
+        return out.alias(name)
 
-def _file_row(name: Column, namespace: Column, summary: Column, snippet: Column, about: Column) -> list[Column]:
-    values = (F.lit("file_summary"), name, F.lit("File"), namespace, _none(), _none(), F.lit(1), line_count(F.col("content")), summary, snippet, about, F.lit(False))
-    return [F.col("path"), F.lit(0).alias("ordinal"), *[v.alias(n) for v, n in zip(values, COLUMNS, strict=True)]]
+    return _items(files, terms).select("path", "section", "ordinal", *[column(c) for c in COLUMNS], F.coalesce("symbol.unread", F.lit(False)).alias("unread"))
 
 
-def project_records(files: DataFrame) -> DataFrame:
-    rows = project_rows(files).withColumn("name", F.coalesce("assembly_name", file_stem(F.col("path"))))
-    summary = F.format_string(
-        "Project %s (%s) — %d package ref(s), %d project ref(s)", "name", F.array_join("target_frameworks", ", "), F.size("package_references"), F.size("project_references")
-    )
-    keys = ("sdk", "target_frameworks", "root_namespace", "assembly_name", "lang_version", "nullable", "implicit_usings", "package_references", "project_references")
-    about = _json(kind=F.lit("project"), **{k: F.col(k) for k in keys})
-    return rows.select(*_file_row(F.col("name"), F.col("root_namespace"), summary, project_snippet(F.col("name")), about))
+def csharp_rows(files: DataFrame, terms: Sequence[str]) -> DataFrame:
+    """(path, ordinal, *COLUMNS, unread) of C# files (path, content, kind)."""
+    return found_rows(files, terms).where(F.col("section") == CSHARP).select("path", "ordinal", *COLUMNS, "unread")
 
 
-def solution_records(files: DataFrame) -> DataFrame:
-    rows = files.where(F.lower("path").endswith(".sln")).withColumn("projects", solution_projects(F.col("content"))).where("projects is not null").withColumn("name", file_stem(F.col("path")))
-    summary = F.format_string("Solution %s with %d project(s)", "name", F.size("projects"))
-    snippet = F.concat(F.lit("Solution: "), "name", F.lit("\nProjects:\n"), F.array_join(F.transform("projects", lambda p: F.concat(F.lit("  - "), p)), "\n"))
-    return rows.select(*_file_row(F.col("name"), _none(), summary, snippet, _json(kind=F.lit("solution"), projects=F.col("projects"))))
+def term_rows(files: DataFrame, terms: Sequence[str]) -> DataFrame:
+    """(path, ordinal, *COLUMNS) of search terms found in C# files (path, content, kind)."""
+    return found_rows(files, terms).where(F.col("section") == TERM).select("path", "ordinal", *COLUMNS)
 
 
 def extracted(files: DataFrame, terms: Sequence[str] = ()) -> DataFrame:
     """(path, section, ordinal, *COLUMNS, unread, redaction) of files (path, length, content): every record, its snippet redacted.
 
     redaction is no_match, redacted or failed; records that failed must not be kept. unread marks the row of a file whose
-    text was beyond its reader, so that it counts as failed. Generated files and unreadable ones give
-    none, and a file is read by the first that fits: project, solution, configuration, C#.
+    text was beyond its reader, so that it counts as failed. Generated files and unreadable ones give none.
     """
     named = classified(files.where("content is not null and trim(path) <> ''")).where("kind <> 'generated'")
-    end = extension(F.col("path"))
-    plain = named.where(~end.isin("csproj", "sln"))
-    source = plain.where((F.col("kind") != "configuration") & (end == "cs"))
-    parts = [project_records(named.where(end == "csproj")), solution_records(named.where(end == "sln")), config_rows(plain.where("kind = 'configuration'"), terms), csharp_rows(source, terms)]
-    if terms:
-        parts.append(term_rows(source, terms))
-    rows = None
-    for i, part in enumerate(parts):
-        unread = F.col("unread") if "unread" in part.columns else F.lit(False)
-        part = part.select("path", F.lit(i).alias("section"), "ordinal", *COLUMNS, unread.alias("unread"))
-        rows = part if rows is None else rows.unionByName(part)
-    safe = rows.withColumn("r", redact(F.col("code_snippet")))
+    safe = found_rows(named, terms).withColumn("r", redact(F.col("code_snippet")))
     return safe.withColumn("code_snippet", F.col("r.text")).withColumn("redaction", F.col("r.status")).drop("r")
 
 
-def counters(files: DataFrame, rows: DataFrame) -> DataFrame:
-    """One row: files_scanned, records_created, records_failed (files that couldn't be read) and redaction_failed of one scan."""
-    scanned = files.agg(F.count(F.lit(1)).alias("files_scanned"), F.count_if(F.col("content").isNull()).alias("records_failed"))
-    made = rows.agg(
-        F.count_if(F.col("redaction") != "failed").alias("records_created"), F.count_if(F.col("redaction") == "failed").alias("redaction_failed"), F.count_if("unread").alias("unread")
-    )
-    both = scanned.join(F.broadcast(made))  # one row each
-    return both.select("files_scanned", "records_created", (F.col("records_failed") + F.col("unread")).alias("records_failed"), "redaction_failed")
+class Counters:
+    """What one scan counts, in the pass that writes its rows: `counted` sees the files and their rows go by, and `result` has the numbers
+    once an action has run over what it gave."""
+
+    def __init__(self) -> None:
+        self._files, self._rows = Observation(), Observation()
+
+    def counted(self, files: DataFrame, terms: Sequence[str] = ()) -> DataFrame:
+        """`extracted`, observed."""
+        seen = files.observe(self._files, F.count(F.lit(1)).alias("files_scanned"), F.count_if(F.col("content").isNull()).alias("records_failed"))
+        made = F.count_if(F.col("redaction") != "failed").alias("records_created"), F.count_if(F.col("redaction") == "failed").alias("redaction_failed"), F.count_if("unread").alias("unread")
+        return extracted(seen, terms).observe(self._rows, *made)
+
+    def result(self) -> dict[str, int]:
+        """files_scanned, records_created, records_failed (files that couldn't be read) and redaction_failed."""
+        files, rows = self._files.get, self._rows.get
+        return {"files_scanned": files["files_scanned"], "records_created": rows["records_created"], "records_failed": files["records_failed"] + rows["unread"], "redaction_failed": rows["redaction_failed"]}
 
 
 def first_of_key(rows: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:

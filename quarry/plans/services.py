@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from quarry.operators.embed import EmbeddingError, Embedder, embed_records, embedding_rows
 from quarry.operators.search import SearchQuery, search
 from quarry.operators.store import Store
-from quarry.plans.scan import ScanContext, counters, extracted, records
+from quarry.plans.scan import Counters, ScanContext, records
 from quarry.sources.files import Repository, scan_files
 from quarry.sources.settings import Settings
 
@@ -45,19 +45,20 @@ def scan(store: Store, repo: Repository, embedder: Embedder, settings: Settings
     job = store.start_job(repository_id, repo.branch, repo.commit_sha)
     try:
         files = scan_files(spark, repo.path, settings.scanner.ignore_paths, settings.scanner.max_file_size_kb)
-        rows = extracted(files, list(terms)).persist()
-        new = records(rows, ScanContext(repository_id, job, repo.name, repo.branch, repo.commit_sha)).persist()
-        counts = counters(files, rows).first()
+        counting = Counters()
+        rows = store.staged(job, "rows", counting.counted(files, list(terms)))
+        counts = counting.result()
+        new = store.staged(job, "records", records(rows, ScanContext(repository_id, job, repo.name, repo.branch, repo.commit_sha)))
         inserted = store.add_records(repo.name, repo.branch, new)
         part = store.part(repo.name, repo.branch)
         pending = store.table("code_record", part).where((F.col("embedding_status") != "embedded") & ~F.col("is_stale"))
         e = settings.embedding
-        vectors = embed_records(pending, embedder, e.batch_size, e.max_retries, e.retry_backoff_seconds).persist()
+        # written before anything is counted, so that a lost executor asks for no vector again
+        vectors = store.staged(job, "vectors", embed_records(pending, embedder, e.batch_size, e.max_retries, e.retry_backoff_seconds))
         failed = vectors.where("embedding_vector is null").select(F.col("code_record_id").alias("done_id"))
         made, lost = vectors.where("embedding_vector is not null").count(), failed.count()
         store.add_embeddings(repo.name, repo.branch, embedding_rows(vectors, embedder), failed)
-        for kept in (rows, new, vectors):
-            kept.unpersist()
+        store.unstage(job)
     except Exception as error:
         store.finish_job(job, "failed", error=str(error)[:2000])
         raise

@@ -1,14 +1,14 @@
 """Keys of configuration files, projects and solutions.
 
 Environment files and solutions are read with column functions. JSON and project files need a parser that keeps
-numbers as they are written and repeated keys, and that turns a broken file into no rows, so they are Python UDTFs.
+numbers as they are written and repeated keys, and that turns a broken file into no rows; `readers` runs it over Arrow batches.
 """
 
 from __future__ import annotations
 
 import json
 import xml.etree.ElementTree as ET
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -67,37 +67,36 @@ def json_keys(content: str | None, app_settings: bool, terms: Sequence[str]) ->
     return out
 
 
-def env_rows(files: DataFrame, terms: Sequence[str]) -> DataFrame:
-    """(path, ordinal, *CONFIG) of KEY=VALUE lines; values are never shown. With terms only the keys among them."""
-    rows = files.where(extension(F.col("path")) == "env").select("path", F.posexplode(F.split(F.regexp_replace("content", "\r\n", "\n"), "\n")).alias("at", "raw"))
-    line = F.trim(F.regexp_replace("raw", r"(?U)^\s+|\s+$", ""))
-    equals = F.instr(line, "=")
-    key = F.regexp_replace(F.substring(line, F.lit(1), equals - 1), r"(?U)^\s+|\s+$", "")
-    kept = rows.where((line != "") & ~line.startswith("#") & (equals > 1)).select("path", "at", key.alias("key"))
+def env_keys(content: Column, terms: Sequence[str]) -> Column:
+    """The KEY=VALUE lines of an environment file as (ordinal, *CONFIG); values are never shown. With terms only the keys among them."""
+    trimmed = lambda c: F.regexp_replace(c, r"(?U)^\s+|\s+$", "")
+    lines = F.transform(F.split(F.regexp_replace(content, "\r\n", "\n"), "\n"), lambda raw, at: F.struct(at.alias("at"), F.trim(trimmed(raw)).alias("line")))
+    kept = F.filter(lines, lambda x: (x["line"] != "") & ~x["line"].startswith("#") & (F.instr(x["line"], "=") > 1))
+    keys = F.transform(kept, lambda x: F.struct(x["at"].alias("at"), trimmed(F.substring(x["line"], F.lit(1), F.instr(x["line"], "=") - 1)).alias("key")))
     if terms:
-        kept = kept.where(F.col("key").isin(*terms))
-    number = (F.col("at") + 1).cast("int")
-    return kept.select(
-        "path", F.col("at").alias("ordinal"), F.lit("env").alias("file_format"), "key", F.lit(None).cast("string").alias("value"), F.lit(True).alias("value_redacted"),
-        F.concat(F.lit("$."), "key").alias("json_path"), number.alias("line_start"), number.alias("line_end"),
-    )
+        keys = F.filter(keys, lambda x: x["key"].isin(*terms))
 
+    def row(x: Column) -> Column:
+        number = (x["at"] + 1).cast("int")
+        return F.struct(
+            x["at"].alias("ordinal"), F.lit("env").alias("file_format"), x["key"].alias("key"), F.lit(None).cast("string").alias("value"), F.lit(True).alias("value_redacted"),
+            F.concat(F.lit("$."), x["key"]).alias("json_path"), number.alias("line_start"), number.alias("line_end"),
+        )
 
-def _json_udtf(terms: Sequence[str]):
-    wanted = tuple(terms)
+    return F.transform(keys, row)
 
-    class Keys:
-        def eval(self, path: str, content: str) -> Iterator[tuple]:
-            for i, (key, value, at) in enumerate(json_keys(content, "appsettings" in (path or "").lower(), wanted)):
-                yield i, "json", key, value, False, at, 1, 1
 
-    return F.udtf(Keys, returnType=f"ordinal int, {CONFIG}")
+def env_rows(files: DataFrame, terms: Sequence[str]) -> DataFrame:
+    """(path, ordinal, *CONFIG) of environment files."""
+    return files.where(extension(F.col("path")) == "env").select("path", F.inline(env_keys(F.col("content"), terms)))
 
 
 def json_rows(files: DataFrame, terms: Sequence[str]) -> DataFrame:
     """(path, ordinal, *CONFIG) of JSON files."""
-    rows = files.where(extension(F.col("path")) == "json").select("path", "content")
-    return rows.lateralJoin(_json_udtf(terms)(F.col("path").outer(), F.col("content").outer()))
+    from quarry.sources.readers import read
+
+    rows = files.where(extension(F.col("path")) == "json").select("path", "content", F.lit("json").alias("reader"))
+    return read(rows, terms).select("path", F.inline("keys"))
 
 
 def solution_projects(content: Column) -> Column:
@@ -143,19 +142,14 @@ def parse_project(content: str | None) -> tuple | None:
 
 def project_rows(files: DataFrame) -> DataFrame:
     """(path, content, *PROJECT) of the files that are projects."""
+    from quarry.sources.readers import read
 
-    class Project:
-        def eval(self, content: str) -> Iterator[tuple]:
-            found = parse_project(content)
-            if found:
-                yield found
-
-    rows = files.where(F.lower("path").endswith(".csproj")).select("path", "content")
-    return rows.lateralJoin(F.udtf(Project, returnType=PROJECT)(F.col("content").outer()))
+    rows = files.where(F.lower("path").endswith(".csproj")).select("path", "content", F.lit("project").alias("reader"))
+    return read(rows).where("project is not null").select("path", "content", "project.*")
 
 
-def project_snippet(name: Column) -> Column:
-    """The labelled lines of a project row."""
+def project_snippet(name: Column, of: str = "") -> Column:
+    """The labelled lines of a project row, whose columns are those of the struct `of` if it is named."""
 
     def line(label: str, value: Column) -> Column:
         return F.when(value.isNotNull(), F.concat(F.lit(label), value, F.lit("\n"))).otherwise(F.lit(""))
@@ -163,11 +157,11 @@ def project_snippet(name: Column) -> Column:
     def block(label: str, items: Column) -> Column:
         return F.when(F.size(items) > 0, F.concat(F.lit(label), F.array_join(F.transform(items, lambda x: F.concat(F.lit("  - "), x, F.lit("\n"))), ""))).otherwise(F.lit(""))
 
-    packages = F.transform("package_references", lambda p: F.concat(p["name"], F.when(p["version"].isNotNull(), F.concat(F.lit(" ("), p["version"], F.lit(")"))).otherwise(F.lit(""))))
-    frameworks = F.when(F.size("target_frameworks") > 0, F.array_join("target_frameworks", ", "))
-    switch = lambda c: F.when(F.col(c), "enable").otherwise("disable")
+    packages = F.transform(of + "package_references", lambda p: F.concat(p["name"], F.when(p["version"].isNotNull(), F.concat(F.lit(" ("), p["version"], F.lit(")"))).otherwise(F.lit(""))))
+    frameworks = F.when(F.size(of + "target_frameworks") > 0, F.array_join(of + "target_frameworks", ", "))
+    switch = lambda c: F.when(F.col(of + c), "enable").otherwise("disable")
     return F.concat(
-        line("Project: ", name), line("SDK: ", F.col("sdk")), line("TargetFrameworks: ", frameworks), line("RootNamespace: ", F.col("root_namespace")), line("AssemblyName: ", F.col("assembly_name")),
-        line("LangVersion: ", F.col("lang_version")), line("Nullable: ", switch("nullable")), line("ImplicitUsings: ", switch("implicit_usings")),
-        block("PackageReferences:\n", packages), block("ProjectReferences:\n", F.col("project_references")),
+        line("Project: ", name), line("SDK: ", F.col(of + "sdk")), line("TargetFrameworks: ", frameworks), line("RootNamespace: ", F.col(of + "root_namespace")), line("AssemblyName: ", F.col(of + "assembly_name")),
+        line("LangVersion: ", F.col(of + "lang_version")), line("Nullable: ", switch("nullable")), line("ImplicitUsings: ", switch("implicit_usings")),
+        block("PackageReferences:\n", packages), block("ProjectReferences:\n", F.col(of + "project_references")),
     )

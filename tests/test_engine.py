@@ -14,7 +14,7 @@ from quarry.operators.search import SearchQuery, nearest, search
 from quarry.operators.store import Store
 from quarry.operators.terms import term_tallies
 from quarry.plans import services
-from quarry.plans.scan import ScanContext, counters, extracted, records
+from quarry.plans.scan import Counters, ScanContext, extracted, records
 from quarry.sources import files as F_
 from quarry.sources.config_files import env_rows, json_keys, parse_project, solution_projects
 from quarry.sources.settings import Settings, SettingsError, load_settings
@@ -73,7 +73,9 @@ def test_scan_rows(spark, tree):
     terms = {json.loads(r["metadata_json"])["match_kind"]: r for r in by["src/Terms.cs", "search_term_match"]}
     assert set(terms) == {"string_literal", "comment", "identifier"} and {json.loads(r["metadata_json"])["hit_count"] for r in terms.values()} == {2}
     assert {r["line_start"] for r in terms.values()} == {2}
-    c = counters(files, rows).first()
+    counting = Counters()
+    assert counting.counted(files, ["MyFlag", "API_KEY"]).count() == rows.count()
+    c = counting.result()
     assert c["redaction_failed"] == 1 and c["records_failed"] == 1 and c["files_scanned"] == len(TREE) - 2 + 1
     made = records(rows, CTX).cache()
     assert made.where("record_type = 'search_term_match'").count() == 1  # one key, the first by order
