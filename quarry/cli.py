@@ -57,13 +57,13 @@ def parser() -> argparse.ArgumentParser:
     s.add_argument("--repo")
     s.add_argument("--path")
     s.add_argument("--branch")
-    s.add_argument("--search", action="append", default=[])
+    s.add_argument("--search", action="extend", nargs="+", default=[])
     s.add_argument("--force", action="store_true")
     a = commands.add_parser("ask", help="search what is indexed")
     a.add_argument("question")
-    a.add_argument("--repo", action="append", default=[])
+    a.add_argument("--repo", action="extend", nargs="+", default=[])
     a.add_argument("--branch")
-    a.add_argument("--record-type", action="append", default=[])
+    a.add_argument("--record-type", action="extend", nargs="+", default=[])
     a.add_argument("--top-k", type=int, default=DEFAULT_K)
     a.add_argument("--min-score", type=float)
     a.add_argument("--format", choices=("text", "json"), default="text")
@@ -79,6 +79,7 @@ def embedder(settings: Settings):
     e = settings.embedding
     if e.endpoint and e.api_key:
         return HttpEmbedder(e.endpoint, e.model, e.dimension, e.api_key, e.model_version)
+    print("no embedding service is set: vectors are hashes of words", file=sys.stderr)
     return HashEmbedder(min(e.dimension, 256))
 
 

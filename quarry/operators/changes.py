@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quarry.schemas import RECORD_KEY
+from quarry.shared import with_positions
 
 
 def insert_if_absent(existing: DataFrame, new: DataFrame, keys: Sequence[str] = RECORD_KEY) -> DataFrame:
@@ -62,3 +63,9 @@ def batch_numbers(position: Column, size: int) -> Column:
     if size <= 0:
         raise ValueError("a batch holds at least one row")
     return F.floor(position / size)
+
+
+def batched(rows: DataFrame, size: int, order: Sequence[str], keys: Sequence[str] = (), out: str = "batch") -> DataFrame:
+    """rows with the number of their batch: `size` rows each, in order, for each of the keys; only a key's last one can be smaller."""
+    position = "__position"
+    return with_positions(rows, order, keys, position).withColumn(out, batch_numbers(F.col(position), size)).drop(position)

@@ -119,6 +119,36 @@ def embed_records(records: DataFrame, embedder: Embedder, batch_size: int = 256,
     return texts.mapInPandas(run, "code_record_id string, embedding_text string, embedding_vector array<float>")
 
 
+def embed_cached(records: DataFrame, embedder: Embedder, folder: str, batch_size: int = 256, retries: int = 5, wait: float = 2.0) -> DataFrame:
+    """`embed_records` by a cache of vectors in the shared folder: each different text is asked for once, ever, for one model and version.
+
+    Texts are named by their SHA-256. Those without a vector are embedded and their vectors written, before any of them is used;
+    what failed is not kept, so a later run asks for it again. A lost task asks again for its own batches only.
+    """
+    spark = records.sparkSession
+    name = F.sha2(F.concat_ws("\u001f", F.lit(embedder.model), F.lit(embedder.version), "text"), 256)
+    texts = records.select("id", embedding_text({c: F.col(c) for c in records.columns}).alias("text")).withColumn("name", name)
+    schema = "name string, vector array<float>"
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    there = path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).exists(path)
+    known = spark.read.schema(schema).parquet(folder) if there else spark.createDataFrame([], schema)
+    new = texts.dropDuplicates(["name"]).join(known.select(F.col("name").alias("__name")), F.col("name") == F.col("__name"), "left_anti").select("name", "text")
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            for part in batches(frame, batch_size):
+                try:
+                    vectors = with_retries(lambda rows=list(part["text"]): embedder.embed(rows), retries, wait)
+                except EmbeddingError:
+                    continue
+                yield pd.DataFrame({"name": part["name"], "vector": vectors})
+
+    new.mapInPandas(run, schema).write.mode("append").parquet(folder)
+    found = spark.read.schema(schema).parquet(folder).dropDuplicates(["name"]).withColumnRenamed("name", "__name")
+    held = texts.join(found, F.col("name") == F.col("__name"), "left")
+    return held.select(F.col("id").alias("code_record_id"), F.col("text").alias("embedding_text"), F.col("vector").alias("embedding_vector"))
+
+
 def embedding_rows(embedded: DataFrame, embedder: Embedder) -> DataFrame:
     """code_embedding rows of what was embedded."""
     rows = embedded.where("embedding_vector is not null")

@@ -57,7 +57,8 @@ def search(records: DataFrame, embeddings: DataFrame, q: SearchQuery) -> DataFra
     """The hits of a query, best first: HIT columns and score.
 
     Predicates are put on each side before the join, so they reach the scans; a record with several embeddings can be
-    several hits, one without any is none. The k best are found as a bounded heap in each task.
+    several hits, one without any is none. Only ids are joined with scores; the k best are found as a bounded heap in each task,
+    and what else a hit shows is fetched for these k, whose ids reach the records as a broadcast.
     """
     left = records if q.include_stale else records.where(~F.col("is_stale"))
     if q.repositories:
@@ -68,5 +69,7 @@ def search(records: DataFrame, embeddings: DataFrame, q: SearchQuery) -> DataFra
         left = left.where(F.col("record_type").isin(*q.record_types))
     right = embeddings if q.include_other_models or not q.model else embeddings.where(F.col("embedding_model") == q.model)
     scored = right.select("code_record_id", cosine(F.col("embedding_vector"), q.vector).alias("s")).where("s is not null")
-    rows = left.select("id", *HIT).join(scored, F.col("id") == F.col("code_record_id"))
-    return nearest(rows, F.col("s"), "id", q.k, q.min_score).orderBy(F.col("score").desc(), "id").select(*HIT, "score")
+    ids = left.select("id").join(scored, F.col("id") == F.col("code_record_id")).select("id", "s")
+    best = nearest(ids, F.col("s"), "id", q.k, q.min_score).select(F.col("id").alias("__id"), "score")
+    hits = left.select("id", *HIT).join(F.broadcast(best), F.col("id") == F.col("__id"))  # k rows
+    return hits.orderBy(F.col("score").desc(), "id").select(*HIT, "score")

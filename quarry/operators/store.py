@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import json
 import uuid
+from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -47,10 +48,17 @@ class Store:
         how[0] = hadoop.Options.Rename.OVERWRITE
         hadoop.FileContext.getFileContext(self._fs.getUri(), sc._jsc.hadoopConfiguration()).rename(temp, path, how)  # in one step
 
-    def table(self, name: str, part: str | None = None) -> DataFrame:
-        """A table's rows, or those of one part of it."""
+    def table(self, name: str, part: str | None = None, repositories: Sequence[str] = (), branch: str | None = None) -> DataFrame:
+        """A table's rows, or those of one part of it, or of some repositories or one branch; files of other parts are not read."""
         ledger = self._ledger(name)
-        folders = [f"{self.root}/{name}/{v}" for k, v in ledger.items() if part is None or k == part]
+
+        def wanted(key: str) -> bool:
+            if part is not None:
+                return key == part
+            repository, _, own = key.partition("\u001f")
+            return (not repositories or repository in repositories) and (not branch or own == branch)
+
+        folders = [f"{self.root}/{name}/{v}" for k, v in ledger.items() if wanted(k)]
         if not folders:
             return self.spark.createDataFrame([], TABLES[name])
         return self.spark.read.schema(TABLES[name]).parquet(*folders)

@@ -10,13 +10,13 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from quarry.functions import classify, text, tokens
 from quarry.functions.redact import redact
-from quarry.operators import changes, search
+from quarry.operators import bloom, changes, search
 from quarry.operators.terms import term_tallies, with_term_hits
 from quarry.operators.vector_index import VectorIndex
+from quarry.shared import shared_folder
 from quarry.sources import config_files
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -498,8 +498,24 @@ def has_completed(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT doc_id, ((row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1) // 16)::BIGINT AS batch FROM documents")
 def batch_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
-    position = F.row_number().over(Window.partitionBy("source").orderBy("doc_id")) - 1
-    return table(spark, sf_dir, "documents").select("doc_id", changes.batch_numbers(position, 16).alias("batch"))
+    return changes.batched(table(spark, sf_dir, "documents").select("doc_id", "source"), 16, ["doc_id"], ["source"]).select("doc_id", "batch")
+
+
+@query(
+    """
+    WITH k AS (SELECT DISTINCT l_orderkey AS a, CASE WHEN l_suppkey % 4 = 0 THEN NULL ELSE l_suppkey END AS b FROM lineitem WHERE l_orderkey % 7 = 0),
+    n AS (SELECT l_orderkey AS a, CASE WHEN l_suppkey % 4 = 0 THEN NULL ELSE l_suppkey END AS b, l_linenumber AS c FROM lineitem)
+    SELECT a, b, c FROM n WHERE NOT EXISTS (SELECT 1 FROM k WHERE k.a = n.a AND k.b = n.b)
+    """
+)
+def insert_by_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows whose key is absent, where a kept Bloom filter says which rows have to be looked for."""
+    b = F.when(F.col("l_suppkey") % 4 != 0, F.col("l_suppkey"))
+    rows = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("a"), b.alias("b"), F.col("l_linenumber").alias("c"))
+    there = rows.where("a % 7 = 0")
+    folder = shared_folder(spark, "filter")
+    bloom.bloom_filter(there, ("a", "b"), 1 << 22).write.parquet(folder)
+    return bloom.insert_if_absent(there, rows, ("a", "b"), spark.read.parquet(folder))
 
 
 @query("SELECT CASE WHEN doc_id % 3 = 0 THEN 'file_summary' ELSE 'method_summary' END AS record_type, count(*) AS n, count(*) FILTER (doc_id % 5 = 0) AS stale FROM documents GROUP BY ALL")

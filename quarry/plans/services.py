@@ -9,7 +9,7 @@ from dataclasses import dataclass, replace
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.operators.embed import EmbeddingError, Embedder, embed_records, embedding_rows
+from quarry.operators.embed import EmbeddingError, Embedder, embed_cached, embedding_rows
 from quarry.operators.search import SearchQuery, search
 from quarry.operators.store import Store
 from quarry.plans.scan import Counters, ScanContext, records
@@ -53,8 +53,8 @@ def scan(store: Store, repo: Repository, embedder: Embedder, settings: Settings
         part = store.part(repo.name, repo.branch)
         pending = store.table("code_record", part).where((F.col("embedding_status") != "embedded") & ~F.col("is_stale"))
         e = settings.embedding
-        # written before anything is counted, so that a lost executor asks for no vector again
-        vectors = store.staged(job, "vectors", embed_records(pending, embedder, e.batch_size, e.max_retries, e.retry_backoff_seconds))
+        # written before anything is counted, so that no text is asked for again
+        vectors = store.staged(job, "vectors", embed_cached(pending, embedder, f"{store.root}/_embedded", e.batch_size, e.max_retries, e.retry_backoff_seconds))
         failed = vectors.where("embedding_vector is null").select(F.col("code_record_id").alias("done_id"))
         made, lost = vectors.where("embedding_vector is not null").count(), failed.count()
         store.add_embeddings(repo.name, repo.branch, embedding_rows(vectors, embedder), failed)
@@ -79,7 +79,7 @@ def ask(store: Store, question: str, embedder: Embedder, query: SearchQuery | No
     if not vectors:
         return None
     q = replace(query or SearchQuery(()), vector=vectors[0], model=embedder.model)
-    records_, embeddings = store.table("code_record"), store.table("code_embedding")
+    records_, embeddings = (store.table(t, repositories=q.repositories, branch=q.branch) for t in ("code_record", "code_embedding"))
     return search(records_, embeddings, q)
 
 

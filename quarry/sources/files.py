@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import os
 import re
 from collections.abc import Callable, Sequence
@@ -13,9 +14,7 @@ from pyspark.sql import functions as F
 
 from quarry.functions.classify import IGNORED, file_kind, is_ignored
 from quarry.functions.text import slashes
-
-FILES = "path string, length bigint, content string"
-
+from quarry.sources.tree import FILES, SCHEMES, TreeSource
 
 def _hidden(fs, base: str, hadoop_path, ignore: Sequence[str], max_bytes: int) -> list[tuple[str, int]]:
     """(path, length) of files that Spark's readers leave out: those whose name, or a folder's on the way, starts with . or _."""
@@ -49,14 +48,18 @@ def scan_files(spark: SparkSession, root: str, ignore: Sequence[str] = IGNORED,
     """(path, length, content) of the files below root that aren't ignored and have max_kb * 1024 bytes at most.
 
     Paths are relative with forward slashes. Sizes are compared while files are listed, and ignored paths are left out before
-    any content is decoded. Text is UTF-8, a byte order mark is dropped, and a file that isn't UTF-8 has null content.
-    A missing root gives no rows. Names that start with . or _, which Spark's readers leave out, are listed by their file system.
+    any content is read. Text is UTF-8, a byte order mark is dropped, and a file that isn't UTF-8 has null content.
+    A missing root gives no rows. Names that start with . or _ are files like others. Trees are read by the source of `tree`;
+    those on stores that only Spark can open by Spark's binary reader, and hidden names there by their file system.
     """
     hadoop_path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
     fs = hadoop_path(root).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    base = fs.makeQualified(hadoop_path(root)).toString().rstrip("/")
+    if base.partition(":")[0] in SCHEMES:
+        spark.dataSource.register(TreeSource)
+        return spark.read.format(TreeSource.name()).option("path", base).option("ignore", json.dumps(list(ignore))).option("maxBytes", str(max_kb * 1024)).load()
     if not fs.exists(hadoop_path(root)):
         return spark.createDataFrame([], FILES)
-    base = fs.makeQualified(hadoop_path(root)).toString().rstrip("/")
     raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("ignoreMissingFiles", "true").load(root)
     found = raw.where(F.col("length") <= max_kb * 1024).select("path", "length", "content")
     hidden = _hidden(fs, base, hadoop_path, ignore, max_kb * 1024)
