@@ -3,8 +3,8 @@
 The network is trained in numpy on labelled spans: those the patterns find in a bounded sample of windows, and written
 variants placed into such windows. When texts are scored it reads every character of every line: a line is one window, or
 windows of WINDOW characters that overlap by OVERLAP, more than the longest span that it is trained on. Each window is
-decoded by Viterbi; windows that are equal are decoded once, and where a bound shows that no span can win, the tags are
-outside without it. A decoded span is widened to the ends of the words that it cuts, and weighs its log odds against no span
+decoded by Viterbi; windows that are equal are decoded once, and its backward half is left out where the forward half shows
+that no span wins. A decoded span is widened to the ends of the words that it cuts, and weighs its log odds against no span
 there. Of all windows' spans the set without overlaps that has the largest total weight over the whole text is taken. Spans that
 touch a pattern's span, or that `plausible` vetoes, are left out.
 """
@@ -37,6 +37,8 @@ DOCUMENTS, WINDOWS_EACH, WRITTEN = 400, 3, 4500
 EPOCHS, BATCH = 12, 40
 #: Added to the log odds that a span begins, as what can't be of its kind is left out afterwards.
 LEAN = 2.5
+#: The score of a step that can't be.
+BARRED = -1e4
 #: Characters, padding too, that are decoded at once; the fewest that a span has (a@b.c).
 AT_ONCE, LEAST = 1 << 19, 5
 #: How far a decoded span is widened to the ends of its words.
@@ -178,53 +180,68 @@ class Tagger:
         return both @ self.p["o"] + self.p["c"], both
 
     def fast_emissions(self, x: np.ndarray) -> np.ndarray:
-        """The emissions of codes x (rows, time), as (TAGS, time, rows). Gates are tanh with the halves put into the weights."""
+        """The emissions of codes x (rows, time), as (TAGS, time, rows).
+
+        Each gate is an array of its own. A gate's sigmoid is half of 1 + tanh(z / 2): the inner halves are put into the weights, and
+        the outer ones into twice the cell and twice the state, which are what is kept here.
+        """
         n, length = x.shape
-        h, kind, at = HIDDEN, self.p["o"].dtype, np.ascontiguousarray(x.T)
+        h, kind, at = HIDDEN, self.p["o"].dtype, np.ascontiguousarray(x.T, np.int64)
         out = np.empty((length * n, h), kind)
         e = np.repeat(self.p["c"][:, None], length * n, axis=1)
+        half = np.array([0.5, 0.5, 0.5, 1.0], kind)[:, None, None]
         for k, way in enumerate("fb"):
-            table, u = self.p["x" + way].copy(), self.p["u" + way].copy()
-            table[:, : 3 * h] *= 0.5
-            u[:, : 3 * h] *= 0.5
+            table = np.ascontiguousarray(self.p["x" + way].reshape(-1, 4, h).transpose(1, 0, 2)) * half
+            u = np.ascontiguousarray(self.p["u" + way].reshape(h, 4, h).transpose(1, 0, 2)) * half * kind.type(0.5)
             state, cell, wide = np.zeros((n, h), kind), np.zeros((n, h), kind), np.empty((n, h), kind)
-            z, looked = np.empty((n, 4 * h), kind), np.empty((n, 4 * h), kind)
+            z, looked = np.empty((4, n, h), kind), np.empty((4, n, h), kind)
+            gates, (into, keep, show), new = z[:3], z[:3], z[3]
             for t in range(length) if way == "f" else range(length - 1, -1, -1):
                 np.matmul(state, u, out=z)
-                np.take(table, at[t], axis=0, out=looked, mode="clip")
+                np.take(table, at[t], axis=1, out=looked, mode="clip")
                 z += looked
                 np.tanh(z, out=z)
-                gates = z[:, : 3 * h]
-                gates *= 0.5
-                gates += 0.5
-                cell *= gates[:, h : 2 * h]
-                cell += gates[:, :h] * z[:, 3 * h :]
-                np.tanh(cell, out=wide)
-                np.multiply(wide, gates[:, 2 * h :], out=state)
+                gates += 1
+                cell *= keep
+                cell *= 0.5
+                new *= into
+                cell += new
+                np.multiply(cell, 0.5, out=wide)
+                np.tanh(wide, out=wide)
+                np.multiply(wide, show, out=state)
                 out[t * n : (t + 1) * n] = state
-            e += self.p["o"][k * h : (k + 1) * h].T @ out.T
+            e += (self.p["o"][k * h : (k + 1) * h].T * kind.type(0.5)) @ out.T
         return e.reshape(TAGS, length, n)
 
     def leaning(self) -> tuple[np.ndarray, np.ndarray]:
-        """Scores of the steps between tags and of the first tag, with LEAN."""
-        trans, start = self.p["t"].copy(), self.p["s"].copy()
-        trans[0, 1::2] += LEAN
-        start[1::2] += LEAN
+        """Scores of the steps between tags and of the first tag, with LEAN. A span begins with its kind's first tag, after
+        outside or at the start, goes on with its kind's second one, and ends before outside; other steps are barred."""
+        trans, start = np.full_like(self.p["t"], BARRED), np.full_like(self.p["s"], BARRED)
+        start[0], start[1::2] = self.p["s"][0], self.p["s"][1::2] + LEAN
+        trans[:, 0], trans[0, 1::2] = self.p["t"][:, 0], self.p["t"][0, 1::2] + LEAN
+        begin = np.arange(1, TAGS, 2)
+        trans[begin, begin + 1], trans[begin + 1, begin + 1] = self.p["t"][begin, begin + 1], self.p["t"][begin + 1, begin + 1]
         return trans, start
 
-    def can_win(self, e: np.ndarray) -> np.ndarray:
-        """Which rows of emissions (TAGS, time, rows) may have a best path other than outside all along: no segment of other tags
-        gains anything in the others, even with the best tag at each place and the best steps of all."""
+    def beats_outside(self, e: np.ndarray) -> np.ndarray:
+        """Which rows of emissions (TAGS, time, rows) have a path that scores above outside all along: the forward half of
+        Viterbi, in scores less those of outside."""
         trans, start = self.leaning()
-        gain = e[1:].max(axis=0) - e[0]
-        first, enter, inside, leave = start[1:].max() - start[0], *(x.max() - trans[0, 0] for x in (trans[0, 1:], trans[1:, 1:], trans[1:, 0]))
-        v = first + gain[0]
-        best = v + leave
-        for g in gain[1:]:
-            np.maximum(v + inside, enter, out=v)
-            v += g
-            np.maximum(best, v + leave, out=best)
-        return np.maximum(best, v) > -1e-3
+        begin = np.arange(1, TAGS, 2)
+        enter, on, more = (x[:, None] - trans[0, 0] for x in (trans[0, begin], trans[begin, begin + 1], trans[begin + 1, begin + 1]))
+        short, leave = (x[:, None] - trans[0, 0] for x in (trans[begin, 0], trans[begin + 1, 0]))
+        first, rest = e[1::2] - e[0], e[2::2] - e[0]
+        out = np.zeros(e.shape[2], e.dtype)
+        one, two = first[:, 0] + (start[begin] - start[0])[:, None], np.full_like(first[:, 0], BARRED)
+        for t in range(1, e.shape[1]):
+            best = np.maximum((one + short).max(axis=0), (two + leave).max(axis=0))
+            two += more
+            np.maximum(two, one + on, out=two)
+            two += rest[:, t]
+            one = out + enter
+            one += first[:, t]
+            out = np.maximum(out, best)
+        return np.maximum(out, np.maximum(one, two).max(axis=0)) > 0
 
     def viterbi(self, e: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Best tags (rows, time) for emissions (time, rows, TAGS), and how much each place adds to the log odds of its tag against
@@ -249,7 +266,7 @@ class Tagger:
     def decode(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(rows, tags, margins) of `viterbi` for the rows of codes x (rows, time) whose best path is not outside all along."""
         e = self.fast_emissions(x)
-        rows = np.flatnonzero(self.can_win(e))
+        rows = np.flatnonzero(self.beats_outside(e))
         tags, margin = self.viterbi(e[:, :, rows].transpose(1, 2, 0))
         some = tags.any(axis=1)
         return rows[some], tags[some], margin[some]
