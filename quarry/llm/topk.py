@@ -12,9 +12,8 @@ from quarry.llm.common import cut
 
 #: Rows of a block of candidates and of queries. A task holds one of each.
 CANDIDATES, QUERIES = 8192, 8192
-#: How deep a query's longest walk along a list goes at first, what it is multiplied by, and the share of a block's rows that
-#: walks may read; beyond it the rest is scored at once. Queries whose scores are made at once.
-FIRST_DEPTH, DEEPER, WALK, AT_ONCE = 4, 4, 0.25, 256
+#: How deep a query's longest walk along a list goes at first, and what it is multiplied by; queries that walk together.
+FIRST_DEPTH, DEEPER, AT_ONCE = 16, 4, 256
 EXACT = float(1 << 53)
 LONG = (1 << 63) - 1
 
@@ -37,12 +36,12 @@ def threshold_topk(ids: np.ndarray, rows: np.ndarray, query_ids: np.ndarray, que
 
     Each dimension has one sorted list, which a query reads from the end where it finds its largest products: the upper end
     where it is positive, the lower end where it is negative. It goes down all lists at once, in each as deep as its
-    component is large against its largest one, and scores the rows that it meets in full. No row still unseen can score
-    above the sum of the products with the lists' next values, so the query is closed when that sum is below its kth
-    score, or its floor (an equal sum keeps it open, for ties). Each round goes DEEPER times as deep, until WALK times the
-    block's rows are read. What the sum will be there can be told from the lists beforehand: where that is not below the
-    best score met so far, as in many dimensions of like size, going on would cost more than it saves, and the query
-    scores the block's rows at once.
+    component is large against its largest one. No row still unseen can score above the sum of the products with the lists'
+    next values, so the query is closed when that sum is below its kth score, or its floor (an equal sum keeps it open, for
+    ties), or when one list is read to its end. Each round goes DEEPER times as deep.
+
+    AT_ONCE queries walk together: in a round each marks the rows that it meets for the first time, what any of them has met is
+    scored in one product, and each query takes the scores of its own rows. Only rows that a query has met are ever among its best.
     """
     n, d = rows.shape
     best: list[Best] = [(np.zeros(0, np.int64), np.zeros(0, object))] * len(queries)
@@ -54,52 +53,50 @@ def threshold_topk(ids: np.ndarray, rows: np.ndarray, query_ids: np.ndarray, que
     rows, queries = rows.astype(kind), queries.astype(kind)
     low = np.full(len(queries), -np.inf, kind) if floors is None else np.asarray(floors).astype(kind)
 
-    def meet(q: int, some: np.ndarray, scores: np.ndarray) -> None:
-        keep = np.flatnonzero((ids[some] != query_ids[q]) & (scores >= low[q]))
-        if len(keep):
-            best[q] = _best(np.concatenate([best[q][0], ids[some[keep]]]), np.concatenate([best[q][1].astype(kind), scores[keep]]), k)
+    def take(q: int, some: np.ndarray, scores: np.ndarray) -> None:
+        best[q] = _best(np.concatenate([best[q][0], ids[some]]), np.concatenate([best[q][1].astype(kind), scores]), k)
         if len(best[q][0]) >= k:
             low[q] = max(low[q], best[q][1][k - 1])
 
     order = np.argsort(rows, axis=0, kind="stable")
-    lists = np.take_along_axis(rows, order, axis=0)
+    lists, order = np.take_along_axis(rows, order, axis=0), np.ascontiguousarray(order.T)
     size = np.abs(queries).astype(np.float64)
-    share = size / np.maximum(size.max(axis=1, initial=0), 1e-300)[:, None]
-    depth = np.zeros(queries.shape, np.int64)
-    seen: dict[int, np.ndarray] = {}
-    open_, whole, high = np.arange(len(queries)), [], FIRST_DEPTH
+    size[size.max(axis=1, initial=0) == 0] = 1.0  # a zero query meets all rows
+    share = size / size.max(axis=1, initial=0, keepdims=True) if d else np.ones((len(queries), 0))
+    upper = (queries > 0).astype(bool)
 
-    def unseen(some: np.ndarray, depth: np.ndarray) -> np.ndarray:
+    def unseen(some: np.ndarray, ends: np.ndarray) -> np.ndarray:
         """The sum of the lists' next values at these depths, for some queries."""
-        place = np.where(queries[some] > 0, n - 1 - depth, depth)
+        place = np.where(upper[some], n - 1 - ends, ends).clip(0, n - 1)
         return (queries[some] * lists[place, np.arange(d)]).sum(axis=1)
 
-    last = np.minimum(share * (WALK * n / np.maximum(share.sum(axis=1), 1e-300))[:, None], n - 1).astype(np.int64)
-    at_last = unseen(open_, last)
-    while len(open_):
-        open_ = open_[unseen(open_, depth[open_]) >= low[open_]]
-        deeper = np.ceil(high * share[open_]).astype(np.int64)
-        walks = (deeper.sum(axis=1) <= WALK * n) & (deeper.max(axis=1, initial=0) < n) & (deeper > depth[open_]).any(axis=1)
-        walks &= np.array([q not in seen or len(best[q][0]) < k or at_last[q] < best[q][1][0] for q in open_.tolist()], bool)
-        whole += open_[~walks].tolist()
-        open_, deeper = open_[walks], deeper[walks]
-        for q, ends in zip(open_.tolist(), deeper, strict=True):
-            parts = [order[n - b : n - a, j] if queries[q, j] > 0 else order[a:b, j] for j, (a, b) in enumerate(zip(depth[q].tolist(), ends.tolist(), strict=True)) if a < b]
-            known = seen.get(q, np.zeros(0, np.int64))
-            new = np.setdiff1d(np.concatenate(parts), known)
-            seen[q] = np.concatenate([known, new])
-            depth[q] = ends
-            meet(q, new, rows[new] @ queries[q])
-            scored[q] += len(new)
-        high *= DEEPER
-    for i in range(0, len(whole), AT_ONCE):
-        some = whole[i : i + AT_ONCE]
-        scores = queries[some] @ rows.T
-        for q, s in zip(some, scores, strict=True):
-            best[q] = best[q][0][:0], best[q][1][:0]  # what it has met is met again
-            fit = np.flatnonzero(s >= low[q])
-            meet(q, fit, s[fit])
-            scored[q] = n
+    for first in range(0, len(queries), AT_ONCE):
+        open_ = np.arange(first, min(first + AT_ONCE, len(queries)))
+        seen, depth, high = np.zeros((len(open_), n), bool), np.zeros((len(open_), d), np.int64), FIRST_DEPTH
+        open_ = open_[(unseen(open_, depth) >= low[open_]).astype(bool)]
+        while len(open_):
+            ends = np.minimum(np.ceil(high * share[open_]), n).astype(np.int64)
+            mine = open_ - first
+            new = np.zeros((len(open_), n), bool)
+            if not d:
+                new[:] = True
+            for row, q, starts, stops in zip(new, open_.tolist(), depth[mine].tolist(), ends.tolist(), strict=True):
+                for j, (a, b) in enumerate(zip(starts, stops, strict=True)):
+                    if a < b:
+                        row[order[j, n - b : n - a] if upper[q, j] else order[j, a:b]] = True
+            new &= ~seen[mine]
+            seen[mine] |= new
+            scored[open_] += new.sum(axis=1)
+            met = np.flatnonzero(new.any(axis=0))
+            scores = queries[open_] @ rows[met].T
+            fit = new[:, met] & (scores >= low[open_][:, None]).astype(bool) & (ids[met] != query_ids[open_][:, None])
+            for q, f, s in zip(open_.tolist(), fit, scores, strict=True):
+                some = np.flatnonzero(f)
+                if len(some):
+                    take(q, met[some], s[some])
+            depth[mine] = ends
+            high *= DEEPER
+            open_ = open_[(unseen(open_, ends) >= low[open_]).astype(bool) & (ends.max(axis=1, initial=0 if d else n) < n)]
     return best, scored
 
 
