@@ -20,11 +20,11 @@ import regex
 from pyspark.sql import DataFrame
 
 from quarry.llm import textscan
-from quarry.llm.common import others, uncollected
+from quarry.llm.common import Recent, others, uncollected
 
 NEVER = 1 << 62
-#: Words whose ids a Python worker remembers at once; beyond that it starts over, which costs time only.
-MEMORY = 300_000
+#: Words whose ids a Python worker remembers, in each of two generations.
+MEMORY = 200_000
 #: Text with none of these characters needs no Unicode normal form, and its classes are as old as every Unicode table.
 UNUSUAL = regex.compile(r"[^\x00-\x1b\x20-ɏ]")
 #: The split patterns of byte-level vocabularies (as the vocabulary files' pre-tokenizers use them).
@@ -100,19 +100,6 @@ def merge(symbols: list[str], ranks: dict[tuple[str, str], int]) -> list[str]:
     return [s for s in symbols if s]
 
 
-class Memory(dict):
-    """What a word makes, remembered."""
-
-    def __init__(self, make, most: int = MEMORY):
-        self.make, self.most = make, most
-
-    def __missing__(self, word):
-        if len(self) >= self.most:
-            self.clear()
-        self[word] = value = self.make(word)
-        return value
-
-
 class Bpe:
     """A vocabulary file's BPE. Known are: byte-level letters, an end-of-word suffix, the normalizer sequence of
     NFC, white space and lower case, and decoders none and byte-level; others raise ValueError."""
@@ -149,8 +136,8 @@ class Bpe:
         self.letters = byte_letters()
         self.bytes_of = {c: b for b, c in enumerate(self.letters)}
         self.path, self._library = path, None
-        self.ids = Memory(self._ids)  # word -> its ids as bytes
-        self.spelled = Memory(self._spelled)  # word -> its tokens, joined by spaces
+        self.ids = Recent(self._ids, MEMORY)  # word -> its ids as bytes
+        self.spelled = Recent(self._spelled, MEMORY)  # word -> its tokens, joined by spaces
 
     def _tokens(self, word: str) -> list[str]:
         letters = self.letters

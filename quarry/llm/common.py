@@ -111,3 +111,21 @@ def small_side(df: DataFrame, rows: int = 10_000, chars: int = 1_000_000) -> Dat
     strings = [F.coalesce(F.length(c), F.lit(0)) for c, t in df.dtypes if t == "string"]
     measured = df.agg(F.count(F.lit(1)).alias("n"), F.sum(sum(strings, F.lit(0)).cast("long")).alias("c")).first()
     return F.broadcast(df) if measured["n"] <= rows and (measured["c"] or 0) <= chars else df
+
+
+class Recent(dict):
+    """What a key makes, remembered in two generations: when the newer one is full it becomes the older one, and what is
+    asked for again moves on. So frequent keys are never forgotten, and the cost of a miss does not grow with the input."""
+
+    def __init__(self, make, most: int):
+        self.make, self.most, self.older = make, most, {}
+
+    def __missing__(self, key):
+        value = self.older.get(key)
+        if value is None:
+            value = self.make(key)
+        if len(self) >= self.most:
+            self.older = dict(self)
+            self.clear()
+        self[key] = value
+        return value

@@ -5,9 +5,7 @@ being the number of different words. A document's score is the mean over its wor
 background's, in nats: the lower, the more like the target. Counts come from every word of every document; when a
 document is scored, its own are taken off first, so that no document is held against itself.
 
-`scores` counts words, contexts and pairs under their full 64-bit hashes, in a shuffled table that grows with the corpus.
-`fit` and `score` have models of a fixed size instead: words are hashed to WORDS buckets (which is their V) and pairs to
-PAIRS, so they suit small corpora only. No query uses them.
+Words, contexts and pairs are counted under their full 64-bit hashes, in a shuffled table that grows with the corpus.
 """
 
 from __future__ import annotations
@@ -24,7 +22,6 @@ from pyspark.sql import functions as F
 from quarry.llm import textscan
 from quarry.llm.common import cut, others
 
-WORDS, PAIRS = 1 << 18, 1 << 20
 STRENGTH, ADDED = 8.0, 0.1
 OUT = ("n_words", "target_loss", "background_loss", "lm_score")
 
@@ -45,15 +42,6 @@ def grams(column: pa.Array) -> tuple[tuple[np.ndarray, np.ndarray, np.ndarray],
     return (hashes, before, pair), bounds
 
 
-def buckets(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """For all words of the texts: the word's bucket, the bucket of the word before (WORDS at a text's start), the pair's; and n + 1 bounds."""
-    (hashes, before, pair), bounds = grams(column)
-    word = (hashes & np.uint64(WORDS - 1)).astype(np.int64)
-    context = (before & np.uint64(WORDS - 1)).astype(np.int64)
-    context[bounds[:-1][np.diff(bounds) > 0]] = WORDS
-    return word, context, (pair & np.uint64(PAIRS - 1)).astype(np.int64), bounds
-
-
 def losses(counts: list[np.ndarray], off: list[np.ndarray], words: np.ndarray, total: float, vocabulary: int) -> np.ndarray:
     """Losses from counts of words, contexts and pairs after `off` of each, and `words` of the total, are taken off."""
     word, context, pair = (np.maximum(c - o, 0) for c, o in zip(counts, off, strict=True))
@@ -61,87 +49,12 @@ def losses(counts: list[np.ndarray], off: list[np.ndarray], words: np.ndarray, t
     return np.log(context + STRENGTH) - np.log(pair + STRENGTH * share)
 
 
-def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(text, is_target) as sums by bucket; buckets of words, contexts and pairs follow each other."""
-    sizes = (WORDS, WORDS + 1, PAIRS)
-    total = np.zeros((2, sum(sizes)), np.int64)
-    for whole in batches:
-        for batch in textscan.pieces(whole, 0):
-            *found, bounds = buckets(batch.column(0))
-            target = np.repeat(np.asarray(batch.column(1).fill_null(False)), np.diff(bounds))
-            low = 0
-            for f, size in zip(found, sizes, strict=True):
-                total[0, low : low + size] += np.bincount(f[target], minlength=size)
-                total[1, low : low + size] += np.bincount(f, minlength=size)
-                low += size
-    at = np.flatnonzero(total[1])
-    yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(total[0, at]), pa.array(total[1, at])], names=["bucket", "target", "background"])
-
-
-class Model:
-    """Counts of words, contexts and pairs."""
-
-    def __init__(self, counts: np.ndarray):
-        self.counts = counts.astype(np.float32)
-        self.all = float(counts[:WORDS].sum(dtype=np.float64))
-
-    def losses(self, found: list[np.ndarray], off: list[np.ndarray], words: np.ndarray) -> np.ndarray:
-        """Losses of words, contexts and pairs after `off` counts of each, and `words` of all, are taken off."""
-        return losses([self.counts[low + f] for low, f in zip((0, WORDS, 2 * WORDS + 1), found, strict=True)], off, words, self.all, WORDS)
-
-
-def own_counts(bucket: np.ndarray, text: np.ndarray, size: int = PAIRS * 2) -> np.ndarray:
+def own_counts(bucket: np.ndarray, text: np.ndarray, size: int) -> np.ndarray:
     """How often each place's bucket, a number below `size`, occurs in its own text."""
     _, where, times = np.unique(text * np.int64(size) + bucket, return_inverse=True, return_counts=True)
     return times[where].astype(np.float64)
 
 
-def fit(docs: DataFrame, is_target: Column) -> tuple[Model, Model]:
-    """The target model, of docs (text, ...) where is_target holds, and the background model, of all docs.
-
-    Each task adds up its counts first; what is shuffled grows with the number of tasks, and the models have WORDS and
-    PAIRS buckets at any size of the corpus.
-    """
-    rows = docs.select("text", is_target.alias("is_target"))
-    sums = rows.mapInArrow(_count, "bucket int, target bigint, background bigint").groupBy("bucket").agg(F.sum("target").alias("t"), F.sum("background").alias("b"))
-    found = sums.select("bucket", F.col("t").cast("double").alias("t"), F.col("b").cast("double").alias("b")).toArrow()  # one row a bucket at most
-    counts = np.zeros((2, 2 * WORDS + 1 + PAIRS))
-    at = found["bucket"].to_numpy()
-    counts[0, at], counts[1, at] = found["t"].to_numpy(), found["b"].to_numpy()
-    return Model(counts[0]), Model(counts[1])
-
-
-def score(docs: DataFrame, is_target: Column, target: Model, background: Model) -> DataFrame:
-    """docs (text, ...) without text, with n_words, both models' mean losses and lm_score, their difference.
-
-    Null and blank texts have no words and null losses. Rows stay where they are; other columns pass through.
-    """
-    kept = others(docs, OUT)
-    rows = docs.select(*kept, F.coalesce(is_target, F.lit(False)).alias("__target"))
-    at = kept.index("text")
-    shared = docs.sparkSession.sparkContext.broadcast((target, background))  # of a fixed size
-
-    def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        models = shared.value
-        for whole in batches:
-            for batch in textscan.pieces(whole, at):
-                *found, bounds = buckets(batch.column(at))
-                n = np.diff(bounds)
-                text = np.repeat(np.arange(len(n)), n)
-                off, size = [own_counts(f, text) for f in found], n[text]
-                mine = np.asarray(batch.column(len(kept)))[text]
-                means = []
-                for model, part in zip(models, (mine, True), strict=True):
-                    run = np.concatenate([[0.0], np.cumsum(model.losses(found, [o * part for o in off], size * part))])
-                    means.append((run[bounds[1:]] - run[bounds[:-1]]) / np.maximum(n, 1))
-                values = [pa.array(v, mask=n == 0) for v in (*means, means[0] - means[1])]
-                rest = [batch.column(i) for i in range(len(kept)) if i != at]
-                yield pa.RecordBatch.from_arrays([*rest, pa.array(n), *values], names=[*(x for x in kept if x != "text"), *OUT])
-
-    names = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields if f.name not in ("text", "__target"))
-    return rows.mapInArrow(scored, f"{names}, n_words bigint, target_loss double, background_loss double, lm_score double")
-
-
 def _packed(*rows: np.ndarray) -> bytes:
     """Rows of 64-bit integers, of one length: byte by byte of their places, compressed."""
     flat = np.stack(rows).view(np.uint8).reshape(len(rows), -1, 8).transpose(0, 2, 1).tobytes()

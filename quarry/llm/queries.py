@@ -11,6 +11,7 @@ from quarry.llm import common
 
 
 def op9_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A mix of all sources by weight. Null texts have no words and are not taken; a null source is a source."""
     from quarry.llm.mixing import pareto_mix
 
     docs = common.read_table(spark, sf_dir, "documents").select("doc_id", "text", "source")
@@ -18,6 +19,7 @@ def op9_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_shard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Forty shards of near equal bytes. Equal texts go together as far as sizes allow; null texts have a size of 16."""
     from quarry.llm.sharding import shard_documents
 
     docs = common.read_table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -25,12 +27,14 @@ def op8_shard(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of every text and its edited text. Null texts are empty; the next document is the one with the next smaller doc_id."""
     from quarry.llm.fingerprint import fingerprints
 
     return fingerprints(common.read_table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
 def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids and decoded text of every document. Null texts are empty and have no ids."""
     import public_tokenizers
 
     from quarry.llm.bpe import digests
@@ -39,6 +43,7 @@ def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token files of all documents in the order of doc_id, written and read back. Null texts have the end id alone."""
     import public_tokenizers
 
     from quarry.llm import tokenfiles
@@ -48,12 +53,14 @@ def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 best of all rows for each vec_id divisible by 20. Vectors with null or non-finite components take no part."""
     from quarry.llm.topk import topk
 
     return topk(common.read_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
 
 
 def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The quality score of every text. Held out of learning are rows whose id's CRC-32 has the remainder 1; a null doc_id is not held out. Null and empty texts have the model's prior."""
     from quarry.llm import quality
 
     docs = common.read_table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -62,12 +69,14 @@ def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links of 0.8 over shingles of two words. Texts without words link with nothing; rows of one doc_id and text are one document."""
     from quarry.llm.neardup import near_duplicates
 
     return near_duplicates(common.read_table(spark, sf_dir, "documents").select("doc_id", "text"), width=2).select("doc_id", "n_shingles", "component_id", "kept")
 
 
 def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data in every text: base spans by pattern, and the spans that the tagger, trained on a sample of these texts, adds."""
     from quarry.llm import pii
 
     docs = common.read_table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -133,6 +142,7 @@ def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stages of corpus_pipeline over documents: token ids of what they keep."""
     import corpus_pipeline
 
     return corpus_pipeline.run(spark, sf_dir)

@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from quarry.llm.bpe import BYTE_LEVEL, UNUSUAL, byte_letters, usual
-from quarry.llm.common import cut, shared_dir, uncollected
+from quarry.llm.common import Recent, cut, shared_dir, uncollected
 
 #: Ids of documents that are read at once, words in a generation of a process's memory, and texts that it gets at once.
 PART_IDS, KNOWN, TEXTS = 1 << 22, 250_000, 500
@@ -35,24 +35,6 @@ def store(folder: str) -> tuple[pafs.FileSystem, str]:
     return pafs.LocalFileSystem(), folder
 
 
-class Recent(dict):
-    """What a key makes, remembered in two generations: when the newer one is full it becomes the older one, and what is
-    asked for again moves on. So frequent keys are never forgotten, and the cost of a miss does not grow with the input."""
-
-    def __init__(self, make, most: int):
-        self.make, self.most, self.older = make, most, {}
-
-    def __missing__(self, key):
-        value = self.older.get(key)
-        if value is None:
-            value = self.make(key)
-        if len(self) >= self.most:
-            self.older = dict(self)
-            self.clear()
-        self[key] = value
-        return value
-
-
 class Encoder:
     """The library's encode(text, add_special_tokens=False), a word at a time: words met lately are not encoded again.
 
