@@ -6,13 +6,14 @@ import argparse
 import json
 import sys
 from collections.abc import Sequence
+from functools import partial
 
 from quarry.operators.embed import HashEmbedder, HttpEmbedder
 from quarry.operators.search import DEFAULT_K, HIT, SearchQuery
 from quarry.operators.store import Store
 from quarry.plans.services import ScanResult, ask, scan, session
 from quarry.schemas import RECORD_TYPES
-from quarry.sources.files import load
+from quarry.sources.files import clone_folder, git_clone, load
 from quarry.sources.settings import Settings, SettingsError, load_settings
 
 #: Exit codes: done, bad usage, failed.
@@ -104,7 +105,8 @@ def main(argv: Sequence[str] | None = None) -> int:
     try:
         store = Store(session(), root)
         if args.command == "scan":
-            print(scan_summary(scan(store, load(args.path, args.repo, args.branch), embedder(settings), settings, args.search, args.force)))
+            clone = partial(git_clone, folder=clone_folder(store.spark)) if args.repo else git_clone
+            print(scan_summary(scan(store, load(args.path, args.repo, args.branch, clone), embedder(settings), settings, args.search, args.force)))
             return OK
         q = SearchQuery((), None, args.repo, args.branch, args.record_type, args.top_k, args.min_score, args.include_stale, args.include_other_models)
         found = ask(store, args.question, embedder(settings), q)

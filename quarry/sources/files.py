@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from quarry.functions.classify import IGNORED, file_kind, is_ignored
 from quarry.functions.text import slashes
+from quarry.shared import shared_folder
 from quarry.sources.tree import FILES, SCHEMES, TreeSource
 
 def _hidden(fs, base: str, hadoop_path, ignore: Sequence[str], max_bytes: int) -> list[tuple[str, int]]:
@@ -131,21 +132,33 @@ def load_url(url: str, clone: Clone, branch: str | None = None) -> Repository:
     return Repository(here.path, repository_name(url), here.branch, here.commit_sha, url)
 
 
-def git_clone(url: str, branch: str | None) -> str:
-    """Clones with the git command; a token in GIT_TOKEN is used for addresses other than git@."""
+def git_clone(url: str, branch: str | None, folder: str | None = None) -> str:
+    """Clones with the git command into a new folder, below `folder` if it is given; on a cluster that must be one that all executors
+    mount (`clone_folder`). A token in GIT_TOKEN answers git's question for one, so it stands in no command line and no file."""
     import subprocess
     import tempfile
-    from urllib.parse import quote, urlsplit
-
-    to = tempfile.mkdtemp(prefix="quarry-clone-")
-    token = os.environ.get("GIT_TOKEN")
-    if token and not url.startswith("git@"):
-        parts = urlsplit(url)
-        url = f"{parts.scheme}://{quote(os.environ.get('GIT_USERNAME') or 'git')}:{quote(token)}@{parts.netloc}{parts.path}"
-    subprocess.run(["git", "clone", "--quiet", *(["--branch", branch] if branch else []), "--", url, to], check=True)
+
+    to = tempfile.mkdtemp(prefix="clone-", dir=folder)
+    helper = []
+    if os.environ.get("GIT_TOKEN") and not url.startswith("git@"):
+        helper = ["-c", "credential.helper=", "-c", 'credential.helper=!f() { test "$1" = get && printf "username=%s\\npassword=%s\\n" "${GIT_USERNAME:-git}" "$GIT_TOKEN"; }; f']
+    env = {**os.environ, "GIT_TERMINAL_PROMPT": "0"}
+    subprocess.run(["git", *helper, "clone", "--quiet", *(["--branch", branch] if branch else []), "--", url, to], check=True, env=env)
     return to
 
 
+def clone_folder(spark: SparkSession) -> str:
+    """A new local folder for clones that the executors see too: one below spark.checkpoint.dir, which must be mounted. In local
+    mode any will do."""
+    at = shared_folder(spark, "clones")
+    scheme, _, path = at.partition(":")
+    if scheme != "file":
+        raise ValueError("clones need a spark.checkpoint.dir that is mounted on the driver and all executors (file:)")
+    path = "/" + path.lstrip("/")
+    os.makedirs(path, exist_ok=True)
+    return path
+
+
 def load(path: str | None = None, url: str | None = None, branch: str | None = None, clone: Clone = git_clone) -> Repository:
     if path:
         return load_path(path, branch)

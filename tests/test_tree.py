@@ -55,3 +55,32 @@ def test_many_folders_are_few_tasks(tmp_path):
         (tmp_path / f"d{i}" / "f.cs").write_text("x")
     parts = tree.TreeReader({"path": str(tmp_path)}).partitions()
     assert len(parts) == 4 and sum(len(p.parts) for p in parts) == 200
+
+
+def test_clones(spark, tmp_path, monkeypatch):
+    import shutil
+    import subprocess
+
+    from quarry.sources.files import clone_folder, git_clone, load_url
+
+    if not shutil.which("git"):
+        pytest.skip("no git here")
+    origin = tmp_path / "svc.git"
+    origin.mkdir()
+    run = lambda *a: subprocess.run(["git", "-c", "user.name=x", "-c", "user.email=x@example.com", *a], cwd=origin, check=True, capture_output=True)
+    run("init", "-q", "-b", "dev")
+    (origin / "A.cs").write_text("class A {}")
+    run("add", ".")
+    run("commit", "-q", "-m", "one")
+    seen = []
+    monkeypatch.setenv("GIT_TOKEN", "s3cret/with:marks")
+    real = subprocess.run
+    monkeypatch.setattr(subprocess, "run", lambda args, **kw: (seen.append(args), real(args, **kw))[1])
+    folder = clone_folder(spark)
+    repo = load_url(str(origin), lambda url, branch: git_clone(url, branch, folder), "dev")
+    assert (repo.name, repo.branch) == ("svc", "dev") and len(repo.commit_sha) == 40 and repo.path.startswith(folder)
+    assert not any("s3cret" in x for args in seen for x in args)
+    assert [r["path"] for r in scan_files(spark, repo.path).collect()] == ["A.cs"]
+    helper = next(x for args in seen for x in args if x.startswith("credential.helper=!"))
+    answer = real(["sh", "-c", helper.removeprefix("credential.helper=!") + " get"], capture_output=True, text=True, check=True).stdout
+    assert answer == "username=git\npassword=s3cret/with:marks\n"
