@@ -10,6 +10,7 @@ from __future__ import annotations
 import json
 import uuid
 from collections.abc import Sequence
+from urllib.parse import quote
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -78,6 +79,15 @@ class Store:
     def unstage(self, job: str) -> None:
         self._fs.delete(self._path(f"{self.root}/_staged/{job}"), True)
 
+    def name_index(self, model: str, folder: str) -> None:
+        """Notes the folder of a model's vector index."""
+        row = self.spark.createDataFrame([(model, folder)], "model string, folder string")
+        row.write.mode("overwrite").parquet(f"{self.root}/_index/named/{quote(model, safe='')}")
+
+    def named_index(self, model: str) -> str | None:
+        path = f"{self.root}/_index/named/{quote(model, safe='')}"
+        return self.spark.read.schema("model string, folder string").parquet(path).first()["folder"] if self._fs.exists(self._path(path)) else None
+
     @staticmethod
     def part(repository: str, branch: str) -> str:
         return f"{repository}\u001f{branch}"

@@ -6,6 +6,7 @@ repository and lang for the branch; paths, identifiers and secrets are put toget
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -13,7 +14,7 @@ from pyspark.sql import functions as F
 
 from quarry.functions import classify, text, tokens
 from quarry.functions.redact import redact
-from quarry.operators import bloom, changes, search
+from quarry.operators import bloom, changes, embed, search
 from quarry.operators.terms import term_tallies, with_term_hits
 from quarry.operators.vector_index import VectorIndex
 from quarry.shared import shared_folder
@@ -134,6 +135,56 @@ def vector_index_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
     return index.lists().agg(F.count(F.lit(1)).alias("indexed")).join(F.broadcast(counts)).select("indexed", "queries", F.lit(reached).alias("recall_reached"))
 
 
+@query(
+    _HITS
+    + """
+    SELECT repository_name, branch, file_path, record_type, round(s, 6) AS score FROM r JOIN e ON id = vec_id
+    WHERE NOT is_stale AND model = 'm1' AND branch = 'de' AND record_type = 'file_summary' ORDER BY s DESC, id LIMIT 25
+    """
+)
+def indexed_search_of_few(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A search by the index that asks for so few records that the exact search has to give the hits."""
+    r, e = _records(spark, sf_dir)
+    e = e.withColumn("id", F.col("code_record_id").cast("string"))
+    index = VectorIndex.build(e.where("embedding_model = 'm1'").select(search.index_key(F.col("id")).alias("key"), "embedding_vector"), "key", "embedding_vector")
+    q = search.SearchQuery(_question(table(spark, sf_dir, "embeddings")), "m1", branch="de", record_types=["file_summary"], k=25)
+    return search.indexed_search(r, e, index, q, over=2).select("repository_name", "branch", "file_path", "record_type", F.round("score", 6).alias("score"))
+
+
+class _Lengths:
+    """An embedding service that answers with each text's length and lines, and fails the first time that it is asked."""
+
+    asked = 0
+
+    def __call__(self, request) -> bytes:
+        self.asked += 1
+        if self.asked == 1:
+            raise OSError("busy")
+        texts = json.loads(request.data)["input"]
+        return json.dumps({"data": [{"index": i, "embedding": [float(len(t)), float(t.count(chr(10)) + 1)]} for i, t in reversed(list(enumerate(texts)))]}).encode()
+
+
+@query(
+    """
+    WITH d AS (SELECT doc_id, text, 'Repository: r' || chr(10) || 'Branch: main' || chr(10) || 'Commit: abc1234' || chr(10) || 'File: ' || doc_id || '.cs:1-9' || chr(10) || 'Language: csharp' || chr(10)
+        || 'Record Type: class_summary' || chr(10) || 'Symbol: Plain' || chr(10) || 'Summary: x' || chr(10) || 'Tokens: Plain ' || doc_id || chr(10) || 'Code Snippet:' || chr(10) || 'class Plain ' || lang AS t FROM documents)
+    SELECT doc_id, length(t)::DOUBLE AS chars, (len(string_split(t, chr(10))))::DOUBLE AS rows, 'm' AS model, 2 AS dimension FROM d
+    """
+)
+def embedded_over_http(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Vectors of records from a service over HTTP, in batches, with a retry, each beside its record."""
+    none = F.lit(None).cast("string")
+    values = {
+        "id": F.col("doc_id").cast("string"), "repository_name": F.lit("r"), "branch": F.lit("main"), "commit_sha": F.lit("abc1234"), "file_path": F.concat(F.col("doc_id").cast("string"), F.lit(".cs")), "line_start": F.lit(1), "line_end": F.lit(9),
+        "record_type": F.lit("class_summary"), "namespace": none, "class_name": none, "method_name": none, "symbol_name": F.lit("Plain"), "summary": F.lit("x"), "code_snippet": F.concat(F.lit("class Plain "), F.col("lang")),
+    }
+    records = table(spark, sf_dir, "documents").select(*[c.alias(n) for n, c in values.items()])
+    service = embed.HttpEmbedder("http://service", "m", 2, "key", send=_Lengths())
+    rows = embed.embedding_rows(embed.embed_records(records, service, batch_size=64, retries=1, wait=0.0), service)
+    v = F.col("embedding_vector")
+    return rows.select(F.col("code_record_id").cast("long").alias("doc_id"), v[0].cast("double").alias("chars"), v[1].cast("double").alias("rows"), F.col("embedding_model").alias("model"), F.col("embedding_dimension").alias("dimension"))
+
+
 @query(
     """
     WITH v AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import time
+import uuid
 from collections.abc import Sequence
 from dataclasses import dataclass, replace
 
@@ -10,8 +11,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarry.operators.embed import EmbeddingError, Embedder, embed_cached, embedding_rows
-from quarry.operators.search import SearchQuery, search
+from quarry.operators.search import SearchQuery, index_key, indexed_search, search
 from quarry.operators.store import Store
+from quarry.operators.vector_index import VectorIndex
 from quarry.plans.scan import Counters, ScanContext, records
 from quarry.sources.files import Repository, scan_files
 from quarry.sources.settings import Settings
@@ -68,8 +70,23 @@ def scan(store: Store, repo: Repository, embedder: Embedder, settings: Settings
     )
 
 
-def ask(store: Store, question: str, embedder: Embedder, query: SearchQuery | None = None) -> DataFrame | None:
-    """Hits for a question, best first; None if it can't be embedded. `query` holds the other restrictions."""
+def build_index(store: Store, model: str, recall: float = 0.95) -> VectorIndex:
+    """A vector index of all embeddings of a model, kept in the store; `store_index` opens it again."""
+    rows = store.table("code_embedding").where(F.col("embedding_model") == model).select(index_key(F.col("id")).alias("key"), "embedding_vector")
+    index = VectorIndex.build(rows, "key", "embedding_vector", f"{store.root}/_index/{uuid.uuid4().hex}", recall=recall)
+    store.name_index(model, index.folder)
+    return index
+
+
+def store_index(store: Store, model: str) -> VectorIndex | None:
+    """The index that was last built for a model, if any."""
+    folder = store.named_index(model)
+    return VectorIndex.open(store.spark, folder) if folder else None
+
+
+def ask(store: Store, question: str, embedder: Embedder, query: SearchQuery | None = None, index: VectorIndex | None = None) -> DataFrame | None:
+    """Hits for a question, best first; None if it can't be embedded. `query` holds the other restrictions. With an index few vectors are
+    read; rows that were stored after it was built are not in it."""
     if not question or not question.strip():
         raise ValueError("a question is needed")
     try:
@@ -80,6 +97,8 @@ def ask(store: Store, question: str, embedder: Embedder, query: SearchQuery | No
         return None
     q = replace(query or SearchQuery(()), vector=vectors[0], model=embedder.model)
     records_, embeddings = (store.table(t, repositories=q.repositories, branch=q.branch) for t in ("code_record", "code_embedding"))
+    if index is not None and not q.include_other_models:
+        return indexed_search(records_, embeddings, index, q)
     return search(records_, embeddings, q)
 
 

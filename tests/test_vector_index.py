@@ -117,3 +117,35 @@ def test_codes_stand_for_vectors():
     near = (points[:5] @ centres[cells].T) + sum(q.tables(points[:5])[:, j, :][:, codes[:, j]] for j in range(codes.shape[1]))
     assert np.allclose(near, points[:5] @ made.T, atol=1e-4)
     assert json.loads(json.dumps(centres.tolist()))
+
+
+def test_searches_by_an_index(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    from quarry.operators.embed import HashEmbedder
+    from quarry.operators.search import SearchQuery, index_key, indexed_search, search
+    from quarry.operators.store import Store
+    from quarry.plans import services
+
+    data = rows(400, 8, seed=5)
+    vectors = spark.createDataFrame([(f"e{i}", f"r{i}", "m" if i % 2 else "other", v) for i, v in data], "id string, code_record_id string, embedding_model string, embedding_vector array<float>")
+    columns = "id string, repository_name string, branch string, commit_sha string, file_path string, line_start int, line_end int, symbol_name string, record_type string, summary string, code_snippet string, is_stale boolean"
+    records = spark.createDataFrame([(f"r{i}", f"repo{i % 3}", "main", "c", f"{i}.cs", 1, 1, "s", "file_summary", "x", "code", i % 10 == 0) for i, _ in data], columns)
+    index = VectorIndex.build(vectors.where("embedding_model = 'm'").select(index_key(F.col("id")).alias("key"), "embedding_vector"), "key", "embedding_vector", recall=1.0)
+    show = lambda df: [(r["file_path"], round(r["score"], 9)) for r in df.collect()]
+    for q in (SearchQuery(data[7][1], "m", k=5), SearchQuery(data[8][1], "m", ["repo1"], k=4), SearchQuery(data[9][1], "m", ["repo2"], "main", ["file_summary"], k=3, min_score=0.9), SearchQuery(data[3][1], "m", ["none"], k=3), SearchQuery(data[3][1], "m", k=300)):
+        assert show(indexed_search(records, vectors, index, q)) == show(search(records, vectors, q))
+    text = indexed_search(records, vectors, index, SearchQuery(data[7][1], "m", k=5))._jdf.queryExecution().optimizedPlan().toString()
+    assert "zip_with" not in text.split("InMemoryRelation")[0]  # no vector is scored but those of the index
+    # kept in a store, and opened again
+    store, e, tree = Store(spark, str(tmp_path / "store")), HashEmbedder(), tmp_path / "tree"
+    tree.mkdir()
+    for i in range(6):
+        (tree / f"A{i}.cs").write_text(f"namespace N; class Klass{i} {{ void Method{i}() {{ }} void Other{i}() {{ }} }}")
+    services.scan(store, services.Repository(str(tree), "tree", "main", "abc"), e)
+    assert services.store_index(store, e.model) is None
+    built = services.build_index(store, e.model, recall=1.0)
+    opened = services.store_index(store, e.model)
+    assert opened.folder == built.folder and opened.lists().count() == store.table("code_embedding").count()
+    by = services.ask(store, "class Klass3", e, SearchQuery((), k=4), opened).collect()
+    assert [(h["symbol_name"], round(h["score"], 9)) for h in by] == [(h["symbol_name"], round(h["score"], 9)) for h in services.ask(store, "class Klass3", e, SearchQuery((), k=4)).collect()]
