@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from quarry.functions import classify, text, tokens
 from quarry.functions.redact import redact
 from quarry.operators import bloom, changes, embed, search
+from quarry.operators.store import Store
 from quarry.operators.terms import term_tallies, with_term_hits
 from quarry.operators.vector_index import VectorIndex
 from quarry.shared import shared_folder
@@ -569,6 +570,67 @@ def insert_by_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bloom.insert_if_absent(there, rows, ("a", "b"), spark.read.parquet(folder))
 
 
+@query(
+    _HITS
+    + """
+    SELECT repository_name, branch, '0000000' AS commit_sha, file_path, 1 AS line_start, 1 AS line_end, NULL::VARCHAR AS symbol_name, record_type, '' AS summary, '' AS code_snippet, round(s, 6) AS score
+    FROM r JOIN e ON id = vec_id WHERE NOT is_stale AND model = 'm2' ORDER BY s DESC, id LIMIT 15
+    """
+)
+def hit_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All that a hit shows; a record without a symbol is a hit like others."""
+    r, e = _records(spark, sf_dir)
+    return search.search(r, e, search.SearchQuery(_question(table(spark, sf_dir, "embeddings")), "m2", k=15)).withColumn("score", F.round("score", 6))
+
+
+@query("SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN 'no_match' WHEN doc_id % 3 = 1 THEN 'no_match' ELSE 'redacted' END AS status, CASE WHEN doc_id % 3 = 2 THEN 'token=«REDACTED»' ELSE '' END AS safe FROM documents")
+def redact_nothing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Null and empty snippets have nothing to redact."""
+    m = F.col("doc_id") % 3
+    r = redact(F.when(m == 1, F.lit("")).when(m == 2, F.concat(F.lit("token="), F.col("doc_id").cast("string"))))
+    return table(spark, sf_dir, "documents").select("doc_id", r.alias("r")).select("doc_id", F.col("r.status").alias("status"), F.col("r.text").alias("safe"))
+
+
+@query("SELECT doc_id, (length(text) - length(replace(text, chr(10), '')) + 1)::INT AS rows FROM documents WHERE text IS NOT NULL")
+def line_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").where("text is not null").select("doc_id", text.line_count(F.col("text")).cast("int").alias("rows"))
+
+
+@query(
+    """
+    SELECT count(*) FILTER (doc_id % 2 = 0) AS first, count(*) FILTER (doc_id % 3 = 0 AND (doc_id % 2 = 1 OR doc_id % 4 = 0)) AS second, count(*) FILTER (doc_id % 2 = 0 AND NOT (doc_id % 3 = 0 AND doc_id % 4 <> 0)) AS stale,
+           count(*) FILTER (doc_id % 3 = 0) AS fresh, 2::BIGINT AS jobs, 1::BIGINT AS repositories, true AS completed, 0::BIGINT AS migrations FROM documents
+    """
+)
+def stored_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two scans into a store: what each inserts, what the second leaves stale, and the jobs. A record without a symbol equals none, so
+    it is new each time."""
+    store = Store(spark, shared_folder(spark, "store"))
+    store.migrate()
+    d, none = table(spark, sf_dir, "documents"), F.lit(None).cast("string")
+    key = F.col("doc_id").cast("string")
+
+    def scanned(job: str, repository: str, only: str) -> DataFrame:
+        values = {
+            "id": F.concat(F.lit(job), key), "repository_id": F.lit(repository), "scan_job_id": F.lit(job), "repository_name": F.lit("docs"), "branch": F.lit("main"), "commit_sha": F.lit("c"), "file_path": F.concat(F.lit("src/"), key), "line_start": F.lit(1),
+            "line_end": F.lit(1), "record_type": F.lit("file_summary"), "symbol_name": F.when(F.col("doc_id") % 4 != 0, F.concat(F.lit("S"), key)), "symbol_kind": F.lit("File"), "namespace": none, "class_name": none, "method_name": none, "summary": F.lit(""),
+            "code_snippet": F.lit(""), "metadata_json": F.lit("{}"), "is_test_code": F.lit(False), "is_generated_code": F.lit(False), "is_stale": F.lit(False), "embedding_status": F.lit("pending"), "created_at": F.current_timestamp(), "updated_at": F.current_timestamp(),
+        }
+        return d.where(only).select(*[c.alias(n) for n, c in values.items()])
+
+    inserted = []
+    for only in ("doc_id % 2 = 0", "doc_id % 3 = 0"):
+        repository = store.upsert_repository("docs", "main", "c")
+        job = store.start_job(repository, "main", "c")
+        inserted.append(store.add_records("docs", "main", scanned(job, repository, only)))
+        store.finish_job(job, "completed", inserted[-1])
+    done, again = store.has_completed(repository, "main", "c") and store.repository("docs")["id"] == repository, len(store.migrate())
+    jobs = store.table("scan_job").where("status = 'completed' and completed_at is not null").count()
+    counts = store.table("code_record").agg(F.count_if("is_stale").alias("stale"), F.count_if(~F.col("is_stale")).alias("fresh"))
+    known = {"jobs": jobs, "repositories": store.table("repository").count(), "completed": done, "migrations": again, "first": inserted[0], "second": inserted[1]}
+    return counts.select("stale", "fresh", *[F.lit(v).cast("boolean" if n == "completed" else "long").alias(n) for n, v in known.items()])
+
+
 @query("SELECT CASE WHEN doc_id % 3 = 0 THEN 'file_summary' ELSE 'method_summary' END AS record_type, count(*) AS n, count(*) FILTER (doc_id % 5 = 0) AS stale FROM documents GROUP BY ALL")
 def records_by_type(spark: SparkSession, sf_dir: str) -> DataFrame:
     r, _ = _records(spark, sf_dir)

@@ -82,6 +82,19 @@ def test_ask_reads_the_parts_it_needs(spark, tmp_path):
     assert services.ask(stores, "x", e, SearchQuery((), repositories=["none"])).count() == 0
 
 
+def test_partitions_are_pruned_by_repository_and_branch(spark, tmp_path):
+    hit = ("commit_sha", "file_path", "symbol_name", "record_type", "summary", "code_snippet")
+    records = spark.range(60).select(
+        F.col("id").cast("string").alias("id"), (F.col("id") % 3).cast("string").alias("repository_name"), F.when(F.col("id") % 2 == 0, "main").otherwise("dev").alias("branch"), *[F.lit("x").alias(c) for c in hit], F.lit(1).alias("line_start"), F.lit(1).alias("line_end"), F.lit(False).alias("is_stale")
+    )
+    records.write.partitionBy("repository_name", "branch").parquet(f"{tmp_path}/r")
+    vectors = spark.range(60).select(F.col("id").cast("string").alias("code_record_id"), F.lit("m").alias("embedding_model"), F.array(F.col("id").cast("float"), F.lit(1.0).cast("float")).alias("embedding_vector"))
+    found = search(spark.read.option("recursiveFileLookup", "false").parquet(f"{tmp_path}/r"), vectors, SearchQuery([1.0, 0.0], "m", ["1"], "dev", k=3))
+    filters = re.findall(r"PartitionFilters: \[(.*?)\], PushedFilters", plan(found))
+    assert filters and all("repository_name" in f and "branch" in f for f in filters)
+    assert {(r["repository_name"], r["branch"]) for r in found.collect()} == {("1", "dev")}
+
+
 def test_several_values_an_option():
     args = cli.parser().parse_args(["ask", "why", "--repo", "a", "b", "--record-type", "file_summary", "class_summary", "--repo", "c"])
     assert args.repo == ["a", "b", "c"] and args.record_type == ["file_summary", "class_summary"]
