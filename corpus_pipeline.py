@@ -22,7 +22,9 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     """Documents that the classifier accepts; it learns from labels outside the held-out third. Null and empty texts have the
     model's prior; rows without a doc_id and repeated rows are judged by their text like others."""
     model = quality.fit(docs, read_table(spark, sf_dir, "labels"), ~quality.held_out())
-    return quality.score(docs, model).where("predicted = 1").select(docs.columns)
+    own = {c: f"own_{i}" for i, c in enumerate(docs.columns) if c not in ("doc_id", "text")}  # none is named like a result
+    kept = quality.score(docs.withColumnsRenamed(own), model).where("predicted = 1")
+    return kept.select(*[F.col(own.get(c, c)).alias(c) for c in docs.columns])
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
