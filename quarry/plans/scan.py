@@ -57,10 +57,9 @@ def _items(files: DataFrame, terms: Sequence[str]) -> DataFrame:
     configuration = plain & (F.col("kind") == "configuration")
     reader = F.when(end == "csproj", "project").when(configuration & (end == "json"), "json").when(plain & ~configuration & (end == "cs"), "csharp")
     held = read(files.select("path", "content", "kind", reader.alias("reader")), terms)
-    shown = F.filter(F.lit(list(terms)), lambda t: text.contains(t)) if terms else F.array().cast("array<string>")
     csharp = F.col("reader") == "csharp"
     held = held.select(
-        "path", line_count(text).alias("loc"), (F.col("kind") == "test").alias("in_test"), F.when(csharp, test_framework(text)).alias("framework"), F.when(csharp, shown).alias("term_hits"), "project", "keys", "symbols",
+        "path", line_count(text).alias("loc"), (F.col("kind") == "test").alias("in_test"), F.when(csharp, test_framework(text)).alias("framework"), "term_hits", "project", "keys", "symbols",
         F.when(F.lower("path").endswith(".sln"), solution_projects(text)).alias("solution"), F.when(configuration & (end == "env"), env_keys(text, terms)).alias("env"),
         F.transform("hits", lambda h: F.struct(*[h[n] for n in ("ordinal", "term", "first_line", "words", "docs", "names")], around_line(text, h["first_line"]).alias("snippet"))).alias("hits"),
     )

@@ -36,6 +36,13 @@ def broadcast_if_small(df: DataFrame, rows: int = 100_000, chars: int = 4_000_00
     return F.broadcast(df) if measured["n"] <= rows and (measured["c"] or 0) <= chars else df
 
 
+def spread(df: DataFrame, rows: int = 2_000) -> DataFrame:
+    """df dealt evenly to tasks of about so many rows, for work that is long beside the row's own size: a narrow table of millions of
+    rows is a few splits of a file, so that without this a few tasks would do it all. Tasks grow in number as the table does."""
+    parts = -(-df.count() // rows)
+    return df.repartition(parts) if parts > 1 else df
+
+
 def with_positions(df: DataFrame, order: Sequence[str], keys: Sequence[str] = (), out: str = "position") -> DataFrame:
     """df with `out`: the row's place from 0 among the rows of the same keys, by `order` (nulls first), without gaps.
 

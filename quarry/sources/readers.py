@@ -16,7 +16,7 @@ from quarry.sources.config_files import CONFIG, PROJECT, json_keys, parse_projec
 
 SYMBOLS = f"array<struct<{EXTRACTED}, namespaces array<string>, types array<string>, unread boolean>>"
 KEYS = f"array<struct<ordinal int, {CONFIG}>>"
-FOUND = {"symbols": SYMBOLS, "keys": KEYS, "project": f"struct<{PROJECT}>", "hits": HITS}
+FOUND = {"symbols": SYMBOLS, "keys": KEYS, "project": f"struct<{PROJECT}>", "hits": HITS, "term_hits": "array<string>"}
 
 
 def _names(kind: str) -> list[str]:
@@ -24,6 +24,18 @@ def _names(kind: str) -> list[str]:
     return [f.name for f in (parsed.elementType if isinstance(parsed, T.ArrayType) else parsed).fields]
 
 
+def _lists(lists: list[list[tuple] | None], kind: pa.ListType) -> pa.ListArray:
+    """Lists of tuples as lists of structs, made column by column."""
+    at, ends = 0, [0]
+    for rows in lists:
+        at += len(rows or ())
+        ends.append(at)
+    fields = list(kind.value_type)
+    columns = zip(*(row for rows in lists if rows for row in rows), strict=True) if at else [()] * len(fields)
+    held = pa.StructArray.from_arrays([pa.array(c, f.type) for c, f in zip(columns, fields, strict=True)], fields=fields)
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), held, type=kind, mask=pa.array([rows is None for rows in lists], pa.bool_()))
+
+
 def csharp_symbols(path: str, content: str) -> list[tuple]:
     """The file's own row and those of its symbols."""
     from quarry.sources.csharp import extract, metadata_json
@@ -40,12 +52,12 @@ def csharp_symbols(path: str, content: str) -> list[tuple]:
 
 
 def read(files: DataFrame, terms: Sequence[str] = ()) -> DataFrame:
-    """files (path, content, reader, more columns) with symbols, keys, project and hits; reader is csharp, json or project, for others all
-    four are null. Each text reaches Python once, in Arrow batches, and the plan is the same for any terms."""
+    """files (path, content, reader, more columns) with symbols, keys, project, hits and term_hits (the terms that stand in the text as they are); reader is
+    csharp, json or project, for others all are null. Each text reaches Python once, in Arrow batches, and the plan is the same for any terms."""
     spark = files.sparkSession
     shared = spark.sparkContext.broadcast(list(terms))
     at = [files.columns.index(c) for c in ("path", "content", "reader")]
-    names, kinds = {k: _names(v) for k, v in FOUND.items()}, {k: to_arrow_type(T.DataType.fromDDL(v)) for k, v in FOUND.items()}
+    names, kinds = {k: _names(v) for k, v in FOUND.items() if "struct" in v}, {k: to_arrow_type(T.DataType.fromDDL(v)) for k, v in FOUND.items()}
 
     def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         terms_, matcher = tuple(shared.value), TermMatcher(shared.value)
@@ -54,8 +66,8 @@ def read(files: DataFrame, terms: Sequence[str] = ()) -> DataFrame:
             for path, content, reader in zip(*(batch.column(i).to_pylist() for i in at), strict=True):
                 text, got = content or "", dict.fromkeys(FOUND)
                 if reader == "csharp":
-                    got["symbols"] = [dict(zip(names["symbols"], row, strict=True)) for row in csharp_symbols(path, text)]
-                    got["hits"] = matcher.hits(text)
+                    got["symbols"] = csharp_symbols(path, text)
+                    got["hits"], got["term_hits"] = matcher.hits(text), [t for t in terms_ if t in text]
                 elif reader == "json":
                     keys = json_keys(text, "appsettings" in (path or "").lower(), terms_)
                     got["keys"] = [dict(zip(names["keys"], (i, "json", key, value, False, place, 1, 1), strict=True)) for i, (key, value, place) in enumerate(keys)]
@@ -64,7 +76,8 @@ def read(files: DataFrame, terms: Sequence[str] = ()) -> DataFrame:
                     got["project"]["package_references"] = [{"name": n, "version": v} for n, v in project[7]]
                 for k, v in got.items():
                     made[k].append(v)
-            yield pa.RecordBatch.from_arrays([*batch.columns, *(pa.array(made[k], kinds[k]) for k in FOUND)], names=[*batch.schema.names, *FOUND])
+            columns = [_lists(made[k], kinds[k]) if k == "symbols" else pa.array(made[k], kinds[k]) for k in FOUND]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *columns], names=[*batch.schema.names, *FOUND])
 
     own = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in files.schema.fields)
     return files.mapInArrow(found, f"{own}, " + ", ".join(f"{k} {v}" for k, v in FOUND.items()))
