@@ -18,7 +18,7 @@ from quarry.operators import bloom, changes, embed, search
 from quarry.operators.store import Store
 from quarry.operators.terms import term_tallies, with_term_hits
 from quarry.operators.vector_index import VectorIndex
-from quarry.shared import shared_folder
+from quarry.shared import shared_folder, spread
 from quarry.sources import config_files
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -476,7 +476,7 @@ def csharp_methods(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit("namespace Acme;\nclass C"), F.col("c_custkey").cast("string"),
         F.lit('\n{\n  public void Run(int x)\n  {\n    if (x > 0 && x < 9) Log($"a {x} // not a comment");\n    new Logger(x).Save(); /* if */\n  }\n}\n'),
     )
-    files = table(spark, sf_dir, "customer").select(F.concat(F.lit("src/"), F.col("c_custkey").cast("string"), F.lit(".cs")).alias("path"), body.alias("content"), F.lit("production").alias("kind"))
+    files = spread(table(spark, sf_dir, "customer").select("c_custkey")).select(F.concat(F.lit("src/"), F.col("c_custkey").cast("string"), F.lit(".cs")).alias("path"), body.alias("content"), F.lit("production").alias("kind"))
     rows = csharp_rows(files, []).where("record_type = 'method_summary'")
     data = F.from_json("metadata_json", "cyclomatic_complexity int, calls array<string>, instantiates array<string>")
     return rows.select(
