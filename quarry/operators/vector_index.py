@@ -26,6 +26,8 @@ SAMPLE, ROUNDS = 50_000, 12
 CELLS, SUBSPACES, VALUES = 4096, 16, 256
 #: Queries, of the indexed vectors, that `probes` and `rerank` are set by, and codes of a list that a task holds at once.
 CALIBRATED, BLOCK = 200, 16_384
+#: Queries whose scores a task holds at once.
+ASKED = 256
 
 
 def kmeans(points: np.ndarray, k: int, seed: int) -> np.ndarray:
@@ -219,10 +221,14 @@ class VectorIndex:
         lists = self.lists().where(F.col("cell").isin(wanted))
         sizes = lists.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks")).withColumnRenamed("cell", "c")  # CELLS rows at most
         sizes = F.broadcast(sizes)
-        codes = lists.join(sizes, F.col("cell") == F.col("c")).select("cell", F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int").alias("block"), "key", "code")
+        every = probes == len(self.quantisers.centres) and rerank >= self.lists().count()  # then codes can leave nothing out, and vectors are scored at once
+        codes = lists.join(sizes, F.col("cell") == F.col("c")).select("cell", F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int").alias("block"), "key", "vector" if every else "code")
         meets = probing.join(sizes, F.col("cell") == F.col("c")).withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("cell", "block", "query_id", "asked")
-        found = meets.groupBy("cell", "block").cogroup(codes.groupBy("cell", "block")).applyInPandas(_scored(shared, rerank), "query_id bigint, cell int, key bigint, near double")
+        scores = _scored_exactly(k) if every else _scored(shared, rerank)
+        found = meets.groupBy("cell", "block").cogroup(codes.groupBy("cell", "block")).applyInPandas(scores, "query_id bigint, cell int, key bigint, near double")
         best = Window.partitionBy("query_id").orderBy(F.col("near").desc(), "key")
+        if every:
+            return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "key", F.col("near").alias("score"))
         near = found.withColumn("n", F.row_number().over(best)).where(F.col("n") <= rerank).select("query_id", F.col("cell").alias("c"), F.col("key").alias("k"))
         near = broadcast_if_small(near.join(asked.withColumnRenamed("query_id", "q"), F.col("query_id") == F.col("q")).drop("q").persist(), rows=20_000)
         score = total(F.zip_with("vector", "asked", lambda a, b: a * b))
@@ -289,6 +295,27 @@ def _best(ids: np.ndarray, keys: np.ndarray, scores: np.ndarray, k: int, cells:
     return pd.DataFrame(dict(zip(("query_id", "cell", "key", "near"), parts, strict=True)))
 
 
+def _scored_exactly(k: int) -> Callable[[pd.DataFrame, pd.DataFrame], pd.DataFrame]:
+    """The k best of one block of a list for the queries, by the vectors. Products are added component by component, so that equal
+    vectors have equal scores."""
+
+    def scored(queries: pd.DataFrame, rows: pd.DataFrame) -> pd.DataFrame:
+        out = [pd.DataFrame({"query_id": pd.array([], "int64"), "cell": pd.array([], "int32"), "key": pd.array([], "int64"), "near": pd.array([], "float64")})]
+        if len(queries) and len(rows):
+            keys, vectors = rows["key"].to_numpy(), np.ascontiguousarray(_matrix(rows["vector"]).T)
+            cells = np.full(len(keys), int(queries["cell"].iloc[0]), np.int32)
+            for i in range(0, len(queries), ASKED):
+                part = queries.iloc[i : i + ASKED]
+                unit = _matrix(part["asked"])
+                scores = np.zeros((len(part), len(keys)))
+                for j, component in enumerate(vectors):
+                    scores += unit[:, j, None] * component
+                out.append(_best(part["query_id"].to_numpy(), keys, scores, k, cells))
+        return pd.concat(out[1:] or out)
+
+    return scored
+
+
 def _scored(shared, rerank: int) -> Callable[[pd.DataFrame, pd.DataFrame], pd.DataFrame]:
     """Scores of the codes of one block of a list for the queries that probe it."""
 
@@ -300,8 +327,8 @@ def _scored(shared, rerank: int) -> Callable[[pd.DataFrame, pd.DataFrame], pd.Da
         cell, keys = int(queries["cell"].iloc[0]), codes["key"].to_numpy()
         code = np.frombuffer(b"".join(codes["code"]), np.uint8).reshape(len(codes), -1)
         out = []
-        for i in range(0, len(queries), 256):
-            part = queries.iloc[i : i + 256]
+        for i in range(0, len(queries), ASKED):
+            part = queries.iloc[i : i + ASKED]
             unit = _matrix(part["asked"])
             tables = q.tables(unit)
             scores = np.repeat((unit @ q.centres[cell])[:, None].astype(np.float32), len(codes), axis=1)
