@@ -245,7 +245,7 @@ class VectorIndex:
             ids, unit = shared.value
             for f in frames:
                 if len(f) and len(ids):
-                    yield _best(ids, f["key"].to_numpy(), unit @ _matrix(f["vector"]).T, k, f["cell"].to_numpy())
+                    yield from _blocks(ids, unit, f["key"].to_numpy(), _matrix(f["vector"]).T, k, f["cell"].to_numpy())
 
         found = self.lists().select("key", "vector", "cell").mapInPandas(scored, "query_id bigint, cell int, key bigint, near double")
         top = Window.partitionBy("query_id").orderBy(F.col("near").desc(), "key")
@@ -295,6 +295,12 @@ def _best(ids: np.ndarray, keys: np.ndarray, scores: np.ndarray, k: int, cells:
     return pd.DataFrame(dict(zip(("query_id", "cell", "key", "near"), parts, strict=True)))
 
 
+def _blocks(ids: np.ndarray, unit: np.ndarray, keys: np.ndarray, vectors: np.ndarray, k: int, cells: np.ndarray) -> Iterator[pd.DataFrame]:
+    """`_best` of the vectors (d, keys) for all queries, with the scores of ASKED of them at once, however many there are."""
+    for i in range(0, len(ids), ASKED):
+        yield _best(ids[i : i + ASKED], keys, unit[i : i + ASKED] @ vectors, k, cells)
+
+
 def _scored_exactly(k: int) -> Callable[[pd.DataFrame, pd.DataFrame], pd.DataFrame]:
     """The k best of one block of a list for the queries, by the vectors. Products are added component by component, so that equal
     vectors have equal scores."""

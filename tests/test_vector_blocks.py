@@ -18,3 +18,12 @@ def test_an_exhaustive_search_passes_on_k_rows_a_block():
     assert len(got) == 300 * 3
     assert got[got["query_id"] == 7].sort_values(["near", "key"], ascending=[False, True])["key"].tolist() == [7, 400, 401]
     assert len(vector_index._scored_exactly(3)(queries.iloc[:0], held)) == 0 and len(vector_index._scored_exactly(3)(queries, held.iloc[:0])) == 0
+
+
+def test_ground_truth_holds_the_scores_of_a_few_queries(monkeypatch):
+    rng, shapes, best = np.random.default_rng(4), [], vector_index._best
+    monkeypatch.setattr(vector_index, "_best", lambda ids, keys, scores, k, cells: shapes.append(scores.shape) or best(ids, keys, scores, k, cells))
+    asked, rows = rng.normal(size=(700, 4)), rng.normal(size=(50, 4))
+    got = pd.concat(vector_index._blocks(np.arange(700), asked, np.arange(50), rows.T, 2, np.zeros(50, np.int32)))
+    assert max(s[0] for s in shapes) <= vector_index.ASKED and sum(s[0] for s in shapes) == 700
+    assert got.groupby("query_id")["near"].max().tolist() == (asked @ rows.T).max(axis=1).tolist() or np.allclose(got.groupby("query_id")["near"].max(), (asked @ rows.T).max(axis=1))
