@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Collection, Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Observation
@@ -50,13 +50,13 @@ def _item(section: int, ordinal: Column, **held: Column) -> Column:
     return F.struct(F.lit(section).alias("section"), ordinal.cast("int").alias("ordinal"), *[held.get(n, F.lit(None)).cast(t).alias(n) for n, t in _ITEM.items()])
 
 
-def _items(files: DataFrame, terms: Sequence[str]) -> DataFrame:
+def _items(files: DataFrame, terms: Sequence[str], kinds: Collection[str] | None = None) -> DataFrame:
     """(path, loc, in_test, framework, term_hits, section, ordinal, *_ITEM): what each file (path, content, kind) holds, read once."""
     end, path, text = extension(F.col("path")), F.col("path"), F.col("content")
     plain = ~end.isin("csproj", "sln")
     configuration = plain & (F.col("kind") == "configuration")
     reader = F.when(end == "csproj", "project").when(configuration & (end == "json"), "json").when(plain & ~configuration & (end == "cs"), "csharp")
-    held = read(files.select("path", "content", "kind", reader.alias("reader")), terms)
+    held = read(files.select("path", "content", "kind", reader.alias("reader")), terms, kinds)
     csharp = F.col("reader") == "csharp"
     held = held.select(
         "path", line_count(text).alias("loc"), (F.col("kind") == "test").alias("in_test"), F.when(csharp, test_framework(text)).alias("framework"), "term_hits", "project", "keys", "symbols",
@@ -112,12 +112,12 @@ def _shown() -> dict[int, dict[str, Column]]:
     return {PROJECT_FILE: project, SOLUTION: solution, CONFIGURATION: config, CSHARP: csharp, TERM: term}
 
 
-def found_rows(files: DataFrame, terms: Sequence[str] = ()) -> DataFrame:
+def found_rows(files: DataFrame, terms: Sequence[str] = (), kinds: Collection[str] | None = None) -> DataFrame:
     """(path, section, ordinal, *COLUMNS, unread) of files (path, content, kind): all records as they stand in the files, before redaction.
 
     The files are read once for all kinds. A file is read by the first that fits: project, solution, configuration, C#; search terms
     are met in C# files. For each method-like symbol of a test file there is a reference more. unread says of a C# file's first
-    row that its text was beyond the reader.
+    row that its text was beyond the reader. With kinds (of `csharp.EVERY`) records of other declarations aren't made.
     """
     shown = _shown()
 
@@ -128,7 +128,7 @@ def found_rows(files: DataFrame, terms: Sequence[str] = ()) -> DataFrame:
                 out = F.when(F.col("section") == section, columns[name]).otherwise(out)
         return out.alias(name)
 
-    return _items(files, terms).select("path", "section", "ordinal", *[column(c) for c in COLUMNS], F.coalesce("symbol.unread", F.lit(False)).alias("unread"))
+    return _items(files, terms, kinds).select("path", "section", "ordinal", *[column(c) for c in COLUMNS], F.coalesce("symbol.unread", F.lit(False)).alias("unread"))
 
 
 def csharp_rows(files: DataFrame, terms: Sequence[str]) -> DataFrame:
@@ -141,14 +141,15 @@ def term_rows(files: DataFrame, terms: Sequence[str]) -> DataFrame:
     return found_rows(files, terms).where(F.col("section") == TERM).select("path", "ordinal", *COLUMNS)
 
 
-def extracted(files: DataFrame, terms: Sequence[str] = ()) -> DataFrame:
+def extracted(files: DataFrame, terms: Sequence[str] = (), kinds: Collection[str] | None = None) -> DataFrame:
     """(path, section, ordinal, *COLUMNS, unread, redaction) of files (path, length, content): every record, its snippet redacted.
 
     redaction is no_match, redacted or failed; records that failed must not be kept. unread marks the row of a file whose
-    text was beyond its reader, so that it counts as failed. Generated files and unreadable ones give none.
+    text was beyond its reader, so that it counts as failed. Generated files and unreadable ones give none. For who asks for some kinds
+    of declarations alone (of `csharp.EVERY`), records of others aren't made.
     """
     named = classified(files.where("content is not null and trim(path) <> ''")).where("kind <> 'generated'")
-    safe = found_rows(named, terms).withColumn("r", redact(F.col("code_snippet")))
+    safe = found_rows(named, terms, kinds).withColumn("r", redact(F.col("code_snippet")))
     return safe.withColumn("code_snippet", F.col("r.text")).withColumn("redaction", F.col("r.status")).drop("r")
 
 

@@ -38,9 +38,12 @@ def broadcast_if_small(df: DataFrame, rows: int = 100_000, chars: int = 4_000_00
 
 def spread(df: DataFrame, rows: int = 2_000) -> DataFrame:
     """df dealt evenly to tasks of about so many rows, for work that is long beside the row's own size: a narrow table of millions of
-    rows is a few splits of a file, so that without this a few tasks would do it all. Tasks grow in number as the table does."""
+    rows is a few splits of a file, so that without this a few tasks would do it all. Tasks grow in number as the table does.
+
+    No filter is moved before the condition at the end, which always holds: a later filter on what is made from the rows, and with it
+    the making, would else be done before the rows are dealt, by the few tasks that read the table."""
     parts = -(-df.count() // rows)
-    return df.repartition(parts) if parts > 1 else df
+    return df.repartition(parts).where(F.spark_partition_id() >= 0) if parts > 1 else df
 
 
 def with_positions(df: DataFrame, order: Sequence[str], keys: Sequence[str] = (), out: str = "position") -> DataFrame:

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import json
-from collections.abc import Iterator, Sequence
+from collections.abc import Collection, Iterator, Sequence
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -36,11 +36,11 @@ def _lists(lists: list[list[tuple] | None], kind: pa.ListType) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), held, type=kind, mask=pa.array([rows is None for rows in lists], pa.bool_()))
 
 
-def csharp_symbols(path: str, content: str) -> list[tuple]:
-    """The file's own row and those of its symbols."""
-    from quarry.sources.csharp import extract, metadata_json
+def csharp_symbols(path: str, content: str, kinds: Collection[str] | None = None) -> list[tuple]:
+    """The file's own row and those of its symbols; with kinds (of `csharp.EVERY`) only theirs."""
+    from quarry.sources.csharp import EVERY, extract, metadata_json
 
-    found = extract(content)
+    found = extract(content, EVERY if kinds is None else kinds)
     about = {
         "loc": found.line_count, "top_level_types": found.top_level_types, "uses_unsafe": "unsafe" in content, "using_directives": found.usings, "external_types": found.external_types,
     }
@@ -48,12 +48,12 @@ def csharp_symbols(path: str, content: str) -> list[tuple]:
     rows = [(0, "file_summary", path, "File", None, None, None, 1, max(1, found.line_count), f"File {path} with {n} top-level type(s)", "", json.dumps(about, ensure_ascii=False), found.namespaces, found.top_level_types, found.failed)]
     for i, s in enumerate(found.symbols, 1):
         rows.append((i, s.record_type, s.symbol_name, s.symbol_kind, s.namespace, s.class_name, s.method_name, s.line_start, s.line_end, s.summary, s.code_snippet, metadata_json(s), None, None, False))
-    return rows
+    return rows if kinds is None or "file" in kinds else rows[1:]
 
 
-def read(files: DataFrame, terms: Sequence[str] = ()) -> DataFrame:
+def read(files: DataFrame, terms: Sequence[str] = (), wanted: Collection[str] | None = None) -> DataFrame:
     """files (path, content, reader, more columns) with symbols, keys, project, hits and term_hits (the terms that stand in the text as they are); reader is
-    csharp, json or project, for others all are null. Each text reaches Python once, in Arrow batches, and the plan is the same for any terms."""
+    csharp, json or project, for others all are null; symbols are of the wanted kinds alone (of `csharp.EVERY`; else of all). Each text reaches Python once, in Arrow batches, and the plan is the same for any terms."""
     spark = files.sparkSession
     shared = spark.sparkContext.broadcast(list(terms))
     at = [files.columns.index(c) for c in ("path", "content", "reader")]
@@ -66,7 +66,7 @@ def read(files: DataFrame, terms: Sequence[str] = ()) -> DataFrame:
             for path, content, reader in zip(*(batch.column(i).to_pylist() for i in at), strict=True):
                 text, got = content or "", dict.fromkeys(FOUND)
                 if reader == "csharp":
-                    got["symbols"] = csharp_symbols(path, text)
+                    got["symbols"] = csharp_symbols(path, text, wanted)
                     got["hits"], got["term_hits"] = matcher.hits(text), [t for t in terms_ if t in text]
                 elif reader == "json":
                     keys = json_keys(text, "appsettings" in (path or "").lower(), terms_)

@@ -4,7 +4,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from quarry.sources.csharp import extract, tokens
+from quarry.sources.csharp import EVERY, KINDS, columns, extract, tokens
 
 
 def by_name(source, name):
@@ -87,3 +87,23 @@ def test_strings_hide_code():
 def test_any_text_can_be_read(source):
     assert extract(source).line_count == len(source.replace("\r\n", "\n").replace("\r", "\n").split("\n"))
     assert all(t.start <= t.end <= len(source) for t in tokens(source))
+
+
+@settings(max_examples=500, deadline=None)
+@given(st.text(alphabet='{}()"\'$@;,.=?/* \n\r\t\\ab9_#é²', max_size=40))
+def test_pieces_are_the_tokens(source):
+    found = [(KINDS[t.kind], "" if t.kind == "string" else t.text, t.start, t.end) for t in tokens(source)]
+    assert list(zip(*columns(source), strict=True)) == found
+
+
+def test_kinds_alone_are_as_among_all():
+    source = (
+        "namespace N; class C : B { int P { get; set; } C() {} int this[int i] => i; public static C operator +(C a, C b) => a; public static implicit operator int(C c) => 1; ~C() {} string f = new X().Y(); event E Z; event E W { add {} }"
+        " void M() { int L(int z) => z; L(1); new List<int>(); } } enum Q { Red } delegate void D(int a);"
+    )
+    whole = extract(source).symbols
+    kind = lambda s: s.metadata.get("kind") or ("type" if s.record_type == "class_summary" else "property" if s.symbol_kind == "Property" else "method")
+    for wanted in EVERY - {"file"}:
+        found = extract(source, (wanted,)).symbols
+        assert found and found == [s for s in whole if kind(s) == wanted]
+    assert extract(source, ()).symbols == [] and extract(source, ("file",)).external_types == extract(source).external_types

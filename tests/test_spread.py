@@ -42,3 +42,10 @@ def test_a_tree_is_written_by_many_tasks(spark, tmp_path):
     base = spark.conf.get("spark.checkpoint.dir").removeprefix("file://")
     written = [p.name.split("-")[1] for p in max(Path(base).glob("tree-*"), key=lambda p: p.stat().st_mtime).glob("text/key=*/part-*")]
     assert len(written) == 300 and len(set(written)) == 3
+
+
+def test_filters_on_made_files_stay_behind_the_dealing(spark, tmp_path):
+    """Below the repartition only keys are read: the files are neither made nor filtered there."""
+    found = catalogue_sources.csharp_types(spark, narrow(spark, tmp_path, "customer", "c_custkey", 9_000))
+    above, below = found._jdf.queryExecution().optimizedPlan().toString().split("Repartition ")
+    assert "Filter" in above and "replace(" in above and "Filter" not in below and "replace(" not in below
