@@ -104,6 +104,21 @@ class TermMatcher:
         return [{"ordinal": i, "term": self.terms[i], "first_line": x[0] or 1, "words": x[1], "docs": x[2], "names": x[3]} for i, x in made]
 
 
+def sliced(batches: Iterator[pa.RecordBatch], rows: int = 256) -> Iterator[pa.RecordBatch]:
+    """The batches in slices of so many rows at most: what Python holds of them at once doesn't grow with a batch, which has 10,000 rows in a large table."""
+    for batch in batches:
+        for i in range(0, batch.num_rows, rows):
+            yield batch.slice(i, rows)
+
+
+def hit_batches(batches: Iterator[pa.RecordBatch], terms: Sequence[str], at: int) -> Iterator[pa.RecordBatch]:
+    """The batches with the hits of the texts in column `at`."""
+    matcher = TermMatcher(terms)
+    for batch in sliced(batches):
+        hits = pa.array([matcher.hits(t or "") for t in batch.column(at).to_pylist()], _KIND)
+        yield pa.RecordBatch.from_arrays([*batch.columns, hits], names=[*batch.schema.names, "hits"])
+
+
 def with_term_hits(files: DataFrame, terms: Sequence[str]) -> DataFrame:
     """files (content, more columns) with `hits`: ordinal, term, first_line, and lines by words, docs and names of each term
     found. The plan is the same for any terms; they reach the tasks as one broadcast list, and each text is read once for all."""
@@ -111,10 +126,7 @@ def with_term_hits(files: DataFrame, terms: Sequence[str]) -> DataFrame:
     at = files.columns.index("content")
 
     def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        matcher = TermMatcher(shared.value)
-        for batch in batches:
-            hits = pa.array([matcher.hits(t or "") for t in batch.column(at).to_pylist()], _KIND)
-            yield pa.RecordBatch.from_arrays([*batch.columns, hits], names=[*batch.schema.names, "hits"])
+        return hit_batches(batches, shared.value, at)
 
     names = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in files.schema.fields)
     return files.mapInArrow(found, f"{names}, hits {HITS}")

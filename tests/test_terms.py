@@ -71,3 +71,15 @@ def test_long_text_and_many_terms():
 @pytest.mark.parametrize("text", ["ﬁ Flag", "İİ Flag flag", "Flaǵ Flag"])
 def test_places_stay_when_case_changes_length(text):
     assert TermMatcher(["Flag"]).hits(text)[0]["names"] == 1
+
+
+def test_hits_are_held_for_few_texts_at_once():
+    """A batch of a large table has 10,000 rows; its hits come in slices, all rows in order."""
+    import pyarrow as pa
+
+    from quarry.operators.terms import hit_batches
+
+    batch = pa.RecordBatch.from_pydict({"n": list(range(1_000)), "content": [f"a{i % 3} x" if i % 7 else None for i in range(1_000)]})
+    made = list(hit_batches(iter([batch, batch.slice(0, 0)]), ["a1"], 1))
+    assert max(b.num_rows for b in made) <= 256 and [n for b in made for n in b["n"].to_pylist()] == list(range(1_000))
+    assert [len(h) for b in made for h in b["hits"].to_pylist()] == [int(i % 3 == 1 and i % 7 > 0) for i in range(1_000)]
