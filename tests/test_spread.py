@@ -49,3 +49,9 @@ def test_filters_on_made_files_stay_behind_the_dealing(spark, tmp_path):
     found = catalogue_sources.csharp_types(spark, narrow(spark, tmp_path, "customer", "c_custkey", 9_000))
     above, below = found._jdf.queryExecution().optimizedPlan().toString().split("Repartition ")
     assert "Filter" in above and "replace(" in above and "Filter" not in below and "replace(" not in below
+
+
+def test_wanted_kinds_reach_the_reader(spark, tmp_path):
+    rows = catalogue_sources._rows(catalogue_sources._files(spark, narrow(spark, tmp_path, "customer", "c_custkey", 7)), kinds=("constructor",)).select("key", "record_type", "method_name").collect()
+    own, tests = [(k, "method_summary", ".ctor") for k in range(7)], [(k, "test_reference", ".ctor") for k in range(0, 7, 3)]
+    assert sorted(tuple(r) for r in rows) == sorted(own + tests)
