@@ -24,6 +24,14 @@ def _any(tests: Sequence[Column]) -> Column:
     return out
 
 
+def _holds(content: Column, marks: Sequence[str]) -> Column:
+    """Whether the content holds one of the marks, in any case. To put whole texts into lower case is long, so only those are that hold
+    how a mark begins; beyond ASCII no letter's lower case is one of these."""
+    text = F.coalesce(content, F.lit(""))
+    begins = sorted({x for m in marks for x in (m[:2], m[:2].upper())})
+    return _any([text.contains(b) for b in begins]) & _any([F.lower(text).contains(m) for m in marks])
+
+
 def is_ignored(path: Column, ignore: Sequence[str] = IGNORED) -> Column:
     """Whether the path holds one of the given paths as whole segments, in any case."""
     wanted = [p.replace("\\", "/").strip(" /").lower() for p in ignore]
@@ -38,7 +46,7 @@ def extension(path: Column) -> Column:
 
 def is_generated(path: Column, content: Column) -> Column:
     p = F.lower(slashes(path))
-    return _any([p.endswith(e) for e in GENERATED_ENDS]) | p.contains("/generated/") | F.lower(F.coalesce(content, F.lit(""))).contains("<auto-generated")
+    return _any([p.endswith(e) for e in GENERATED_ENDS]) | p.contains("/generated/") | _holds(content, ("<auto-generated",))
 
 
 def is_config(path: Column) -> Column:
@@ -46,9 +54,9 @@ def is_config(path: Column) -> Column:
 
 
 def is_test(path: Column, content: Column) -> Column:
-    p, c = F.lower(slashes(path)), F.lower(F.coalesce(content, F.lit("")))
+    p = F.lower(slashes(path))
     named = p.endswith(".cs") & p.rlike(r"tests[^/]*(?:/|$)")
-    return _any([p.contains(x) for x in TEST_PATHS]) | named | _any([c.contains(x) for x in TEST_MARKS])
+    return _any([p.contains(x) for x in TEST_PATHS]) | named | _holds(content, TEST_MARKS)
 
 
 def file_kind(path: Column, content: Column) -> Column:

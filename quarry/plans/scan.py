@@ -14,6 +14,7 @@ from quarry.functions.redact import MARK, redact
 from quarry.functions.text import around_line, file_summary, line_count
 from quarry.functions.tokens import file_stem
 from quarry.schemas import CODE_RECORD, RECORD_KEY
+from quarry.shared import once
 from quarry.sources.config_files import env_keys, project_snippet, solution_projects
 from quarry.sources.files import classified
 from quarry.sources.readers import FOUND, read
@@ -56,10 +57,11 @@ def _items(files: DataFrame, terms: Sequence[str], kinds: Collection[str] | None
     plain = ~end.isin("csproj", "sln")
     configuration = plain & (F.col("kind") == "configuration")
     reader = F.when(end == "csproj", "project").when(configuration & (end == "json"), "json").when(plain & ~configuration & (end == "cs"), "csharp")
-    held = read(files.select("path", "content", "kind", reader.alias("reader")), terms, kinds)
-    csharp = F.col("reader") == "csharp"
+    in_test = F.col("kind") == "test"
+    files = files.select("path", "content", "kind", reader.alias("reader")).select("*", F.when((F.col("reader") == "csharp") & in_test, test_framework(text)).alias("framework"))
+    held = read(files, terms, kinds)
     held = held.select(
-        "path", line_count(text).alias("loc"), (F.col("kind") == "test").alias("in_test"), F.when(csharp, test_framework(text)).alias("framework"), "term_hits", "project", "keys", "symbols",
+        "path", F.when(end.isin("csproj", "sln"), line_count(text)).alias("loc"), in_test.alias("in_test"), "framework", "term_hits", "project", "keys", "symbols",
         F.when(F.lower("path").endswith(".sln"), solution_projects(text)).alias("solution"), F.when(configuration & (end == "env"), env_keys(text, terms)).alias("env"),
         F.transform("hits", lambda h: F.struct(*[h[n] for n in ("ordinal", "term", "first_line", "words", "docs", "names")], around_line(text, h["first_line"]).alias("snippet"))).alias("hits"),
     )
@@ -148,7 +150,7 @@ def extracted(files: DataFrame, terms: Sequence[str] = (), kinds: Collection[str
     text was beyond its reader, so that it counts as failed. Generated files and unreadable ones give none. For who asks for some kinds
     of declarations alone (of `csharp.EVERY`), records of others aren't made.
     """
-    named = classified(files.where("content is not null and trim(path) <> ''")).where("kind <> 'generated'")
+    named = classified(files.where("content is not null and trim(path) <> ''")).withColumn("kind", once(F.col("kind"))).where("kind <> 'generated'")
     safe = found_rows(named, terms, kinds).withColumn("r", redact(F.col("code_snippet")))
     return safe.withColumn("code_snippet", F.col("r.text")).withColumn("redaction", F.col("r.status")).drop("r")
 

@@ -46,6 +46,12 @@ def spread(df: DataFrame, rows: int = 2_000) -> DataFrame:
     return df.repartition(parts).where(F.spark_partition_id() >= 0) if parts > 1 else df
 
 
+def once(made: Column) -> Column:
+    """A column that is long in the making, as it is, to be made once a row. Spark would make it anew in each later filter and column that
+    asks for it, but not if it hangs on the partition."""
+    return F.when(F.spark_partition_id() >= 0, made)
+
+
 def with_positions(df: DataFrame, order: Sequence[str], keys: Sequence[str] = (), out: str = "position") -> DataFrame:
     """df with `out`: the row's place from 0 among the rows of the same keys, by `order` (nulls first), without gaps.
 

@@ -6,6 +6,7 @@ import json
 from collections.abc import Collection, Iterator, Sequence
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
@@ -40,20 +41,24 @@ def csharp_symbols(path: str, content: str, kinds: Collection[str] | None = None
     """The file's own row and those of its symbols; with kinds (of `csharp.EVERY`) only theirs."""
     from quarry.sources.csharp import EVERY, extract, metadata_json
 
-    found = extract(content, EVERY if kinds is None else kinds)
-    about = {
-        "loc": found.line_count, "top_level_types": found.top_level_types, "uses_unsafe": "unsafe" in content, "using_directives": found.usings, "external_types": found.external_types,
-    }
-    n = len(found.top_level_types)
-    rows = [(0, "file_summary", path, "File", None, None, None, 1, max(1, found.line_count), f"File {path} with {n} top-level type(s)", "", json.dumps(about, ensure_ascii=False), found.namespaces, found.top_level_types, found.failed)]
+    if kinds is not None and not kinds:
+        return []
+    found, rows = extract(content, EVERY if kinds is None else kinds), []
+    if kinds is None or "file" in kinds:
+        about = {
+            "loc": found.line_count, "top_level_types": found.top_level_types, "uses_unsafe": "unsafe" in content, "using_directives": found.usings, "external_types": found.external_types,
+        }
+        n = len(found.top_level_types)
+        rows.append((0, "file_summary", path, "File", None, None, None, 1, max(1, found.line_count), f"File {path} with {n} top-level type(s)", "", json.dumps(about, ensure_ascii=False), found.namespaces, found.top_level_types, found.failed))
     for i, s in enumerate(found.symbols, 1):
         rows.append((i, s.record_type, s.symbol_name, s.symbol_kind, s.namespace, s.class_name, s.method_name, s.line_start, s.line_end, s.summary, s.code_snippet, metadata_json(s), None, None, False))
-    return rows if kinds is None or "file" in kinds else rows[1:]
+    return rows
 
 
 def read(files: DataFrame, terms: Sequence[str] = (), wanted: Collection[str] | None = None) -> DataFrame:
     """files (path, content, reader, more columns) with symbols, keys, project, hits and term_hits (the terms that stand in the text as they are); reader is
-    csharp, json or project, for others all are null; symbols are of the wanted kinds alone (of `csharp.EVERY`; else of all). Each text reaches Python once, in Arrow batches, and the plan is the same for any terms."""
+    csharp, json or project, for others all are null; symbols are of the wanted kinds alone (of `csharp.EVERY`; else of all). Each text reaches Python once, in Arrow batches, and the plan is the same for any terms.
+    A C# file's content is null afterwards where there are no terms, whose snippets alone are cut from it."""
     spark = files.sparkSession
     shared = spark.sparkContext.broadcast(list(terms))
     at = [files.columns.index(c) for c in ("path", "content", "reader")]
@@ -77,7 +82,10 @@ def read(files: DataFrame, terms: Sequence[str] = (), wanted: Collection[str] |
                 for k, v in got.items():
                     made[k].append(v)
             columns = [_lists(made[k], kinds[k]) if k == "symbols" else pa.array(made[k], kinds[k]) for k in FOUND]
-            yield pa.RecordBatch.from_arrays([*batch.columns, *columns], names=[*batch.schema.names, *FOUND])
+            own = batch.columns
+            if not terms_:
+                own[at[1]] = pc.if_else(pc.fill_null(pc.equal(own[at[2]], "csharp"), False), pa.scalar(None, own[at[1]].type), own[at[1]])
+            yield pa.RecordBatch.from_arrays([*own, *columns], names=[*batch.schema.names, *FOUND])
 
     own = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in files.schema.fields)
     return files.mapInArrow(found, f"{own}, " + ", ".join(f"{k} {v}" for k, v in FOUND.items()))

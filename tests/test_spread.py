@@ -5,8 +5,10 @@ from pathlib import Path
 import pytest
 from pyspark.sql import functions as F
 
+from quarry.functions.classify import is_generated, is_test
 from quarry.functions.redact import _redacted, redact
 from quarry.plans import catalogue_sources
+from quarry.sources.readers import read
 
 
 def narrow(spark, tmp_path, name, key, n):
@@ -55,3 +57,22 @@ def test_wanted_kinds_reach_the_reader(spark, tmp_path):
     rows = catalogue_sources._rows(catalogue_sources._files(spark, narrow(spark, tmp_path, "customer", "c_custkey", 7)), kinds=("constructor",)).select("key", "record_type", "method_name").collect()
     own, tests = [(k, "method_summary", ".ctor") for k in range(7)], [(k, "test_reference", ".ctor") for k in range(0, 7, 3)]
     assert sorted(tuple(r) for r in rows) == sorted(own + tests)
+
+
+def test_made_texts_and_their_kind_are_made_once(spark, tmp_path):
+    """Filters and columns that ask for a file's text or kind take it as it was made."""
+    plan = catalogue_sources.csharp_properties(spark, narrow(spark, tmp_path, "customer", "c_custkey", 7))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("public sealed class C@") == 1 and plan.count("<auto-generated") == 1
+
+
+@pytest.mark.parametrize("terms", [(), ("M",)])
+def test_texts_come_back_from_the_reader_where_they_are_asked_for(spark, terms):
+    files = spark.createDataFrame([("a.cs", "class A { void M() { } }", "production", "csharp"), ("a.env", "K=v", "configuration", None)], "path string, content string, kind string, reader string")
+    found = {r["path"]: r for r in read(files, terms).collect()}
+    assert found["a.env"]["content"] == "K=v" and (found["a.cs"]["content"] is None) == (not terms) and [s["symbol_name"] for s in found["a.cs"]["symbols"]] == ["a.cs", "A", "A.M"]
+
+
+def test_marks_are_found_in_any_case(spark):
+    texts = ["// <Auto-Generated/>", "// <AUTO-generated", "<auto generated", "[fAcT] x", "[TESTmethod]", "[Fac t]", "[Test", "\u0130[test]", None, "", "list<a>"]
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string").select("i", is_generated(F.lit("a.cs"), F.col("t")).alias("g"), is_test(F.lit("a.cs"), F.col("t")).alias("x")).collect()
+    assert {r["i"] for r in rows if r["g"]} == {0, 1} and {r["i"] for r in rows if r["x"]} == {3, 4, 7}
