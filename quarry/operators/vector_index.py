@@ -9,7 +9,7 @@ An index is built once, can be opened again by its folder, and grows by `add`.
 from __future__ import annotations
 
 import json
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Collection, Iterator
 from dataclasses import asdict, dataclass, replace
 
 import numpy as np
@@ -28,6 +28,8 @@ CELLS, SUBSPACES, VALUES = 4096, 16, 256
 CALIBRATED, BLOCK = 200, 16_384
 #: Queries whose scores a task holds at once.
 ASKED = 256
+#: Queries that meet a block of codes in one group, about: each passes on as many rows as are reranked.
+TOGETHER = 2048
 
 
 def kmeans(points: np.ndarray, k: int, seed: int) -> np.ndarray:
@@ -203,7 +205,7 @@ class VectorIndex:
 
         With as many probes as cells and rerank as rows the result is exact. Queries without an id or a vector of the index's
         length find nothing; of queries with one id any one is taken. Each group of the search is a block of one list
-        and the queries that probe it.
+        and a slice of the queries that probe it, so a group's rows don't grow with the queries.
         """
         probes, rerank = min(probes or self.shape.probes, len(self.quantisers.centres)), max(k, rerank or self.shape.rerank)
         shared = self.spark.sparkContext.broadcast(self.quantisers)
@@ -217,15 +219,17 @@ class VectorIndex:
 
         asked = self._asked(queries)
         probing = asked.mapInPandas(probed, "query_id bigint, asked array<double>, cell int").persist()
-        wanted = [r["cell"] for r in probing.select("cell").distinct().collect()]  # CELLS numbers at most
-        lists = self.lists().where(F.col("cell").isin(wanted))
+        wanted = {r["cell"]: r["count"] for r in probing.groupBy("cell").count().collect()}  # CELLS rows at most
+        lists = self.lists().where(F.col("cell").isin(list(wanted)))
         sizes = lists.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks")).withColumnRenamed("cell", "c")  # CELLS rows at most
         sizes = F.broadcast(sizes)
         every = probes == len(self.quantisers.centres) and rerank >= self.lists().count()  # then codes can leave nothing out, and vectors are scored at once
+        slices = 1 if every else slices_of(wanted.values())  # without codes a query passes on k rows, and vectors are wide to be copied
         codes = lists.join(sizes, F.col("cell") == F.col("c")).select("cell", F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int").alias("block"), "key", "vector" if every else "code")
-        meets = probing.join(sizes, F.col("cell") == F.col("c")).withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("cell", "block", "query_id", "asked")
+        codes = codes.withColumn("slice", F.explode(F.sequence(F.lit(0), F.lit(slices - 1))))
+        meets = probing.join(sizes, F.col("cell") == F.col("c")).withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("cell", "block", in_slice(slices).alias("slice"), "query_id", "asked")
         scores = _scored_exactly(k) if every else _scored(shared, rerank)
-        found = meets.groupBy("cell", "block").cogroup(codes.groupBy("cell", "block")).applyInPandas(scores, "query_id bigint, cell int, key bigint, near double")
+        found = meets.groupBy("cell", "block", "slice").cogroup(codes.groupBy("cell", "block", "slice")).applyInPandas(scores, "query_id bigint, cell int, key bigint, near double")
         best = Window.partitionBy("query_id").orderBy(F.col("near").desc(), "key")
         if every:
             return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "key", F.col("near").alias("score"))
@@ -284,6 +288,16 @@ class VectorIndex:
         return VectorIndex(self.spark, self.folder, replace(self.shape, probes=probes, rerank=min(rerank, max(rows, k)), recall=got), self.quantisers)
 
 
+def slices_of(asking: Collection[int]) -> int:
+    """In how many slices queries meet the codes, for the numbers of queries that probe each cell."""
+    return max(1, -(-max(asking, default=1) // TOGETHER))
+
+
+def in_slice(slices: int) -> Column:
+    """The slice of a query."""
+    return F.pmod(F.xxhash64("query_id", F.lit(13)), F.lit(slices)).cast("int")
+
+
 def _best(ids: np.ndarray, keys: np.ndarray, scores: np.ndarray, k: int, cells: np.ndarray) -> pd.DataFrame:
     """Of scores (queries, keys) each query's k best, ties to the smaller key."""
     out = []

@@ -149,3 +149,26 @@ def test_searches_by_an_index(spark, tmp_path):
     assert opened.folder == built.folder and opened.lists().count() == store.table("code_embedding").count()
     by = services.ask(store, "class Klass3", e, SearchQuery((), k=4), opened).collect()
     assert [(h["symbol_name"], round(h["score"], 9)) for h in by] == [(h["symbol_name"], round(h["score"], 9)) for h in services.ask(store, "class Klass3", e, SearchQuery((), k=4)).collect()]
+
+
+def test_queries_of_a_cell_meet_its_codes_in_slices(built, spark, monkeypatch):
+    """A group's queries, each of which passes on as many rows as are reranked, don't grow with all of them, and the result is the same."""
+    data, index = built
+    queries, scored = asks(spark, data, 2), vector_index._scored
+
+    def found():
+        return sorted(map(tuple, index.search(queries, 5, probes=len(index.quantisers.centres), rerank=20).collect()))
+
+    def watched(shared, rerank):
+        inner = scored(shared, rerank)
+
+        def checked(some, codes):
+            assert len(some) <= 80
+            return inner(some, codes)
+
+        return checked
+
+    whole = found()
+    monkeypatch.setattr(vector_index, "_scored", watched)
+    monkeypatch.setattr(vector_index, "TOGETHER", 40, raising=False)
+    assert found() == whole and len(whole) == 5 * 300
