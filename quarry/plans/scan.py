@@ -40,19 +40,23 @@ def _none(kind: str = "string") -> Column:
 
 
 #: Sections of a scan, by what reads them, and what an item of each holds.
-PROJECT_FILE, SOLUTION, CONFIGURATION, CSHARP, TERM = range(5)
+PROJECT_FILE, SOLUTION, CONFIGURATION, CSHARP, TERM = SECTIONS = range(5)
+_HOLDS = {PROJECT_FILE: ("project",), SOLUTION: ("solution",), CONFIGURATION: ("config",), CSHARP: ("symbol", "is_test"), TERM: ("hit", "match_kind", "hit_count")}
 _ITEM = {
     "project": FOUND["project"], "solution": "array<string>", "config": FOUND["keys"][6:-1], "symbol": FOUND["symbols"][6:-1], "is_test": "boolean",
     "hit": "struct<ordinal:int,term:string,first_line:int,words:int,docs:int,names:int,snippet:string>", "match_kind": "string", "hit_count": "int",
 }
 
 
-def _item(section: int, ordinal: Column, **held: Column) -> Column:
-    return F.struct(F.lit(section).alias("section"), ordinal.cast("int").alias("ordinal"), *[held.get(n, F.lit(None)).cast(t).alias(n) for n, t in _ITEM.items()])
+def _sections(terms: Sequence[str], kinds: Collection[str] | None) -> Sequence[int]:
+    """The sections that are asked for: with kinds only C# declarations, and terms where there are any."""
+    return SECTIONS if kinds is None else (CSHARP, TERM) if terms else (CSHARP,)
 
 
 def _items(files: DataFrame, terms: Sequence[str], kinds: Collection[str] | None = None) -> DataFrame:
-    """(path, loc, in_test, framework, term_hits, section, ordinal, *_ITEM): what each file (path, content, kind) holds, read once."""
+    """(path, loc, in_test, framework, term_hits, section, ordinal, and of _ITEM what the sections hold): what each file (path, content, kind) holds, read once."""
+    sections = _sections(terms, kinds)
+    types = {n: _ITEM[n] for section in sections for n in _HOLDS[section]}
     end, path, text = extension(F.col("path")), F.col("path"), F.col("content")
     plain = ~end.isin("csproj", "sln")
     configuration = plain & (F.col("kind") == "configuration")
@@ -66,22 +70,27 @@ def _items(files: DataFrame, terms: Sequence[str], kinds: Collection[str] | None
         F.transform("hits", lambda h: F.struct(*[h[n] for n in ("ordinal", "term", "first_line", "words", "docs", "names")], around_line(text, h["first_line"]).alias("snippet"))).alias("hits"),
     )
 
+    def item(section: int, ordinal: Column, **has: Column) -> Column:
+        return F.struct(F.lit(section).alias("section"), ordinal.cast("int").alias("ordinal"), *[has.get(n, F.lit(None)).cast(t).alias(n) for n, t in types.items()])
+
     def symbols(s: Column) -> Column:
-        own = _item(CSHARP, s["ordinal"] * 2, symbol=s, is_test=F.lit(False))
-        test = _item(CSHARP, s["ordinal"] * 2 + 1, symbol=s, is_test=F.lit(True))
+        own = item(CSHARP, s["ordinal"] * 2, symbol=s, is_test=F.lit(False))
+        test = item(CSHARP, s["ordinal"] * 2 + 1, symbol=s, is_test=F.lit(True))
         return F.when(F.col("in_test") & (s["record_type"] == "method_summary"), F.array(own, test)).otherwise(F.array(own))
 
     def tallies(h: Column) -> Column:
         counts = (("string_literal", h["words"]), ("comment", h["words"] - h["docs"]), ("xml_doc", h["docs"]), ("identifier", h["names"]))
-        return F.filter(F.array(*[_item(TERM, h["ordinal"] * 4 + i, hit=h, match_kind=F.lit(kind), hit_count=n) for i, (kind, n) in enumerate(counts)]), lambda x: x["hit_count"] > 0)
-
-    none = F.array().cast(f"array<struct<section int, ordinal int, {', '.join(f'{n} {t}' for n, t in _ITEM.items())}>>")
-    parts = [
-        F.when(F.col("project").isNotNull(), F.array(_item(PROJECT_FILE, F.lit(0), project=F.col("project")))), F.when(F.col("solution").isNotNull(), F.array(_item(SOLUTION, F.lit(0), solution=F.col("solution")))),
-        F.transform("env", lambda k: _item(CONFIGURATION, k["ordinal"], config=k)), F.transform("keys", lambda k: _item(CONFIGURATION, k["ordinal"], config=k)),
-        F.flatten(F.transform("symbols", symbols)), F.flatten(F.transform("hits", tallies)),
-    ]
-    return held.select("path", "loc", "in_test", "framework", "term_hits", F.inline(F.concat(*[F.coalesce(p, none) for p in parts])))
+        return F.filter(F.array(*[item(TERM, h["ordinal"] * 4 + i, hit=h, match_kind=F.lit(kind), hit_count=n) for i, (kind, n) in enumerate(counts)]), lambda x: x["hit_count"] > 0)
+
+    none = F.array().cast(f"array<struct<section int, ordinal int, {', '.join(f'{n} {t}' for n, t in types.items())}>>")
+    parts = {
+        PROJECT_FILE: lambda: [F.when(F.col("project").isNotNull(), F.array(item(PROJECT_FILE, F.lit(0), project=F.col("project"))))],
+        SOLUTION: lambda: [F.when(F.col("solution").isNotNull(), F.array(item(SOLUTION, F.lit(0), solution=F.col("solution"))))],
+        CONFIGURATION: lambda: [F.transform(c, lambda k: item(CONFIGURATION, k["ordinal"], config=k)) for c in ("env", "keys")],
+        CSHARP: lambda: [F.flatten(F.transform("symbols", symbols))], TERM: lambda: [F.flatten(F.transform("hits", tallies))],
+    }
+    every = [F.coalesce(p, none) for section in sections for p in parts[section]()]
+    return held.select("path", "loc", "in_test", "framework", "term_hits", F.inline(F.concat(*every) if len(every) > 1 else every[0]))
 
 
 def _shown() -> dict[int, dict[str, Column]]:
@@ -119,9 +128,10 @@ def found_rows(files: DataFrame, terms: Sequence[str] = (), kinds: Collection[st
 
     The files are read once for all kinds. A file is read by the first that fits: project, solution, configuration, C#; search terms
     are met in C# files. For each method-like symbol of a test file there is a reference more. unread says of a C# file's first
-    row that its text was beyond the reader. With kinds (of `csharp.EVERY`) records of other declarations aren't made.
+    row that its text was beyond the reader. With kinds (of `csharp.EVERY`) records of other declarations, and of other files than C#, aren't made.
     """
-    shown = _shown()
+    sections = _sections(terms, kinds)
+    shown = {section: columns for section, columns in _shown().items() if section in sections}
 
     def column(name: str) -> Column:
         out = F.lit(None)
@@ -148,7 +158,7 @@ def extracted(files: DataFrame, terms: Sequence[str] = (), kinds: Collection[str
 
     redaction is no_match, redacted or failed; records that failed must not be kept. unread marks the row of a file whose
     text was beyond its reader, so that it counts as failed. Generated files and unreadable ones give none. For who asks for some kinds
-    of declarations alone (of `csharp.EVERY`), records of others aren't made.
+    of declarations alone (of `csharp.EVERY`), records of others, and of other files than C#, aren't made.
     """
     named = classified(files.where("content is not null and trim(path) <> ''")).withColumn("kind", once(F.col("kind"))).where("kind <> 'generated'")
     safe = found_rows(named, terms, kinds).withColumn("r", redact(F.col("code_snippet")))

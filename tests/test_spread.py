@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from quarry.functions.classify import is_generated, is_test
 from quarry.functions.redact import _redacted, redact
 from quarry.plans import catalogue_sources
+from quarry.plans.scan import extracted
 from quarry.sources.readers import read
 
 
@@ -76,3 +77,13 @@ def test_marks_are_found_in_any_case(spark):
     texts = ["// <Auto-Generated/>", "// <AUTO-generated", "<auto generated", "[fAcT] x", "[TESTmethod]", "[Fac t]", "[Test", "\u0130[test]", None, "", "list<a>"]
     rows = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string").select("i", is_generated(F.lit("a.cs"), F.col("t")).alias("g"), is_test(F.lit("a.cs"), F.col("t")).alias("x")).collect()
     assert {r["i"] for r in rows if r["g"]} == {0, 1} and {r["i"] for r in rows if r["x"]} == {3, 4, 7}
+
+
+def test_who_asks_for_declarations_gets_no_other_files_planned(spark, tmp_path):
+    """Projects, solutions, configuration and search terms aren't in the plan, and none of their records are made."""
+    plan = catalogue_sources.csharp_delegates(spark, narrow(spark, tmp_path, "customer", "c_custkey", 7))._jdf.queryExecution().optimizedPlan().toString()
+    assert not any(x in plan for x in ("config key", "package ref(s)", "Solution: ", "search_term_match"))
+    files = spark.createDataFrame([("a.cs", "delegate void D();"), ("appsettings.json", '{"k": 1}'), ("a.sln", 'Project("{A}") = "App", "App.csproj", "{B}"')], "path string, content string")
+    files = files.withColumn("length", F.octet_length("content").cast("long"))
+    assert [r["symbol_name"] for r in extracted(files, kinds=("delegate",)).collect()] == ["D"] and extracted(files).count() == 4
+    assert sorted((r["path"], r["record_type"]) for r in extracted(files, ("void",), ()).collect()) == [("a.cs", "search_term_match")] * 3
