@@ -39,8 +39,8 @@ EPOCHS, BATCH = 12, 40
 LEAN = 2.5
 #: The score of a step that can't be.
 BARRED = -1e4
-#: Characters, padding too, that are decoded at once; the fewest that a span has (a@b.c).
-AT_ONCE, LEAST = 1 << 19, 5
+#: Characters, padding too, and windows that are decoded at once (what a step works on stays in a processor's own cache); the fewest characters that a span has (a@b.c).
+AT_ONCE, ROWS, LEAST = 1 << 19, 1024, 5
 #: How far a decoded span is widened to the ends of its words.
 REACH = 80
 
@@ -182,35 +182,40 @@ class Tagger:
     def fast_emissions(self, x: np.ndarray) -> np.ndarray:
         """The emissions of codes x (rows, time), as (TAGS, time, rows).
 
-        Each gate is an array of its own. A gate's sigmoid is half of 1 + tanh(z / 2): the inner halves are put into the weights, and
-        the outer ones into twice the cell and twice the state, which are what is kept here.
+        Each gate is an array of its own. All are sigmoids, 1 / (1 + exp(-z)), as exp takes half the time of tanh, and tanh(z) is twice the
+        sigmoid of 2 z, less 1: the factors are put into the weights, and half the cell and half the state are what is kept here.
         """
         n, length = x.shape
         h, kind, at = HIDDEN, self.p["o"].dtype, np.ascontiguousarray(x.T, np.int64)
         out = np.empty((length * n, h), kind)
         e = np.repeat(self.p["c"][:, None], length * n, axis=1)
-        half = np.array([0.5, 0.5, 0.5, 1.0], kind)[:, None, None]
+        factors, one = np.array([-1, -1, -1, -2], kind)[:, None, None], kind.type(1)
         for k, way in enumerate("fb"):
-            table = np.ascontiguousarray(self.p["x" + way].reshape(-1, 4, h).transpose(1, 0, 2)) * half
-            u = np.ascontiguousarray(self.p["u" + way].reshape(h, 4, h).transpose(1, 0, 2)) * half * kind.type(0.5)
+            table = np.ascontiguousarray(self.p["x" + way].reshape(-1, 4, h).transpose(1, 0, 2)) * factors
+            u = np.ascontiguousarray(self.p["u" + way].reshape(h, 4, h).transpose(1, 0, 2)) * factors * kind.type(2)
             state, cell, wide = np.zeros((n, h), kind), np.zeros((n, h), kind), np.empty((n, h), kind)
             z, looked = np.empty((4, n, h), kind), np.empty((4, n, h), kind)
-            gates, (into, keep, show), new = z[:3], z[:3], z[3]
-            for t in range(length) if way == "f" else range(length - 1, -1, -1):
-                np.matmul(state, u, out=z)
-                np.take(table, at[t], axis=1, out=looked, mode="clip")
-                z += looked
-                np.tanh(z, out=z)
-                gates += 1
-                cell *= keep
-                cell *= 0.5
-                new *= into
-                cell += new
-                np.multiply(cell, 0.5, out=wide)
-                np.tanh(wide, out=wide)
-                np.multiply(wide, show, out=state)
-                out[t * n : (t + 1) * n] = state
-            e += (self.p["o"][k * h : (k + 1) * h].T * kind.type(0.5)) @ out.T
+            into, keep, show, new = z
+            with np.errstate(over="ignore"):  # of exp; the sigmoid is 0 then
+                for t in range(length) if way == "f" else range(length - 1, -1, -1):
+                    np.matmul(state, u, out=z)
+                    np.take(table, at[t], axis=1, out=looked, mode="clip")
+                    z += looked
+                    np.exp(z, out=z)
+                    z += one
+                    np.divide(one, z, out=z)
+                    new -= 0.5
+                    new *= into
+                    cell *= keep
+                    cell += new
+                    np.multiply(cell, -4, out=wide)
+                    np.exp(wide, out=wide)
+                    wide += one
+                    np.divide(one, wide, out=wide)
+                    wide -= 0.5
+                    np.multiply(wide, show, out=state)
+                    out[t * n : (t + 1) * n] = state
+            e += (self.p["o"][k * h : (k + 1) * h].T * kind.type(2)) @ out.T
         return e.reshape(TAGS, length, n)
 
     def leaning(self) -> tuple[np.ndarray, np.ndarray]:
@@ -543,7 +548,7 @@ class Finder:
         while i < len(windows):
             # all that fit, by the longest of them
             j = i + 1
-            while j < len(windows) and (j + 1 - i) * len(windows[j]) <= AT_ONCE and len(windows[j]) <= len(windows[i]) + 64:
+            while j < min(len(windows), i + ROWS) and (j + 1 - i) * len(windows[j]) <= AT_ONCE and len(windows[j]) <= len(windows[i]) + 64:
                 j += 1
             some, length = windows[i:j], len(windows[j - 1])
             x = np.zeros((len(some), length), np.int16)

@@ -129,6 +129,23 @@ def test_tagger_gradients_and_decoding():
     assert tuple(tags[0]) == best and margin[0].sum() == pytest.approx(total(best) - total((0, 0, 0)))
 
 
+def test_short_windows_are_decoded_some_at_a_time():
+    """However short they are, what a step of the network works on stays small; large scores are no error."""
+    seen = []
+
+    class Tagger(pii.Tagger):
+        def decode(self, x):
+            seen.append(len(x))
+            return super().decode(x)
+
+    t = Tagger.new()
+    t.p["xf"] = t.p["xf"] * 1000
+    with np.errstate(all="raise", under="ignore"):
+        assert np.isfinite(t.fast_emissions(np.arange(90).reshape(9, 10))).all()
+    pii.Finder(Tagger(t.p)).decoded(["\n".join(f"line {k}" for k in range(3 * pii.ROWS))])
+    assert sum(seen) == 3 * pii.ROWS and max(seen) <= pii.ROWS
+
+
 def test_windows_left_undecoded_have_no_span():
     rng = np.random.default_rng(5)
     left_out = 0
