@@ -18,7 +18,7 @@ from quarry.operators import bloom, changes, embed, search
 from quarry.operators.store import Store
 from quarry.operators.terms import term_tallies, with_term_hits
 from quarry.operators.vector_index import VectorIndex
-from quarry.shared import shared_folder, spread
+from quarry.shared import once, shared_folder, spread
 from quarry.sources import config_files
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -665,10 +665,10 @@ def scan_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The whole scan over files made from the documents: records by type, after redaction and the first of each key."""
     from quarry.plans.scan import ScanContext, extracted, records
 
-    d = table(spark, sf_dir, "documents")
+    d = spread(table(spark, sf_dir, "documents").select("doc_id", "source", "text"), 500)  # to read and redact a text is long beside its size
     name = F.concat(F.lit("M"), F.md5("text"))
     whole = F.regexp_replace("text", '"', '""')  # of a verbatim literal, which keeps the text's lines
     code = F.concat(F.lit("namespace Docs { public class C"), F.col("doc_id").cast("string"), F.lit(" { public string "), name, F.lit('() { return Make(@"'), whole, F.lit('"); } } }'))
-    files = d.select(F.concat(F.lit("src/"), F.col("source"), F.lit("/"), F.col("doc_id").cast("string"), F.lit(".cs")).alias("path"), F.length(code).cast("long").alias("length"), code.alias("content"))
+    files = d.select(F.concat(F.lit("src/"), F.col("source"), F.lit("/"), F.col("doc_id").cast("string"), F.lit(".cs")).alias("path"), F.length(code).cast("long").alias("length"), once(code).alias("content"))
     rows = records(extracted(files, ["the"]), ScanContext("r", "j", "docs", "main", "0000000"))
     return rows.groupBy("record_type").agg(F.count(F.lit(1)).alias("n"))

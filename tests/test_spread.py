@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from quarry.functions.classify import is_generated, is_test
 from quarry.functions.redact import _redacted, redact
-from quarry.plans import catalogue_sources
+from quarry.plans import catalogue, catalogue_sources
 from quarry.plans.scan import extracted
 from quarry.sources.readers import read
 
@@ -87,3 +87,10 @@ def test_who_asks_for_declarations_gets_no_other_files_planned(spark, tmp_path):
     files = files.withColumn("length", F.octet_length("content").cast("long"))
     assert [r["symbol_name"] for r in extracted(files, kinds=("delegate",)).collect()] == ["D"] and extracted(files).count() == 4
     assert sorted((r["path"], r["record_type"]) for r in extracted(files, ("void",), ()).collect()) == [("a.cs", "search_term_match")] * 3
+
+
+def test_documents_of_one_split_are_scanned_by_many_tasks(spark, tmp_path):
+    """Texts are dealt before files are made of them, and each is made once."""
+    spark.range(1_200).selectExpr("id as doc_id", "'web' as source", "concat('the ', id) as text").coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    above, below = catalogue.scan_documents(spark, str(tmp_path))._jdf.queryExecution().optimizedPlan().toString().split("Repartition ")
+    assert below.startswith("3, ") and "namespace Docs" not in below and above.count("namespace Docs") == 1
